@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from quillon.llm.pii import op1_pii
 from quillon.llm.quality import op3_quality
+from quillon.llm.simhash import op4_simhash
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_quality": op3_quality,
+    "op4_simhash": op4_simhash,
 }
 ORACLES: dict[str, str] = {}
