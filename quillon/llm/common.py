@@ -41,7 +41,13 @@ class Scratch:
         """Write ``df`` as Parquet and read it back under its own schema."""
         self.names += 1
         path = f"{self.base}/{self.names}"
-        df.write.parquet(path)
+        conf, key = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(key, "false")
+        conf.set(key, "true")  # shuffle files of this write are not needed once it is done
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

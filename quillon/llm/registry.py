@@ -5,10 +5,12 @@ from __future__ import annotations
 from quillon.llm.pii import op1_pii
 from quillon.llm.quality import op3_quality
 from quillon.llm.simhash import op4_simhash
+from quillon.llm.substrings import op10_substrings
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
+    "op10_substrings": op10_substrings,
 }
 ORACLES: dict[str, str] = {}
