@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from quillon.llm import linededup, secrets
+from quillon.llm.linededup import op6_line_dedup
 from quillon.llm.pii import op1_pii
 from quillon.llm.quality import op3_quality
+from quillon.llm.secrets import op7_secrets
 from quillon.llm.simhash import op4_simhash
 from quillon.llm.substrings import op10_substrings
 
@@ -11,6 +14,11 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_secrets": op7_secrets,
     "op10_substrings": op10_substrings,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_line_dedup": linededup.ORACLE,
+    "op7_secrets": secrets.ORACLE,
+}
