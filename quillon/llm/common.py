@@ -17,6 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows that a Python operator holds as objects at a time; it bounds memory, not what is processed.
 SLICE_ROWS = 256
 
+#: While a table is written: its shuffle files go when it is done, and Arrow batches stay small, as
+#: rows may be packed chunks or long texts and batches lie outside the heap.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, set here only where unset."""
@@ -41,13 +48,15 @@ class Scratch:
         """Write ``df`` as Parquet and read it back under its own schema."""
         self.names += 1
         path = f"{self.base}/{self.names}"
-        conf, key = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = conf.get(key, "false")
-        conf.set(key, "true")  # shuffle files of this write are not needed once it is done
+        conf = self.spark.conf
+        before = {k: conf.get(k) for k in WRITING}
+        for k, v in WRITING.items():
+            conf.set(k, v)
         try:
             df.write.parquet(path)
         finally:
-            conf.set(key, before)
+            for k, v in before.items():
+                conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

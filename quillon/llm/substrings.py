@@ -34,7 +34,7 @@ from quillon.llm.common import Scratch, slices
 
 LENGTH = 35
 CHUNK = 1 << 16
-BUCKET_CHARS = 24_000_000
+BUCKET_CHARS = 12_000_000
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 WORD_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 ROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("data", pa.binary()), ("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string())])
