@@ -72,8 +72,11 @@ def boilerplate(df: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(own.unionByName(member.join(scratch.table(spread), "leaf").select("sig")).distinct())
 
 
-def line_dedup(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """The input's rows and columns with ``text`` cut, plus n_lines and n_dropped (long)."""
+def line_dedup(df: DataFrame, recount: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """The input's rows and columns with ``text`` cut, plus n_lines and n_dropped (long).
+
+    With ``recount`` just the input's columns, where n_chars, if there, is that of the cut text.
+    """
     scratch = scratch or Scratch(df.sparkSession)
     gone = boilerplate(df, scratch)
     hits = _lines(df).select("k1", "k2", "place", F.xxhash64("sig").alias("sig")).join(gone, "sig", "left_semi")
@@ -84,6 +87,11 @@ def line_dedup(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     parts = F.split("text", "\n", -1)
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
     columns = [kept.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in df.columns]
+    if recount:
+        if "n_chars" in df.columns:
+            size = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.char_length(kept))
+            columns[df.columns.index("n_chars")] = size.cast(df.schema["n_chars"].dataType).alias("n_chars")
+        return joined.select(*columns)
     return joined.select(*columns, F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"))
 
 

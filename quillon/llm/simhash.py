@@ -258,13 +258,13 @@ def links(scratch: Scratch, distinct: DataFrame, distance: int) -> DataFrame:
     return rows.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb").mapInArrow(verify, "a long, b long")
 
 
-def fingerprint_classes(scratch: Scratch, prints: DataFrame, distance: int) -> DataFrame:
-    """(fp, component_id) per distinct fingerprint of ``prints`` (doc_id, fp), a written table."""
+def fingerprint_classes(scratch: Scratch, prints: DataFrame, distance: int, with_root: bool = False) -> DataFrame:
+    """(fp, component_id), or with its root too, per distinct fingerprint of ``prints`` (doc_id, fp), a written table."""
     distinct = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = scratch.table(components(scratch, links(scratch, distinct.select("fp"), distance)))
     rooted = scratch.table(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     ids = scratch.table(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    return scratch.table(rooted.join(ids, "root").select("fp", "component_id"))
+    return scratch.table(rooted.join(ids, "root").select("fp", "component_id", *["root"] * with_root))
 
 
 def near_duplicate_classes(df: DataFrame, k: int = 4, distance: int = 4) -> DataFrame:
@@ -275,5 +275,28 @@ def near_duplicate_classes(df: DataFrame, k: int = 4, distance: int = 4) -> Data
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_deduplicated(df: DataFrame, k: int = 4, distance: int = 4) -> DataFrame:
+    """The row of the smallest doc_id of each component, unchanged, with the input's columns.
+
+    Rows are written once with their fingerprint and a row number, so that each later read sees the
+    same rows. Of repeated ids the first row stays; a component without ids keeps its first row.
+    """
+    scratch = Scratch(df.sparkSession)
+    source = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df["doc_id"].cast("long").alias("doc_id"), df["text"].cast("string").alias("text"), F.monotonically_increasing_id().alias("rid"))
+    extra = pa.field("fp", pa.int64())
+
+    def add(batches):
+        for batch in batches:
+            fps = np.array([fingerprint(t, k) for part in slices(batch.select(["text"])) for t in part.column(0).to_pylist()], np.uint64).view(np.int64)
+            kept = batch.select(["row", "doc_id", "rid"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(fps, pa.int64())], schema=kept.schema.append(extra))
+
+    schema = source.select("row", "doc_id", "rid").schema.add("fp", "long")
+    rows = scratch.table(source.mapInArrow(add, schema))
+    classes = fingerprint_classes(scratch, rows.select("doc_id", "fp"), distance, with_root=True)
+    first = rows.select("doc_id", "rid", "fp").join(classes, "fp").groupBy("root").agg(F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("rid"))
+    return rows.join(scratch.table(first.select("rid")), "rid", "left_semi").select("row.*")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
