@@ -1 +1 @@
-"""quillon.functions"""
+"""Scalar functions: text normalisation, tokens, identifiers and quantities."""

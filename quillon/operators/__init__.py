@@ -1 +1 @@
-"""quillon.operators"""
+"""Retrieval, catalogue, chunking, layout, verification and evaluation operators."""

@@ -1,6 +1,683 @@
-"""Registry of the engine's queries and their SQL oracles."""
+"""The engine's queries on the driver tables, each with an equivalent in DuckDB SQL.
+
+Roles: ``documents`` are papers and chunks (scope ``lang``), ``embeddings`` their vectors, ``labels``
+judgements, ``benchmark`` query texts, ``conversations`` ordered siblings, ``events`` versions and
+snapshots, and the order tables a catalogue. Scores are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillon.functions import text as T
+from quillon.operators import catalog, chunking, evaluation, retrieval, verify
+from quillon.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+QUESTION = "Released under the Apache License, and the version of this work is licensed as ist der with it"
+TOKENS = "SELECT doc_id AS id, lang, " + T.tokens_sql("text") + " AS tokens FROM documents"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def docs_tokens(spark: SparkSession, d: str, *scope: str) -> DataFrame:
+    return retrieval.document_tokens(table(spark, d, "documents"), "doc_id", F.col("text"), scope=scope)
+
+
+def question(spark: SparkSession, text: str = QUESTION) -> DataFrame:
+    return spark.range(1).select(F.col("id").alias("query_id"), T.tokens(F.lit(text)).alias("tokens"))
+
+
+def title_of(c: str = "text"):
+    return F.substring_index(c, "\n", 1)
+
+
+def score6(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 6))
+
+
+def bm25_sql(docs: str, queries: str, k: int | None, scope: str = "", final: str = "") -> str:
+    """BM25 in SQL; docs (id, tokens, scope), queries (query_id, tokens)."""
+    s = f"{scope}, " if scope else ""
+    using = f"{scope}, term" if scope else "term"
+    stats = f"JOIN stats USING ({scope})" if scope else "CROSS JOIN stats"
+    part = f"query_id, {scope}" if scope else "query_id"
+    cut = f"WHERE rank <= {k}" if k else ""
+    return f"""
+WITH docs AS ({docs}), queries AS ({queries}),
+stats AS (SELECT {s}count(*)::DOUBLE AS n, avg(len(tokens)) AS avgdl FROM docs {"GROUP BY " + scope if scope else ""}),
+terms AS (SELECT {s}id, len(tokens) AS dl, unnest(tokens) AS term FROM docs),
+tf AS (SELECT {s}id, dl, term, count(*)::DOUBLE AS tf FROM terms GROUP BY ALL),
+df AS (SELECT {s}term, count(*)::DOUBLE AS df FROM tf GROUP BY ALL),
+idf AS (SELECT {s}term, avgdl, ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)) AS idf FROM df {stats}),
+q AS (SELECT query_id, term, least(count(*), 2)::DOUBLE AS w FROM (SELECT query_id, unnest(tokens) AS term FROM queries) GROUP BY ALL),
+scores AS (SELECT query_id, {s}id, round(sum(idf * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl)) * w), 9) AS score FROM tf JOIN idf USING ({using}) JOIN q USING (term) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY score DESC, id) AS rank FROM scores WHERE score > 0),
+best AS (SELECT * FROM ranked {cut})
+{final or f"SELECT query_id, {s}id, round(score, 6) AS score, rank FROM best"}"""
+
+
+ASKED = f"SELECT 0 AS query_id, {T.tokens_sql(T.quoted(QUESTION))} AS tokens"
+
+# ---------------------------------------------------------------- text and postings
+
+
+@query(f"SELECT id AS doc_id, len(tokens) AS n_tokens, len(list_distinct(tokens)) AS n_distinct FROM ({TOKENS})")
+def tokenize_counts(spark, d):
+    return docs_tokens(spark, d).select(F.col("id").alias("doc_id"), F.size("tokens").alias("n_tokens"), F.size(F.array_distinct("tokens")).alias("n_distinct"))
+
+
+@query(f"SELECT DISTINCT t AS token, {T.plural_fold_sql('t')} AS folded FROM (SELECT unnest(regexp_extract_all({T.casefold_sql('text')}, '[a-z0-9]+')) AS t FROM documents)")
+def plural_fold(spark, d):
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(T.casefold(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0))).alias("token")).distinct()
+    return words.select("token", T.plural_fold(F.col("token")).alias("folded"))
+
+
+@query(f"WITH d AS ({TOKENS}), p AS (SELECT DISTINCT id, unnest(tokens) AS term FROM d) SELECT term, count(*) AS df, round(ln(1e0 + ((SELECT count(*) FROM d) - count(*) + 0.5e0) / (count(*) + 0.5e0)), 6) AS idf FROM p GROUP BY term")
+def postings_df_idf(spark, d):
+    docs = docs_tokens(spark, d)
+    df = retrieval.postings(docs).groupBy("term").agg(F.count("*").alias("df"))
+    stats = retrieval.corpus_stats(docs)
+    return df.crossJoin(F.broadcast(stats)).select("term", "df", F.round(retrieval.idf(F.col("n_docs").cast("double"), F.col("df")), 6).alias("idf"))
+
+
+@query(f"SELECT count(*) AS n_docs, sum(len(tokens))::BIGINT AS n_tokens, round(avg(len(tokens)), 6) AS avgdl, count(*) FILTER (WHERE len(tokens) = 0) AS n_empty FROM ({TOKENS})")
+def doc_length_stats(spark, d):
+    n = F.size("tokens")
+    return docs_tokens(spark, d).agg(F.count("*").alias("n_docs"), F.sum(n).cast("long").alias("n_tokens"), F.round(F.avg(n), 6).alias("avgdl"), F.count_if(n == 0).alias("n_empty"))
+
+
+# ---------------------------------------------------------------- ranked retrieval
+
+
+@query(bm25_sql(TOKENS, ASKED, 10, final="SELECT id, round(score, 6) AS score FROM best"))
+def bm25_topk(spark, d):
+    return score6(retrieval.top(retrieval.bm25(docs_tokens(spark, d), question(spark)).select("id", "score"), 10))
+
+
+@query(bm25_sql(TOKENS, f"SELECT item_id AS query_id, {T.tokens_sql('text')} AS tokens FROM benchmark", 10))
+def bm25_batch(spark, d):
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.tokens(F.col("text")).alias("tokens"))
+    return score6(retrieval.ranked(retrieval.bm25(docs_tokens(spark, d), asked), 10))
+
+
+@query(bm25_sql(TOKENS, ASKED, 5, "lang"))
+def bm25_scoped_lang(spark, d):
+    return score6(retrieval.ranked(retrieval.bm25(docs_tokens(spark, d, "lang"), question(spark), ("lang",)), 5, ("query_id", "lang")))
+
+
+@query(bm25_sql(f"SELECT doc_id AS id, {T.tokens_sql('string_split(text, chr(10))[1] || chr(32) || string_split(text, chr(10))[1] || chr(32) || text')} AS tokens FROM documents", ASKED, 10))
+def bm25_title_weighted(spark, d):
+    docs = retrieval.document_tokens(table(spark, d, "documents"), "doc_id", title_of(), title_of(), F.col("text"))
+    return score6(retrieval.ranked(retrieval.bm25(docs, question(spark)), 10))
+
+
+CATALOG50 = f"SELECT p_partkey AS id, {T.tokens_sql('p_name || chr(32) || p_name || chr(32) || p_type')} AS tokens FROM (SELECT * FROM part ORDER BY p_size DESC NULLS LAST, lower(p_name), p_partkey LIMIT 50)"
+
+
+@query(bm25_sql(CATALOG50, f"SELECT 0 AS query_id, {T.tokens_sql(T.quoted('small red rings'))} AS tokens", 10))
+def bm25_catalog_top50(spark, d):
+    first = catalog.title_page(table(spark, d, "part"), None, "p_name", "p_size", "p_partkey", 50, 0)
+    docs = retrieval.document_tokens(first, "p_partkey", F.col("p_name"), F.col("p_name"), F.col("p_type"))
+    return score6(retrieval.ranked(retrieval.bm25(docs, question(spark, "small red rings")), 10))
+
+
+@query(bm25_sql(f"SELECT * FROM ({TOKENS}) WHERE id <> 7", f"SELECT 7 AS query_id, tokens FROM ({TOKENS}) WHERE id = 7", 10))
+def related_docs(spark, d):
+    docs = docs_tokens(spark, d)
+    seed = docs.filter("id = 7").select(F.lit(7).alias("query_id"), "tokens")
+    return score6(retrieval.ranked(retrieval.bm25(docs.filter("id <> 7"), seed), 10))
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), "label")
+
+
+def vector_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The stated query set: every id divisible by 100."""
+    return vectors(spark, d).filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+
+
+COSINE = """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings),
+scores AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(q.v, v.v) AS score FROM v, v AS q WHERE q.id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scores)"""
+
+
+def cosine_ranking(spark, d, k: int | None):
+    return retrieval.ranked(retrieval.cosine_scores(vectors(spark, d).select("id", "vector"), vector_queries(spark, d)), k)
+
+
+@query(COSINE + " SELECT id, round(score, 6) AS score FROM ranked WHERE query_id = 0 AND rank <= 10")
+def cosine_topk(spark, d):
+    one = vector_queries(spark, d).filter("query_id = 0")
+    return score6(retrieval.top(retrieval.cosine_scores(vectors(spark, d).select("id", "vector"), one).select("id", "score"), 10))
+
+
+@query(COSINE + " SELECT query_id, id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10")
+def cosine_batch(spark, d):
+    return score6(cosine_ranking(spark, d, 10))
+
+
+RRF = """,
+fused AS (SELECT query_id, id, sum(1e0 / (60 + rank)) AS score FROM lists GROUP BY ALL)
+SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM fused) WHERE rank <= 10"""
+
+
+def _fused(lists: list[DataFrame]) -> DataFrame:
+    fused = retrieval.fuse(lists)
+    return score6(retrieval.ranked(fused.withColumn("score", F.round("score", 12)), 10))
+
+
+@query(
+    bm25_sql(TOKENS, ASKED, 2000).split("SELECT query_id, id, round")[0].rstrip()
+    + f""",
+lists AS (SELECT query_id, id, rank FROM best UNION ALL SELECT 0, doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) FROM documents){RRF}"""
+)
+def rrf_fusion(spark, d):
+    sparse = retrieval.ranked(retrieval.bm25(docs_tokens(spark, d), question(spark)), retrieval.CANDIDATES)
+    size = table(spark, d, "documents").select(F.lit(0).alias("query_id"), F.col("doc_id").alias("id"), F.col("n_chars").alias("score"))
+    return _fused([sparse, retrieval.ranked(size, None)])
+
+
+@query(
+    bm25_sql(f"SELECT id, tokens FROM ({TOKENS}) WHERE id IN (SELECT vec_id FROM embeddings)", ASKED, 2000, final="").split("SELECT query_id, id, round")[0].rstrip()
+    + f""",
+v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
+dense AS (SELECT v.id, row_number() OVER (ORDER BY round(list_cosine_similarity(q.v, v.v), 12) DESC, v.id) AS rank FROM v, v AS q WHERE q.id = 0),
+lists AS (SELECT query_id, id, rank FROM best UNION ALL SELECT 0, id, rank FROM dense){RRF}"""
+)
+def hybrid_search(spark, d):
+    v = vectors(spark, d)
+    docs = docs_tokens(spark, d).join(v.select("id"), "id", "left_semi")
+    both = v.select("id", "vector").join(docs.select("id"), "id", "left_semi")
+    dense = retrieval.cosine_scores(both, vector_queries(spark, d).filter("query_id = 0")).withColumn("score", F.round("score", 12))
+    sparse = retrieval.ranked(retrieval.bm25(docs, question(spark)), retrieval.CANDIDATES)
+    return _fused([sparse, retrieval.ranked(dense, None)])
+
+
+@query("SELECT count(*) AS n_chunks, count(*) FILTER (WHERE vec_id IS NULL) AS n_missing, CASE WHEN count(*) FILTER (WHERE vec_id IS NULL) > 0 THEN 'embeddings_missing' ELSE 'ok' END AS status FROM documents LEFT JOIN embeddings ON doc_id = vec_id")
+def embeddings_missing_guard(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("there"))
+    missing = F.count_if(F.col("there").isNull())
+    return table(spark, d, "documents").select("doc_id").join(v, "doc_id", "left").agg(F.count("*").alias("n_chunks"), missing.alias("n_missing"), F.when(missing > 0, "embeddings_missing").otherwise("ok").alias("status"))
+
+
+@query(
+    f"""WITH d AS ({TOKENS}), a AS (SELECT DISTINCT id, unnest(tokens) AS term FROM d),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({T.tokens_sql("text")}) AS term FROM benchmark),
+s AS (SELECT query_id, id, count(*) AS score FROM a JOIN q USING (term) GROUP BY ALL HAVING count(*) >= 2)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 3"""
+)
+def token_overlap_topk(spark, d):
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.tokens(F.col("text")).alias("tokens"))
+    return retrieval.token_overlap(docs_tokens(spark, d), asked)
+
+
+# ---------------------------------------------------------------- neighbours
+
+SIBLINGS = """SELECT conv_id, turn, role, text, lag(turn) OVER p AS parent_prev, lead(turn) OVER p AS parent_next, lag(turn) OVER s AS section_prev, lead(turn) OVER s AS section_next
+FROM conversations WINDOW p AS (PARTITION BY conv_id ORDER BY turn), s AS (PARTITION BY conv_id, role ORDER BY turn)"""
+
+
+def siblings(spark, d):
+    return retrieval.neighbours(table(spark, d, "conversations"), ("conv_id",), ("conv_id", "role"), "turn", "turn")
+
+
+@query(f"SELECT conv_id, turn, parent_prev, parent_next, section_prev, section_next FROM ({SIBLINGS})")
+def neighbour_prev_next(spark, d):
+    return siblings(spark, d).select("conv_id", "turn", "parent_prev", "parent_next", "section_prev", "section_next")
+
+
+def conversation_ranking(spark, d):
+    """Longest turns first within each conversation, as a ranking of 8."""
+    near = siblings(spark, d).select(F.col("conv_id").alias("query_id"), F.col("turn").alias("id"), F.char_length("text").alias("score"), retrieval.neighbour_list(*map(F.col, ("parent_prev", "parent_next", "section_prev", "section_next"))).alias("neighbours"))
+    return retrieval.ranked(near, 8)
+
+
+@query(
+    f"""WITH n AS (SELECT conv_id AS query_id, turn AS id, length(text) AS score, parent_prev, parent_next, section_prev, section_next FROM ({SIBLINGS})),
+k AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM n) WHERE rank <= 8)
+SELECT query_id, id, array_to_string(list(c ORDER BY o), ',') AS neighbours FROM (
+  SELECT query_id, id, c, min(o) AS o FROM (SELECT query_id, id, unnest([parent_prev, parent_next, section_prev, section_next]) AS c, unnest([1, 2, 3, 4]) AS o FROM n JOIN k USING (query_id, id)) WHERE c IS NOT NULL GROUP BY ALL) GROUP BY query_id, id"""
+)
+def neighbour_lists(spark, d):
+    return conversation_ranking(spark, d).filter(F.size("neighbours") > 0).select("query_id", "id", F.array_join("neighbours", ",").alias("neighbours"))
+
+
+@query()
+def neighbour_budget(spark, d):
+    return retrieval.within_budget(conversation_ranking(spark, d)).select("query_id", "id", F.array_join("taken", ",").alias("taken"))
+
+
+# ---------------------------------------------------------------- evaluation
+
+METRICS = (
+    COSINE
+    + """,
+grades AS (SELECT query_id, v.id, CASE WHEN v.label = q.label THEN 3 WHEN abs(v.label - q.label) = 1 THEN 1 ELSE 0 END AS grade FROM (SELECT DISTINCT query_id FROM scores) s JOIN v AS q ON q.id = s.query_id CROSS JOIN v),
+gain AS (SELECT r.query_id, r.rank, g.grade, (2e0 ** g.grade - 1) / log2(r.rank + 1) AS dcg FROM ranked r JOIN grades g USING (query_id, id) WHERE rank <= 10),
+ideal AS (SELECT query_id, rank, (2e0 ** grade - 1) / log2(rank + 1) AS dcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, id) AS rank FROM grades) WHERE rank <= 10),
+found AS (SELECT query_id, max((rank <= 1 AND grade > 0)::INT)::DOUBLE AS hit_1, max((rank <= 5 AND grade > 0)::INT)::DOUBLE AS hit_5, max((rank <= 10 AND grade > 0)::INT)::DOUBLE AS hit_10,
+  coalesce(1e0 / min(rank) FILTER (WHERE grade > 0), 0) AS mrr_10, sum(dcg) FILTER (WHERE rank <= 5) AS d5, sum(dcg) AS d10 FROM gain GROUP BY query_id),
+best AS (SELECT query_id, sum(dcg) FILTER (WHERE rank <= 5) AS i5, sum(dcg) AS i10 FROM ideal GROUP BY query_id),
+m AS (SELECT query_id, hit_1, hit_5, hit_10, mrr_10, CASE WHEN i5 > 0 THEN d5 / i5 ELSE 0 END AS ndcg_5, CASE WHEN i10 > 0 THEN d10 / i10 ELSE 0 END AS ndcg_10 FROM found JOIN best USING (query_id))"""
+)
+
+
+def vector_metrics(spark, d):
+    v, q = vectors(spark, d), vector_queries(spark, d)
+    ql = v.join(q.select(F.col("query_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("label").alias("ql"))
+    grade = F.when(F.col("label") == F.col("ql"), 3).when(F.abs(F.col("label") - F.col("ql")) == 1, 1).otherwise(0)
+    qrels = v.crossJoin(F.broadcast(ql)).select("query_id", "id", grade.alias("grade"))
+    return evaluation.score_rankings(cosine_ranking(spark, d, 10), qrels, (1, 5, 10), truncate_at=10).drop("ndcg_1")
+
+
+METRIC_NAMES = ["hit_1", "hit_5", "hit_10", "mrr_10", "ndcg_5", "ndcg_10"]
+
+
+@query(METRICS + " SELECT query_id, hit_1, hit_5, hit_10, round(mrr_10, 6) AS mrr_10, round(ndcg_5, 6) AS ndcg_5, round(ndcg_10, 6) AS ndcg_10 FROM m")
+def ir_metrics_per_query(spark, d):
+    return vector_metrics(spark, d).select("query_id", "hit_1", "hit_5", "hit_10", *[F.round(c, 6).alias(c) for c in ("mrr_10", "ndcg_5", "ndcg_10")])
+
+
+@query(METRICS + ", b AS (SELECT CASE WHEN query_id % 200 = 0 THEN 'even' ELSE 'odd' END AS bucket, * FROM m) SELECT coalesce(bucket, 'all') AS bucket, count(*) AS queries, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in METRIC_NAMES) + " FROM b GROUP BY ROLLUP (bucket)")
+def ir_metrics_macro_bucket(spark, d):
+    scores = vector_metrics(spark, d).withColumn("bucket", F.when(F.col("query_id") % 200 == 0, "even").otherwise("odd"))
+    return evaluation.macro(scores, "bucket", METRIC_NAMES).select(F.coalesce("bucket", F.lit("all")).alias("bucket"), "queries", *[F.round(m, 6).alias(m) for m in METRIC_NAMES])
+
+
+@query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, round(median(value), 6) AS median, max(value) AS worst, count(*) AS n FROM events GROUP BY event_type")
+def latency_percentile_disc(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(
+        evaluation.nearest_rank("value", 0.5).alias("p50"), evaluation.nearest_rank("value", 0.95).alias("p95"), F.round(F.expr("percentile(value, 0.5)"), 6).alias("median"), F.max("value").alias("worst"), F.count("*").alias("n")
+    )
+
+
+@query(
+    """WITH m AS (SELECT user_id AS query_id, round(avg(value) FILTER (WHERE event_type = 'view'), 6) AS bm25, round(avg(value) FILTER (WHERE event_type = 'click'), 6) AS dense, round(avg(value) FILTER (WHERE event_type = 'error'), 6) AS hybrid FROM events GROUP BY user_id)
+SELECT query_id, CASE greatest(bm25, dense, hybrid) WHEN bm25 THEN 'bm25' WHEN dense THEN 'dense' ELSE 'hybrid' END AS best, round(greatest(bm25, dense, hybrid) - least(bm25, dense, hybrid), 6) AS spread FROM m WHERE bm25 IS NOT NULL AND dense IS NOT NULL AND hybrid IS NOT NULL"""
+)
+def method_disagreement(spark, d):
+    kinds = {"bm25": "view", "dense": "click", "hybrid": "error"}
+    scores = table(spark, d, "events").groupBy(F.col("user_id").alias("query_id")).agg(*[F.round(F.avg(F.when(F.col("event_type") == k, F.col("value"))), 6).alias(m) for m, k in kinds.items()]).dropna()
+    return evaluation.disagreement(scores, tuple(kinds)).withColumn("spread", F.round("spread", 6))
+
+
+@query(
+    """WITH t AS (SELECT lang, source, quality = 1 AS expected, n_chars >= 600 AS predicted, toxic FROM documents JOIN labels USING (doc_id))
+SELECT lang AS challenge_type, count(*) AS tasks, count(*) FILTER (WHERE expected AND predicted) AS true_answers, count(*) FILTER (WHERE NOT expected AND predicted) AS false_answers, count(*) FILTER (WHERE expected AND NOT predicted) AS missed,
+count(*) FILTER (WHERE NOT expected AND NOT predicted) AS refused, round(CASE WHEN count(*) FILTER (WHERE NOT expected) = 0 THEN 0 ELSE count(*) FILTER (WHERE NOT expected AND predicted) / count(*) FILTER (WHERE NOT expected) END, 6) AS false_rate FROM t GROUP BY lang"""
+)
+def answerability_confusion(spark, d):
+    t = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(F.col("lang").alias("challenge_type"), (F.col("quality") == 1).alias("e"), (F.col("n_chars") >= 600).alias("p"))
+    e, p = F.col("e"), F.col("p")
+    wrong, negative = F.count_if(~e & p), F.count_if(~e)
+    return t.groupBy("challenge_type").agg(
+        F.count("*").alias("tasks"), F.count_if(e & p).alias("true_answers"), wrong.alias("false_answers"), F.count_if(e & ~p).alias("missed"), F.count_if(~e & ~p).alias("refused"), F.round(evaluation.rate(wrong, negative), 6).alias("false_rate")
+    )
+
+
+@query(
+    bm25_sql(TOKENS, f"SELECT item_id AS query_id, {T.tokens_sql('text')} AS tokens FROM benchmark", 8).split("SELECT query_id, id, round")[0].rstrip()
+    + """,
+reference AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+hits AS (SELECT r.query_id, min(b.rank) AS rank FROM reference r LEFT JOIN best b USING (query_id, id) GROUP BY r.query_id)
+SELECT query_id % 4 AS challenge_type, count(*) AS tasks, count(*) FILTER (WHERE rank = 1) AS hit_1, count(*) FILTER (WHERE rank <= 8) AS hit_8, round(avg(rank), 6) AS mean_rank FROM hits GROUP BY ALL"""
+)
+def evidence_hit_by_type(spark, d):
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("quote"), T.tokens(F.col("text")).alias("tokens"))
+    best = retrieval.ranked(retrieval.bm25(docs_tokens(spark, d), asked.select("query_id", "tokens")), 8)
+    reference = table(spark, d, "documents").join(F.broadcast(asked), F.contains(F.col("text"), F.col("quote"))).select("query_id", F.col("doc_id").alias("id"))
+    hits = reference.join(best, ["query_id", "id"], "left").groupBy("query_id").agg(F.min("rank").alias("rank"))
+    return hits.groupBy((F.col("query_id") % 4).alias("challenge_type")).agg(F.count("*").alias("tasks"), F.count_if(F.col("rank") == 1).alias("hit_1"), F.count_if(F.col("rank") <= 8).alias("hit_8"), F.round(F.avg("rank"), 6).alias("mean_rank"))
+
+
+@query(
+    bm25_sql(TOKENS, f"SELECT item_id AS query_id, {T.tokens_sql('text')} AS tokens FROM benchmark", 1).split("SELECT query_id, id, round")[0].rstrip()
+    + """ SELECT coalesce(quality, -1) AS expected, count(*) AS tasks, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score FROM best LEFT JOIN labels ON doc_id = id GROUP BY ALL"""
+)
+def top1_separability(spark, d):
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.tokens(F.col("text")).alias("tokens"))
+    best = retrieval.ranked(retrieval.bm25(docs_tokens(spark, d), asked), 1)
+    judged = best.join(table(spark, d, "labels").withColumnRenamed("doc_id", "id"), "id", "left")
+    return judged.groupBy(F.coalesce("quality", F.lit(-1)).alias("expected")).agg(F.count("*").alias("tasks"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.max("score"), 6).alias("max_score"))
+
+
+PAIRED = """WITH o AS (SELECT CASE WHEN event_type IN ('view', 'click') THEN 'single' ELSE 'multi' END AS arm, user_id AS task_id, value FROM events),
+t AS (SELECT arm, task_id, avg(value) AS cost, avg((value > 20)::INT) AS success FROM o GROUP BY ALL)"""
+
+
+@query(PAIRED + " SELECT arm, count(*) AS tasks, round(avg(cost), 6) AS cost, round(avg(success), 6) AS success FROM t GROUP BY arm")
+def paired_arms_two_level(spark, d):
+    arm = F.when(F.col("event_type").isin("view", "click"), "single").otherwise("multi")
+    o = table(spark, d, "events").select(arm.alias("arm"), F.col("user_id").alias("task_id"), F.lit(0).alias("trial"), F.col("value").alias("cost"), (F.col("value") > 20).cast("int").alias("success"))
+    means = evaluation.paired_arms(o, ("single", "multi"), ["cost", "success"])
+    return means.select("arm", "tasks", F.round("cost", 6).alias("cost"), F.round("success", 6).alias("success"))
+
+
+@query("SELECT user_id AS run_id, count(*) FILTER (WHERE event_type <> 'error') AS succeeded, count(DISTINCT round(value)) FILTER (WHERE event_type <> 'error') = 1 AND count(*) FILTER (WHERE event_type <> 'error') >= 2 AS consensus FROM events GROUP BY user_id")
+def worker_consensus(spark, d):
+    w = table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.when(F.col("event_type") != "error", "ok").otherwise("failed").alias("status"), F.round("value").alias("signature"))
+    return evaluation.consensus(w)
+
+
+# ---------------------------------------------------------------- versions and catalogue
+
+VERSION = "md5(event_type || ':' || CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR))"
+
+
+def event_versions(spark, d):
+    payload = F.md5(F.concat(F.col("event_type"), F.lit(":"), F.floor(F.col("value") / 10).cast("string")))
+    return table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value", payload.alias("payload"))
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
+def latest_per_key(spark, d):
+    return catalog.latest_per_key(table(spark, d, "events"), "user_id", ["ts", "event_id"], ["event_id", "event_type", "value"])
+
+
+SPLIT_AT = "2024-01-20 00:00:00"
+OLD_NEW = f"WITH e AS (SELECT *, {VERSION} AS payload FROM events), old AS (SELECT * FROM e WHERE ts < TIMESTAMP '{SPLIT_AT}'), new AS (SELECT * FROM e WHERE ts >= TIMESTAMP '{SPLIT_AT}' AND user_id % 7 <> 3)"
+
+
+def old_new(spark, d):
+    e = event_versions(spark, d)
+    at = F.lit(SPLIT_AT).cast("timestamp_ntz")
+    return e.filter(F.col("ts") < at), e.filter((F.col("ts") >= at) & (F.col("user_id") % 7 != 3))
+
+
+@query(
+    OLD_NEW
+    + """, c AS (SELECT user_id, arg_max(payload, ts) AS payload, min(ts) AS f, max(ts) AS l FROM old GROUP BY user_id), n AS (SELECT user_id, arg_max(payload, ts) AS payload, min(ts) AS f, max(ts) AS l FROM new GROUP BY user_id)
+SELECT user_id, coalesce(n.payload, c.payload) AS payload, CAST(coalesce(c.f, n.f) AS VARCHAR) AS first_seen_at, CAST(greatest(c.l, n.l) AS VARCHAR) AS last_seen_at FROM c FULL JOIN n USING (user_id)"""
+)
+def upsert_current(spark, d):
+    old, new = old_new(spark, d)
+    current = old.groupBy("user_id").agg(F.max_by("payload", "ts").alias("payload"), F.min("ts").alias("first_seen_at"), F.max("ts").alias("last_seen_at"))
+    out = catalog.upsert_current(current, new.withColumnRenamed("ts", "seen_at"), "user_id", ["payload"])
+    return out.select("user_id", "payload", F.col("first_seen_at").cast("string").alias("first_seen_at"), F.col("last_seen_at").cast("string").alias("last_seen_at"))
+
+
+@query(OLD_NEW + " SELECT DISTINCT user_id, payload FROM new WHERE (user_id, payload) NOT IN (SELECT user_id, payload FROM old)")
+def append_if_absent(spark, d):
+    old, new = old_new(spark, d)
+    return catalog.append_if_absent(old, new.select("user_id", "payload"), ["user_id", "payload"])
+
+
+@query(
+    OLD_NEW
+    + """ SELECT count(*) AS received, count(DISTINCT user_id) FILTER (WHERE user_id NOT IN (SELECT user_id FROM old)) AS new_works,
+count(DISTINCT (user_id, payload)) FILTER (WHERE (user_id, payload) NOT IN (SELECT user_id, payload FROM old)) AS new_versions, count(*) FILTER (WHERE (user_id, payload) IN (SELECT user_id, payload FROM old)) AS unchanged FROM new"""
+)
+def import_summary(spark, d):
+    old, new = old_new(spark, d)
+    return catalog.import_summary(old, new, "user_id", "payload")
+
+
+
+
+@query("SELECT o.o_orderkey AS snapshot_id, l_linenumber AS result_position, l_partkey AS key, p_name AS title FROM orders o JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE o_orderkey = 42")
+def time_travel_snapshot(spark, d):
+    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("snapshot_id"), F.col("l_linenumber").alias("result_position"), F.col("l_partkey").alias("key"), F.sha2(F.col("l_partkey").cast("string"), 256).alias("payload_sha256"))
+    versions = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.sha2(F.col("p_partkey").cast("string"), 256).alias("payload_sha256"), F.col("p_name").alias("title"))
+    return catalog.time_travel(items, versions, 42).select("snapshot_id", "result_position", "key", "title")
+
+
+@query(
+    """WITH l AS (SELECT s_suppkey AS left_id, CAST(s_acctbal AS BIGINT) AS norm FROM supplier), r AS (SELECT c_custkey AS right_id, CAST(c_acctbal AS BIGINT) AS norm FROM customer),
+one AS (SELECT norm, min(left_id) AS left_id FROM l GROUP BY norm HAVING count(*) = 1), p AS (SELECT * FROM r JOIN one USING (norm) WHERE left_id <> 3 AND right_id <> 5)
+SELECT left_id, right_id, CAST(norm AS VARCHAR) AS norm FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY right_id) AS k FROM p) WHERE k = 1"""
+)
+def crosswalk_unique_key(spark, d):
+    norm = lambda c: F.round(c).cast("long").cast("string").alias("norm")
+    left = table(spark, d, "supplier").select(F.col("s_suppkey").alias("left_id"), norm("s_acctbal"))
+    right = table(spark, d, "customer").select(F.col("c_custkey").alias("right_id"), norm("c_acctbal"), F.col("c_custkey").alias("position"))
+    links = spark.range(1).select(F.lit(3).cast("long").alias("left_id"), F.lit(5).cast("long").alias("right_id"))
+    return catalog.unique_crosswalk(left, right, links)
+
+
+@query(
+    """WITH i AS (SELECT l_orderkey AS snapshot_id, l_partkey AS key FROM lineitem), w AS (SELECT DISTINCT key FROM i WHERE snapshot_id = 10),
+s AS (SELECT snapshot_id, count(DISTINCT key) AS n, count(DISTINCT key) FILTER (WHERE key IN (SELECT key FROM w)) AS same FROM i GROUP BY snapshot_id)
+SELECT snapshot_id FROM s WHERE n = same AND n = (SELECT count(*) FROM w)"""
+)
+def frozen_set_match(spark, d):
+    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("snapshot_id"), F.col("l_partkey").alias("key"), F.md5(F.col("l_partkey").cast("string")).alias("sha")).distinct()
+    return catalog.frozen_match(items, items.filter("snapshot_id = 10").select("key", "sha"))
+
+
+@query(
+    """WITH n AS (SELECT source, lang, n_chars, min(doc_id) AS new_id FROM documents GROUP BY ALL HAVING count(*) = 1)
+SELECT doc_id AS old_id, coalesce(new_id + 100000, doc_id) AS new_id, new_id IS NOT NULL AS mapped FROM documents LEFT JOIN n USING (source, lang, n_chars)"""
+)
+def reindex_unique_remap(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
+    new = docs.withColumn("new_id", F.col("doc_id") + 100_000).drop("doc_id")
+    return catalog.unique_remap(docs.withColumnRenamed("doc_id", "old_id"), new, ["source", "lang", "n_chars"])
+
+
+@query(
+    """SELECT 'documents' AS part, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT 'labels', count(*) FROM labels WHERE toxic <> 1
+UNION ALL SELECT 'tombstones', count(*) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"""
+)
+def delete_with_tombstone(spark, d):
+    docs, labels = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels")
+    left, stones = catalog.delete_with_tombstone({"documents": docs, "labels": labels}, labels.filter("toxic = 1"), ["doc_id"], "licence  withdrawn")
+    count = lambda name, t: t.agg(F.lit(name).alias("part"), F.count("*").alias("n"))
+    return count("documents", left["documents"]).unionByName(count("labels", left["labels"])).unionByName(count("tombstones", stones))
+
+
+@query("SELECT count(*) FILTER (WHERE vec_id IN (SELECT doc_id FROM documents)) AS active, count(*) FILTER (WHERE vec_id NOT IN (SELECT doc_id FROM documents)) AS stale FROM embeddings")
+def stale_embedding_guard(spark, d):
+    v, docs = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), table(spark, d, "documents").select("doc_id")
+    a, s = v.join(docs, "doc_id", "left_semi").agg(F.count("*").alias("active")), v.join(docs, "doc_id", "left_anti").agg(F.count("*").alias("stale"))
+    return a.crossJoin(F.broadcast(s))
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part WHERE contains(lower(p_name), 'red') ORDER BY p_size DESC NULLS LAST, lower(p_name), p_partkey LIMIT 20 OFFSET 10")
+def catalog_substring_page(spark, d):
+    return catalog.title_page(table(spark, d, "part"), "  RED ", "p_name", "p_size", "p_partkey", 20, 10).select("p_partkey", "p_name", "p_size")
+
+
+@query("SELECT count(*) AS total FROM part WHERE contains(lower(p_name), 'red')")
+def catalog_total(spark, d):
+    return table(spark, d, "part").filter(F.contains(T.ascii_lower(F.col("p_name")), F.lit("red"))).agg(F.count("*").alias("total"))
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment, count(o_orderkey) AS n_chunks FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL")
+def metadata_group_count(spark, d):
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    return c.join(o, c["c_custkey"] == o["o_custkey"], "left").groupBy("c_custkey", "c_name", "c_mktsegment").agg(F.count("o_orderkey").alias("n_chunks"))
+
+
+@query(
+    """SELECT source, id, title, year FROM (SELECT 'part' AS source, p_partkey AS id, p_name AS title, p_size AS year, 0 AS s FROM part UNION ALL SELECT 'supplier', s_suppkey, s_name, CAST(NULL AS INTEGER), 1 FROM supplier)
+ORDER BY coalesce(year, 0) DESC, s, id LIMIT 200"""
+)
+def merged_listing(spark, d):
+    a = table(spark, d, "part").select(F.lit("part").alias("source"), F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_size").alias("year"), F.lit(0).alias("s"))
+    b = table(spark, d, "supplier").select(F.lit("supplier").alias("source"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"), F.lit(None).cast("int").alias("year"), F.lit(1).alias("s"))
+    return a.unionByName(b).orderBy(F.coalesce("year", F.lit(0)).desc(), "s", "id").limit(200).drop("s")
+
+
+@query("SELECT k AS position, p_partkey, p_name, p_brand FROM (VALUES (0, 9), (1, 2), (2, 5)) AS v(k, id) JOIN part ON p_partkey = id")
+def compare_ordered(spark, d):
+    return catalog.compare_ordered(table(spark, d, "part"), [9, 2, 5, 10**9], "p_partkey", ["p_name", "p_brand"])[1]
+
+
+@query("SELECT doc_id, substring(string_split(text, chr(10))[1], 1, 500) AS title, substring(text, 1, 3000) AS abstract, length(text) > 3000 AS abstract_truncated FROM documents")
+def observation_truncate(spark, d):
+    title = catalog.observation(title_of(), 500, "title")[0]
+    return table(spark, d, "documents").select("doc_id", title, *catalog.observation(F.col("text"), 3000, "abstract"))
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 20")
+def year_range(spark, d):
+    return catalog.year_range(table(spark, d, "part"), "p_size", 10, 20).select("p_partkey", "p_size")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de') AND length(text) >= 240")
+def labelling_candidates(spark, d):
+    return table(spark, d, "documents").filter(F.col("lang").isin("en", "de") & (F.char_length("text") >= 240)).select("doc_id", "lang")
+
+
+@query(
+    """WITH c AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE length(text) >= 240)
+SELECT lang, doc_id FROM c WHERE (rn - 1) % greatest(1, n // 20) = 0 AND (rn - 1) // greatest(1, n // 20) < 20"""
+)
+def systematic_sample(spark, d):
+    w = Window.partitionBy("lang")
+    c = table(spark, d, "documents").filter(F.char_length("text") >= 240).select("doc_id", "lang").withColumns({"rn": F.row_number().over(w.orderBy("doc_id")), "n": F.count("*").over(w)})
+    step = F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") / 20))
+    return c.filter(((F.col("rn") - 1) % step == 0) & (F.floor((F.col("rn") - 1) / step) < 20)).select("lang", "doc_id")
+
+
+@query("SELECT p_partkey, p_name || CASE WHEN k = 1 THEN '' ELSE '_' || k END AS element_id FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k FROM part)")
+def occurrence_suffix(spark, d):
+    k = F.row_number().over(Window.partitionBy("p_name").orderBy("p_partkey"))
+    return table(spark, d, "part").withColumn("k", k).select("p_partkey", F.concat("p_name", F.when(F.col("k") == 1, "").otherwise(F.concat(F.lit("_"), F.col("k").cast("string")))).alias("element_id"))
+
+
+
+@query(
+    """SELECT doc_id, CASE WHEN len(w) = 0 THEN 'missing' WHEN list_bool_or(list_transform(w, lambda x: length(x) > 2000)) THEN 'oversized' WHEN len(w) > 50000 THEN 'invalid' WHEN length(array_to_string(w, ' ')) > 250000 THEN 'oversized' ELSE 'available' END AS status,
+sha256(coalesce(CASE WHEN len(w) > 0 AND NOT list_bool_or(list_transform(w, lambda x: length(x) > 2000)) AND len(w) <= 50000 AND length(array_to_string(w, ' ')) <= 250000 THEN array_to_string(w, ' ') END, '')) AS abstract_sha256
+FROM (SELECT doc_id, regexp_extract_all(text, '[a-zA-Z0-9]+') AS w FROM documents)"""
+)
+def abstract_from_inverted_index(spark, d):
+    words = F.regexp_extract_all("text", F.lit("[a-zA-Z0-9]+"), F.lit(0))
+    placed = table(spark, d, "documents").select("doc_id", F.posexplode_outer(words).alias("at", "word"))
+    entries = placed.groupBy("doc_id", "word").agg(F.collect_list("at").alias("places")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("word", "places")))).alias("index"))
+    return entries.select("doc_id", catalog.abstract_from_index(F.col("index")).alias("a")).select("doc_id", "a.status", F.sha2(F.coalesce("a.abstract", F.lit("")), 256).alias("abstract_sha256"))
+
+
+@query("SELECT doc_id, sha256(text) AS text_sha256, sha256('{\"lang\":\"' || lang || '\",\"n_chars\":' || n_chars || ',\"source\":\"' || source || '\"}') AS lineage_sha256 FROM documents")
+def sha_lineage(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"), T.content_sha256({c: F.col(c) for c in ("source", "n_chars", "lang")}).alias("lineage_sha256"))
+
+
+DOI_IN = "CASE p_partkey % 5 WHEN 0 THEN ' https://doi.org/10.' || (1000 + p_size) || '/' || p_brand WHEN 1 THEN 'doi: 10.' || (1000 + p_size) || '/A b' WHEN 2 THEN 'DOI:10.12/x' WHEN 3 THEN 'http://dx.doi.org/10.5555/' || p_name ELSE '10.48550/ARXIV.' || p_partkey END"
+
+
+@query(
+    f"""WITH a AS (SELECT p_partkey, {DOI_IN} AS raw FROM part), b AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(trim(raw)), '^https?://(?:dx\\.)?doi\\.org/', ''), '^doi:\\s*', '')) AS x FROM a)
+SELECT p_partkey, CASE WHEN regexp_matches(x, '^10\\.\\d{{4,9}}/\\S+$') THEN x END AS doi FROM b"""
+)
+def doi_normalise(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.doi(F.expr(DOI_IN)).alias("doi"))
+
+
+ARXIV_IN = "CASE p_partkey % 5 WHEN 0 THEN 'https://arxiv.org/abs/2401.' || (10000 + p_partkey) || 'v2' WHEN 1 THEN 'http://arxiv.org/pdf/2309.' || (1000 + p_size) || 'v1.pdf' WHEN 2 THEN ' Hep-TH/9901001 ' WHEN 3 THEN 'math.GT/0309' || (100 + p_size) || 'v3' ELSE 'https://example.com/abs/2401.00001' END"
+
+
+@query(
+    f"""WITH a AS (SELECT p_partkey, {ARXIV_IN} AS raw FROM part), b AS (SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(trim(raw), '^https?://(?:www\\.|export\\.)?arxiv\\.org/(?:abs|pdf)/', ''), '\\.pdf$', ''), 'v\\d+$', '') AS x FROM a)
+SELECT p_partkey, CASE WHEN regexp_matches(x, '^\\d{{4}}\\.\\d{{4,5}}$') THEN x WHEN regexp_matches(x, '(?i)^[a-z-]+(?:\\.[a-z]{{2}})?/\\d{{7}}$') THEN lower(x) END AS arxiv_id FROM b"""
+)
+def arxiv_id_normalise(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.arxiv_id(F.expr(ARXIV_IN)).alias("arxiv_id"))
+
+
+# ---------------------------------------------------------------- evidence
+
+
+@query("SELECT item_id, count(doc_id) AS n_docs FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
+def quote_containment(spark, d):
+    """The benchmark is the stated, bounded set of quotes."""
+    quotes = table(spark, d, "benchmark").withColumnRenamed("text", "quote")
+    hits = table(spark, d, "documents").join(F.broadcast(quotes), F.contains(F.col("text"), F.col("quote"))).groupBy("item_id").agg(F.count("*").alias("n"))
+    return quotes.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_docs"))
+
+
+@query("SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))")
+def absent_fact(spark, d):
+    quotes = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    there = table(spark, d, "documents").join(F.broadcast(quotes), F.contains(F.col("text"), F.col("quote"))).select("item_id").distinct()
+    return quotes.select("item_id").join(there, "item_id", "left_anti")
+
+
+@query("SELECT doc_id, CASE WHEN n = 0 THEN '' ELSE array_to_string(q, '|') END AS quantities FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?') AS q, len(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?')) AS n FROM documents)")
+def number_extract(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0)), "|").alias("quantities"))
+
+
+@query()
+def quantity_extract(spark, d):
+    import pandas as pd
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame({"doc_id": f["doc_id"], "quantities": ["|".join(f"{n:f}{u or ''}" for (n, u), _ in verify.quantities(t or "")) for t in f["text"]]})
+
+    return table(spark, d, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, quantities string")
+
+
+@query()
+def claim_support(spark, d):
+    """Each turn as a claim against the other turns of its conversation."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    near = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-3, 3)
+    quotes = c.withColumn("quotes", F.collect_list("text").over(near)).select((F.col("conv_id") * 1000 + F.col("turn")).alias("claim_id"), F.col("text").alias("claim"), "quotes")
+    return verify.claim_checks(quotes)
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '\\bW\\d+\\b')) AS n_works FROM documents")
+def inline_citations(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(T.WORK_CITATION), F.lit(0))).alias("n_works"))
+
+
+@query()
+def line_kinds(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    return lines.groupBy("doc_id", T.line_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query()
+def chunk_plain(spark, d):
+    return chunking.chunk_documents(table(spark, d, "documents"))
+
+
+@query(
+    """SELECT item_id AS query_id, v.doc_id AS work_id, md5(v.text) AS content_sha256 FROM benchmark CROSS JOIN (SELECT doc_id, text FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20) v
+WHERE (item_id + v.doc_id) % 3 <> 0"""
+)
+def review_cross_product(spark, d):
+    works = table(spark, d, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(20).select(F.col("doc_id").alias("work_id"), F.md5("text").alias("content_sha256"))
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    judged = works.crossJoin(F.broadcast(queries)).filter((F.col("query_id") + F.col("work_id")) % 3 == 0)
+    return verify.review_pack(spark, queries, works, judged)
+
+
+@query(
+    """WITH c AS (SELECT conv_id, min(turn) AS created_at, min(turn) FILTER (WHERE role = 'assistant') AS done FROM conversations GROUP BY conv_id)
+SELECT conv_id AS run_id, created_at, CASE WHEN done IS NULL THEN 'running' ELSE 'completed' END AS status, coalesce(done, created_at) AS updated_at FROM c"""
+)
+def run_ledger(spark, d):
+    c = table(spark, d, "conversations")
+    first = c.groupBy(F.col("conv_id").alias("run_id")).agg(F.min("turn").alias("at")).select("run_id", "at", F.lit("running").alias("status"), F.lit(0).cast("long").alias("seq"))
+    done = c.filter("role = 'assistant'").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("at"), F.lit("completed").alias("status"), F.col("turn").alias("seq"))
+    return catalog.ledger_state(first.unionByName(done))
+
+
+@query(
+    """SELECT state, count(*) AS n FROM (SELECT CASE WHEN d.n_chars = length(d.text) AND l.doc_id IS NOT NULL AND l.toxic = 0 AND l.quality IS NOT NULL AND d.lang IS NOT NULL THEN 'verified' ELSE 'mismatch' END AS state
+FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY state"""
+)
+def lineage_audit(spark, d):
+    j = table(spark, d, "documents").join(table(spark, d, "labels").withColumn("labelled", F.lit(True)), "doc_id", "left")
+    return catalog.lineage_audit(j.select((F.col("n_chars") == F.char_length("text")).alias("text_hash_ok"), F.col("labelled").alias("content_hash_ok"), (F.col("toxic") == 0).alias("license_ok"), F.col("quality").isNotNull().alias("chunks_ok"), F.col("lang").isNotNull().alias("pointer_ok")))
