@@ -51,7 +51,7 @@ def score6(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round("score", 6))
 
 
-def bm25_sql(docs: str, queries: str, k: int | None, scope: str = "", final: str = "") -> str:
+def bm25_sql(docs: str, queries: str, k: int | None, scope: str = "", final: str | None = None) -> str:
     """BM25 in SQL; docs (id, tokens, scope), queries (query_id, tokens)."""
     s = f"{scope}, " if scope else ""
     using = f"{scope}, term" if scope else "term"
@@ -69,7 +69,7 @@ q AS (SELECT query_id, term, least(count(*), 2)::DOUBLE AS w FROM (SELECT query_
 scores AS (SELECT query_id, {s}id, round(sum(idf * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl)) * w), 9) AS score FROM tf JOIN idf USING ({using}) JOIN q USING (term) GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY score DESC, id) AS rank FROM scores WHERE score > 0),
 best AS (SELECT * FROM ranked {cut})
-{final or f"SELECT query_id, {s}id, round(score, 6) AS score, rank FROM best"}"""
+{f"SELECT query_id, {s}id, round(score, 6) AS score, rank FROM best" if final is None else final}""".rstrip()
 
 
 ASKED = f"SELECT 0 AS query_id, {T.tokens_sql(T.quoted(QUESTION))} AS tokens"
@@ -184,7 +184,7 @@ def _fused(lists: list[DataFrame]) -> DataFrame:
 
 
 @query(
-    bm25_sql(TOKENS, ASKED, 2000).split("SELECT query_id, id, round")[0].rstrip()
+    bm25_sql(TOKENS, ASKED, 2000, final="")
     + f""",
 lists AS (SELECT query_id, id, rank FROM best UNION ALL SELECT 0, doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) FROM documents){RRF}"""
 )
@@ -195,7 +195,7 @@ def rrf_fusion(spark, d):
 
 
 @query(
-    bm25_sql(f"SELECT id, tokens FROM ({TOKENS}) WHERE id IN (SELECT vec_id FROM embeddings)", ASKED, 2000, final="").split("SELECT query_id, id, round")[0].rstrip()
+    bm25_sql(f"SELECT id, tokens FROM ({TOKENS}) WHERE id IN (SELECT vec_id FROM embeddings)", ASKED, 2000, final="")
     + f""",
 v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
 dense AS (SELECT v.id, row_number() OVER (ORDER BY round(list_cosine_similarity(q.v, v.v), 12) DESC, v.id) AS rank FROM v, v AS q WHERE q.id = 0),
@@ -333,7 +333,7 @@ def answerability_confusion(spark, d):
 
 
 @query(
-    bm25_sql(TOKENS, f"SELECT item_id AS query_id, {T.tokens_sql('text')} AS tokens FROM benchmark", 8).split("SELECT query_id, id, round")[0].rstrip()
+    bm25_sql(TOKENS, f"SELECT item_id AS query_id, {T.tokens_sql('text')} AS tokens FROM benchmark", 8, final="")
     + """,
 reference AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 hits AS (SELECT r.query_id, min(b.rank) AS rank FROM reference r LEFT JOIN best b USING (query_id, id) GROUP BY r.query_id)
@@ -348,7 +348,7 @@ def evidence_hit_by_type(spark, d):
 
 
 @query(
-    bm25_sql(TOKENS, f"SELECT item_id AS query_id, {T.tokens_sql('text')} AS tokens FROM benchmark", 1).split("SELECT query_id, id, round")[0].rstrip()
+    bm25_sql(TOKENS, f"SELECT item_id AS query_id, {T.tokens_sql('text')} AS tokens FROM benchmark", 1, final="")
     + """ SELECT coalesce(quality, -1) AS expected, count(*) AS tasks, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score FROM best LEFT JOIN labels ON doc_id = id GROUP BY ALL"""
 )
 def top1_separability(spark, d):

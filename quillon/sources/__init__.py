@@ -1 +1 @@
-"""quillon.sources"""
+"""Readers of landed files and writers of versioned tables."""

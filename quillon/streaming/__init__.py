@@ -1 +1 @@
-"""quillon.streaming"""
+"""Incremental ingest of landed pages."""
