@@ -46,7 +46,8 @@ def test_added_secret_kinds(make):
 
 
 def test_boilerplate_templates_go(make):
-    prose = [f"Some longer {'abcdefghij'[k % 10]}{k} text {'xyzw'[k % 4]}{'qrst'[k // 4 % 4]} that only this document has in it {'klmnopqrstuvwxyzabcdefgh'[k]}." for k in range(20)]
+    letters = "abcdefghijklmnopqrst"
+    prose = [" ".join(f"{letters[k]}{letters[(3 * k + j) % 20]}{letters[j]}" for j in range(14)) for k in range(20)]
     rows = [(k, f"{p}\nPage {k} of 20 printed on {'ABCDEFGHIJKLMNOPQRST'[k]} paper\n\nAll rights reserved.") for k, p in enumerate(prose)]
     rows += [(100 + k, "A copied text with its own line.\nAnd a second line.") for k in range(30)] + [(200, None), (201, ""), (202, "\n\n"), (None, "All rights reserved.")]
     df = make(rows)
