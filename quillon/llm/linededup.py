@@ -18,6 +18,8 @@ Texts are keyed by 128 bits of hash, signatures by 64 bits.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,33 +35,40 @@ def text_keys(text: Column) -> list[Column]:
 
 
 def signatures(text: Column) -> Column:
-    """Array of the signatures of a text's lines; "" for a line without a word."""
-    masked = F.regexp_replace(text, rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+", "<*>")
-    return F.transform(F.split(masked, "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"[\x20\x09\x0B-\x0D]+", " ")))
+    """Array of the signatures of a text's lines; "" for a line without a word.
+
+    Patterns run only on lines that need them: most lines have no digit and single spaces.
+    """
+    variable = rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
+    odd = lambda x: reduce(Column.__or__, [F.contains(x, F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r")], F.startswith(x, F.lit(" ")) | F.endswith(x, F.lit(" ")))
+    masked = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, variable, "<*>")).otherwise(x)
+    single = lambda x: F.when(odd(x), F.trim(F.regexp_replace(x, r"[\x20\x09\x0B-\x0D]+", " "))).otherwise(x)
+    return F.transform(F.transform(F.split(text, "\n", -1), masked), single)
 
 
 def _lines(df: DataFrame) -> DataFrame:
     """A row per line with a word: text key, place, signature, and the document's longest signature."""
     text = df["text"].cast("string")
-    docs = df.select(*text_keys(text), signatures(text).alias("sigs")).filter("sigs is not null")
+    docs = df.filter(text.isNotNull()).select(*text_keys(text), signatures(text).alias("sigs"))
     longest = F.array_max(F.transform("sigs", lambda x: F.struct(F.char_length(x).alias("n"), x.alias("s"))))
     docs = docs.select("k1", "k2", "sigs", F.xxhash64(longest["s"]).alias("doc"))
     return docs.select("k1", "k2", "doc", F.posexplode("sigs").alias("place", "sig")).filter("sig <> ''")
 
 
 def _leaf(sig: Column) -> Column:
-    words = F.split(sig, " ")
-    return F.xxhash64(F.size(words), F.substring_index(sig, " ", DEPTH))
+    words = F.length(sig) - F.length(F.replace(sig, F.lit(" "), F.lit("")))
+    return F.xxhash64(words, F.substring_index(sig, " ", DEPTH))
 
 
-def boilerplate(df: DataFrame, scratch: Scratch) -> DataFrame:
-    """(sig): hashes of the signatures whose template recurs in MIN_DOCS documents."""
-    lines = _lines(df)
-    seen = scratch.table(lines.select(_leaf(F.col("sig")).alias("leaf"), F.xxhash64("sig").alias("sig"), "doc").distinct())
+def boilerplate(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(lines, gone): all lines as hashes (k1, k2, place, sig), written once; and the hashes of the
+    signatures whose template recurs in MIN_DOCS documents."""
+    lines = scratch.table(_lines(df).select("k1", "k2", "place", "doc", _leaf(F.col("sig")).alias("leaf"), F.xxhash64("sig").alias("sig")))
+    seen = scratch.table(lines.select("leaf", "sig", "doc").distinct())
     per_sig = scratch.table(seen.groupBy("leaf", "sig").agg(F.count("*").alias("docs")))
     wide = per_sig.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("sigs")).filter((F.col("docs") >= MIN_DOCS) & (F.col("sigs") > 1)).select("leaf")
     wide = scratch.table(wide)
-    texts = lines.select(_leaf(F.col("sig")).alias("leaf"), "sig").join(wide, "leaf", "left_semi").distinct()
+    texts = _lines(df).select(_leaf(F.col("sig")).alias("leaf"), "sig").join(wide, "leaf", "left_semi").distinct()
     words = texts.select("leaf", F.xxhash64("sig").alias("sig"), F.posexplode(F.split("sig", " ")).alias("at", "word")).filter(F.col("at") >= DEPTH)
     words = scratch.table(words.join(per_sig.withColumnRenamed("leaf", "l"), "sig").select("leaf", "sig", "at", "word", "docs"))
     votes = words.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("docs"))
@@ -69,7 +78,7 @@ def boilerplate(df: DataFrame, scratch: Scratch) -> DataFrame:
     member = scratch.table(agree.filter(F.col("same") >= SIMILARITY * F.col("n")).select("leaf", "sig"))
     spread = seen.join(member, ["leaf", "sig"]).select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).filter(F.col("docs") >= MIN_DOCS)
     own = per_sig.filter(F.col("docs") >= MIN_DOCS).select("sig")
-    return scratch.table(own.unionByName(member.join(scratch.table(spread), "leaf").select("sig")).distinct())
+    return lines, scratch.table(own.unionByName(member.join(scratch.table(spread), "leaf").select("sig")).distinct())
 
 
 def line_dedup(df: DataFrame, recount: bool = False, scratch: Scratch | None = None) -> DataFrame:
@@ -78,8 +87,8 @@ def line_dedup(df: DataFrame, recount: bool = False, scratch: Scratch | None = N
     With ``recount`` just the input's columns, where n_chars, if there, is that of the cut text.
     """
     scratch = scratch or Scratch(df.sparkSession)
-    gone = boilerplate(df, scratch)
-    hits = _lines(df).select("k1", "k2", "place", F.xxhash64("sig").alias("sig")).join(gone, "sig", "left_semi")
+    lines, gone = boilerplate(df, scratch)
+    hits = lines.select("k1", "k2", "place", "sig").join(gone, "sig", "left_semi")
     hits = scratch.table(hits.groupBy("k1", "k2").agg(F.collect_set("place").alias("gone")))
     text = df["text"].cast("string")
     rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), text.alias("text"), *text_keys(text))
