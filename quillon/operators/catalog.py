@@ -223,3 +223,34 @@ def lineage_audit(documents: DataFrame) -> DataFrame:
     checks = ["text_hash_ok", "content_hash_ok", "license_ok", "chunks_ok", "pointer_ok"]
     ok = F.array_min(F.array(*[F.coalesce(F.col(c), F.lit(False)).cast("int") for c in checks])) == 1
     return documents.groupBy(F.when(ok, "verified").otherwise("mismatch").alias("state")).agg(F.count("*").alias("n"))
+
+
+LINEAGE_FIELDS = ("text_sha256", "source_type", "source_id", "text_source_url", "license_id", "license_url", "license_evidence_url", "attribution", "chunker_version", "parser_version", "source_document_sha256", "parser_structure_sha256")
+REVIEW_FIELDS = ("license_id", "license_url", "license_evidence_url", "reviewer", "attribution")
+
+
+def ingest_gate(manifests: DataFrame, works: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, refused): manifests without a problem whose paper is in the catalogue, and the rest.
+
+    ``manifests`` has source_type, source_id and problem; ``works`` has source_type, source_id, title.
+    """
+    keys = ["source_type", "source_id"]
+    fine = manifests.filter("problem IS NULL").drop("problem")
+    accepted = fine.join(works.select(*keys, "title"), keys)
+    unknown = fine.join(works.select(*keys), keys, "left_anti").withColumn("problem", F.lit("paper not in the catalogue"))
+    return accepted, manifests.filter("problem IS NOT NULL").unionByName(unknown)
+
+
+def content_key(versions: DataFrame) -> DataFrame:
+    """Adds content_sha256 over the twelve lineage fields; a new parser or chunker is a new version."""
+    from quillon.functions.text import content_sha256
+
+    return versions.withColumn("content_sha256", content_sha256({c: F.col(c).cast("string") for c in LINEAGE_FIELDS}))
+
+
+def carry_reviews(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """The review time of each incoming document: kept if all review fields are as stored, else new."""
+    keys = ["source_type", "source_id"]
+    old = stored.select(*keys, F.struct(*REVIEW_FIELDS).alias("old"), F.col("reviewed_at").alias("old_at"))
+    same = F.struct(*REVIEW_FIELDS).eqNullSafe(F.col("old"))
+    return incoming.join(old, keys, "left").withColumn("reviewed_at", F.when(same, F.col("old_at")).otherwise(F.col("reviewed_at"))).drop("old", "old_at")

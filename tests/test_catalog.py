@@ -84,3 +84,19 @@ def test_works_and_citation_hop(spark):
     rows = {r["work_id"]: r for r in works.collect()}
     assert rows["W1"]["title"] == "One" and rows["W1"]["authors"] == ["Ann"] and rows["W1"]["status"] == "missing"
     assert {tuple(r) for r in catalog.citation_hop(works, "W1").collect()} == {("W2", "cites"), ("W3", "cited_by")}
+
+
+def test_ingest_gate_lineage_and_reviews(spark):
+    manifests = spark.createDataFrame([("arxiv", "1", None), ("arxiv", "2", None), ("arxiv", "3", "license")], "source_type string, source_id string, problem string")
+    works = spark.createDataFrame([("arxiv", "1", "T")], "source_type string, source_id string, title string")
+    accepted, refused = catalog.ingest_gate(manifests, works)
+    assert [tuple(r) for r in accepted.collect()] == [("arxiv", "1", "T")]
+    assert {(r["source_id"], r["problem"]) for r in refused.collect()} == {("2", "paper not in the catalogue"), ("3", "license")}
+    row = {c: "x" for c in catalog.LINEAGE_FIELDS}
+    schema = ", ".join(f"{c} string" for c in catalog.LINEAGE_FIELDS)
+    two = spark.createDataFrame([tuple(row.values()), tuple({**row, "parser_version": "y"}.values()), tuple({**row, "parser_version": None}.values())], schema)
+    assert catalog.content_key(two).select("content_sha256").distinct().count() == 3
+    review = "source_type string, source_id string, license_id string, license_url string, license_evidence_url string, reviewer string, attribution string, reviewed_at int"
+    stored = spark.createDataFrame([("arxiv", "1", "l", "u", "e", "r", "a", 1), ("arxiv", "2", "l", "u", "e", "r", "a", 1)], review)
+    new = spark.createDataFrame([("arxiv", "1", "l", "u", "e", "r", "a", 9), ("arxiv", "2", "l", "u", "e", "other", "a", 9), ("arxiv", "3", "l", "u", "e", "r", "a", 9)], review)
+    assert {r["source_id"]: r["reviewed_at"] for r in catalog.carry_reviews(new, stored).collect()} == {"1": 1, "2": 9, "3": 9}
