@@ -91,10 +91,11 @@ def line_dedup(df: DataFrame, recount: bool = False, scratch: Scratch | None = N
     hits = lines.select("k1", "k2", "place", "sig").join(gone, "sig", "left_semi")
     hits = scratch.table(hits.groupBy("k1", "k2").agg(F.collect_set("place").alias("gone")))
     text = df["text"].cast("string")
-    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), text.alias("text"), *text_keys(text))
-    joined = rows.join(hits, ["k1", "k2"], "left")
-    parts = F.split("text", "\n", -1)
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    # the text travels once, inside its row
+    joined = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), *text_keys(text)).join(hits, ["k1", "k2"], "left")
+    whole = F.col("row.text").cast("string")
+    parts = F.split(whole, "\n", -1)
+    kept = F.when(F.col("gone").isNull(), whole).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
     columns = [kept.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in df.columns]
     if recount:
         if "n_chars" in df.columns:
