@@ -29,9 +29,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillon.llm.common import Scratch, mapped, slices
 from quillon.llm.graph import components
@@ -282,20 +284,21 @@ def near_deduplicated(df: DataFrame, k: int = 4, distance: int = 4) -> DataFrame
     same rows. Of repeated ids the first row stays; a component without ids keeps its first row.
     """
     scratch = Scratch(df.sparkSession)
-    source = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df["doc_id"].cast("long").alias("doc_id"), df["text"].cast("string").alias("text"), F.monotonically_increasing_id().alias("rid"))
-    extra = pa.field("fp", pa.int64())
+    text_at, id_at = df.columns.index("text"), df.columns.index("doc_id")
+    source = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.monotonically_increasing_id().alias("rid"))
 
     def add(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t, k) for part in slices(batch.select(["text"])) for t in part.column(0).to_pylist()], np.uint64).view(np.int64)
-            kept = batch.select(["row", "doc_id", "rid"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(fps, pa.int64())], schema=kept.schema.append(extra))
+            texts, ids = (batch.column(0).field(i) for i in (text_at, id_at))
+            fps = np.concatenate([np.array([fingerprint(t, k) for t in texts.slice(at, 256).to_pylist()], np.uint64) for at in range(0, batch.num_rows, 256)] or [np.zeros(0, np.uint64)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pc.cast(ids, pa.int64()), pa.array(fps.view(np.int64))], schema=batch.schema.append(pa.field("doc_id", pa.int64())).append(pa.field("fp", pa.int64())))
 
-    schema = source.select("row", "doc_id", "rid").schema.add("fp", "long")
+    schema = StructType([*source.schema.fields, StructField("doc_id", LongType()), StructField("fp", LongType())])
     rows = scratch.table(source.mapInArrow(add, schema))
     classes = fingerprint_classes(scratch, rows.select("doc_id", "fp"), distance, with_root=True)
     first = rows.select("doc_id", "rid", "fp").join(classes, "fp").groupBy("root").agg(F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("rid"))
-    return rows.join(scratch.table(first.select("rid")), "rid", "left_semi").select("row.*")
+    # always by sort-merge: one plan at every size, and no broadcast that grows with the groups
+    return rows.join(scratch.table(first.select("rid")).hint("merge"), "rid", "left_semi").select("row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
