@@ -162,19 +162,17 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
 def clean_documents(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs, unchanged, into which no item leaks."""
     context = docs.sparkSession.sparkContext
-    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
+    text_at, out = docs.columns.index("text"), docs
     for block in benchmark_blocks(benchmark, block_chars):
         index = context.broadcast(block)
 
         def keep(batches, index=index):
             for batch in batches:
-                mask = []
-                for part in slices(batch.select(["text"])):
-                    mask += [not (t and index.value.leaks(t)) for t in part.column(0).to_pylist()]
+                mask = [not (t and index.value.leaks(t)) for part in slices(batch) for t in part.column(text_at).to_pylist()]
                 yield batch.filter(pa.array(mask, pa.bool_()))
 
-        out = out.mapInArrow(keep, out.schema)
-    return out.select("row.*")
+        out = out.mapInArrow(keep, docs.schema)
+    return out
 
 
 def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,18 +235,16 @@ def quality_verdicts(df: DataFrame, carry: bool = False, reference: dict | None
         return (*counts, chars, common, kept)
 
     if carry:
-        source = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df["text"].cast("string").alias("text"), F.coalesce(df["lang"].cast("string"), F.lit("")).alias("lang"))
+        text_at, lang_at = df.columns.index("text"), df.columns.index("lang")
 
         def keep(batches):
             for batch in batches:
-                texts, langs = batch.column(1), batch.column(2)
                 mask = []
-                for part in slices(batch.select(["text", "lang"])):
-                    mask += [judge(t, g)[-1] for t, g in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
-                del texts, langs
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(mask, pa.bool_()))], ["row"])
+                for part in slices(batch):
+                    mask += [judge(t, g or "")[-1] for t, g in zip(part.column(text_at).to_pylist(), part.column(lang_at).to_pylist())]
+                yield batch.filter(pa.array(mask, pa.bool_()))
 
-        return source.mapInArrow(keep, source.select("row").schema).select("row.*")
+        return df.mapInArrow(keep, df.schema)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
     kinds = (pa.int64(),) * 5 + (pa.bool_(), pa.float64(), pa.float64(), pa.bool_())
     arrow = pa.schema([("doc_id", pa.int64()), *zip(names, kinds)])
