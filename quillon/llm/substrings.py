@@ -325,12 +325,12 @@ def repeated_words(df: DataFrame, length: int = LENGTH, scratch: Scratch | None
     source = df.select(df["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(17), text).alias("k2"), text.alias("text"))
     chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))
-    anchored = source.mapInArrow(_anchors(buckets, length, block), ROW_SQL).repartition(buckets, "bucket")
+    anchored = source.mapInArrow(_anchors(buckets, length, block), ROW_SQL).repartitionById(buckets, "bucket")
     first = scratch.table(anchored.mapInArrow(_probe, ROW_SQL))
     places = _places(first)
     texts = source.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     hit = scratch.table(texts.join(places, ["k1", "k2"]).select("k1", "k2", "text", F.least("copies", F.lit(2)).alias("copies"), "at"))
-    extended = hit.mapInArrow(_extend(buckets, length, block), ROW_SQL).repartition(buckets, "bucket")
+    extended = hit.mapInArrow(_extend(buckets, length, block), ROW_SQL).repartitionById(buckets, "bucket")
     second = scratch.table(extended.mapInArrow(_repeats, ROW_SQL))
     final = hit.select("k1", "k2", "text").join(_places(second), ["k1", "k2"])
     out = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
