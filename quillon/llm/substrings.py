@@ -36,7 +36,6 @@ LENGTH = 35
 CHUNK = 1 << 16
 BUCKET_CHARS = 12_000_000
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-WORD_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 ROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("data", pa.binary()), ("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string())])
 ROW_SQL = "bucket int, chunk long, data binary, doc_id long, k1 long, k2 long, n_words long, sha string"
 SEGMENT = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("start", "<u4"), ("n", "<u4")])
@@ -78,37 +77,63 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 class Chunks:
-    """Collects windows of segments and packs each full chunk by bucket."""
+    """Collects windows of segments and packs each full chunk by bucket.
+
+    Equal windows of a chunk are sent once, with the number of places (2 for more), and the header
+    lists which windows they stand for; so a passage that fills the input costs a row per chunk.
+    """
 
     def __init__(self, buckets: int, task: int, pack):
         self.buckets, self.pack, self.next = buckets, pack, task << 32
         self.held: list = []
         self.size = 0
 
-    def add(self, k1: int, k2: int, start: int, columns: tuple[np.ndarray, ...]):
+    def add(self, k1: int, k2: int, start: int, keys: tuple[np.ndarray, ...], aligned: np.ndarray, copies: int):
         """Windows start, start + 1, ... of a document; yields rows of chunks that got full."""
-        n = len(columns[0])
-        for at in range(0, n, CHUNK):
-            part = tuple(c[at : at + CHUNK] for c in columns)
-            if self.size + len(part[0]) > CHUNK:
+        for at in range(0, len(aligned), CHUNK):
+            cut = slice(at, at + CHUNK)
+            n = len(aligned[cut])
+            if self.size + n > CHUNK:
                 yield from self.flush()
-            self.held.append((k1, k2, start + at, len(part[0]), part))
-            self.size += len(part[0])
+            self.held.append((k1, k2, start + at, n, (*(k[cut] for k in keys), aligned[cut], np.full(n, copies, np.uint8))))
+            self.size += n
 
     def flush(self):
         if not self.held:
             return
         chunk, self.next = self.next, self.next + 1
-        header = np.array([h[:4] for h in self.held], SEGMENT)
-        yield (-1 - chunk % 4096, chunk, header.tobytes())
-        columns = [np.concatenate([h[4][i] for h in self.held]) for i in range(len(self.held[0][4]))]
+        segments = np.array([h[:4] for h in self.held], SEGMENT)
+        *keys, aligned, copies = (np.concatenate([h[4][i] for h in self.held]) for i in range(len(self.held[0][4])))
         self.held, self.size = [], 0
-        bucket = ((columns[0] >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.int32)
+        order = np.lexsort(keys[::-1])
+        fresh = np.zeros(len(order), bool)
+        fresh[0] = True
+        for k in keys:
+            fresh[1:] |= k[order][1:] != k[order][:-1]
+        starts = np.flatnonzero(fresh)
+        first = order[starts]
+        twins = np.stack((order[~fresh], first[np.cumsum(fresh) - 1][~fresh])).astype("<u2")
+        yield (-1 - (chunk ^ chunk >> 32) % 4096, chunk, np.array([len(segments)], "<u4").tobytes() + segments.tobytes() + twins.tobytes())
+        aligned = np.logical_or.reduceat(aligned[order], starts)
+        copies = np.minimum(2, np.add.reduceat(copies[order], starts, dtype=np.int64)).astype(np.uint8)
+        keys = [k[first] for k in keys]
+        bucket = ((keys[0] >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         for b in np.flatnonzero(np.diff(cut)):
             at = order[cut[b] : cut[b + 1]]
-            yield (int(b), chunk, self.pack(at.astype(np.uint16), *(c[at] for c in columns)))
+            yield (int(b), chunk, self.pack(first[at].astype("<u2"), *(k[at] for k in keys), aligned[at], copies[at]))
+
+
+def header_places(header: bytes, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segments, places): a chunk's hits with the equal windows they stand for, sorted."""
+    n = int(np.frombuffer(header, "<u4", 1)[0])
+    segments = np.frombuffer(header, SEGMENT, n, 4)
+    twins = np.frombuffer(header, "<u2", -1, 4 + n * SEGMENT.itemsize).reshape(2, -1)
+    mask = np.zeros(int(segments["n"].sum()), bool)
+    mask[hits] = True
+    mask[twins[0]] = mask[twins[1]]
+    return segments, np.flatnonzero(mask)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -120,9 +145,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _anchors(buckets: int, length: int, block: int):
     """Map side of step 1: one row per document, chunk headers, and packed windows per bucket."""
 
-    def pack(at, w, aligned):
+    def pack(at, w, aligned, copies):
         order = np.argsort(~aligned, kind="stable")
-        return np.array([aligned.sum()], "<u4").tobytes() + (w[order] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + at[order].astype("<u2").tobytes()
+        sizes = np.array([len(at), aligned.sum()], "<u4").tobytes()
+        return sizes + (w[order] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + at[order].tobytes() + np.packbits(copies[order] > 1).tobytes()
 
     def run(batches):
         roll = Rolling(MULTIPLIERS[0])
@@ -139,7 +165,7 @@ def _anchors(buckets: int, length: int, block: int):
                     shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
                     if len(words) >= length:
                         w = roll.windows(word_hashes(words), block)
-                        rows += chunks.add(k1, k2, 0, (w, np.arange(len(w)) % block == 0))
+                        rows += chunks.add(k1, k2, 0, (w,), np.arange(len(w)) % block == 0, 1)
                 n = len(ids)
                 count += n
                 yield pa.RecordBatch.from_pydict({"bucket": [-1 - (count + i) % 4096 for i in range(n)], "chunk": [None] * n, "data": [None] * n, "doc_id": ids, "k1": k1s, "k2": k2s, "n_words": words_of, "sha": shas}, schema=ROW)
@@ -177,24 +203,24 @@ def _probe(batches):
     if table is None or not table.num_rows:
         return
     buckets, chunk_ids, data = (table.column(i).to_pylist() for i in range(3))
-    keys, marks, sizes, at = [], [], [], []
+    keys, marks, sizes, at, twice = [], [], [], [], []
     for bucket, blob in zip(buckets, data):
-        aligned = int(np.frombuffer(blob, "<u4", 1)[0])
-        n = (len(blob) - 4) // 6
-        keys.append(np.frombuffer(blob, "<u4", n, 4).astype(np.uint64) | np.uint64(bucket << 32))
+        n, aligned = map(int, np.frombuffer(blob, "<u4", 2))
+        keys.append(np.frombuffer(blob, "<u4", n, 8).astype(np.uint64) | np.uint64(bucket << 32))
         mark = np.zeros(n, bool)
         mark[:aligned] = True
         marks.append(mark)
         sizes.append(n)
-        at.append(np.frombuffer(blob, "<u2", n, 4 + 4 * n))
-    key, mark = np.concatenate(keys), np.concatenate(marks)
+        at.append(np.frombuffer(blob, "<u2", n, 8 + 4 * n))
+        twice.append(np.unpackbits(np.frombuffer(blob, np.uint8, -1, 8 + 6 * n), count=n))
+    key, mark, copies = np.concatenate(keys), np.concatenate(marks), np.concatenate(twice) + 1.0
     del keys, data
-    index, counts = np.unique(key[mark], return_counts=True)
+    index = np.unique(key[mark])
     if not len(index):
         return
     place = np.minimum(np.searchsorted(index, key), len(index) - 1)
     found = index[place] == key
-    total = np.bincount(place[found], minlength=len(index))
+    total = np.bincount(place[found], copies[found], minlength=len(index))
     hit = found & (total[place] >= 2)
     places = _by_row(hit, sizes, at)
     keep = [i for i, p in enumerate(places) if len(p)]
@@ -212,9 +238,8 @@ def _places(rows: DataFrame) -> DataFrame:
         def close():
             if chunk is None or not hits:
                 return
-            seg = np.frombuffer(header, SEGMENT)
+            seg, place = header_places(header, np.concatenate([np.frombuffer(h, "<u2") for h in hits]))
             ends = np.cumsum(seg["n"])
-            place = np.sort(np.concatenate([np.frombuffer(h, "<u2") for h in hits])).astype(np.int64)
             which = np.searchsorted(ends, place, side="right")
             cut = np.flatnonzero(np.diff(which)) + 1
             for s, e in zip(np.append(0, cut), np.append(cut, len(place))):
@@ -250,8 +275,8 @@ def _places(rows: DataFrame) -> DataFrame:
 def _extend(buckets: int, length: int, block: int):
     """Map side of step 2: all windows of the full length over a hit, by 128-bit hash."""
 
-    def pack(at, high, low, copies):
-        return np.array([len(at)], "<u4").tobytes() + high.astype("<u8").tobytes() + low.astype("<u4").tobytes() + at.astype("<u2").tobytes() + copies.astype(np.uint8).tobytes()
+    def pack(at, high, low, _, copies):
+        return np.array([len(at)], "<u4").tobytes() + high.astype("<u8").tobytes() + low.astype("<u4").tobytes() + at.tobytes() + copies.tobytes()
 
     def run(batches):
         rolls = [Rolling(m) for m in MULTIPLIERS[1:]]
@@ -268,7 +293,7 @@ def _extend(buckets: int, length: int, block: int):
                     high, low = (r.windows(words, length) for r in rolls)
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], near.view(np.int8), [0]))))
                     for s, e in zip(edge[::2], edge[1::2]):
-                        rows += chunks.add(k1, k2, int(s), (high[s:e], low[s:e], np.full(e - s, min(copies, 2), np.uint8)))
+                        rows += chunks.add(k1, k2, int(s), (high[s:e], low[s:e]), np.zeros(e - s, bool), min(copies, 2))
                 if rows:
                     yield _batch(rows)
         if rows := list(chunks.flush()):
