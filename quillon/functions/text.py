@@ -72,11 +72,15 @@ def plural_fold_sql(t: str) -> str:
 
 
 def casefold(c: Column) -> Column:
-    """Case folding as far as tokens need it."""
+    """Case folding as far as tokens need it; plain ASCII takes the short way."""
     out = F.lower(c)
     for a, b in CASEFOLD.items():
         out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    return F.when(is_ascii(c), F.lower(c)).otherwise(out)
+
+
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
 
 
 def plural_fold(c: Column) -> Column:
@@ -108,7 +112,8 @@ def tokens(c: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
         return F.when(~t.rlike(f"^[{CJK}]"), F.array(_fold(t))).when(F.length(t) == 1, F.array(t)).otherwise(pairs)
 
-    return F.flatten(F.transform(raw, expand))
+    has_pairs = ~is_ascii(c) & c.rlike(f"[{CJK}]")
+    return F.when(has_pairs, F.flatten(F.transform(raw, expand))).otherwise(F.transform(raw, _fold))
 
 
 def tokens_sql(x: str) -> str:

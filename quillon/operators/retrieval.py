@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import tokens
+from quillon.session import spread
 
 K1, B, RRF_K, QUERY_TF_CAP, CANDIDATES = 1.5, 0.75, 60, 2, 2000
 #: Queries up to this many bytes of estimated size may be broadcast; beyond it Spark chooses.
@@ -18,7 +19,8 @@ BROADCAST_QUERY_TERMS = 200_000
 
 def document_tokens(df: DataFrame, id_col: str, *texts: Column, scope: tuple[str, ...] = ()) -> DataFrame:
     """(scope..., id, tokens) of the texts joined by a space; a text given twice counts twice."""
-    return df.select(*scope, F.col(id_col).alias("id"), tokens(F.concat_ws(" ", *texts)).alias("tokens"))
+    text = F.concat_ws(" ", *texts) if len(texts) > 1 else F.coalesce(*texts, F.lit(""))
+    return spread(df.select(*scope, F.col(id_col).alias("id"), text.alias("text"))).select(*scope, "id", tokens(F.col("text")).alias("tokens"))
 
 
 def postings(docs: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
@@ -51,13 +53,18 @@ def bm25(docs: DataFrame, queries: DataFrame, scope: tuple[str, ...] = (), k1: f
     are counted first and broadcast only below a bound.
     """
     q = query_terms(queries)
-    wanted = q.select("term").distinct()
+    wanted = q.select("term").unionByName(q.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
     if wanted.count() <= BROADCAST_QUERY_TERMS:
         wanted = F.broadcast(wanted)
-    terms = docs.select(*scope, "id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    tf = terms.groupBy(*scope, "id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(*scope, "term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(docs, scope)
+    # every document also gives one row with the empty term, which no text has: its statistics come
+    # from the same exchange as its postings. The filters below are on aggregates, so they stay above
+    # that exchange, and Spark reuses it instead of cutting the texts into tokens again.
+    marked = docs.select(*scope, "id", F.size("tokens").alias("dl"), F.explode(F.array_append("tokens", F.lit(""))).alias("term"))
+    tf = marked.join(wanted, "term", "left_semi").groupBy(*scope, "id", "dl", "term").agg(F.count("*").alias("tf"), F.max(F.col("term") == "").alias("is_doc"))
+    stats = tf.filter("is_doc").groupBy(*scope).agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    tf = tf.filter("NOT is_doc").drop("is_doc")
+    # counted through tf, so that column pruning leaves this branch's exchange equal to the others
+    df = tf.groupBy(*scope, "term").agg(F.sum((F.col("tf") > 0).cast("int")).alias("df"))
     rated = df.join(stats, list(scope)) if scope else df.crossJoin(F.broadcast(stats))
     rated = rated.select(*scope, "term", "avgdl", idf(F.col("n_docs").cast("double"), F.col("df")).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) * F.col("weight")

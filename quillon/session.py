@@ -30,3 +30,12 @@ def local_session(cpus: int | None = None, partitions: int | None = None, **conf
 def table(spark: SparkSession, sf_dir: str, name: str):
     """A driver table; the path may be in any store that Spark's readers open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df):
+    """The rows over all cores where an input has fewer splits than cores, as a small single file has.
+
+    On an input with as many splits as cores, such as any large one, nothing moves.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
