@@ -34,7 +34,7 @@ COMMON_SHARE = 1 / 256
 REPORT_SHARE = COMMON_SHARE / 8
 #: A threshold is a level plus a term for sampling noise, which falls with the root of the words.
 CHAR_LEVEL, CHAR_NOISE = 0.26, 0.4
-WORD_LEVEL, WORD_NOISE = 0.22, 1.2
+WORD_LEVEL, WORD_NOISE = 0.22, 1.4
 MIN_WORDS_FOR_WORDS = 100
 SYMBOLS = "#*$%&|<>"
 PUNCTUATION = b".,;:!?\"'()[]{}-_/\\@+=~^`#*$%&|<>"
