@@ -7,7 +7,9 @@ packings of its pieces; pieces of one length are interchangeable, so a packing i
 lengths. Crossover injects whole well-filled bins of one parent into the other, drops the other's
 bins that would use a piece twice, and best-fits the displaced pieces; mutation dissolves the worst
 bins. After each epoch the best-filled bin patterns of all islands (a bounded table) migrate to all
-islands, which inject them where they have the lengths. Seeds are fixed, so results repeat.
+islands, which inject them where they have the lengths. Last, the bins that are not well filled are
+dealt anew as whole bins, and islands of them from all over evolve once more; the packing that they
+come with is in the population, so this never costs a sequence. Seeds are fixed, so results repeat.
 
 Null text: empty, one piece of the end token alone. Null ids, repeated rows and ids: each row is
 packed for itself. An empty table gives no pieces. Long texts are encoded whole.
@@ -23,7 +25,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import Scratch, slices
@@ -217,6 +219,20 @@ def _epoch(rows: DataFrame, migrants: list[Bin], epoch: int, capacity: int) -> D
     return rows.groupBy("island").applyInArrow(run, rows.schema)
 
 
+def _merge_loose(scratch: Scratch, state: DataFrame, islands: int, capacity: int, island: int) -> DataFrame:
+    """A last epoch on islands made of whole bins that are not well filled, from all islands."""
+    if islands < 2:
+        return state
+    fill = F.sum("length").over(Window.partitionBy("island", "bin"))
+    marked = scratch.table(state.withColumn("loose", fill < WELL_FILLED * capacity))
+    loose = marked.filter("loose").drop("loose")
+    merged = max(1, -(-loose.count() // island))
+    home = F.pmod(F.xxhash64("island", "bin"), F.lit(merged)) + islands
+    again = loose.withColumns({"bin": F.shiftleft("island", 32) + F.col("bin"), "island": home})
+    again = scratch.table(_epoch(again, [], EPOCHS, capacity))
+    return marked.filter("NOT loose").drop("loose").unionByName(again)
+
+
 def packed(df: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, island: int = ISLAND, scratch: Scratch | None = None) -> DataFrame:
     """A row per piece with sequence_id and offset."""
     scratch = scratch or Scratch(df.sparkSession)
@@ -232,6 +248,7 @@ def packed(df: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             patterns = state.groupBy("island", "bin").agg(F.sort_array(F.collect_list("length"), asc=False).alias("pattern"), F.sum("length").alias("fill"))
             best = patterns.filter(F.col("fill") >= WELL_FILLED * capacity).groupBy("pattern", "fill").agg(F.count("*").alias("n")).orderBy(F.desc("fill"), "n", "pattern").limit(ELITES)
             migrants = [tuple(r["pattern"]) for r in best.collect()]
+    state = _merge_loose(scratch, state, islands, capacity, island)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     full = all_pieces.filter(F.col("length") >= capacity).select(*columns, (-1 - F.col("uid")).alias("sequence_id"), zero.alias("offset"))
     return full.unionByName(state.select(*columns, (F.shiftleft("island", 32) + F.col("bin")).alias("sequence_id"), "offset"))
