@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import catalog, chunking, evaluation, retrieval, verify
-from quillon.session import table
+from quillon.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,11 @@ def query(sql: str | None = None):
     return add
 
 
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents over all cores, for queries that work hard on each text."""
+    return spread(table(spark, d, "documents"))
+
+
 def docs_tokens(spark: SparkSession, d: str, *scope: str) -> DataFrame:
     return retrieval.document_tokens(table(spark, d, "documents"), "doc_id", F.col("text"), scope=scope)
 
@@ -84,7 +89,7 @@ def tokenize_counts(spark, d):
 
 @query(f"SELECT DISTINCT t AS token, {T.plural_fold_sql('t')} AS folded FROM (SELECT unnest(regexp_extract_all({T.casefold_sql('text')}, '[a-z0-9]+')) AS t FROM documents)")
 def plural_fold(spark, d):
-    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(T.casefold(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0))).alias("token")).distinct()
+    words = documents(spark, d).select(F.explode(F.regexp_extract_all(T.casefold(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0))).alias("token")).distinct()
     return words.select("token", T.plural_fold(F.col("token")).alias("folded"))
 
 
@@ -342,7 +347,7 @@ SELECT query_id % 4 AS challenge_type, count(*) AS tasks, count(*) FILTER (WHERE
 def evidence_hit_by_type(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("quote"), T.tokens(F.col("text")).alias("tokens"))
     best = retrieval.ranked(retrieval.bm25(docs_tokens(spark, d), asked.select("query_id", "tokens")), 8)
-    reference = table(spark, d, "documents").join(F.broadcast(asked), F.contains(F.col("text"), F.col("quote"))).select("query_id", F.col("doc_id").alias("id"))
+    reference = documents(spark, d).join(F.broadcast(asked), F.contains(F.col("text"), F.col("quote"))).select("query_id", F.col("doc_id").alias("id"))
     hits = reference.join(best, ["query_id", "id"], "left").groupBy("query_id").agg(F.min("rank").alias("rank"))
     return hits.groupBy((F.col("query_id") % 4).alias("challenge_type")).agg(F.count("*").alias("tasks"), F.count_if(F.col("rank") == 1).alias("hit_1"), F.count_if(F.col("rank") <= 8).alias("hit_8"), F.round(F.avg("rank"), 6).alias("mean_rank"))
 
@@ -561,7 +566,7 @@ FROM (SELECT doc_id, regexp_extract_all(text, '[a-zA-Z0-9]+') AS w FROM document
 )
 def abstract_from_inverted_index(spark, d):
     words = F.regexp_extract_all("text", F.lit("[a-zA-Z0-9]+"), F.lit(0))
-    placed = table(spark, d, "documents").select("doc_id", F.posexplode_outer(words).alias("at", "word"))
+    placed = documents(spark, d).select("doc_id", F.posexplode_outer(words).alias("at", "word"))
     entries = placed.groupBy("doc_id", "word").agg(F.collect_list("at").alias("places")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("word", "places")))).alias("index"))
     return entries.select("doc_id", catalog.abstract_from_index(F.col("index")).alias("a")).select("doc_id", "a.status", F.sha2(F.coalesce("a.abstract", F.lit("")), 256).alias("abstract_sha256"))
 
@@ -600,14 +605,14 @@ def arxiv_id_normalise(spark, d):
 def quote_containment(spark, d):
     """The benchmark is the stated, bounded set of quotes."""
     quotes = table(spark, d, "benchmark").withColumnRenamed("text", "quote")
-    hits = table(spark, d, "documents").join(F.broadcast(quotes), F.contains(F.col("text"), F.col("quote"))).groupBy("item_id").agg(F.count("*").alias("n"))
+    hits = documents(spark, d).join(F.broadcast(quotes), F.contains(F.col("text"), F.col("quote"))).groupBy("item_id").agg(F.count("*").alias("n"))
     return quotes.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_docs"))
 
 
 @query("SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))")
 def absent_fact(spark, d):
     quotes = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    there = table(spark, d, "documents").join(F.broadcast(quotes), F.contains(F.col("text"), F.col("quote"))).select("item_id").distinct()
+    there = documents(spark, d).join(F.broadcast(quotes), F.contains(F.col("text"), F.col("quote"))).select("item_id").distinct()
     return quotes.select("item_id").join(there, "item_id", "left_anti")
 
 
@@ -624,7 +629,7 @@ def quantity_extract(spark, d):
         for f in frames:
             yield pd.DataFrame({"doc_id": f["doc_id"], "quantities": ["|".join(f"{n:f}{u or ''}" for (n, u), _ in verify.quantities(t or "")) for t in f["text"]]})
 
-    return table(spark, d, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, quantities string")
+    return documents(spark, d).select("doc_id", "text").mapInPandas(run, "doc_id long, quantities string")
 
 
 @query()
@@ -643,13 +648,13 @@ def inline_citations(spark, d):
 
 @query()
 def line_kinds(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    lines = documents(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     return lines.groupBy("doc_id", T.line_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query()
 def chunk_plain(spark, d):
-    return chunking.chunk_documents(table(spark, d, "documents"))
+    return chunking.chunk_documents(documents(spark, d))
 
 
 @query(
