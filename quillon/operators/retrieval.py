@@ -54,13 +54,15 @@ def bm25(docs: DataFrame, queries: DataFrame, scope: tuple[str, ...] = (), k1: f
     """
     q = query_terms(queries)
     wanted = q.select("term").unionByName(q.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
-    if wanted.count() <= BROADCAST_QUERY_TERMS:
-        wanted = F.broadcast(wanted)
+    small = q.count() <= BROADCAST_QUERY_TERMS
+    sent = F.broadcast if small else (lambda x: x)
     # every document also gives one row with the empty term, which no text has: its statistics come
     # from the same exchange as its postings. The filters below are on aggregates, so they stay above
     # that exchange, and Spark reuses it instead of cutting the texts into tokens again.
     marked = docs.select(*scope, "id", F.size("tokens").alias("dl"), F.explode(F.array_append("tokens", F.lit(""))).alias("term"))
-    tf = marked.join(wanted, "term", "left_semi").groupBy(*scope, "id", "dl", "term").agg(F.count("*").alias("tf"), F.max(F.col("term") == "").alias("is_doc"))
+    # dealt by document once: with the small sides broadcast, the sums per document need no other shuffle
+    found = marked.join(sent(wanted), "term", "left_semi")
+    tf = (found.repartition("id") if small else found).groupBy(*scope, "id", "dl", "term").agg(F.count("*").alias("tf"), F.max(F.col("term") == "").alias("is_doc"))
     stats = tf.filter("is_doc").groupBy(*scope).agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
     tf = tf.filter("NOT is_doc").drop("is_doc")
     # counted through tf, so that column pruning leaves this branch's exchange equal to the others
@@ -68,7 +70,7 @@ def bm25(docs: DataFrame, queries: DataFrame, scope: tuple[str, ...] = (), k1: f
     rated = df.join(stats, list(scope)) if scope else df.crossJoin(F.broadcast(stats))
     rated = rated.select(*scope, "term", "avgdl", idf(F.col("n_docs").cast("double"), F.col("df")).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) * F.col("weight")
-    hits = tf.join(rated, [*scope, "term"]).join(q, "term")
+    hits = tf.join(rated if scope else sent(rated), [*scope, "term"]).join(sent(q), "term")
     return hits.groupBy("query_id", *scope, "id").agg(F.round(F.sum(part), 9).alias("score")).filter("score > 0")
 
 

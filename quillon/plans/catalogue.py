@@ -96,7 +96,7 @@ def plural_fold(spark, d):
 @query(f"WITH d AS ({TOKENS}), p AS (SELECT DISTINCT id, unnest(tokens) AS term FROM d) SELECT term, count(*) AS df, round(ln(1e0 + ((SELECT count(*) FROM d) - count(*) + 0.5e0) / (count(*) + 0.5e0)), 6) AS idf FROM p GROUP BY term")
 def postings_df_idf(spark, d):
     docs = docs_tokens(spark, d)
-    df = retrieval.postings(docs).groupBy("term").agg(F.count("*").alias("df"))
+    df = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     stats = retrieval.corpus_stats(docs)
     return df.crossJoin(F.broadcast(stats)).select("term", "df", F.round(retrieval.idf(F.col("n_docs").cast("double"), F.col("df")), 6).alias("idf"))
 
