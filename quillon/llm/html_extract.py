@@ -7,7 +7,8 @@ are template, nodes of varying text are slots, and the lowest node that holds mo
 is the host's content region; an ``article`` or ``main`` element with slot text comes first. The
 first reference's skeleton and the place of the region in it are the wrapper, a few kilobytes a
 host. Every page is aligned with its host's wrapper, and the node that meets the region is its
-content. Pages without a wrapper, or that do not meet it, use their own article, main or densest node.
+content. Pages without a wrapper, or that do not meet it, use their own article, main or densest node;
+of a page that lacks its host's article, template texts are left out there too.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
 left out by element, role, and words of class and id. Outside a semantic element, template nodes are
@@ -280,7 +281,7 @@ def induce(pages: list[str]) -> dict | None:
             if not block_children(nodes[deeper[0]]):
                 break
             region = deeper[0]
-    return {"skeleton": skeletons[0], "region": list(region), "template": [] if semantic else template}
+    return {"skeleton": skeletons[0], "region": list(region), "template": [] if semantic else template, "outside": template}
 
 
 def fallback(root: Node) -> Node:
@@ -309,9 +310,10 @@ def main_text(page: str | None, wrapper: dict | None) -> str:
         found = _meet(wrapper["skeleton"], skeleton(root), target)
         region = at_path(root, found) if found is not None else None
     if region is None or (region.tag not in ("article", "main") and any(n.tag in ("article", "main") for _, n in walk(root))):
-        if wrapper and not any(n.tag in ("article", "main") for _, n in walk(root)) and _semantic(wrapper):
-            return ""  # this host keeps its text in an article, and the page ends before it
         region = fallback(root)
+        if wrapper and region.tag not in ("article", "main") and _semantic(wrapper):
+            # another layout than the host's article, or a page that ends before it: what is not constant on the host
+            return " ".join(blocks(region, frozenset(wrapper["outside"])))
     return " ".join(blocks(region, frozenset(wrapper["template"]) if wrapper else frozenset()))
 
 

@@ -162,3 +162,11 @@ def test_template_is_what_stays_and_copies_keep_their_text():
     page = lambda k: f"<body><div class='x'><p>Welcome to our lovely shop</p></div><div class='y'><p>{k} long story number {k} goes on and on with {k}</p></div></body>"
     wrapper = html_extract.induce([page("one"), page("two"), page("three")])
     assert html_extract.main_text(page("four"), wrapper) == "four long story number four goes on and on with four"
+
+
+def test_other_layout_on_a_host_with_articles_keeps_its_text():
+    page = lambda x: f"<html><body><div class=top>All about us</div><article><p>long story number {x} goes on</p></article></body></html>"
+    wrapper = html_extract.induce([page("one"), page("two"), page("three")])
+    other = "<html><body><div class=top>All about us</div><div class=text><p>told without an article</p><p>to its end</p></div></body></html>"
+    assert html_extract.main_text(other, wrapper) == "told without an article to its end"
+    assert html_extract.main_text("<html><body><div class=top>All about us</div>", wrapper) == ""
