@@ -1,13 +1,12 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are aligned by simple tree matching: the largest common ordered subtree, found by
-dynamic programming over children. Of each host, ``REFERENCES`` different pages (those of least
-content hash, a documented sample) are aligned with the first of them. Aligned nodes of equal text
-are template, nodes of varying text are slots, and the lowest node that holds most of the slot text
-is the host's content region; an ``article`` or ``main`` element with slot text comes first. The
-first reference's skeleton and the place of the region in it are the wrapper, a few kilobytes a
-host. Every page is aligned with its host's wrapper, and the node that meets the region is its
-content. Pages without a wrapper, or that do not meet it, use their own article, main or densest node;
+Text blocks are counted over all pages of their host by place, which is the labels of the blocks
+they lie in: a text that ``CONSTANT`` of the pages with its place have there is template, other texts
+fill slots. The lowest node that holds most of the slot text of the host's page of least hash is the
+content region; an ``article`` or ``main`` element with slot text comes first. That page's skeleton, at
+full depth, the place of the region in it and the digests of template texts are the wrapper.
+Every page is aligned with its host's wrapper by simple tree matching, the largest common ordered
+subtree, found by dynamic programming over children; the node that meets the region is its content. Pages without a wrapper, or that do not meet it, use their own article, main or densest node;
 of a page that lacks its host's article, template texts are left out there too.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
@@ -27,13 +26,15 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Scratch, mapped
+from quillon.llm.common import Scratch, mapped, slices
 from quillon.llm.urlfilter import host_of
 
-REFERENCES = 4
+#: Share of the pages with a place that have the same text there, from which the text is template.
+CONSTANT = 0.9
 #: Fixed values of the HTML standard: elements without content, and elements that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -45,6 +46,7 @@ CLOSES_P = BLOCK - {"br", "body", "html", "caption", "td", "th", "tr", "li", "dd
 SCOPES = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
 _attr = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z)", re.I)
+_end = re.compile(r"</(?:body|html)\s*>", re.I)
 _split = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -130,34 +132,51 @@ def parse(page: str) -> Node:
     return root
 
 
-def blocks(node: Node, template: frozenset[str] = frozenset()) -> list[str]:
-    """Texts of the blocks under a node, without chrome and without blocks equal to template text."""
-    out: list[str] = []
+def digest(text: str) -> int:
+    """A signed long that stands for a block's text."""
+    return int.from_bytes(xxhash.xxh64_digest(text), "big", signed=True)
+
+
+def placed(node: Node) -> list[tuple[int, str]]:
+    """(place, text) of the blocks under a node, without chrome; a place is the hash of the labels of the
+    block elements from the node down to the text."""
+    out: list[tuple[int, str]] = []
     held: list[str] = []
+    at = here = 0
 
     def close():
         if held:
             text = " ".join(html_lib.unescape("".join(held)).split())
             held.clear()
-            if text and text not in template:
-                out.append(text)
+            if text:
+                out.append((at, text))
 
     todo: list = [node]
     while todo:
         x = todo.pop()
-        if x is None:
+        if isinstance(x, int):
             close()
+            here = x
         elif isinstance(x, str):
+            if not held:
+                at = here
             held.append(x)
         elif not x.chrome:
             if x.tag in BLOCK:
                 close()
-                todo.append(None)
+                todo.append(here)
+                here = xxhash.xxh64_intdigest(x.label, here)
             todo.extend(reversed(x.children))
     close()
     return out
 
 
+def blocks(node: Node, template: frozenset[int] = frozenset()) -> list[str]:
+    """Texts of the blocks under a node, without chrome and without blocks equal to template text."""
+    texts = [text for _, text in placed(node)]
+    return [text for text in texts if digest(text) not in template] if template else texts
+
+
 def walk(root: Node) -> Iterator[tuple[tuple[int, ...], Node]]:
     """Paths (places among element children) and nodes, in page order."""
     todo: list = [((), root)]
@@ -167,10 +186,38 @@ def walk(root: Node) -> Iterator[tuple[tuple[int, ...], Node]]:
         todo.extend(reversed([((*path, k), c) for k, c in enumerate(node.elements())]))
 
 
-def skeleton(node: Node, depth: int = 12) -> list:
+def skeleton(node: Node) -> list:
     """[label, children]: block structure for matching; inline elements and chrome contents are left out."""
-    inner = [] if node.chrome or not depth else [skeleton(c, depth - 1) for c in node.elements() if c.tag in BLOCK and c.tag != "br" or c.chrome]
-    return [node.label, inner]
+    out: list = [node.label, []]
+    todo = [(node, out)]
+    while todo:
+        x, mine = todo.pop()
+        for c in block_children(x):
+            mine[1].append([c.label, []])
+            todo.append((c, mine[1][-1]))
+    return out
+
+
+def flat(tree: list) -> list:
+    """[depth, label] of a skeleton's nodes in page order; JSON of nested lists has a bounded depth."""
+    out, todo = [], [(0, tree)]
+    while todo:
+        depth, (label, inner) = todo.pop()
+        out.append([depth, label])
+        todo.extend((depth + 1, c) for c in reversed(inner))
+    return out
+
+
+def nested(rows: list) -> list:
+    """The skeleton that ``flat`` wrote."""
+    above: list = []
+    for depth, label in rows:
+        node = [label, []]
+        del above[depth:]
+        if above:
+            above[-1][1].append(node)
+        above.append(node)
+    return above[0]
 
 
 def block_children(node: Node) -> list[Node]:
@@ -187,7 +234,12 @@ def match(a: list, b: list, memo: dict | None = None) -> int:
     memo = {} if memo is None else memo
     key = (id(a), id(b))
     if key not in memo:
-        memo[key] = 1 + _table(x, y, memo)[-1][-1]
+        # all pairs below, then their tables from the lowest up: trees may be deeper than calls can nest
+        found = [(a, b)]
+        for x, y in found:
+            found.extend((p, q) for p in x[1] if p[1] for q in y[1] if q[1] and p[0] == q[0] and (id(p), id(q)) not in memo)
+        for x, y in reversed(found):
+            memo[id(x), id(y)] = 1 + _table(x[1], y[1], memo)[-1][-1]
     return memo[key]
 
 
@@ -242,19 +294,15 @@ def own_text(node: Node) -> str:
     return " ".join(html_lib.unescape("".join(c if isinstance(c, str) else " ".join(blocks(c)) for c in node.children if isinstance(c, str) or (c.tag not in BLOCK and not c.chrome))).split())
 
 
-def induce(pages: list[str]) -> dict | None:
-    """The wrapper of a host's reference pages: skeleton, region path and template texts."""
+def induce(pages: list[str], constant: frozenset[int] | None = None) -> dict | None:
+    """The wrapper of a host's reference pages: skeleton, region path and digests of template texts.
+
+    ``constant`` has the digests of the host's constant texts; without it, aligned nodes of equal text
+    in all of ``pages`` are constant.
+    """
     trees = [parse(p) for p in pages]
     skeletons = [skeleton(t) for t in trees]
     first = trees[0]
-    same: dict[tuple[int, ...], int] = {}
-    met: dict[tuple[int, ...], int] = {}
-    for tree, sk in zip(trees[1:], skeletons[1:]):
-        for p, q in aligned(skeletons[0], sk).items():
-            met[p] = met.get(p, 0) + 1
-            same[p] = same.get(p, 0) + (own_text(at_path(first, p)) == own_text(at_path(tree, q)))
-    mass: dict[tuple[int, ...], int] = {}
-    template = []
     nodes = {(): first}
     todo = [()]
     while todo:
@@ -262,14 +310,19 @@ def induce(pages: list[str]) -> dict | None:
         for k, c in enumerate(block_children(nodes[p])):
             nodes[(*p, k)] = c
             todo.append((*p, k))
-    for p, node in nodes.items():
-        text = "" if node.chrome else own_text(node)
-        constant = len(pages) > 1 and met.get(p, 0) == len(pages) - 1 and same.get(p, 0) == met[p]
-        if constant and text:
-            template.append(text)
-        elif text:
-            for k in range(len(p) + 1):
-                mass[p[:k]] = mass.get(p[:k], 0) + len(text)
+    own = {p: "" if n.chrome else own_text(n) for p, n in nodes.items()}
+    if constant is None:
+        same: dict[tuple[int, ...], int] = {}
+        for tree, sk in zip(trees[1:], skeletons[1:]):
+            for p, q in aligned(skeletons[0], sk).items():
+                same[p] = same.get(p, 0) + (own_text(nodes[p]) == own_text(at_path(tree, q)))
+        constant = frozenset(digest(own[p]) for p, n in same.items() if n == len(pages) - 1 and own[p])
+    mass: dict[tuple[int, ...], int] = {}
+    for p, text in sorted(own.items(), key=lambda x: -len(x[0])):
+        if text and digest(text) not in constant:
+            mass[p] = mass.get(p, 0) + len(text)
+        if p and p in mass:
+            mass[p[:-1]] = mass.get(p[:-1], 0) + mass[p]
     if not mass:
         return None
     semantic = [p for p, n in nodes.items() if n.tag in ("article", "main") and mass.get(p)]
@@ -277,10 +330,13 @@ def induce(pages: list[str]) -> dict | None:
         region = max(semantic, key=lambda p: (mass[p], len(p)))
     else:
         region = ()
-        while deeper := [p for p in mass if len(p) == len(region) + 1 and p[: len(region)] == region and mass[p] > 0.8 * mass[()]]:
-            if not block_children(nodes[deeper[0]]):
+        while True:
+            inner = block_children(nodes[region])
+            deeper = [k for k in range(len(inner)) if mass.get((*region, k), 0) > 0.8 * mass[()]]
+            if not deeper or not block_children(inner[deeper[0]]):
                 break
-            region = deeper[0]
+            region = (*region, deeper[0])
+    template = sorted(constant)
     return {"skeleton": skeletons[0], "region": list(region), "template": [] if semantic else template, "outside": template}
 
 
@@ -339,7 +395,41 @@ def _meet(a: list, b: list, target: tuple[int, ...]) -> tuple[int, ...] | None:
     return out
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
+def constants(source: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, constant): digests of the texts that are the same on nearly all pages with their place.
+
+    Counted over all pages of ``source`` (host, h, html): a place is there or not, so pages of several
+    layouts do not hide each other's template. A text must be on two different pages at least. The
+    last block of a page that ends without </body> or </html> may be cut, and does not count.
+    """
+    schema = pa.schema([("host", pa.string()), ("place", pa.int64()), ("text", pa.int64()), ("n", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def seen(batches):
+        for batch in batches:
+            held: dict[tuple, list[int]] = {}
+            for part in slices(batch):
+                for host, h, page in zip(*(part.column(k).to_pylist() for k in range(3))):
+                    found = placed(parse(page))
+                    if found and not _end.search(page):
+                        found.pop()
+                    for key in {(host, place, digest(text)) for place, text in found} | {(host, place, None) for place, _ in found}:
+                        if x := held.get(key):
+                            x[0], x[1], x[2] = x[0] + 1, min(x[1], h), max(x[2], h)
+                        else:
+                            held[key] = [1, h, h]
+            rows = [(host, signed(place), text, *x) for (host, place, text), x in held.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, schema)], schema=schema)
+
+    counts = source.select("host", "h", "html").mapInArrow(seen, "host string, place long, text long, n long, lo long, hi long")
+    counts = counts.groupBy("host", "place", "text").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    counts = scratch.table(counts.filter("lo < hi"))
+    pages = counts.filter("text IS NULL").select("host", "place", F.col("n").alias("pages"))
+    same = counts.filter("text IS NOT NULL").join(pages, ["host", "place"]).filter(F.col("n") >= CONSTANT * F.col("pages"))
+    return same.groupBy("host").agg(F.collect_set("text").alias("constant"))
+
+
+def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, wrapper as JSON) of every host."""
     html = pages["html"].cast("string")
     source = pages.select(host_of(pages["url"].cast("string")).alias("host"), F.xxhash64(html).alias("h"), html.alias("html")).filter("host <> '' AND html <> ''")
@@ -347,28 +437,35 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def least(batches):
         for batch in batches:
             hosts, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            held: dict[str, dict[int, int]] = {}
+            held: dict[str, int] = {}
             for k, (host, h) in enumerate(zip(hosts, hashes)):
-                mine = held.setdefault(host, {})
-                mine[h] = k
-                if len(mine) > REFERENCES:
-                    del mine[max(mine)]
-            yield batch.take(pa.array(sorted(k for x in held.values() for k in x.values()), pa.int64()))
+                if host not in held or h < hashes[held[host]]:
+                    held[host] = k
+            yield batch.take(pa.array(sorted(held.values()), pa.int64()))
+
+    some = source.mapInArrow(least, "host string, h long, html string").groupBy("host").agg(F.min_by("html", "h").alias("html"))
+    arrow = pa.schema([("host", pa.string()), ("wrapper", pa.string())])
+
+    def rows_of(part: pa.RecordBatch) -> dict:
+        out = []
+        for page, constant in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+            wrapper = induce([page], frozenset(constant or ()))
+            out.append(json.dumps(wrapper and wrapper | {"skeleton": flat(wrapper["skeleton"])}))
+        return {"host": part.column(0), "wrapper": out}
 
-    some = source.mapInArrow(least, "host string, h long, html string").groupBy("host", "h").agg(F.first("html").alias("html"))
-    ranked = some.withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy("h"))).filter(F.col("k") <= REFERENCES)
+    return mapped(some.join(constants(source, scratch), "host", "left").select("host", "html", "constant"), rows_of, "host string, wrapper string", arrow)
 
-    def build(table: pa.Table) -> pa.Table:
-        wrapper = induce(table.sort_by("h")["html"].to_pylist())
-        return pa.table({"host": table["host"].slice(0, 1), "wrapper": pa.array([json.dumps(wrapper)], pa.string())})
 
-    return ranked.select("host", "h", "html").groupBy("host").applyInArrow(build, "host string, wrapper string")
+def read_wrapper(text: str | None) -> dict | None:
+    """A wrapper from its JSON."""
+    wrapper = json.loads(text) if text else None
+    return wrapper and {k: frozenset(v) if k in ("template", "outside") else nested(v) if k == "skeleton" else v for k, v in wrapper.items()}
 
 
 def extracted(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Per row: page_id, url, text and n_chars."""
     scratch = scratch or Scratch(pages.sparkSession)
-    known = scratch.table(wrappers(pages))
+    known = scratch.table(wrappers(pages, scratch))
     source = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
     joined = source.withColumn("host", host_of(F.col("url"))).join(known, "host", "left").select("page_id", "url", "html", "wrapper")
     arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
@@ -380,7 +477,7 @@ def extracted(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
             if wrapper not in cache:
                 if len(cache) > 1000:
                     cache.clear()
-                cache[wrapper] = json.loads(wrapper) if wrapper else None
+                cache[wrapper] = read_wrapper(wrapper)
             texts.append(main_text(page, cache[wrapper]))
         return {"page_id": part.column(0), "url": part.column(1), "text": texts, "n_chars": [len(t) for t in texts]}
 

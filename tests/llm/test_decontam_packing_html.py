@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -170,3 +171,19 @@ def test_other_layout_on_a_host_with_articles_keeps_its_text():
     other = "<html><body><div class=top>All about us</div><div class=text><p>told without an article</p><p>to its end</p></div></body></html>"
     assert html_extract.main_text(other, wrapper) == "told without an article to its end"
     assert html_extract.main_text("<html><body><div class=top>All about us</div>", wrapper) == ""
+
+
+def test_regions_and_constants_at_any_depth():
+    deep = lambda x, n: "<html><body>" + "<div>" * n + f"<div>Our partners and friends</div><div class=t><p>words of {x}</p><p>more {x} words told at some length</p></div>" + "</div>" * n + "</body></html>"
+    for n in (14, 3000):
+        wrapper = html_extract.induce([deep(x, n) for x in ("one", "two")])
+        kept = html_extract.read_wrapper(json.dumps(wrapper | {"skeleton": html_extract.flat(wrapper["skeleton"])}))
+        assert kept["skeleton"][1][0][0] == "html" and html_extract.main_text(deep("three", n), kept) == "words of three more three words told at some length"
+
+
+def test_constants_come_from_all_pages_and_layouts(spark):
+    layouts = ["<html><body><div class=a><div>Our partners</div><p>{0} first</p><p>then {0}</p></div></body></html>", "<html><body><div class=b><div>Read our terms</div><section><p>{0} second</p><p>and {0}</p></section></div></body></html>"]
+    rows = [(k, f"http://two.com/{k}", layouts[k % 2].format(f"tale{k}")) for k in range(40)] + [(100 + k, f"http://two.com/c{k}", layouts[0].format("copied")) for k in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extracted(pages_of(spark, rows)).collect()}
+    assert all(got[k] == (f"tale{k} second and tale{k}" if k % 2 else f"tale{k} first then tale{k}") for k in range(40))
+    assert all(got[100 + k] == "copied first then copied" for k in range(5))
