@@ -7,7 +7,9 @@ that agrees with its leaf's template in at least ``SIMILARITY`` of these places
 template (the other places are variable fields); any other signature is a template of its own.
 A template that recurs in ``MIN_DOCS`` documents or more is boilerplate, and all its lines are
 dropped. Documents with the same longest signature count once, so exact copies, and most near
-copies, of one text do not turn its lines into boilerplate.
+copies, of one text do not turn its lines into boilerplate. That is so unless they are different
+texts: if over half of them, and ``MIN_DOCS`` at least, differ in their other lines (compared by the
+least and the greatest hash of these), each of the different ones counts.
 
 Lines are what \\n splits; lines without a word are kept and count in no template. Null text: stays
 null, no lines. Null ids, repeated rows and ids: each row gets its own result. Signatures are
@@ -47,12 +49,18 @@ def signatures(text: Column) -> Column:
 
 
 def _lines(df: DataFrame) -> DataFrame:
-    """A row per line with a word: text key, place, signature, and the document's longest signature."""
+    """A row per line with a word: text key, place, signature, the document's longest signature, and the
+    lines with another signature than that (or all, if there is none) as ``rest``."""
     text = df["text"].cast("string")
-    docs = df.filter(text.isNotNull()).select(*text_keys(text), signatures(text).alias("sigs"))
+    docs = df.filter(text.isNotNull()).select(*text_keys(text), F.split(text, "\n", -1).alias("raw"), signatures(text).alias("sigs"))
     longest = F.array_max(F.transform("sigs", lambda x: F.struct(F.char_length(x).alias("n"), x.alias("s"))))
-    docs = docs.select("k1", "k2", "sigs", F.xxhash64(longest["s"]).alias("doc"))
-    return docs.select("k1", "k2", "doc", F.posexplode("sigs").alias("place", "sig")).filter("sig <> ''")
+    docs = docs.select("k1", "k2", "raw", "sigs", longest["s"].alias("top"))
+    hashed = F.zip_with("raw", "sigs", lambda x, s: F.when((s != "") & (s != F.col("top")), F.xxhash64(x)))
+    ends = F.struct(F.array_min("others").alias("a"), F.array_max("others").alias("b"))
+    docs = docs.withColumn("others", hashed).select("k1", "k2", "raw", "sigs", "top", ends.alias("ends"))
+    rest = F.when(F.col("ends.a").isNull(), F.xxhash64(F.array_sort("raw"))).otherwise(F.xxhash64("ends.a", "ends.b"))
+    docs = docs.select("k1", "k2", "sigs", F.xxhash64("top").alias("doc"), rest.alias("rest"))
+    return docs.select("k1", "k2", "doc", "rest", F.posexplode("sigs").alias("place", "sig")).filter("sig <> ''")
 
 
 def _leaf(sig: Column) -> Column:
@@ -63,8 +71,12 @@ def _leaf(sig: Column) -> Column:
 def boilerplate(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(lines, gone): all lines as hashes (k1, k2, place, sig), written once; and the hashes of the
     signatures whose template recurs in MIN_DOCS documents."""
-    lines = scratch.table(_lines(df).select("k1", "k2", "place", "doc", _leaf(F.col("sig")).alias("leaf"), F.xxhash64("sig").alias("sig")))
-    seen = scratch.table(lines.select("leaf", "sig", "doc").distinct())
+    lines = scratch.table(_lines(df).select("k1", "k2", "place", "doc", "rest", _leaf(F.col("sig")).alias("leaf"), F.xxhash64("sig").alias("sig")))
+    texts = lines.groupBy("doc", "rest").agg(F.count_distinct("k1", "k2").alias("n"))
+    mixed = texts.groupBy("doc").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
+    mixed = scratch.table(mixed.filter((F.col("kinds") >= MIN_DOCS) & (2 * F.col("kinds") > F.col("n"))).select("doc", F.lit(True).alias("mixed")))
+    doc = F.when(F.col("mixed"), F.xxhash64("doc", "rest")).otherwise(F.col("doc"))
+    seen = scratch.table(lines.select("leaf", "sig", "doc", "rest").distinct().join(mixed, "doc", "left").select("leaf", "sig", doc.alias("doc")).distinct())
     per_sig = scratch.table(seen.groupBy("leaf", "sig").agg(F.count("*").alias("docs")))
     wide = per_sig.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("sigs")).filter((F.col("docs") >= MIN_DOCS) & (F.col("sigs") > 1)).select("leaf")
     wide = scratch.table(wide)

@@ -64,6 +64,18 @@ def test_boilerplate_templates_go(make):
     assert linededup.line_dedup(make([])).count() == 0
 
 
+def test_recurring_line_may_be_the_longest(make):
+    notice, terms = " ".join(f"notice{'abcdefgh'[j % 8] * (j + 1)}" for j in range(20)), " ".join(f"terms{'stuvwxyz'[j % 8] * (j + 1)}" for j in range(15))
+    letters = "abcdefghijkl"
+    rows = [(k, "\n".join([notice, *(f"{letters[k]} verse {letters[j]}{letters[k]}" for j in range(6)), terms])) for k in range(12)]
+    rows += [(100 + k, "\n".join(["A copied text whose longest line is this one and no other.", *(f"Its line {letters[j] * 3}" for j in range(9)), "changed" * (k + 1)])) for k in range(0, 12, 4)]
+    rows += [(200 + k, f"Row {k} of the long table of figures\n{letters[k] * 4} row") for k in range(12)]
+    got = {r["doc_id"]: r for r in linededup.line_dedup(make(rows)).collect()}
+    assert all(got[k]["n_dropped"] == 2 and notice not in got[k]["text"] and terms not in got[k]["text"] for k in range(12))
+    assert all(got[100 + k]["n_dropped"] == 0 for k in range(0, 12, 4))
+    assert all(got[200 + k]["text"] == f"{letters[k] * 4} row" for k in range(12))
+
+
 def test_rules_and_hosts(spark):
     urls = ["http://A.Net/x", "https://example.net/en/p?q", "https://example.net/EN/", "https://sub.example.com/de/", "https://example.com/fr/", "http://x.org/fr/a#b", "http://notnet/", "http://net", "no scheme", None, "http://badexample.net/en/x"]
     pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
