@@ -4,7 +4,10 @@ A line's signature is its words joined by a space, with words that hold a digit
 has a level for the number of words and one for each of the first ``DEPTH`` words of the signature;
 a leaf's template takes at each further place the word that most of its documents have. A signature
 that agrees with its leaf's template in at least ``SIMILARITY`` of these places belongs to the
-template (the other places are variable fields); any other signature is a template of its own.
+template (the other places are variable fields). Among the others a leaf gets further templates, one
+at a time: the pattern of most documents, where a pattern is a signature's words that ``MIN_DOCS``
+documents have at their places, if these are enough places; until no leaf's pattern recurs. What
+fits no template is a template of its own.
 A template that recurs in ``MIN_DOCS`` documents or more is boilerplate, and all its lines are
 dropped. Documents with the same longest signature count once, so exact copies, and most near
 copies, of one text do not turn its lines into boilerplate. That is so unless they are different
@@ -85,12 +88,35 @@ def boilerplate(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     words = scratch.table(words.join(per_sig.withColumnRenamed("leaf", "l"), "sig").select("leaf", "sig", "at", "word", "docs"))
     votes = words.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("docs"))
     template = votes.groupBy("leaf", "at").agg(F.max_by("word", F.struct("docs", "word")).alias("constant"))
-    template = scratch.table(template)
-    agree = words.join(template, ["leaf", "at"]).groupBy("leaf", "sig").agg(F.count("*").alias("n"), F.sum((F.col("word") == F.col("constant")).cast("int")).alias("same"))
-    member = scratch.table(agree.filter(F.col("same") >= SIMILARITY * F.col("n")).select("leaf", "sig"))
+    member = _fitting(scratch, words, scratch.table(template))
+    gone = per_sig.filter(F.col("docs") >= MIN_DOCS).select("sig")
+    found = _recurring(scratch, seen, member)
+    gone = gone.unionByName(found.select("sig"))
+    # further templates: the fixed words of what did not fit, the most frequent pattern of each leaf in turn
+    while True:
+        words = scratch.table(words.join(found, ["leaf", "sig"], "left_anti"))
+        often = words.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("votes")).filter(F.col("votes") >= MIN_DOCS)
+        fixed = words.join(often, ["leaf", "at", "word"], "left").select("leaf", "sig", F.struct("at", F.when(F.col("votes").isNotNull(), F.col("word")).alias("word")).alias("x"))
+        patterns = fixed.groupBy("leaf", "sig").agg(F.array_sort(F.collect_list("x")).alias("pattern"), F.count("*").alias("n"), F.count("x.word").alias("kept"))
+        patterns = scratch.table(patterns.filter(F.col("kept") >= SIMILARITY * F.col("n")).select("leaf", "sig", F.to_json("pattern").alias("pattern"), "pattern.at", F.col("pattern.word").alias("constant")))
+        best = seen.join(patterns, ["leaf", "sig"]).groupBy("leaf", "pattern").agg(F.count_distinct("doc").alias("docs"), F.first("at").alias("at"), F.first("constant").alias("constant"))
+        best = best.groupBy("leaf").agg(F.max_by(F.arrays_zip("at", "constant"), F.struct("docs", "pattern")).alias("x")).select("leaf", F.explode("x").alias("x"))
+        found = _recurring(scratch, seen, _fitting(scratch, words, scratch.table(best.select("leaf", "x.at", "x.constant"))))
+        if found.isEmpty():
+            return lines, scratch.table(gone.distinct())
+        gone = gone.unionByName(found.select("sig"))
+
+
+def _fitting(scratch: Scratch, words: DataFrame, template: DataFrame) -> DataFrame:
+    """(leaf, sig) of the signatures that agree with their leaf's template (leaf, at, constant)."""
+    agree = words.join(template, ["leaf", "at"]).groupBy("leaf", "sig").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("word") == F.col("constant"), F.lit(False)).cast("int")).alias("same"))
+    return scratch.table(agree.filter(F.col("same") >= SIMILARITY * F.col("n")).select("leaf", "sig"))
+
+
+def _recurring(scratch: Scratch, seen: DataFrame, member: DataFrame) -> DataFrame:
+    """The rows of ``member`` whose leaf they put into MIN_DOCS documents."""
     spread = seen.join(member, ["leaf", "sig"]).select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).filter(F.col("docs") >= MIN_DOCS)
-    own = per_sig.filter(F.col("docs") >= MIN_DOCS).select("sig")
-    return lines, scratch.table(own.unionByName(member.join(scratch.table(spread), "leaf").select("sig")).distinct())
+    return scratch.table(member.join(scratch.table(spread), "leaf").select("leaf", "sig"))
 
 
 def line_dedup(df: DataFrame, recount: bool = False, scratch: Scratch | None = None) -> DataFrame:

@@ -76,6 +76,14 @@ def test_recurring_line_may_be_the_longest(make):
     assert all(got[200 + k]["text"] == f"{letters[k] * 4} row" for k in range(12))
 
 
+def test_several_templates_in_one_leaf(make):
+    letters = "abcdefghijklmnop"
+    forms = ["disk {0} of the main server is now full again", "user {0} has just signed in from our office", "mail {0} could not be sent to any known box"]
+    rows = [(k, f"own {letters[k] * 3} words {letters[-k]} of this document {letters[k] * 2}, which is longer than any other\n2024-01-{k + 10} 10:{k + 10} {k} {forms[k % 3].format(letters[k] * 4)}\n2024-01-01 10:10 7 {letters[k]}x {letters[k]}y {letters[k]}z {letters[k]}t {letters[k]}u {letters[k]}v {letters[k]}w {letters[k]}r {letters[k]}s {letters[k]}q") for k in range(15)]
+    got = linededup.line_dedup(make(rows)).collect()
+    assert len(got) == 15 and all(r["n_dropped"] == 1 and r["text"] == "\n".join(rows[r["doc_id"]][1].split("\n")[::2]) for r in got)
+
+
 def test_rules_and_hosts(spark):
     urls = ["http://A.Net/x", "https://example.net/en/p?q", "https://example.net/EN/", "https://sub.example.com/de/", "https://example.com/fr/", "http://x.org/fr/a#b", "http://notnet/", "http://net", "no scheme", None, "http://badexample.net/en/x"]
     pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
