@@ -103,3 +103,21 @@ def test_stage_keeps_the_first_of_each_group(make):
     assert out.columns == df.columns
     assert sorted((r["doc_id"] or -1) for r in out.collect()) == [-1, 1, 3, 4]
     assert simhash.near_deduplicated(make([])).count() == 0
+
+
+def test_stage_drops_pairs_of_similarity_080(make):
+    rng = np.random.default_rng(5)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    rows, sets = [], {}
+    for k in range(60):
+        base = words(120)
+        other = list(base)
+        for at in rng.choice(120, 1 + k % 6, replace=False):
+            other[at] = "changed"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    near = {2 * k + 1 for k in range(60) if len(sets[2 * k] & sets[2 * k + 1]) >= 0.8 * len(sets[2 * k] | sets[2 * k + 1])}
+    kept = {r["doc_id"] for r in simhash.near_deduplicated(make(rows)).collect()}
+    assert 10 < len(near) < 50 and kept == {i for i, _ in rows} - near
