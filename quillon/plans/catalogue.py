@@ -636,8 +636,9 @@ def quantity_extract(spark, d):
 def claim_support(spark, d):
     """Each turn as a claim against the other turns of its conversation."""
     c = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    near = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-3, 3)
-    quotes = c.withColumn("quotes", F.collect_list("text").over(near)).select((F.col("conv_id") * 1000 + F.col("turn")).alias("claim_id"), F.col("text").alias("claim"), "quotes")
+    turns = Window.partitionBy("conv_id").orderBy("turn")
+    others = [F.collect_list("text").over(turns.rowsBetween(*ends)) for ends in ((Window.unboundedPreceding, -1), (1, Window.unboundedFollowing))]
+    quotes = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("claim_id"), F.col("text").alias("claim"), F.concat(*others).alias("quotes"))
     return verify.claim_checks(quotes)
 
 
