@@ -3,9 +3,10 @@
 A rule (host, path, verdict) fits its host and all subdomains if the URL's path starts with the
 rule's path; the longest fitting rule wins. URLs without a rule get their host's verdict: hosts are
 seeds by the share of their pages that rules allow (trust) or block (distrust); trust flows along
-links as personalised PageRank with damping 0.85, distrust flows against them, and a host is blocked
-if its distrust exceeds its trust and reaches ``BLOCK_AT``. (1 - damping) / 2 is what a host has of
-its own if half of its pages are blocked.
+links as personalised PageRank with damping 0.85, until the scores stand still. Distrust flows against
+them: a host takes 0.85 of the mean distrust of what its links lead to, however many other hosts link
+there. A host is blocked if its distrust exceeds its trust and reaches ``BLOCK_AT``. (1 - damping) / 2
+is what a host has of its own if half of its pages are blocked.
 
 Links are absolute or protocol-relative ``href`` values; links within a host and hosts with no links
 move nothing. Edges are aggregated per pair of hosts before the first join, so a hot host is one row
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from quillon.llm.common import Scratch
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-DAMPING, ROUNDS = 0.85, 10
+DAMPING, STILL = 0.85, 1e-7
+#: Rounds of the SQL form, which also splits a host's distrust among its linkers; without links both are the same.
+ROUNDS = 10
 BLOCK_AT = (1 - DAMPING) / 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)\shref\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""
@@ -56,24 +59,24 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return counts.join(total, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("w"))
 
 
-def propagate(scratch: Scratch, seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Scores after ``rounds`` of personalised PageRank; seeds (kind, node, seed), edges (kind, src, dst, w).
+def propagate(scratch: Scratch, seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """Fixed point of score = (1 - damping) seed + damping (scores over edges); seeds (kind, node, seed), edges (kind, src, dst, w).
 
-    Scores are written each round; the loop ends early once no score moves.
+    Scores are written each round; a round shrinks what is missing by the damping at least, and the
+    loop ends once no score moves by over ``STILL``.
     """
     base = scratch.table(seeds.select("kind", "node", ((1 - DAMPING) * F.col("seed")).alias("own")))
     scores = scratch.table(base.select("kind", "node", F.col("own").alias("score")))
-    total = None
-    for _ in range(rounds):
+    while True:
         moved = scores.join(edges.withColumnRenamed("src", "node"), ["kind", "node"]).groupBy("kind", F.col("dst").alias("node")).agg(F.sum(DAMPING * F.col("score") * F.col("w")).alias("in"))
-        new = scratch.table(base.join(moved, ["kind", "node"], "full").select("kind", "node", (F.coalesce("own", F.lit(0.0)) + F.coalesce("in", F.lit(0.0))).alias("score")))
+        score = F.coalesce("own", F.lit(0.0)) + F.coalesce("in", F.lit(0.0))
+        new = base.join(moved, ["kind", "node"], "full").join(scores.withColumnRenamed("score", "old"), ["kind", "node"], "left")
+        new = scratch.table(new.select("kind", "node", score.alias("score"), F.abs(score - F.coalesce("old", F.lit(0.0))).alias("step")))
         scratch.drop(scores)
-        scores = new
-        now = scores.agg(F.sum("score"), F.count("*")).first()
-        if total is not None and now[1] == total[1] and abs((now[0] or 0) - (total[0] or 0)) < 1e-12:
-            break
-        total = now
-    return scores
+        scores = new.select("kind", "node", "score")
+        scores._scratch_path = new._scratch_path
+        if (new.agg(F.max("step")).first()[0] or 0) <= STILL:
+            return scores
 
 
 def url_verdicts(pages: DataFrame, rules=RULES, scratch: Scratch | None = None) -> DataFrame:
@@ -87,8 +90,7 @@ def url_verdicts(pages: DataFrame, rules=RULES, scratch: Scratch | None = None)
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("seed")) for k in ("trust", "distrust")])).alias("x")
     seeds = hosts.select("host", kinds).select("x.kind", F.col("host").alias("node"), "x.seed")
     links = scratch.table(host_edges(pages))
-    back = links.groupBy("dst").agg(F.sum("w").alias("all"))
-    against = links.join(back, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("w") / F.col("all")).alias("w"))
+    against = links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
     edges = scratch.table(links.select(F.lit("trust").alias("kind"), "src", "dst", "w").unionByName(against))
     scores = propagate(scratch, seeds, edges)
     trust, distrust = (F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)) for k in ("trust", "distrust"))

@@ -119,6 +119,16 @@ def test_distrust_flows_against_links_and_trust_along(spark):
     assert verdicts == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
 
 
+def test_distrust_reaches_all_linkers_and_scores_converge(spark):
+    pages = [(0, "http://bad.net/", ""), *((k, f"http://farm{k}.com/", '<a href="http://bad.net/">' + '<a href="http://fine.info/">' * (k > 6)) for k in range(1, 9)), (9, "http://fine.info/", "")]
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.url_verdicts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {k: "block" if k < 7 else "allow" for k in range(10)}
+    seeds = spark.createDataFrame([("t", "a", 1.0)], "kind string, node string, seed double")
+    edges = spark.createDataFrame([("t", "a", "b", 1.0), ("t", "b", "a", 1.0)], "kind string, src string, dst string, w double")
+    scores = {r["node"]: r["score"] for r in urlfilter.propagate(Scratch(spark), seeds, edges).collect()}
+    assert abs(scores["a"] - 0.15 / (1 - 0.85**2)) < 1e-6 and abs(scores["b"] - 0.85 * scores["a"]) < 1e-6
+
+
 def test_sql_forms(spark, sf_dir):
     from tests.test_oracles import TABLES, normal
 
