@@ -11,23 +11,30 @@ histogram is only judged from ``MIN_WORDS_FOR_WORDS`` words on, the character hi
 
 The reference is found exactly in two passes. Each batch reports the words that hold 1/2048 of its
 words in a language; a word whose reported counts plus the most it can have in the other batches
-stay below 1/256 of the language cannot be common. At most 293 words a language survive, and the
-second pass counts exactly those. So the driver holds a bounded table per language.
-
-Null text: no words, base_failed. Null language: a language of its own. A language without passing
-documents has no reference, and its documents are judged by the base rules alone.
+stay below 1/256 of the language cannot be common. The second pass counts the words that are left
+over the whole corpus, and only these counts decide, so the reference does not depend on how rows are
+dealt to partitions. At most 256 words a language are common. Languages are taken in blocks of
+``LANGUAGES`` (by hash of the name), each with its own reference and pass, so the driver and the
+tasks hold a bounded table however many different values ``lang`` has.
+
+Null text: no words, base_failed. Null language: the language "". A language without passing
+documents has no reference, and its documents are judged by the base rules alone. Null ids, repeated
+rows and ids: each row is judged, and each counts in the reference. Very long texts are read whole,
+one at a time. Ties: a word of exactly 1/256 is common, a distance equal to its threshold passes. An
+empty table gives no rows. Extra columns are ignored, or carried along with ``carry``.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import mapped, slices
+from quillon.llm.common import Scratch, mapped, slices
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 COMMON_SHARE = 1 / 256
@@ -37,6 +44,9 @@ CHAR_LEVEL, CHAR_NOISE = 0.26, 0.4
 WORD_LEVEL, WORD_NOISE = 0.22, 1.4
 MIN_WORDS_FOR_WORDS = 100
 SYMBOLS = "#*$%&|<>"
+#: Languages whose references are held at a time.
+LANGUAGES = 1000
+CLASS, PASSING, OTHER = 0, 1, 2
 PUNCTUATION = b".,;:!?\"'()[]{}-_/\\@+=~^`#*$%&|<>"
 
 
@@ -130,69 +140,90 @@ def _source(df: DataFrame) -> DataFrame:
     return df.select(df["doc_id"].cast("long").alias("doc_id"), df["text"].cast("string").alias("text"), F.coalesce(df["lang"].cast("string"), F.lit("")).alias("lang"))
 
 
-def language_reference(df: DataFrame) -> dict[str, tuple[np.ndarray, dict[bytes, int]]]:
+def language_blocks(df: DataFrame) -> int:
+    """Blocks of at most about ``LANGUAGES`` different languages; one where there are no more than that."""
+    n = _source(df).agg(F.approx_count_distinct("lang", 0.02)).first()[0]
+    return 1 if n <= LANGUAGES else -(-2 * n // LANGUAGES)
+
+
+def _of_block(df: DataFrame, lang: Column, block: int, blocks: int) -> DataFrame:
+    return df if blocks == 1 else df.filter(F.pmod(F.xxhash64(F.coalesce(lang.cast("string"), F.lit(""))), F.lit(blocks)) == block)
+
+
+def language_reference(df: DataFrame, scratch: Scratch | None = None) -> dict[str, tuple[np.ndarray, dict[bytes, int]]]:
     """Per language: character class counts, and count of each common word with b"" as the rest.
 
-    Two passes over all rows; the driver gets per language at most 293 words and one histogram.
+    Two passes over all rows; the driver gets per language a few hundred words and one histogram.
     """
+    scratch = scratch or Scratch(df.sparkSession)
     source = _source(df).select("text", "lang")
+    reported_schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64()), ("of", pa.int64())])
+    counted_schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("kind", pa.int32()), ("n", pa.int64())])
+
+    def rows_in(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     def report(batches):
         for batch in batches:
             counts: dict[str, Counter] = defaultdict(Counter)
-            totals: Counter = Counter()
             for part in slices(batch):
                 for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words = (text or "").encode().lower().split()
-                    counts[lang].update(words)
-                    totals[lang] += len(words)
+                    counts[lang].update((text or "").encode().lower().split())
             rows = []
             for lang, c in counts.items():
+                total = c.total()
                 merged: Counter = Counter()
                 for w, n in c.items():
                     merged[normal_word(w)] += n
                 merged.pop(b"", None)
-                rows.append((lang, None, totals[lang]))
-                rows += [(lang, w, n, totals[lang]) for w, n in merged.items() if n >= REPORT_SHARE * totals[lang]]
-            yield pa.RecordBatch.from_pydict({"lang": [r[0] for r in rows], "word": [r[1] for r in rows], "n": [r[2] for r in rows], "of": [r[3] if len(r) > 3 else 0 for r in rows]}, schema=pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64()), ("of", pa.int64())]))
+                rows.append((lang, None, total, 0))
+                rows += [(lang, w, n, total) for w, n in merged.items() if n >= REPORT_SHARE * total]
+            yield rows_in(rows, reported_schema)
 
     reported = source.mapInArrow(report, "lang string, word binary, n long, of long").groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("of").alias("of"))
-    totals = F.broadcast(reported.filter("word is null").select("lang", F.col("n").alias("total")))
+    reported = scratch.table(reported)
+    totals = {r["lang"]: r["total"] for r in reported.filter("word is null").select("lang", F.col("n").alias("total")).collect()}
+    of_lang = F.broadcast(reported.filter("word is null").select("lang", F.col("n").alias("total")))
     bound = F.col("n") + REPORT_SHARE * (F.col("total") - F.col("of")) >= COMMON_SHARE * F.col("total")
-    candidates: dict[str, list[bytes]] = defaultdict(list)
-    for r in reported.filter("word is not null").join(totals, "lang").filter(bound).select("lang", "word").collect():
-        candidates[r["lang"]].append(bytes(r["word"]))
-    candidates = {k: sorted(v) for k, v in candidates.items()}
+    candidates: dict[str, set[bytes]] = defaultdict(set)
+    for r in reported.filter("word is not null").join(of_lang, "lang").filter(bound).select("lang", "word").collect():
+        candidates[r["lang"]].add(bytes(r["word"]))
+    candidates = dict(candidates)
 
     def count(batches):
         for batch in batches:
             classes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(8, np.int64))
-            words_of: dict[str, Counter] = defaultdict(Counter)
+            passing: dict[str, Counter] = defaultdict(Counter)
+            others: dict[str, Counter] = defaultdict(Counter)
             for part in slices(batch):
                 for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     data = (text or "").encode()
                     words = data.split()
+                    found = word_histogram(data.lower().split(), candidates.get(lang, set()))
                     n = len(words)
                     if n < MIN_WORDS or 100 * repeated_words(words) > MAX_REPEAT_PERCENT * n:
-                        continue
-                    classes[lang] += char_classes(data)
-                    words_of[lang] += word_histogram(data.lower().split(), set(candidates.get(lang, ())))
-            rows = [(lang, f"{k}".encode(), int(v), True) for lang, c in classes.items() for k, v in enumerate(c)]
-            rows += [(lang, w, n, False) for lang, c in words_of.items() for w, n in c.items()]
-            yield pa.RecordBatch.from_pydict({"lang": [r[0] for r in rows], "word": [r[1] for r in rows], "n": [r[2] for r in rows], "is_class": [r[3] for r in rows]}, schema=pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64()), ("is_class", pa.bool_())]))
-
-    out: dict[str, tuple[np.ndarray, dict[bytes, int]]] = {}
-    for r in source.mapInArrow(count, "lang string, word binary, n long, is_class boolean").groupBy("lang", "word", "is_class").agg(F.sum("n").alias("n")).collect():
-        classes, words = out.setdefault(r["lang"], (np.zeros(8, np.int64), {}))
-        if r["is_class"]:
-            classes[int(bytes(r["word"]))] = r["n"]
+                        others[lang].update(found)
+                    else:
+                        classes[lang] += char_classes(data)
+                        passing[lang].update(found)
+            rows = [(lang, b"%d" % k, CLASS, int(v)) for lang, c in classes.items() for k, v in enumerate(c)]
+            rows += [(lang, w, kind, n) for kind, held in ((PASSING, passing), (OTHER, others)) for lang, c in held.items() for w, n in c.items()]
+            yield rows_in(rows, counted_schema)
+
+    found: dict[str, tuple[np.ndarray, Counter, Counter]] = {}
+    for r in source.mapInArrow(count, "lang string, word binary, kind int, n long").groupBy("lang", "word", "kind").agg(F.sum("n").alias("n")).collect():
+        of = found.setdefault(r["lang"], (np.zeros(8, np.int64), Counter(), Counter()))
+        if r["kind"] == CLASS:
+            of[0][int(bytes(r["word"]))] = r["n"]
         else:
-            words[bytes(r["word"])] = r["n"]
+            of[r["kind"]][bytes(r["word"])] = r["n"]
     final = {}
-    for lang, (classes, words) in out.items():
-        total = sum(words.values())
-        common = {w: n for w, n in words.items() if w and n >= COMMON_SHARE * total}
-        final[lang] = (classes, {**common, b"": total - sum(common.values())})
+    for lang, (classes, passing, others) in found.items():
+        if not classes.any():
+            continue
+        common = sorted(w for w in candidates.get(lang, ()) if passing[w] + others[w] >= COMMON_SHARE * totals[lang])
+        words = {w: passing[w] for w in common}
+        final[lang] = (classes, {**words, b"": passing.total() - sum(words.values())})
     return final
 
 
@@ -219,10 +250,17 @@ def divergence(data: bytes, reference) -> tuple[float, float]:
     return js_distance(char_classes(data).astype(float), classes.astype(float)), js_distance(np.array([hist[k] for k in keys], float), np.array([words[k] for k in keys], float))
 
 
-def quality_verdicts(df: DataFrame, carry: bool = False, reference: dict | None = None) -> DataFrame:
+def quality_verdicts(df: DataFrame, carry: bool = False, reference: dict | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Per row: the base counts, base_failed, both distances and kept; with ``carry`` only kept input rows, unchanged."""
-    ref = language_reference(df) if reference is None else reference
+    if reference is not None:
+        return _judged(df, carry, reference)
+    scratch = scratch or Scratch(df.sparkSession)
+    blocks = language_blocks(df)
+    parts = [_of_block(df, df["lang"], b, blocks) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, [_judged(p, carry, language_reference(p, scratch)) for p in parts])
+
 
+def _judged(df: DataFrame, carry: bool, ref: dict) -> DataFrame:
     def judge(text: str | None, lang: str):
         text = text or ""
         data = text.encode()

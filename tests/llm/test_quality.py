@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -31,25 +32,84 @@ def test_base_counts_equal_brute_force(documents):
         assert not (r["base_failed"] and r["kept"])
 
 
-def test_reference_is_exact(documents):
-    ref = quality.language_reference(documents)
-    words, classes = defaultdict(Counter), defaultdict(lambda: np.zeros(8, int))
-    everything = defaultdict(Counter)
-    for text, lang in documents.select("text", "lang").collect():
-        data = (text or "").encode()
-        lowered = [quality.normal_word(w) for w in data.lower().split()]
-        everything[lang].update(w for w in lowered if w)
-        split = data.split()
-        if len(split) >= 50 and 100 * quality.repeated_words(split) <= 50 * len(split):
-            words[lang].update(lowered)
-            classes[lang] += quality.char_classes(data)
-    for lang, (c, w) in ref.items():
-        assert (c == classes[lang]).all()
-        total = sum(words[lang].values())
-        for word, n in w.items():
-            if word:
-                assert n == words[lang][word] >= quality.COMMON_SHARE * total
-        assert sum(w.values()) == total
+MARKS = ".,;:!?\"'()[]{}-_/\\@+=~^`#*$%&|<>"
+
+
+def lowered_words(text):
+    """ASCII-lowered words without surrounding ASCII punctuation."""
+    return ["".join(c.lower() if "A" <= c <= "Z" else c for c in w).strip(MARKS) for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+
+
+def char_class(c):
+    if ord(c) > 127:
+        return 7
+    if c.isalpha():
+        return 0 if c.islower() else 1
+    if c.isdigit():
+        return 2
+    if c in " \t\n\r\x0b\x0c":
+        return 3
+    if ord(c) < 32 or ord(c) == 127:
+        return 6
+    return 5 if c in "#*$%&|<>@+=~^`\\_{}[]/" else 4
+
+
+def brute_reference(rows):
+    """Per language: classes of passing texts, common words of all texts with their counts in passing ones."""
+    every, passing, classes = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter)
+    for text, lang in rows:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+        every[lang or ""].update(lowered_words(text))
+        if len(words) >= 50 and 100 * brute_repeats(words) <= 50 * len(words):
+            passing[lang or ""].update(lowered_words(text))
+            classes[lang or ""].update(map(char_class, text))
+    out = {}
+    for lang in classes:
+        total = every[lang].total()
+        common = {w: passing[lang][w] for w, n in every[lang].items() if w and 256 * n >= total}
+        out[lang] = ([classes[lang][k] for k in range(8)], {**common, "": passing[lang].total() - sum(common.values())})
+    return out
+
+
+def brute_distance(p, q):
+    def entropy(x):
+        return -sum(v * math.log2(v) for v in x if v > 0)
+
+    p, q = [v / sum(p) for v in p], [v / sum(q) for v in q]
+    return math.sqrt(max(0, entropy([(a + b) / 2 for a, b in zip(p, q)]) - (entropy(p) + entropy(q)) / 2))
+
+
+def test_reference_and_verdicts_equal_brute_force(documents):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in documents.collect()]
+    want = brute_reference([r[1:] for r in rows])
+    got = quality.language_reference(documents)
+    assert got.keys() == want.keys()
+    for lang, (classes, words) in got.items():
+        assert classes.tolist() == want[lang][0] and {w.decode(): n for w, n in words.items()} == want[lang][1]
+    judged = {r["doc_id"]: r for r in quality.quality_verdicts(documents).collect()}
+    for doc_id, text, lang in rows:
+        r = judged[doc_id]
+        classes, words = want[lang]
+        if r["n_words"] < 50:
+            assert r["char_distance"] == r["word_distance"] == 0
+            continue
+        hist = Counter(w if w in words else "" for w in lowered_words(text))
+        chars = Counter(map(char_class, text))
+        c = brute_distance([chars[k] for k in range(8)], classes)
+        w = brute_distance([hist[k] for k in words], list(words.values()))
+        assert abs(r["char_distance"] - c) < 1e-6 and abs(r["word_distance"] - w) < 1e-6
+        fine = c <= 0.26 + 0.4 / math.sqrt(r["n_words"]) and (r["n_words"] < 100 or w <= 0.22 + 1.4 / math.sqrt(r["n_words"]))
+        assert r["kept"] == (fine and not r["base_failed"])
+
+
+def test_verdicts_do_not_depend_on_partitions(documents, monkeypatch):
+    extra = documents.limit(40).selectExpr("doc_id + 100000 AS doc_id", "concat('rare ', repeat('rare ', 30), text) AS text", "lang", "source", "n_chars")
+    df = documents.unionByName(extra)
+    listed = lambda d: sorted(map(str, quality.quality_verdicts(d).collect()))
+    whole = listed(df.repartition(1))
+    assert listed(df.repartition(7)) == whole
+    monkeypatch.setattr(quality, "LANGUAGES", 2)
+    assert quality.language_blocks(df) > 1 and listed(df) == whole
 
 
 def test_divergent_documents_go_and_clean_ones_stay(spark, make):
