@@ -37,6 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; they survive lost executors."""
 

@@ -2,15 +2,18 @@
 
 Every version of every path is addressed by the SHA-256 of its content. The ledger has a row for each
 blob, rule and rule version that has been scanned, with the spans found. A scan takes each distinct
-blob once, runs only the rules whose (blob, rule version) the ledger lacks, and joins the findings
-back to all versions that hold the blob. So a text with a thousand copies is scanned once, and a new
-rule version scans each blob again for that rule alone.
+blob once, runs only the rules whose (blob, rule version) the ledger lacks, appends what is new to the
+ledger, and joins the findings back to all versions that hold the blob. So a text with a thousand
+copies is scanned once, and a new rule version scans each blob again for that rule alone. The ledger
+is a Parquet folder; ``LEDGER_CONF`` names one that outlives the run, else each run starts its own.
 
 Rules: the base rules ``assign``, ``access`` and ``hex``, and the added ``pem`` (private key headers)
 and ``jwt`` (three base64url parts, the first of them a JSON object). Matches are leftmost and do not
 overlap within a rule; failing ones are dropped without retry. Places come from the lengths of the
-matches and of the gaps between them. Null text: empty. Null ids, repeated rows and ids: each row
-gets its own result. Identical blobs are merged before the shuffle, so a hot blob is a row per task.
+matches and of the gaps between them, summed in runs of ``RUN`` matches, so the work on a very long text
+grows with its matches. Null text: empty. Null ids, repeated rows and ids: each row gets its own
+result. Ties: spans of one start are listed by kind. An empty table gives no rows; extra columns are
+ignored. Identical blobs are merged before the shuffle, so a hot blob is a row per task.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Scratch
+from quillon.llm.common import Scratch, exists
 
 #: kind: (rule version, pattern, group whose length counts, least length)
 RULES = {
@@ -30,27 +33,51 @@ RULES = {
 }
 BASE = ("assign", "access", "hex")
 SPANS = "array<struct<start:bigint,end:bigint>>"
+LEDGER = f"blob string, rule string, version int, spans {SPANS}"
+#: Session setting that names a ledger's folder.
+LEDGER_CONF = "quillon.secrets.ledger"
+RUN = 512
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, where a lambda needs it again and again."""
+    return F.transform(F.array(value), use)[0]
 
 
 def rule_spans(text: Column, rule: str) -> Column:
-    """Array of (start, end) in code points, for texts that have a match at all."""
+    """Array of (start, end) in code points, for texts that have a match at all.
+
+    Places are running sums. An array that grows by one match is copied each time, so sums run over
+    runs of ``RUN`` matches, from the sums before each run.
+    """
     _, pattern, group, least = RULES[rule]
     lengths = lambda x: F.transform(x, lambda y: F.char_length(y).cast("long"))
+    # the last gap has no match: its size and value are null
     found = F.arrays_zip(
         lengths(F.split(text, pattern, -1)).alias("gap"),
         lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("size"),
         lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).alias("value"),
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("out"))
+    zero = F.lit(0).cast("long")
+    taken = lambda x: x["gap"] + F.coalesce(x["size"], zero)
 
     def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        span = F.struct(begin.alias("start"), (begin + x["size"]).alias("end"))
-        out = F.when(x["value"] >= least, F.array_append(acc["out"], span)).otherwise(acc["out"])
-        return F.struct((begin + x["size"]).alias("at"), out.alias("out"))
+        begin, end = acc["at"] + x["gap"], acc["at"] + taken(x)
+        span = F.struct(begin.alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.when(x["value"] >= least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    # the last gap has no match: its size and value are null
-    return F.aggregate(F.filter(found, lambda x: x["size"].isNotNull()), start, step, lambda acc: acc["out"])
+    def within(run, at):
+        return F.aggregate(run, F.struct(at.alias("at"), F.array().cast(SPANS).alias("out")), step, lambda acc: acc["out"])
+
+    def over(runs):
+        sums = F.transform(runs, lambda run: F.aggregate(run, zero, lambda acc, x: acc + taken(x)))
+        starts = F.aggregate(sums, F.array(zero), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+        return F.flatten(F.zip_with(runs, F.slice(starts, 1, F.size(runs)), within))
+
+    def split(matches):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / RUN).cast("int")), lambda k: F.slice(matches, k * RUN + 1, RUN))
+
+    return bound(found, lambda matches: bound(split(matches), over))
 
 
 def scan_versions(versions: DataFrame, text_col: str, ledger: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -84,10 +111,20 @@ def joined_spans(kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.transform(F.array_sort(F.concat(*parts)), lambda x: F.concat_ws(":", x["n"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def secret_spans(df: DataFrame, ledger: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """Per row: doc_id, counts of the base rules, base_sha256, all spans and the blob's address."""
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger in a folder, or None if there is none yet."""
+    return spark.read.schema(LEDGER).parquet(path) if exists(spark, path) else None
+
+
+def secret_spans(df: DataFrame, ledger: DataFrame | None = None, scratch: Scratch | None = None, append_to: str | None = None) -> DataFrame:
+    """Per row: doc_id, counts of the base rules, base_sha256, all spans and the blob's address.
+
+    What ``ledger`` lacked is appended to the folder ``append_to``.
+    """
     scratch = scratch or Scratch(df.sparkSession)
-    findings, _ = scan_versions(df, "text", ledger, scratch)
+    findings, additions = scan_versions(df, "text", ledger, scratch)
+    if append_to:
+        additions.write.mode("append").parquet(append_to)
     digest = findings.select("blob", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], F.sha2(joined_spans(BASE), 256).alias("base_sha256"), joined_spans(tuple(RULES)).alias("spans"))
     digest = scratch.table(digest)
     paths = df.select(df["doc_id"].cast("long").alias("doc_id"), F.sha2(F.coalesce(df["text"].cast("string"), F.lit("")), 256).alias("blob"))
@@ -95,7 +132,10 @@ def secret_spans(df: DataFrame, ledger: DataFrame | None = None, scratch: Scratc
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All documents against the ledger; what is new is scanned and added to it."""
+    scratch = Scratch(spark)
+    path = spark.conf.get(LEDGER_CONF, None) or f"{scratch.base}/ledger"
+    return secret_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), read_ledger(spark, path), scratch, path)
 
 
 def _duck(kind: str, rank: int, pattern: str, group: int, least: int) -> str:

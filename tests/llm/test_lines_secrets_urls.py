@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import duckdb
@@ -39,6 +40,29 @@ def test_ledger_scans_only_what_is_new(spark, make, monkeypatch):
     assert secrets.secret_spans(first, known).filter("doc_id = 3").first()["n_assign"] == 1
 
 
+def test_a_stored_ledger_saves_scans(spark, sf_dir, tmp_path):
+    path = str(tmp_path / "ledger")
+    spark.conf.set(secrets.LEDGER_CONF, path)
+    try:
+        first = sorted(map(str, secrets.op7_secrets(spark, sf_dir).collect()))
+        rows = spark.read.parquet(path)
+        n = rows.count()
+        assert n == rows.select("blob", "rule", "version").distinct().count() == len(secrets.RULES) * rows.select("blob").distinct().count() > 0
+        assert sorted(map(str, secrets.op7_secrets(spark, sf_dir).collect())) == first
+        assert spark.read.parquet(path).count() == n
+    finally:
+        spark.conf.unset(secrets.LEDGER_CONF)
+
+
+def test_many_matches_in_one_text(make):
+    rng = random.Random(5)
+    words = ["%016x" % rng.getrandbits(64) if k % 5 else "é word token='abcdefghijkl%d'" % k for k in range(200_000)]
+    text = " ".join(words)
+    row = secrets.secret_spans(make([(1, text), (2, "0" * 16)])).filter("doc_id = 1").first()
+    assert (row["n_hex"], row["n_assign"]) == (160_000, 40_000)
+    assert row["base_sha256"] == hashlib.sha256(brute_secrets(text).encode()).hexdigest()
+
+
 def test_added_secret_kinds(make):
     jwt = "eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 12
     row = secrets.secret_spans(make([(1, f"-----BEGIN RSA PRIVATE KEY----- {jwt}")])).first()
