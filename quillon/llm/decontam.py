@@ -1,16 +1,23 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words are lower-cased and lose surrounding ASCII punctuation. Seeds are the 5-word runs of the
-benchmark; a document's runs are found among them by a running Karp-Rabin hash over word numbers.
-For each (document, item) that shares a seed, the longest match of words that are not yet marked is
-marked as a tile, again and again, until no match of 5 words is left; tiles never overlap, so a
-passage whose parts were reordered is still covered. An item leaks into a document if its tiles
-cover at least ``MIN_COVERAGE`` of its words.
+benchmark; an item shorter than that is its own seed. A document's runs are found among them by
+Karp-Rabin hashes. Items whose seeds in a document could cover at least ``MIN_COVERAGE`` of their words are
+tiled: the longest match of words that are not yet marked, in item and document, is marked as a tile,
+again and again, until no match of 5 words (or of the whole item, if shorter) is left. The longest
+length is found by running Karp-Rabin hashes over the unmarked words, halving the lengths between the
+least and the last one; all free matches of that length are then marked from left to right, each hash
+hit compared word by word. Tiles never overlap, so a passage whose parts were reordered is still
+covered. An item leaks into a document if its tiles cover at least ``MIN_COVERAGE`` of its words.
+Pairs of places are never listed, so a text that says one phrase a thousand times costs no more than
+another of its length.
 
 The benchmark is the stated query set: it is read in blocks of at most ``BLOCK_CHARS`` characters,
 each block's seed index is broadcast (its size is bounded by that), and all documents are scanned
-against it in one narrow pass. Items of fewer than 5 words cannot be told from common speech and
-match nothing. Null texts have no words. Null ids, repeated rows and ids: each row gets its results.
+against it in one narrow pass; the driver holds a block at a time. Null texts have no words, and items
+without words match nothing. Null ids, repeated rows and ids: each row gets its results. Ties between
+longest matches: the first in the item, then in the document. Very long texts are read whole, one at a
+time. Empty tables give no rows. Extra columns are ignored, or carried along by the stage.
 """
 
 from __future__ import annotations
@@ -32,11 +39,34 @@ PUNCTUATION = ".,;:!?\"'()[]{}<>-_/\\|*#$%&@+=~^`"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def run_hashes(ids: np.ndarray) -> np.ndarray:
-    """Karp-Rabin hashes of all RUN-word windows of word numbers."""
-    h = np.zeros(max(0, len(ids) - RUN + 1), np.uint64)
-    for k in range(RUN):
-        h = h * BASE + ids[k : len(ids) - RUN + 1 + k].astype(np.uint64) + np.uint64(1)
+def mixed(ids: np.ndarray) -> np.ndarray:
+    """A 64-bit value per word number, spread over all bits."""
+    x = (ids.astype(np.uint64) + np.uint64(1)) * BASE
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(27))
+
+
+class Rolling:
+    """Karp-Rabin hashes of a word sequence: prefix sums give the hash of any window at once."""
+
+    def __init__(self, ids: np.ndarray):
+        self.prefix = np.zeros(len(ids) + 1, np.uint64)
+        self.power = np.ones(len(ids) + 1, np.uint64)
+        if len(ids):
+            np.multiply.accumulate(np.full(len(ids), BASE), out=self.power[1:])
+            np.add.accumulate(mixed(ids) * self.power[:-1], out=self.prefix[1:])
+
+    def windows(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of the windows of ``size`` words that start at the given places."""
+        return (self.prefix[at + size] - self.prefix[at]) * self.power[len(self.power) - 1 - at]
+
+
+def run_hashes(ids: np.ndarray, size: int = RUN) -> np.ndarray:
+    """Hashes of all windows of ``size`` word numbers, the same for equal windows of any sequence."""
+    h = np.zeros(max(0, len(ids) - size + 1), np.uint64)
+    x = mixed(ids)
+    for k in range(size):
+        h = h * BASE + x[k : len(ids) - size + 1 + k]
     return h ^ (h >> np.uint64(29))
 
 
@@ -48,15 +78,21 @@ class Index:
         self.ids, self.seqs = [], []
         for item_id, text in items:
             words = [self.words.setdefault(w, len(self.words)) for w in plain_words(text)]
-            if len(words) >= RUN:
+            if words:
                 self.ids.append(item_id)
                 self.seqs.append(np.array(words, np.int64))
-        keys = [run_hashes(s) for s in self.seqs]
-        item = np.concatenate([np.full(len(k), i) for i, k in enumerate(keys)]) if keys else np.zeros(0, np.int64)
-        at = np.concatenate([np.arange(len(k)) for k in keys]) if keys else np.zeros(0, np.int64)
-        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        order = np.argsort(key, kind="stable")
-        self.key, self.item, self.at = key[order], item[order], at[order]
+        self.sizes = np.array([len(s) for s in self.seqs], np.int64)
+        self.base = np.concatenate(([0], np.cumsum(self.sizes)))
+        # by seed length: hash, item and place of each seed, in the order of the hashes
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in sorted({min(RUN, len(s)) for s in self.seqs}):
+            of = [i for i, s in enumerate(self.seqs) if min(RUN, len(s)) == size]
+            keys = [run_hashes(self.seqs[i], size) for i in of]
+            key = np.concatenate(keys)
+            item = np.concatenate([np.full(len(k), i) for i, k in zip(of, keys)])
+            at = np.concatenate([np.arange(len(k)) for k in keys])
+            order = np.argsort(key, kind="stable")
+            self.seeds[size] = key[order], item[order], at[order]
 
     def numbers(self, text: str) -> np.ndarray:
         """Word numbers of a text, -1 for words that no item has."""
@@ -72,36 +108,35 @@ class Index:
             out.append(n)
         return np.array(out, np.int64)
 
+    def candidates(self, doc: np.ndarray, size: int) -> np.ndarray:
+        """Items of a seed length whose seeds in the document could cover enough of them."""
+        key, item, at = self.seeds[size]
+        if len(doc) < size:
+            return np.zeros(0, np.int64)
+        valid = np.lib.stride_tricks.sliding_window_view(doc >= 0, size).all(1)
+        there = np.unique(run_hashes(doc, size)[valid])
+        low, high = np.searchsorted(key, there, "left"), np.searchsorted(key, there, "right")
+        n = (high - low)[high > low]
+        if not len(n):
+            return np.zeros(0, np.int64)
+        place = np.repeat(low[high > low] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        covered = np.unique(((self.base[item[place]] + at[place])[:, None] + np.arange(size)).ravel())
+        owner = np.searchsorted(self.base, covered, "right") - 1
+        items, most = np.unique(owner, return_counts=True)
+        return items[most >= MIN_COVERAGE * self.sizes[items]]
+
     def leaks(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, words of the item, tiled words, tiles) of items that leak into a text."""
         doc = self.numbers(text)
-        if len(doc) < RUN or not len(self.key):
-            return []
-        valid = np.lib.stride_tricks.sliding_window_view(doc >= 0, RUN).all(1)
-        spots = np.flatnonzero(valid)
-        if not len(spots):
-            return []
-        key = run_hashes(doc)[spots]
-        low, high = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
-        n = high - low
-        if not n.any():
-            return []
-        j = np.repeat(spots, n)
-        place = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        item, i = self.item[place], self.at[place]
+        found = np.sort(np.concatenate([self.candidates(doc, size) for size in self.seeds])) if self.seeds else ()
+        rolling = Rolling(doc) if len(found) else None
         out = []
-        order = np.argsort(item, kind="stable")
-        item, i, j = item[order], i[order], j[order]
-        cut = np.flatnonzero(np.diff(item)) + 1
-        for s, e in zip(np.append(0, cut), np.append(cut, len(item))):
-            seq = self.seqs[item[s]]
-            most = len(np.unique((i[s:e, None] + np.arange(RUN)).ravel()))
-            if most < MIN_COVERAGE * len(seq):
-                continue
-            tiles = tiling(seq, doc, i[s:e], j[s:e])
+        for k in found:
+            seq = self.seqs[k]
+            tiles = tiling(seq, doc, rolling)
             total = sum(t[2] for t in tiles)
-            if total >= MIN_COVERAGE * len(seq):
-                out.append((self.ids[item[s]], len(seq), total, len(tiles)))
+            if total and total >= MIN_COVERAGE * len(seq):
+                out.append((self.ids[k], len(seq), total, len(tiles)))
         return out
 
 
@@ -110,23 +145,62 @@ def plain_words(text: str) -> list[str]:
     return [w for w in (x.strip(PUNCTUATION) for x in text.lower().split()) if w]
 
 
-def tiling(item: np.ndarray, doc: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int, int]]:
-    """Greedy tiles (place in item, place in document, length) from seeds at (i, j); seeds are verified."""
-    same = (item[i[:, None] + np.arange(RUN)] == doc[j[:, None] + np.arange(RUN)]).all(1)
-    i, j = i[same], j[same]
-    order = np.lexsort((i, j - i))
-    i, j = i[order], j[order]
-    tiles = []
-    while len(i):
-        fresh = np.concatenate(([True], (np.diff(j - i) != 0) | (np.diff(i) != 1)))
-        starts = np.flatnonzero(fresh)
-        runs = np.diff(np.append(starts, len(i)))
-        best = min(np.flatnonzero(runs == runs.max()), key=lambda k: (i[starts[k]], j[starts[k]]))
-        a, b, size = int(i[starts[best]]), int(j[starts[best]]), int(runs[best]) + RUN - 1
-        tiles.append((a, b, size))
-        free = ((i >= a + size) | (i + RUN <= a)) & ((j >= b + size) | (j + RUN <= b))
-        i, j = i[free], j[free]
-    return tiles
+def free_starts(free: np.ndarray, size: int) -> np.ndarray:
+    """Places of the windows of ``size`` words that hold no marked word."""
+    if len(free) < size:
+        return np.zeros(0, np.int64)
+    taken = np.concatenate(([0], np.cumsum(~free)))
+    return np.flatnonzero(taken[size:] == taken[:-size])
+
+
+def tiling(item: np.ndarray, doc: np.ndarray, rolling: Rolling | None = None) -> list[tuple[int, int, int]]:
+    """Greedy tiles (place in item, place in document, length), longest first."""
+    least = min(RUN, len(item))
+    # words that the item lacks end every match
+    open_doc, open_item = np.isin(doc, item) & (doc >= 0), np.ones(len(item), bool)
+    words = rolling or Rolling(doc)
+    own = Rolling(np.concatenate([item, np.full(max(0, len(doc) - len(item)), -1)]))
+    if len(own.power) != len(words.power):
+        words = Rolling(np.concatenate([doc, np.full(len(own.power) - len(words.power), -1)]))
+
+    def shared(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        i, j = free_starts(open_item, size), free_starts(open_doc, size)
+        x, y = own.windows(i, size), words.windows(j, size)
+        in_item, in_doc = np.isin(x, y), np.isin(y, x)
+        return i[in_item], x[in_item], j[in_doc], y[in_doc]
+
+    tiles, top = [], len(item)
+    while True:
+        low, high = least - 1, min(top, len(doc))
+        while low < high:
+            middle = (low + high + 1) // 2
+            if len(shared(middle)[0]):
+                low = middle
+            else:
+                high = middle - 1
+        if low < least:
+            return tiles
+        i, x, j, y = shared(low)
+        order = np.argsort(y, kind="stable")
+        j, y = j[order], y[order]
+        first, end = np.searchsorted(y, x, "left"), np.searchsorted(y, x, "right")
+        next_of: dict[int, int] = {}
+        marked = len(tiles)
+        for a, f, e in zip(i.tolist(), first.tolist(), end.tolist()):
+            if not open_item[a : a + low].all():
+                continue
+            k = next_of.get(f, f)
+            while k < e:
+                b = int(j[k])
+                k += 1
+                if open_doc[b : b + low].all() and (item[a : a + low] == doc[b : b + low]).all():
+                    tiles.append((a, b, low))
+                    open_item[a : a + low] = False
+                    open_doc[b : b + low] = False
+                    break
+            next_of[f] = k
+        # a length of which only unequal windows share a hash is passed by
+        top = low - (len(tiles) == marked)
 
 
 def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[Index]:

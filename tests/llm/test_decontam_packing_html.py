@@ -57,6 +57,49 @@ def test_leaks_and_stage(spark, make):
     assert decontam.leaked_items(make(rows), bench.limit(0)).count() == 0
 
 
+def test_items_of_few_words_are_found_whole(spark, make):
+    bench = spark.createDataFrame([(1, "Paris, of course!"), (2, "Four words stand here"), (3, "?!"), (4, "x")], "item_id long, text string")
+    rows = [(1, "they said paris of course and left"), (2, "paris of nothing course"), (3, "(four) words STAND here."), (4, "four words stand"), (5, "an x there"), (6, "")]
+    got = {(r["doc_id"], r["item_id"], r["n_item_words"], r["n_tiled"]) for r in decontam.leaked_items(make(rows), bench).collect()}
+    assert got == {(1, 1, 3, 3), (3, 2, 4, 4), (5, 4, 1, 1)}
+    assert sorted(r["doc_id"] for r in decontam.clean_documents(make(rows), bench).collect()) == [2, 4, 6]
+
+
+def test_repetitive_texts_make_no_product_of_places():
+    import time
+
+    item = " ".join(["so", "it", "goes"] * 134)
+    index = decontam.Index([(1, item), (2, " ".join(f"w{k}" for k in range(300)))])
+    started = time.time()
+    assert index.leaks(" ".join(["so", "it", "goes"] * 70_000)) == [(1, 402, 402, 1)]
+    mixed = " ".join(f"w{k}" for s in range(299, -1, -7) for k in range(s - 6, s + 1) if k >= 0)
+    (found,) = index.leaks(mixed + " so it goes" * 60_000)[1:]
+    assert found[0] == 2 and found[2] >= 0.9 * 300 and found[3] > 30
+    assert time.time() - started < 20
+
+
+def test_query_equals_brute_force(spark, make):
+    rng = np.random.default_rng(11)
+    words = np.array("alpha beta gamma delta eps zeta eta theta iota kappa".split())
+    items = [" ".join(rng.choice(words, n)) for n in (3, 5, 8, 12, 15, 20)]
+    docs = []
+    for k in range(40):
+        parts = [" ".join(rng.choice(words, 12))]
+        for _ in range(rng.integers(0, 4)):
+            x = items[rng.integers(0, len(items))].split()
+            a = rng.integers(0, max(1, len(x) - 4))
+            parts.append(" ".join(x[a : a + rng.integers(3, 14)]))
+        docs.append((k, " ".join(parts)))
+    want = set()
+    for d, text in docs:
+        for i, item in enumerate(items):
+            total = brute_tiling(item.split(), text.split(), min(5, len(item.split())))
+            if total >= 0.6 * len(item.split()):
+                want.add((d, i, total))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["n_tiled"]) for r in decontam.leaked_items(make(docs), bench).collect()} == want and want
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
