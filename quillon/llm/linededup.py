@@ -9,16 +9,19 @@ at a time: the pattern of most documents, where a pattern is a signature's words
 documents have at their places, if these are enough places; until no leaf's pattern recurs. What
 fits no template is a template of its own.
 A template that recurs in ``MIN_DOCS`` documents or more is boilerplate, and all its lines are
-dropped. Documents with the same longest signature count once, so exact copies, and most near
-copies, of one text do not turn its lines into boilerplate. That is so unless they are different
-texts: if over half of them, and ``MIN_DOCS`` at least, differ in their other lines (compared by the
-least and the greatest hash of these), each of the different ones counts.
+dropped. Documents are counted as different texts: exact copies count once, and texts that share
+their longest signature, as near copies do, count once too, unless they are different texts but for
+it: if over half of them, and ``MIN_DOCS`` at least, differ in their other lines (compared by the
+first and the last of these in byte order), each of the different ones counts.
 
 Lines are what \\n splits; lines without a word are kept and count in no template. Null text: stays
-null, no lines. Null ids, repeated rows and ids: each row gets its own result. Signatures are
-aggregated before they are grouped, so a line that a third of all rows share is one row per task.
-Only leaves with several signatures and at least ``MIN_DOCS`` documents are taken apart by place.
-Texts are keyed by 128 bits of hash, signatures by 64 bits.
+null, no lines. Null ids, repeated rows and ids: each row gets its own result. Ties between words or
+patterns of a leaf: the greater in byte order. Very long texts are one row with an array of lines until
+these are rows of their own. An empty table gives no rows. Extra columns are carried along, whatever
+their names. Signatures are aggregated before they are grouped, so a line that a third of all rows
+share is one row per task. Only leaves with several signatures and at least ``MIN_DOCS`` documents are
+taken apart by place. Texts, signatures, leaves and documents are keyed by 128 bits of hash. Lines are
+taken apart once, and written with their signatures.
 """
 
 from __future__ import annotations
@@ -39,53 +42,57 @@ def text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(17), text).alias("k2")]
 
 
-def signatures(text: Column) -> Column:
-    """Array of the signatures of a text's lines; "" for a line without a word.
+def key128(*cols) -> Column:
+    """128 bits that stand for some values."""
+    return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(17), *cols).alias("b"))
+
+
+def signature(line: Column) -> Column:
+    """The signature of a line; "" for one without a word.
 
     Patterns run only on lines that need them: most lines have no digit and single spaces.
     """
     variable = rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
     odd = lambda x: reduce(Column.__or__, [F.contains(x, F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r")], F.startswith(x, F.lit(" ")) | F.endswith(x, F.lit(" ")))
-    masked = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, variable, "<*>")).otherwise(x)
-    single = lambda x: F.when(odd(x), F.trim(F.regexp_replace(x, r"[\x20\x09\x0B-\x0D]+", " "))).otherwise(x)
-    return F.transform(F.transform(F.split(text, "\n", -1), masked), single)
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, variable, "<*>")).otherwise(line)
+    return F.when(odd(masked), F.trim(F.regexp_replace(masked, r"[\x20\x09\x0B-\x0D]+", " "))).otherwise(masked)
 
 
 def _lines(df: DataFrame) -> DataFrame:
-    """A row per line with a word: text key, place, signature, the document's longest signature, and the
-    lines with another signature than that (or all, if there is none) as ``rest``."""
+    """A row per line with a word: text key, place, signature, and the document as ``doc`` (its longest
+    signature) and ``rest`` (the first and last line of another signature, or all lines if there is none)."""
     text = df["text"].cast("string")
-    docs = df.filter(text.isNotNull()).select(*text_keys(text), F.split(text, "\n", -1).alias("raw"), signatures(text).alias("sigs"))
-    longest = F.array_max(F.transform("sigs", lambda x: F.struct(F.char_length(x).alias("n"), x.alias("s"))))
-    docs = docs.select("k1", "k2", "raw", "sigs", longest["s"].alias("top"))
-    hashed = F.zip_with("raw", "sigs", lambda x, s: F.when((s != "") & (s != F.col("top")), F.xxhash64(x)))
-    ends = F.struct(F.array_min("others").alias("a"), F.array_max("others").alias("b"))
-    docs = docs.withColumn("others", hashed).select("k1", "k2", "raw", "sigs", "top", ends.alias("ends"))
-    rest = F.when(F.col("ends.a").isNull(), F.xxhash64(F.array_sort("raw"))).otherwise(F.xxhash64("ends.a", "ends.b"))
-    docs = docs.select("k1", "k2", "sigs", F.xxhash64("top").alias("doc"), rest.alias("rest"))
-    return docs.select("k1", "k2", "doc", "rest", F.posexplode("sigs").alias("place", "sig")).filter("sig <> ''")
+    docs = df.filter(text.isNotNull()).select(*text_keys(text), F.split(text, "\n", -1).alias("raw"))
+    docs = docs.select("k1", "k2", F.transform("raw", lambda x: F.struct(x.alias("raw"), signature(x).alias("sig"))).alias("lines"))
+    top = F.array_max(F.transform("lines", lambda x: F.struct(F.char_length(x["sig"]).alias("n"), x["sig"].alias("s"))))["s"]
+    docs = docs.select("k1", "k2", "lines", top.alias("top"))
+    others = F.transform("lines", lambda x: F.when((x["sig"] != "") & (x["sig"] != F.col("top")), x["raw"]))
+    docs = docs.select("k1", "k2", "lines", "top", F.array_min(others).alias("least"), F.array_max(others).alias("most"))
+    rest = F.when(F.col("least").isNull(), key128(F.array_sort(F.col("lines.raw")))).otherwise(key128("least", "most"))
+    docs = docs.select("k1", "k2", F.col("lines.sig").alias("sigs"), key128("top").alias("doc"), rest.alias("rest"))
+    return docs.select("k1", "k2", "doc", "rest", F.posexplode("sigs").alias("place", "text")).filter("text <> ''")
 
 
 def _leaf(sig: Column) -> Column:
     words = F.length(sig) - F.length(F.replace(sig, F.lit(" "), F.lit("")))
-    return F.xxhash64(words, F.substring_index(sig, " ", DEPTH))
+    return key128(words, F.substring_index(sig, " ", DEPTH))
 
 
 def boilerplate(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(lines, gone): all lines as hashes (k1, k2, place, sig), written once; and the hashes of the
+    """(lines, gone): all lines (k1, k2, place, sig as its key), written once; and the keys of the
     signatures whose template recurs in MIN_DOCS documents."""
-    lines = scratch.table(_lines(df).select("k1", "k2", "place", "doc", "rest", _leaf(F.col("sig")).alias("leaf"), F.xxhash64("sig").alias("sig")))
+    lines = scratch.table(_lines(df).select("k1", "k2", "place", "doc", "rest", _leaf(F.col("text")).alias("leaf"), key128("text").alias("sig"), "text"))
     texts = lines.groupBy("doc", "rest").agg(F.count_distinct("k1", "k2").alias("n"))
     mixed = texts.groupBy("doc").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
     mixed = scratch.table(mixed.filter((F.col("kinds") >= MIN_DOCS) & (2 * F.col("kinds") > F.col("n"))).select("doc", F.lit(True).alias("mixed")))
-    doc = F.when(F.col("mixed"), F.xxhash64("doc", "rest")).otherwise(F.col("doc"))
+    doc = F.when(F.col("mixed"), key128("doc", "rest")).otherwise(F.col("doc"))
     seen = scratch.table(lines.select("leaf", "sig", "doc", "rest").distinct().join(mixed, "doc", "left").select("leaf", "sig", doc.alias("doc")).distinct())
     per_sig = scratch.table(seen.groupBy("leaf", "sig").agg(F.count("*").alias("docs")))
     wide = per_sig.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("sigs")).filter((F.col("docs") >= MIN_DOCS) & (F.col("sigs") > 1)).select("leaf")
     wide = scratch.table(wide)
-    texts = _lines(df).select(_leaf(F.col("sig")).alias("leaf"), "sig").join(wide, "leaf", "left_semi").distinct()
-    words = texts.select("leaf", F.xxhash64("sig").alias("sig"), F.posexplode(F.split("sig", " ")).alias("at", "word")).filter(F.col("at") >= DEPTH)
-    words = scratch.table(words.join(per_sig.withColumnRenamed("leaf", "l"), "sig").select("leaf", "sig", "at", "word", "docs"))
+    texts = lines.select("leaf", "sig", "text").join(wide, "leaf", "left_semi").distinct()
+    words = texts.select("leaf", "sig", F.posexplode(F.split("text", " ")).alias("at", "word")).filter(F.col("at") >= DEPTH)
+    words = scratch.table(words.join(per_sig, ["leaf", "sig"]).select("leaf", "sig", "at", "word", "docs"))
     votes = words.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("docs"))
     template = votes.groupBy("leaf", "at").agg(F.max_by("word", F.struct("docs", "word")).alias("constant"))
     member = _fitting(scratch, words, scratch.table(template))
@@ -97,11 +104,12 @@ def boilerplate(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         words = scratch.table(words.join(found, ["leaf", "sig"], "left_anti"))
         often = words.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("votes")).filter(F.col("votes") >= MIN_DOCS)
         fixed = words.join(often, ["leaf", "at", "word"], "left").select("leaf", "sig", F.struct("at", F.when(F.col("votes").isNotNull(), F.col("word")).alias("word")).alias("x"))
-        patterns = fixed.groupBy("leaf", "sig").agg(F.array_sort(F.collect_list("x")).alias("pattern"), F.count("*").alias("n"), F.count("x.word").alias("kept"))
-        patterns = scratch.table(patterns.filter(F.col("kept") >= SIMILARITY * F.col("n")).select("leaf", "sig", F.to_json("pattern").alias("pattern"), "pattern.at", F.col("pattern.word").alias("constant")))
-        best = seen.join(patterns, ["leaf", "sig"]).groupBy("leaf", "pattern").agg(F.count_distinct("doc").alias("docs"), F.first("at").alias("at"), F.first("constant").alias("constant"))
-        best = best.groupBy("leaf").agg(F.max_by(F.arrays_zip("at", "constant"), F.struct("docs", "pattern")).alias("x")).select("leaf", F.explode("x").alias("x"))
-        found = _recurring(scratch, seen, _fitting(scratch, words, scratch.table(best.select("leaf", "x.at", "x.constant"))))
+        patterns = fixed.groupBy("leaf", "sig").agg(F.array_sort(F.collect_list("x")).alias("parts"), F.count("*").alias("n"), F.count("x.word").alias("kept"))
+        pattern = F.array_join("parts.word", " ", "")
+        patterns = scratch.table(patterns.filter(F.col("kept") >= SIMILARITY * F.col("n") - 1e-9).select("leaf", "sig", pattern.alias("pattern"), "parts"))
+        best = seen.join(patterns, ["leaf", "sig"]).groupBy("leaf", "pattern").agg(F.count_distinct("doc").alias("docs"), F.first("parts").alias("parts"))
+        best = best.groupBy("leaf").agg(F.max_by("parts", F.struct("docs", "pattern")).alias("x")).select("leaf", F.explode("x").alias("x"))
+        found = _recurring(scratch, seen, _fitting(scratch, words, scratch.table(best.select("leaf", "x.at", F.col("x.word").alias("constant")))))
         if found.isEmpty():
             return lines, scratch.table(gone.distinct())
         gone = gone.unionByName(found.select("sig"))
@@ -110,7 +118,7 @@ def boilerplate(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
 def _fitting(scratch: Scratch, words: DataFrame, template: DataFrame) -> DataFrame:
     """(leaf, sig) of the signatures that agree with their leaf's template (leaf, at, constant)."""
     agree = words.join(template, ["leaf", "at"]).groupBy("leaf", "sig").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("word") == F.col("constant"), F.lit(False)).cast("int")).alias("same"))
-    return scratch.table(agree.filter(F.col("same") >= SIMILARITY * F.col("n")).select("leaf", "sig"))
+    return scratch.table(agree.filter(F.col("same") >= SIMILARITY * F.col("n") - 1e-9).select("leaf", "sig"))
 
 
 def _recurring(scratch: Scratch, seen: DataFrame, member: DataFrame) -> DataFrame:
@@ -147,22 +155,42 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-ORACLE = r"""
+def _oracle(rounds: int = 2) -> str:
+    """The rule in SQL, on the texts themselves; further templates of a leaf are looked for ``rounds`` times."""
+    steps, gone = "", "SELECT sig FROM per_sig WHERE docs >= 5 UNION SELECT sig FROM found0"
+    for r in range(1, rounds + 1):
+        steps += f"""
+words{r} AS (SELECT w.* FROM words{r - 1} w ANTI JOIN found{r - 1} USING (n, head, sig)),
+often{r} AS (SELECT n, head, place, word FROM words{r} GROUP BY ALL HAVING sum(docs) >= 5),
+pattern{r} AS (SELECT n, head, sig, string_agg(coalesce(o.word, ''), ' ' ORDER BY w.place) AS pattern FROM words{r} w LEFT JOIN often{r} o USING (n, head, place, word) GROUP BY ALL HAVING count(o.word) >= 0.7 * count(*)),
+best{r} AS (SELECT n, head, pattern FROM (SELECT n, head, pattern, row_number() OVER (PARTITION BY n, head ORDER BY count(DISTINCT doc) DESC, pattern DESC) AS k FROM seen JOIN pattern{r} USING (n, head, sig) GROUP BY n, head, pattern) WHERE k = 1),
+member{r} AS (SELECT n, head, sig FROM words{r} JOIN best{r} USING (n, head) GROUP BY ALL HAVING sum(CASE WHEN word = string_split(pattern, ' ')[place] THEN 1 ELSE 0 END) >= 0.7 * count(*)),
+found{r} AS (SELECT n, head, sig FROM member{r} JOIN (SELECT n, head FROM seen JOIN member{r} USING (n, head, sig) GROUP BY ALL HAVING count(DISTINCT doc) >= 5) USING (n, head)),"""
+        gone += f" UNION SELECT sig FROM found{r}"
+    return rf"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-raw AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM docs),
-lines AS (SELECT r, place, line, array_to_string(list_transform(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> ''),
+raw AS (SELECT r, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM docs),
+lines AS (SELECT r, text, place, line, array_to_string(list_transform(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> ''),
   lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END), ' ') AS sig FROM raw),
-longest AS (SELECT r, sig AS doc FROM (SELECT r, sig, row_number() OVER (PARTITION BY r ORDER BY length(sig) DESC, sig DESC) AS k FROM lines) WHERE k = 1),
-worded AS (SELECT lines.*, doc, len(string_split(sig, ' ')) AS n, array_to_string(string_split(sig, ' ')[1:3], ' ') AS head FROM lines JOIN longest USING (r) WHERE sig <> ''),
+longest AS (SELECT r, sig AS top FROM (SELECT r, sig, row_number() OVER (PARTITION BY r ORDER BY length(sig) DESC, sig DESC) AS k FROM lines) WHERE k = 1),
+ends AS (SELECT r, top, text, min(line) FILTER (WHERE sig <> '' AND sig <> top) AS least, max(line) FILTER (WHERE sig <> '' AND sig <> top) AS most FROM lines JOIN longest USING (r) GROUP BY ALL),
+kept AS (SELECT r, top, text, CASE WHEN least IS NULL THEN array_to_string(list_sort(string_split(text, chr(10))), chr(10)) ELSE least || chr(10) || chr(10) || most END AS rest FROM ends),
+mixed AS (SELECT top FROM kept WHERE top <> '' GROUP BY top HAVING count(DISTINCT rest) >= 5 AND 2 * count(DISTINCT rest) > count(DISTINCT text)),
+named AS (SELECT r, CASE WHEN mixed.top IS NULL THEN kept.top ELSE kept.top || chr(10) || rest END AS doc FROM kept LEFT JOIN mixed USING (top)),
+worded AS (SELECT lines.*, doc, len(string_split(sig, ' ')) AS n, array_to_string(string_split(sig, ' ')[1:3], ' ') AS head FROM lines JOIN named USING (r) WHERE sig <> ''),
 seen AS (SELECT DISTINCT n, head, sig, doc FROM worded),
 per_sig AS (SELECT n, head, sig, count(*) AS docs FROM seen GROUP BY ALL),
 wide AS (SELECT n, head FROM per_sig GROUP BY ALL HAVING sum(docs) >= 5 AND count(*) > 1),
-words AS (SELECT n, head, sig, docs, unnest(string_split(sig, ' ')[4:]) AS word, generate_subscripts(string_split(sig, ' ')[4:], 1) AS place FROM per_sig JOIN wide USING (n, head)),
-votes AS (SELECT n, head, place, word, sum(docs) AS docs FROM words GROUP BY ALL),
+words0 AS (SELECT n, head, sig, docs, unnest(string_split(sig, ' ')[4:]) AS word, generate_subscripts(string_split(sig, ' ')[4:], 1) AS place FROM per_sig JOIN wide USING (n, head)),
+votes AS (SELECT n, head, place, word, sum(docs) AS docs FROM words0 GROUP BY ALL),
 template AS (SELECT n, head, place, word AS constant FROM (SELECT *, row_number() OVER (PARTITION BY n, head, place ORDER BY docs DESC, word DESC) AS k FROM votes) WHERE k = 1),
-member AS (SELECT n, head, sig FROM words JOIN template USING (n, head, place) GROUP BY ALL HAVING sum(CASE WHEN word = constant THEN 1 ELSE 0 END) >= 0.7 * count(*)),
+member AS (SELECT n, head, sig FROM words0 JOIN template USING (n, head, place) GROUP BY ALL HAVING sum(CASE WHEN word = constant THEN 1 ELSE 0 END) >= 0.7 * count(*)),
 spread AS (SELECT n, head FROM (SELECT DISTINCT n, head, doc FROM seen JOIN member USING (n, head, sig)) GROUP BY ALL HAVING count(*) >= 5),
-gone AS (SELECT sig FROM per_sig WHERE docs >= 5 UNION SELECT sig FROM member JOIN spread USING (n, head))
-SELECT doc_id, array_to_string(list(line ORDER BY place) FILTER (WHERE NOT cut), chr(10)) AS text, count(line) AS n_lines, count(*) FILTER (WHERE cut) AS n_dropped
+found0 AS (SELECT n, head, sig FROM member JOIN spread USING (n, head)),{steps}
+gone AS ({gone})
+SELECT doc_id, CASE WHEN count(line) > 0 THEN coalesce(array_to_string(list(line ORDER BY place) FILTER (WHERE NOT cut), chr(10)), '') END AS text, count(line) AS n_lines, count(*) FILTER (WHERE cut) AS n_dropped
 FROM (SELECT docs.r, doc_id, place, line, coalesce(sig IN (SELECT sig FROM gone), false) AS cut FROM docs LEFT JOIN lines USING (r)) GROUP BY r, doc_id
 """
+
+
+ORACLE = _oracle()

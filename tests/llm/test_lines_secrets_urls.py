@@ -108,6 +108,30 @@ def test_several_templates_in_one_leaf(make):
     assert len(got) == 15 and all(r["n_dropped"] == 1 and r["text"] == "\n".join(rows[r["doc_id"]][1].split("\n")[::2]) for r in got)
 
 
+def test_a_licence_that_is_the_longest_line_goes(make):
+    letters = "abcdefghijklmnopqrst"
+    licence = " ".join(f"licence{c * 9}" for c in letters)
+    for own in (1, 4):
+        rows = [(k, "\n".join([licence, *(f"{letters[k]} has {letters[j]}{letters[k]}" for j in range(own))])) for k in range(20)]
+        assert [r["n_dropped"] for r in linededup.line_dedup(make(rows)).collect()] == [1] * 20
+
+
+def test_line_rule_equals_its_sql(spark, make, tmp_path):
+    letters = "abcdefghijklmnop"
+    forms = ["disk {0} of the main server is now full again", "user {0} has just signed in from our office", "mail {0} could not be sent to any known box"]
+    notice = " ".join(f"notice{c * 6}" for c in letters)
+    rows = [(k, f"own {letters[k]}{letters[(5 * k + 3) % 16]} line {letters[-k]}\n2024-01-{k + 10} 10:{k + 10} {k} {forms[k % 3].format(letters[k] * 4)}\n{notice if k % 2 else letters[k] * 30}\n \n") for k in range(16)]
+    rows += [(50 + k, f"A copied text of {k // 3} lines\nand one more\n{letters[k] * 3}") for k in range(12)] + [(90, None), (91, ""), (92, "\n"), (None, "one line"), (1, notice), (93, "x " * 30_000 + "\n" + notice)]
+    df = make(rows, extra=False)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(map(str, con.execute(linededup.ORACLE).fetchall()))
+    got = linededup.op6_line_dedup(spark, str(tmp_path)).collect()
+    assert sorted(str((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"])) for r in got) == want
+    assert sum(r["n_dropped"] for r in got) >= 24
+
+
 def test_rules_and_hosts(spark):
     urls = ["http://A.Net/x", "https://example.net/en/p?q", "https://example.net/EN/", "https://sub.example.com/de/", "https://example.com/fr/", "http://x.org/fr/a#b", "http://notnet/", "http://net", "no scheme", None, "http://badexample.net/en/x"]
     pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
