@@ -20,7 +20,9 @@ Search for links of at most ``distance`` differing bits among the distinct finge
 Exact copies are one fingerprint from the start. m follows from the number of fingerprints, so that
 a bucket holds 64 of them on average. The driver sees 4096 agreement counts, at most 2^14 histogram
 rows a group, and counters. Null text: empty. Null doc_id: kept; component_id is the smallest id
-that is not null in the component, or null. Repeated rows and ids: each row gets its result.
+that is not null in the component, or null. Repeated rows and ids: each row gets its result. Ties (a bit
+set in just half of the hashes): not set. Very long texts are read whole, one at a time. An empty table
+gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +31,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from quillon.llm.common import Scratch, mapped, slices
 from quillon.llm.graph import components
@@ -42,9 +42,6 @@ BITS = 64
 TILE = 2048
 PREFIX = 14
 FEW_HOT = 100_000
-#: MinHash of the pipeline's stage: 1 - (1 - 0.8 ** 5) ** 32 of the pairs of similarity 0.8 share a band.
-BANDS, BAND_ROWS = 32, 5
-XORS, ODDS = (np.random.default_rng(s).integers(0, 2**64, BANDS * BAND_ROWS, np.uint64) | np.uint64(o) for s, o in ((1, 0), (2, 1)))
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -65,7 +62,11 @@ def shingles(text: str | None, k: int) -> np.ndarray:
 
 def fingerprint(text: str | None, k: int) -> int:
     """Unsigned 64-bit SimHash of a text."""
-    hashes = shingles(text, k)
+    return simhash(shingles(text, k))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of hashes, with repeats."""
     if not len(hashes):
         return 0
     counts = np.zeros(BITS, np.int64)
@@ -141,7 +142,10 @@ def flips(width: int, t: int) -> list[int]:
 
 
 def allocate(distinct: DataFrame, groups: list[list[int]], distance: int) -> list[int]:
-    """Thresholds by dynamic programming on the estimated candidates of each group and threshold."""
+    """Thresholds by dynamic programming on the estimated candidates of each group and threshold.
+
+    They go up to 2, or as far as ``distance`` needs: beyond about 15 bits, buckets are many.
+    """
 
     def count(batches):
         total = [np.zeros(1 << min(PREFIX, len(g)), np.int64) for g in groups]
@@ -159,7 +163,7 @@ def allocate(distinct: DataFrame, groups: list[list[int]], distance: int) -> lis
     choices = []
     for g, h in zip(groups, hist):
         costs = {-1: 0.0}
-        for t in range(0, min(3, distance + 1, len(g))):
+        for t in range(0, min(max(3, -(-(distance + 1) // len(groups))), distance + 1, len(g))):
             masks = flips(min(PREFIX, len(g)), t)
             index = np.arange(len(h))
             pairs = sum(float((h * h[index ^ x]).sum()) for x in masks) / 2.0 ** max(0, len(g) - PREFIX)
@@ -287,65 +291,5 @@ def near_duplicate_classes(df: DataFrame, k: int = 4, distance: int = 4) -> Data
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def band_keys(distinct: np.ndarray) -> np.ndarray:
-    """A key per band of the MinHash signature of a set of shingle hashes."""
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(distinct), 4096):
-        least = np.minimum(least, ((distinct[None, at : at + 4096] ^ XORS[:, None]) * ODDS[:, None]).min(1))
-    return np.array([xxhash.xxh64_intdigest(band.tobytes()) for band in least.reshape(BANDS, BAND_ROWS)], np.uint64)
-
-
-def similar(scratch: Scratch, rows: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(a, b): sets of shingles (cls) of ``rows`` (cls, bands, text) of at least this Jaccard similarity.
-
-    Candidates share a band; all pairs of a bucket are compared, on all their shingles.
-    """
-    buckets = rows.select("cls", F.posexplode("bands").alias("band", "key")).groupBy("band", "key").agg(F.collect_set("cls").alias("members")).filter(F.size("members") > 1)
-    buckets = scratch.table(buckets.select(F.array_sort("members").alias("members")).distinct())
-    pairs = buckets.select("members", F.posexplode("members").alias("at", "a"))
-    pairs = scratch.table(pairs.select("a", F.explode(F.expr("slice(members, at + 2, size(members))")).alias("b")).distinct())
-    need = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    texts = rows.select("cls", "text").join(need, "cls", "left_semi").groupBy("cls").agg(F.first("text").alias("text"))
-    arrow = pa.schema([("cls", pa.int64()), ("set", pa.list_(pa.int64()))])
-    sets = scratch.table(mapped(texts, lambda part: {"cls": part.column(0), "set": [np.unique(shingles(t, k)).view(np.int64) for t in part.column(1).to_pylist()]}, "cls long, set array<long>", arrow))
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
-    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("all"))
-    return both.filter(F.col("n") >= similarity * (F.col("all") - F.col("n")) - 1e-9).select("a", "b")
-
-
-def near_deduplicated(df: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The row of the smallest doc_id of each component, unchanged, with the input's columns.
-
-    Texts are linked if the Jaccard similarity of their sets of k-word shingles is ``similarity`` or
-    more; candidates come from MinHash bands, which miss a pair of similarity 0.8 with a probability
-    of 3e-6. Texts with the same set are one from the start; texts without words are one set. Rows are
-    written once with their set's hash, bands and a row number, so that each later read sees the same
-    rows. Of repeated ids the first row stays; a component without ids keeps its first row.
-    """
-    scratch = Scratch(df.sparkSession)
-    text_at, id_at = df.columns.index("text"), df.columns.index("doc_id")
-    source = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.monotonically_increasing_id().alias("rid"))
-    bands = pa.list_(pa.int64())
-
-    def add(batches):
-        for batch in batches:
-            texts, ids = (batch.column(0).field(i) for i in (text_at, id_at))
-            cls, keys = [], []
-            for at in range(0, batch.num_rows, 256):
-                for t in texts.slice(at, 256).to_pylist():
-                    distinct = np.unique(shingles(t, k))
-                    cls.append(xxhash.xxh64_intdigest(distinct.tobytes()))
-                    keys.append(band_keys(distinct).view(np.int64) if len(distinct) else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pc.cast(ids, pa.int64()), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(keys, bands)], schema=batch.schema.append(pa.field("doc_id", pa.int64())).append(pa.field("cls", pa.int64())).append(pa.field("bands", bands)))
-
-    schema = StructType([*source.schema.fields, StructField("doc_id", LongType()), StructField("cls", LongType()), StructField("bands", ArrayType(LongType()))])
-    rows = scratch.table(source.mapInArrow(add, schema))
-    edges = similar(scratch, rows.select("cls", "bands", F.col("row.text").cast("string").alias("text")), k, similarity)
-    roots = scratch.table(components(scratch, edges).withColumnRenamed("node", "cls"))
-    first = rows.select("doc_id", "rid", "cls").join(roots, "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("rid"))
-    # always by sort-merge: one plan at every size, and no broadcast that grows with the groups
-    return rows.join(scratch.table(first.select("rid")).hint("merge"), "rid", "left_semi").select("row.*")
-
-
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))

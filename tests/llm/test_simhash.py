@@ -3,7 +3,7 @@ import re
 import numpy as np
 import xxhash
 
-from quillon.llm import simhash
+from quillon.llm import neardedup, simhash
 from quillon.llm.common import Scratch
 from quillon.llm.graph import components
 
@@ -99,10 +99,10 @@ def test_components_of_chains_stars_and_loops(spark):
 
 def test_stage_keeps_the_first_of_each_group(make):
     df = make([(2, "a b c d e f g"), (1, "A b c d e f g"), (1, "A b c d e f g"), (3, "other words stand in this text"), (None, "alone here with no id at all"), (4, None), (5, "")])
-    out = simhash.near_deduplicated(df)
+    out = neardedup.near_deduplicated(df)
     assert out.columns == df.columns
     assert sorted((r["doc_id"] or -1) for r in out.collect()) == [-1, 1, 3, 4]
-    assert simhash.near_deduplicated(make([])).count() == 0
+    assert neardedup.near_deduplicated(make([])).count() == 0
 
 
 def test_stage_drops_pairs_of_similarity_080(make):
@@ -119,5 +119,66 @@ def test_stage_drops_pairs_of_similarity_080(make):
         w = t.split()
         sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
     near = {2 * k + 1 for k in range(60) if len(sets[2 * k] & sets[2 * k + 1]) >= 0.8 * len(sets[2 * k] | sets[2 * k + 1])}
-    kept = {r["doc_id"] for r in simhash.near_deduplicated(make(rows)).collect()}
+    kept = {r["doc_id"] for r in neardedup.near_deduplicated(make(rows)).collect()}
     assert 10 < len(near) < 50 and kept == {i for i, _ in rows} - near
+
+
+def near_rows(n, rng, change):
+    """Copies of one text with a few words changed in each, and what similarity 0.8 makes of them."""
+    base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    rows = []
+    for k in range(n):
+        words = list(base)
+        for at in rng.choice(150, 1 + k % change, replace=False):
+            words[at] = f"c{k}"
+        rows.append((k, " ".join(words)))
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(146)} for _, t in rows]
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(n):
+        for b in range(a):
+            same = len(sets[a] & sets[b])
+            if same >= 0.8 * (len(sets[a]) + len(sets[b]) - same):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return rows, {find(k) for k in range(n)}
+
+
+def test_stage_joins_a_group_as_all_pairs_do(make, monkeypatch):
+    """A group that falls into several components, in tiles much smaller than it."""
+    monkeypatch.setattr(neardedup, "TILE_TEXTS", 16)
+    monkeypatch.setattr(neardedup, "FEW", 5)
+    rows, want = near_rows(150, np.random.default_rng(7), 9)
+    kept = {r["doc_id"] for r in neardedup.near_deduplicated(make(rows)).collect()}
+    assert kept == want and 3 < len(want) < 140
+
+
+def test_tile_links_are_a_forest_of_all_links():
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool[(k // 6) * 20 : (k // 6) * 20 + 130], 120, replace=False)) for k in range(60)]
+    for side in (None, [k % 2 == 0 for k in range(60)]):
+        got = neardedup.tile_links(sets, list(range(60)), side, 0.8)
+        near = [(a, b) for a in range(60) for b in range(a) if (side is None or side[a] != side[b]) and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+        classes = []
+        for edges in (got, near):
+            root = list(range(60))
+            for a, b in edges:
+                x, y = root[a], root[b]
+                root = [x if r == y else r for r in root]
+            classes.append({frozenset(i for i in range(60) if root[i] == r) for r in root})
+        assert classes[0] == classes[1] and len(got) == 60 - len(classes[0]) and near
+
+
+def test_wide_distances_find_all_links(spark):
+    rng = np.random.default_rng(4)
+    fps = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 40)]
+    fps += [f ^ sum(1 << int(b) for b in rng.choice(62, 16, replace=False)) for f in fps[:20]]
+    scratch = Scratch(spark)
+    got = dict(components(scratch, simhash.links(scratch, scratch.table(spark.createDataFrame([(f,) for f in fps], "fp long")), 16)).collect())
+    assert all(got[fps[k]] == got[fps[40 + k]] for k in range(20))
