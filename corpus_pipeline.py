@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm.common import Scratch
 from quillon.llm.decontam import clean_documents
 from quillon.llm.linededup import line_dedup
+from quillon.llm.neardedup import near_deduplicated
 from quillon.llm.packing import packed
 from quillon.llm.quality import quality_verdicts
-from quillon.llm.simhash import near_deduplicated
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
