@@ -264,7 +264,16 @@ def neighbour_lists(spark, d):
     return conversation_ranking(spark, d).filter(F.size("neighbours") > 0).select("query_id", "id", F.array_join("neighbours", ",").alias("neighbours"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE n AS (SELECT conv_id AS query_id, turn AS id, length(text) AS score, list_distinct(list_filter([parent_prev, parent_next, section_prev, section_next], lambda c: c IS NOT NULL)) AS u, [parent_prev, parent_next, section_prev, section_next] AS c FROM ({SIBLINGS})),
+k AS (SELECT * FROM (SELECT query_id, id, list_filter(c, lambda x, i: x IS NOT NULL AND list_position(c, x) = i) AS c, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM n) WHERE rank <= 8),
+ids AS (SELECT query_id, list(id) AS ids FROM k GROUP BY query_id),
+fold AS (SELECT query_id, 0 AS rank, CAST(NULL AS BIGINT) AS id, CAST([] AS BIGINT[]) AS taken, CAST([] AS BIGINT[]) AS every FROM ids
+UNION ALL SELECT query_id, rank, id, new AS taken, list_concat(every, new) AS every FROM (
+  SELECT k.query_id, k.rank, k.id, fold.every, list_filter(k.c, lambda x: NOT list_contains(fold.every, x) AND NOT list_contains(ids.ids, x))[1:greatest(0, 2 - len(fold.every))] AS new
+  FROM fold JOIN k ON k.query_id = fold.query_id AND k.rank = fold.rank + 1 JOIN ids ON ids.query_id = k.query_id))
+SELECT query_id, id, array_to_string(taken, ',') AS taken FROM fold WHERE rank > 0"""
+)
 def neighbour_budget(spark, d):
     return retrieval.within_budget(conversation_ranking(spark, d)).select("query_id", "id", F.array_join("taken", ",").alias("taken"))
 
@@ -621,25 +630,63 @@ def number_extract(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0)), "|").alias("quantities"))
 
 
-@query()
-def quantity_extract(spark, d):
-    import pandas as pd
+MEASURED = """CASE p_partkey % 6 WHEN 0 THEN 'weighs ' || p_size || ' kilograms and costs ' || (p_partkey % 900 + 1) || ',000.50 at most'
+WHEN 1 THEN 'cooled by −' || p_size || ' °C in ' || p_size || ' hrs' WHEN 2 THEN 'a ' || p_size || 'GB disk, see 2401.' || (10000 + p_partkey) || 'v2'
+WHEN 3 THEN p_size || 'e3 Hz and ' || p_size || '.250 Percent' WHEN 4 THEN 'x' || p_size || ' is none, ' || p_size || 'w neither, ' || p_size || ' w is' ELSE p_name END"""
 
-    def run(frames):
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "quantities": ["|".join(f"{n:f}{u or ''}" for (n, u), _ in verify.quantities(t or "")) for t in f["text"]]})
 
-    return documents(spark, d).select("doc_id", "text").mapInPandas(run, "doc_id long, quantities string")
+@query(
+    """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_size || 'kg|' || (p_partkey % 900 + 1) || '000.5' WHEN 1 THEN '-' || p_size || '°c|' || p_size || 'h' WHEN 2 THEN p_size || ''
+WHEN 3 THEN p_size || '000hz|' || p_size || '.25%' WHEN 4 THEN p_size || 'w' ELSE '' END AS quantities FROM part"""
+)
+def quantity_extract(spark, d):
+    """Quantities of sentences made of the parts' sizes."""
+    return table(spark, d, "part").select("p_partkey", F.array_join(verify.quantities(F.expr(MEASURED)), "|").alias("quantities"))
 
 
-@query()
+@query(
+    """WITH s AS (SELECT conv_id, turn, upper(role[1]) || ':' || (length(text) % 7) AS said FROM conversations)
+SELECT conv_id * 1000 + turn AS claim_id, (SELECT count(*) FROM s o WHERE o.conv_id = s.conv_id AND o.turn <> s.turn AND o.said = s.said) > 0 AS supported FROM s"""
+)
 def claim_support(spark, d):
-    """Each turn as a claim against the other turns of its conversation."""
-    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    turns = Window.partitionBy("conv_id").orderBy("turn")
-    others = [F.collect_list("text").over(turns.rowsBetween(*ends)) for ends in ((Window.unboundedPreceding, -1), (1, Window.unboundedFollowing))]
-    quotes = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("claim_id"), F.col("text").alias("claim"), F.concat(*others).alias("quotes"))
-    return verify.claim_checks(quotes)
+    """What each turn states of its length, against what the other turns of its conversation state.
+
+    Statements are counted per conversation first, so a turn meets each different one once.
+    """
+    said = F.concat(F.lit("In dataset "), F.upper(F.substring("role", 1, 1)), F.lit(" it took "), (F.char_length("text") % 7).cast("string"), F.lit(" ms"))
+    c = table(spark, d, "conversations").select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("claim_id"), said.alias("claim"))
+    stated = c.groupBy("conv_id", "claim").agg(F.count("*").alias("n")).groupBy("conv_id").agg(F.collect_list(F.struct("claim", "n")).alias("stated"))
+    others = F.filter("stated", lambda s: (s["claim"] != F.col("claim")) | (s["n"] > 1))
+    return verify.claim_checks(c.join(stated, "conv_id").select("claim_id", "claim", F.transform(others, lambda s: s["claim"]).alias("quotes")))
+
+
+@query("SELECT doc_id AS claim_id, doc_id % 4 = 0 AS supported FROM documents")
+def claim_evidence(spark, d):
+    """Claims on a document's length, of which one in four states what its two quotes do; the others
+    state another number, another condition or the opposite direction."""
+    n = F.col("n_chars").cast("string")
+    more = (F.col("n_chars") + 1).cast("string")
+    quotes = F.array(F.concat(F.lit("Model A gains "), n, F.lit(" ms. Model B needs "), more, F.lit(" s")), F.lit("模型甲 5 % 下降"))
+    kind = F.col("doc_id") % 4
+    claim = F.when(kind == 0, F.concat(F.lit("in model A gains were "), n, F.lit(" milliseconds"))).when(kind == 1, F.concat(F.lit("Model A gains "), more, F.lit(" ms")))
+    claim = claim.when(kind == 2, F.concat(F.lit("Model B gains "), n, F.lit(" ms"))).otherwise(F.concat(F.lit("Model A never gains "), n, F.lit(" ms")))
+    return verify.claim_checks(table(spark, d, "documents").select(F.col("doc_id").alias("claim_id"), claim.alias("claim"), quotes.alias("quotes")))
+
+
+@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'completed' WHEN 1 THEN 'invalid_model_output' WHEN 2 THEN 'unverified_citations' WHEN 3 THEN 'insufficient_evidence' ELSE 'unverified_evidence' END AS status FROM documents")
+def answer_status(spark, d):
+    """Answers on a document's length, of which each sixth fails another check."""
+    kind, n = F.col("doc_id") % 6, F.col("n_chars").cast("string")
+    work = F.concat(F.lit("W"), F.col("doc_id").cast("string"))
+    claim = F.concat(F.lit("It has "), F.when(kind == 5, F.lit("7.5")).otherwise(n), F.lit(" ms ("), work, F.lit(")"))
+    quote = F.concat(F.when(kind == 4, "about ").otherwise("has "), n, F.lit(" ms"))
+    evidence = F.when(kind == 3, F.array().cast("array<struct<source:string,quote:string>>")).otherwise(F.array(F.struct(work.alias("source"), quote.alias("quote"))))
+    claims = F.array(F.struct(claim.alias("text"), evidence.alias("evidence")))
+    answer = F.concat(claim, F.when(kind == 1, " and more").otherwise(""))
+    listed = F.array(F.when(kind == 2, F.concat(work, F.lit("0"))).otherwise(work))
+    seen = F.create_map(work, F.array(F.concat(F.lit("it has "), n, F.lit(" ms in all"))))
+    status = verify.answer_status(F.col("answer"), F.col("claims"), F.col("listed"), F.col("seen"))
+    return table(spark, d, "documents").select("doc_id", answer.alias("answer"), claims.alias("claims"), listed.alias("listed"), seen.alias("seen")).select("doc_id", status.alias("status"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '\\bW\\d+\\b')) AS n_works FROM documents")
@@ -647,17 +694,81 @@ def inline_citations(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(T.WORK_CITATION), F.lit(0))).alias("n_works"))
 
 
-@query()
+def line_kind_sql(x: str) -> str:
+    """The kind of a squeezed line in DuckDB SQL."""
+    named = ", ".join(T.quoted(n) for n in T.NAMED_HEADINGS)
+    return f"""CASE WHEN regexp_matches({x}, {T.quoted(T.FIGURE_CAPTION)}) THEN 'figure_caption' WHEN regexp_matches({x}, {T.quoted(T.TABLE_CAPTION)}) THEN 'table_caption'
+  WHEN regexp_matches({x}, {T.quoted(T.NUMBERED_HEADING)}) OR {T.casefold_sql(f"regexp_replace({x}, '[:：.]$', '')")} IN ({named}) THEN 'heading' ELSE 'paragraph' END"""
+
+
+@query(
+    rf"""WITH lines AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g')) AS x FROM documents)
+SELECT doc_id, {line_kind_sql("x")} AS kind, count(*) AS n FROM lines GROUP BY ALL"""
+)
 def line_kinds(spark, d):
     lines = documents(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     return lines.groupBy("doc_id", T.line_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query()
+_TRIMMED = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
+_WHOLE = """CASE WHEN strlen(rest) <= 1800 THEN length(rest) ELSE length(decode(unhex(substr(hex(encode(rest)), 1, 2 * CASE WHEN substr(hex(encode(rest)), 3601, 1) NOT IN ('8', '9', 'A', 'B') THEN 1800
+  WHEN substr(hex(encode(rest)), 3599, 1) NOT IN ('8', '9', 'A', 'B') THEN 1799 WHEN substr(hex(encode(rest)), 3597, 1) NOT IN ('8', '9', 'A', 'B') THEN 1798 ELSE 1797 END)))) END"""
+#: From ``parts`` (id, start, rest) all bounded pieces (id, s, piece), one cut of each rest at a time.
+PIECES = rf"""measured AS (SELECT id, start, rest, {_WHOLE} AS whole FROM parts WHERE rest <> ''
+UNION ALL SELECT id, start, rest, {_WHOLE} FROM (
+  SELECT id, start + size + length(substr(rest, size + 1)) - length(regexp_replace(substr(rest, size + 1), '^\s+', '')) AS start, regexp_replace(substr(rest, size + 1), '^\s+', '') AS rest FROM (
+    SELECT id, start, rest, CASE WHEN whole = length(rest) THEN whole WHEN length(w) < whole - greatest(1, whole // 2) AND whole - length(w) - 1 > 0 THEN whole - length(w) - 1 ELSE whole END AS size
+    FROM (SELECT *, regexp_extract(substr(rest, greatest(1, whole // 2) + 1, whole - greatest(1, whole // 2)), '[^ \n]*$') AS w FROM measured))) WHERE rest <> ''),
+cut AS (SELECT id, start, substr(rest, 1, CASE WHEN whole = length(rest) THEN whole WHEN length(w) < whole - greatest(1, whole // 2) AND whole - length(w) - 1 > 0 THEN whole - length(w) - 1 ELSE whole END) AS raw
+  FROM (SELECT *, regexp_extract(substr(rest, greatest(1, whole // 2) + 1, whole - greatest(1, whole // 2)), '[^ \n]*$') AS w FROM measured)),
+pieces AS (SELECT id, start + length(raw) - length(regexp_replace(raw, '^\s+', '')) AS s, {_TRIMMED.format("raw")} AS piece FROM cut WHERE raw <> '')"""
+
+
+@query(
+    rf"""WITH RECURSIVE docs AS (SELECT doc_id, {_TRIMMED.format("text")} AS body FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM docs WHERE body <> ''),
+placed AS (SELECT doc_id, line, sum(length(line) + 1) OVER w - length(line) - 1 AS place, sum(CASE WHEN regexp_matches(line, '^\s*$') THEN 1 ELSE 0 END) OVER w AS g FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+para AS (SELECT doc_id, g, min(place) AS b, max(place + length(line)) AS e FROM placed WHERE line <> '' GROUP BY ALL),
+texts AS (SELECT para.*, CAST(b AS BIGINT) AS start, substr(body, CAST(b AS BIGINT) + 1, CAST(e - b AS BIGINT)) AS rest FROM para JOIN docs USING (doc_id)),
+named AS (SELECT *, CASE WHEN regexp_matches(rest, '^\s{{0,3}}#{{1,6}}\s+(.+?)\s*#*\s*$') THEN regexp_extract(rest, '^\s{{0,3}}#{{1,6}}\s+(.+?)\s*#*\s*$', 1)[1:120] END AS heading FROM texts),
+sections AS (SELECT *, coalesce(last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY g ROWS UNBOUNDED PRECEDING), '{chunking.NO_SECTION}') AS section, doc_id * 1000000 + g AS id FROM named),
+parts AS (SELECT id, start, rest FROM sections WHERE heading IS NULL),
+{PIECES},
+listed AS (SELECT doc_id, section, s, piece, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS ordinal FROM pieces JOIN sections USING (id))
+SELECT docs.doc_id, CAST(ordinal AS INTEGER) AS ordinal, section, CAST(s AS INTEGER) AS char_start, CAST(s + length(piece) AS INTEGER) AS char_end, piece AS text,
+  CASE WHEN piece IS NOT NULL THEN NULL WHEN body = '' THEN 'the text is empty' ELSE 'the text has no paragraphs' END AS error FROM docs LEFT JOIN listed USING (doc_id)"""
+)
 def chunk_plain(spark, d):
     return chunking.chunk_documents(documents(spark, d))
 
 
+@query(
+    f"""WITH RECURSIVE parts AS (SELECT conv_id * 1000 + turn AS id, 0 AS start, {_TRIMMED.format('text')} AS rest FROM conversations),
+{PIECES},
+placed AS (SELECT conv_id AS doc_id, turn, role, pieces.* FROM pieces JOIN conversations ON id = conv_id * 1000 + turn)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY turn, s) - 1 AS INTEGER) AS ordinal, CAST(turn AS VARCHAR) AS element_id, role AS section, CAST(s AS INTEGER) AS char_start, CAST(s + length(piece) AS INTEGER) AS char_end, piece AS text FROM placed"""
+)
+def chunk_element(spark, d):
+    """Turns as elements of their conversation."""
+    columns = [F.col("conv_id").alias("doc_id"), F.col("turn").alias("order_index"), F.col("turn").cast("string").alias("element_id"), F.lit(1).alias("page_number"), F.lit("paragraph").alias("element_type")]
+    elements = table(spark, d, "conversations").select(*columns, F.array("role").alias("section_path"), "text", F.lit(None).cast("array<array<string>>").alias("rows"), F.lit(1).alias("header_rows"))
+    return chunking.chunk_element_table(elements).select("doc_id", "ordinal", "element_id", F.col("section_path")[0].alias("section"), "char_start", "char_end", "text")
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_partkey AS VARCHAR) || ' x' || CAST(l_suppkey AS VARCHAR) AS cells FROM lineitem)
+SELECT l_orderkey AS doc_id, 'Order ' || l_orderkey || chr(10) || 'line | item / part' || chr(10) || string_agg(l_linenumber || ' | ' || cells, chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey) AS text FROM r GROUP BY l_orderkey"""
+)
+def chunk_order_table(spark, d):
+    """Each order's lines as a table with two header rows and a blank header column."""
+    row = F.array(F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.concat(F.lit("x"), F.col("l_suppkey").cast("string")))
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", row.alias("cells")))), lambda x: x["cells"]).alias("body"))
+    header = F.array(F.array(F.lit("line"), F.lit("item"), F.lit("")), F.array(F.lit("line"), F.lit("part"), F.lit("")))
+    key = F.col("l_orderkey").cast("string")
+    elements = rows.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("order_index"), key.alias("element_id"), F.lit(1).alias("page_number"), F.lit("table").alias("element_type"), F.lit(None).cast("array<string>").alias("section_path"), F.concat(F.lit("Order "), key).alias("text"), F.concat(header, "body").alias("rows"), F.lit(2).alias("header_rows"))
+    return chunking.chunk_element_table(elements).select("doc_id", "text")
+
+
 @query(
     """SELECT item_id AS query_id, v.doc_id AS work_id, md5(v.text) AS content_sha256 FROM benchmark CROSS JOIN (SELECT doc_id, text FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20) v
 WHERE (item_id + v.doc_id) % 3 <> 0"""
