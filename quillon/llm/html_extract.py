@@ -2,20 +2,29 @@
 
 Text blocks are counted over all pages of their host by place, which is the labels of the blocks
 they lie in: a text that ``CONSTANT`` of the pages with its place have there is template, other texts
-fill slots. The lowest node that holds most of the slot text of the host's page of least hash is the
-content region; an ``article`` or ``main`` element with slot text comes first. That page's skeleton, at
-full depth, the place of the region in it and the digests of template texts are the wrapper.
-Every page is aligned with its host's wrapper by simple tree matching, the largest common ordered
-subtree, found by dynamic programming over children; the node that meets the region is its content. Pages without a wrapper, or that do not meet it, use their own article, main or densest node;
-of a page that lacks its host's article, template texts are left out there too.
-
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-left out by element, role, and words of class and id. Outside a semantic element, template nodes are
-left out too; in an ``article``, which states its own extent, equal text is still the article's.
+fill slots, and a place's slot mass is the characters of its slots on all pages. The region is the
+lowest node of the host's page of least hash that holds most of the slot mass; an ``article`` or
+``main`` that holds a good part of it, or of all text, states its own extent and is the region
+as a whole. That page's skeleton, the place of the region in it and the digests of template texts are
+the wrapper. Every page is aligned with its host's wrapper by simple tree matching, the largest common
+ordered subtree, found by dynamic programming over children; the node that meets the region is its
+content. Pages without a wrapper, or that do not meet it, use their own article, main or densest
+node, without template texts unless it is an article.
+
+Skeletons hold block elements at full depth, of each node's children the first ``ALIKE`` of one shape:
+alignment needs no more of a long list, and its work stays bounded. Labels leave out digits.
+
+Within the region, menus, footers, sidebars, forms, scripts and styles go by element and role, what is
+hidden goes, and outside an article template texts go. Class and id words are the last resort, for
+what varies and has no element of its own, as adverts and reader comments: a name counts only if all
+its words are such hints or layout words (``ad-box``, not ``related-work``); n_hinted tells how many
+elements of the region went by it alone.
 Text: character references decoded, white space of a block as one space, blocks joined by one space.
 Truncated and ill-nested markup is accepted. Null html: empty. Null url: no wrapper. Null ids and
-repeated rows: each row gets its own result. Pages are processed whole; the wrappers are joined, by
-broadcast only if Spark finds them small.
+repeated rows: each row gets its own result. Ties: the first page of least hash, the deepest of equal
+regions. Pages are processed whole, however long; an empty table gives no rows; extra columns are
+ignored. Wrappers are joined, by broadcast only if Spark finds them small. A template needs a place
+that ``LAYOUT`` of the host's pages have, so a host has a bounded number of them.
 """
 
 from __future__ import annotations
@@ -23,6 +32,7 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +45,12 @@ from quillon.llm.urlfilter import host_of
 
 #: Share of the pages with a place that have the same text there, from which the text is template.
 CONSTANT = 0.9
+#: Pages that must show a text for it to be template, and share of a host's pages that a place must be on.
+LEAST_PAGES, LAYOUT = 3, 0.01
+#: Share of the slot mass that the region holds, and that an article or main must hold to be it.
+MOST, SEMANTIC = 0.8, 0.3
+#: Children of one shape that a skeleton keeps of a node.
+ALIKE = 16
 #: Fixed values of the HTML standard: elements without content, and elements that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -42,37 +58,50 @@ RAW = frozenset("script style textarea title noscript iframe xmp".split())
 CHROME = frozenset("nav footer aside form script style noscript template iframe button select textarea svg head title dialog menu object canvas audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 HINTS = frozenset("ad ads advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+LAYOUT_WORDS = frozenset("area article bar block body bottom box btn button buttons card col column container content entry fixed footer group header icon inline inner item items left link links list main outer page panel post posts region right row section site text title top user users wrap wrapper".split())
 CLOSES_P = BLOCK - {"br", "body", "html", "caption", "td", "th", "tr", "li", "dd", "dt", "option", "optgroup", "title", "legend", "summary", "tbody", "thead", "tfoot"}
 SCOPES = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
+_token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+)(>|\Z)", re.S)
 _attr = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z)", re.I)
 _end = re.compile(r"</(?:body|html)\s*>", re.I)
-_split = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_split = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+_digits = re.compile(r"[0-9]+")
+
+
+def hints(value: str) -> bool:
+    """Whether a class or id has a name that stands for what is not the main text."""
+    for name in value.split():
+        words = [w.lower() for w in _split.split(name) if w and not w.isdigit()]
+        if any(w in HINTS for w in words) and all(w in HINTS or w in LAYOUT_WORDS for w in words):
+            return True
+    return False
 
 
 class Node:
     """An element; children are nodes and strings in page order."""
 
-    __slots__ = ("tag", "chrome", "children", "label")
+    __slots__ = ("tag", "chrome", "hinted", "children", "label")
 
     def __init__(self, tag: str, attrs: str = "", inside_article: bool = False):
         self.tag, self.children = tag, []
         self.chrome = tag in CHROME or (tag == "header" and not inside_article)
+        self.hinted = False
         self.label = tag
         if attrs and tag not in ("html", "body", "article", "main"):
             for m in _attr.finditer(attrs):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if name in ("class", "id"):
-                    words = {w.lower() for w in _split.split(value) if w} | set(value.lower().split())
-                    self.chrome |= bool(words & HINTS)
+                    self.hinted |= hints(value)
                     if name == "class":
-                        self.label = f"{tag}.{value.lower()}"
+                        self.label = f"{tag}.{_digits.sub('', value.lower())}"
                 elif name == "role":
                     self.chrome |= value.lower() in ROLES
                 elif name == "style":
                     self.chrome |= "display:none" in value.lower().replace(" ", "")
                 else:
                     self.chrome |= name == "hidden" or value.lower() == "true"
+        self.hinted &= not self.chrome
+        self.chrome |= self.hinted
 
     def elements(self) -> list[Node]:
         return [c for c in self.children if not isinstance(c, str)]
@@ -137,12 +166,12 @@ def digest(text: str) -> int:
     return int.from_bytes(xxhash.xxh64_digest(text), "big", signed=True)
 
 
-def placed(node: Node) -> list[tuple[int, str]]:
+def placed(node: Node, above: int = 0) -> list[tuple[int, str]]:
     """(place, text) of the blocks under a node, without chrome; a place is the hash of the labels of the
-    block elements from the node down to the text."""
+    block elements from the root, whose place is ``above``, down to the text."""
     out: list[tuple[int, str]] = []
     held: list[str] = []
-    at = here = 0
+    at = here = above
 
     def close():
         if held:
@@ -187,14 +216,36 @@ def walk(root: Node) -> Iterator[tuple[tuple[int, ...], Node]]:
 
 
 def skeleton(node: Node) -> list:
-    """[label, children]: block structure for matching; inline elements and chrome contents are left out."""
-    out: list = [node.label, []]
-    todo = [(node, out)]
+    """[label, children, place among its siblings]: block structure for matching; inline elements and
+    chrome contents are left out, and of children of one shape all but the first ``ALIKE``."""
+    out: list = [node.label, [], 0]
+    order, todo = [], [(node, out)]
     while todo:
         x, mine = todo.pop()
-        for c in block_children(x):
-            mine[1].append([c.label, []])
+        order.append(mine)
+        for k, c in enumerate(block_children(x)):
+            mine[1].append([c.label, [], k])
             todo.append((c, mine[1][-1]))
+    shapes: dict[tuple, int] = {}
+    shape_of: dict[int, int] = {}
+    for tree in reversed(order):  # children come before their parents
+        kept, met = [], {}
+        for c in tree[1]:
+            shape = shape_of[id(c)]
+            met[shape] = met.get(shape, 0) + 1
+            if met[shape] <= ALIKE:
+                kept.append(c)
+        tree[1] = kept
+        shape_of[id(tree)] = shapes.setdefault((tree[0], tuple(shape_of[id(c)] for c in kept)), len(shapes))
+    return out
+
+
+def real_path(tree: list, path: tuple[int, ...]) -> tuple[int, ...]:
+    """Places among block children for a path of places in a skeleton."""
+    out: tuple[int, ...] = ()
+    for k in path:
+        tree = tree[1][k]
+        out = (*out, tree[2])
     return out
 
 
@@ -202,7 +253,7 @@ def flat(tree: list) -> list:
     """[depth, label] of a skeleton's nodes in page order; JSON of nested lists has a bounded depth."""
     out, todo = [], [(0, tree)]
     while todo:
-        depth, (label, inner) = todo.pop()
+        depth, (label, inner, *_) = todo.pop()
         out.append([depth, label])
         todo.extend((depth + 1, c) for c in reversed(inner))
     return out
@@ -294,50 +345,84 @@ def own_text(node: Node) -> str:
     return " ".join(html_lib.unescape("".join(c if isinstance(c, str) else " ".join(blocks(c)) for c in node.children if isinstance(c, str) or (c.tag not in BLOCK and not c.chrome))).split())
 
 
-def induce(pages: list[str], constant: frozenset[int] | None = None) -> dict | None:
+def block_places(root: Node) -> list[tuple[tuple[int, ...], int, str]]:
+    """(path of the nearest skeleton node, place, text) of the blocks of a page, without chrome."""
+    out = []
+    todo: list = [((), 0, root)]
+    while todo:
+        path, above, node = todo.pop()
+        inner = block_children(node)
+        deeper = {id(c) for c in inner}
+        # the node with its deeper blocks cut out: what is left is its own text, inline parts included
+        bare = Node(node.tag)
+        bare.label = node.label
+        bare.children = [c if isinstance(c, str) or id(c) not in deeper else Node("br") for c in node.children]
+        out += [(path, place, text) for place, text in placed(bare, above) if text]
+        here = xxhash.xxh64_intdigest(node.label, above) if node.tag in BLOCK else above
+        todo.extend(((*path, k), here, c) for k, c in enumerate(inner) if not c.chrome)
+    return out
+
+
+def induce(pages: list[str], constant: frozenset[int] | None = None, mass: dict[int, tuple[int, int]] | None = None) -> dict | None:
     """The wrapper of a host's reference pages: skeleton, region path and digests of template texts.
 
-    ``constant`` has the digests of the host's constant texts; without it, aligned nodes of equal text
-    in all of ``pages`` are constant.
+    ``constant`` has the digests of the host's template texts and ``mass`` the slot and all characters
+    of its places; without them, aligned nodes of equal text in all of ``pages`` are template, and the
+    first page's own texts are the mass.
     """
     trees = [parse(p) for p in pages]
     skeletons = [skeleton(t) for t in trees]
-    first = trees[0]
-    nodes = {(): first}
-    todo = [()]
-    while todo:
-        p = todo.pop()
-        for k, c in enumerate(block_children(nodes[p])):
-            nodes[(*p, k)] = c
-            todo.append((*p, k))
-    own = {p: "" if n.chrome else own_text(n) for p, n in nodes.items()}
+    first, shape = trees[0], skeletons[0]
+    found = block_places(first)
     if constant is None:
         same: dict[tuple[int, ...], int] = {}
         for tree, sk in zip(trees[1:], skeletons[1:]):
-            for p, q in aligned(skeletons[0], sk).items():
-                same[p] = same.get(p, 0) + (own_text(nodes[p]) == own_text(at_path(tree, q)))
-        constant = frozenset(digest(own[p]) for p, n in same.items() if n == len(pages) - 1 and own[p])
-    mass: dict[tuple[int, ...], int] = {}
-    for p, text in sorted(own.items(), key=lambda x: -len(x[0])):
-        if text and digest(text) not in constant:
-            mass[p] = mass.get(p, 0) + len(text)
-        if p and p in mass:
-            mass[p[:-1]] = mass.get(p[:-1], 0) + mass[p]
-    if not mass:
+            for p, q in aligned(shape, sk).items():
+                mine, theirs = at_path(first, real_path(shape, p)), at_path(tree, real_path(sk, q))
+                same[p] = same.get(p, 0) + (not mine.chrome and own_text(mine) == own_text(theirs))
+        everywhere = [own_text(at_path(first, real_path(shape, p))) for p, n in same.items() if n == len(pages) - 1]
+        constant = frozenset(digest(t) for t in everywhere if t)
+    if mass is None:
+        mass = {}
+        for _, place, text in found:
+            slot, every = mass.get(place, (0, 0))
+            mass[place] = (slot + len(text) * (digest(text) not in constant), every + len(text))
+    shared = Counter(place for _, place, _ in found)
+    slots: dict[tuple[int, ...], float] = {}
+    texts: dict[tuple[int, ...], float] = {}
+    for path, place, _ in found:
+        slot, every = mass.get(place, (0, 0))
+        for held, n in ((slots, slot), (texts, every)):
+            if n:
+                held[path] = held.get(path, 0) + n / shared[place]
+    for held in (slots, texts):
+        for depth in range(max(map(len, held), default=0), 0, -1):
+            for path in [p for p in held if len(p) == depth]:
+                held[path[:-1]] = held.get(path[:-1], 0) + held[path]
+    if not slots and not texts:
         return None
-    semantic = [p for p, n in nodes.items() if n.tag in ("article", "main") and mass.get(p)]
+    total, every = slots.get((), 0), texts.get((), 0)
+    nodes: dict[tuple[int, ...], tuple[int, ...]] = {}
+    semantic, todo = [], [((), (), shape)]
+    while todo:
+        path, real, tree = todo.pop()
+        nodes[path] = real
+        if tree[0] in ("article", "main") and (slots.get(real, 0) > SEMANTIC * total or texts.get(real, 0) > 0.5 * every):
+            semantic.append(path)
+        todo.extend(((*path, k), (*real, c[2]), c) for k, c in enumerate(tree[1]))
     if semantic:
-        region = max(semantic, key=lambda p: (mass[p], len(p)))
+        region = max(semantic, key=lambda p: (round(slots.get(nodes[p], 0), 6), round(texts.get(nodes[p], 0), 6), len(p)))
+    elif not slots:
+        return None
     else:
-        region = ()
+        region, tree = (), shape
         while True:
-            inner = block_children(nodes[region])
-            deeper = [k for k in range(len(inner)) if mass.get((*region, k), 0) > 0.8 * mass[()]]
-            if not deeper or not block_children(inner[deeper[0]]):
+            deeper = [k for k, c in enumerate(tree[1]) if c[1] and slots.get(nodes[(*region, k)], 0) > MOST * total]
+            if not deeper:
                 break
-            region = (*region, deeper[0])
+            region, tree = (*region, deeper[0]), tree[1][deeper[0]]
     template = sorted(constant)
-    return {"skeleton": skeletons[0], "region": list(region), "template": [] if semantic else template, "outside": template}
+    return {"skeleton": shape, "region": list(region), "template": [] if semantic else template, "outside": template}
 
 
 def fallback(root: Node) -> Node:
@@ -355,29 +440,39 @@ def fallback(root: Node) -> Node:
         best = deeper[0]
 
 
-def main_text(page: str | None, wrapper: dict | None) -> str:
-    """Main text of a page, given its host's wrapper."""
-    if not page:
-        return ""
+def region_of(page: str, wrapper: dict | None) -> tuple[Node, frozenset[int]]:
+    """The content node of a page, given its host's wrapper, and the template texts to leave out of it."""
     root = parse(page)
     region = None
     if wrapper:
-        target = tuple(wrapper["region"])
-        found = _meet(wrapper["skeleton"], skeleton(root), target)
-        region = at_path(root, found) if found is not None else None
+        shape = skeleton(root)
+        found = _meet(wrapper["skeleton"], shape, tuple(wrapper["region"]))
+        region = at_path(root, real_path(shape, found)) if found is not None else None
     if region is None or (region.tag not in ("article", "main") and any(n.tag in ("article", "main") for _, n in walk(root))):
         region = fallback(root)
-        if wrapper and region.tag not in ("article", "main") and _semantic(wrapper):
-            # another layout than the host's article, or a page that ends before it: what is not constant on the host
-            return " ".join(blocks(region, frozenset(wrapper["outside"])))
-    return " ".join(blocks(region, frozenset(wrapper["template"]) if wrapper else frozenset()))
+        if wrapper and region.tag not in ("article", "main"):
+            # another layout than the wrapper's, or a page that ends before it: what is not template on the host
+            return region, frozenset(wrapper["outside"])
+    return region, frozenset(wrapper["template"]) if wrapper else frozenset()
 
 
-def _semantic(wrapper: dict) -> bool:
-    node = wrapper["skeleton"]
-    for k in wrapper["region"]:
-        node = node[1][k]
-    return node[0] in ("article", "main")
+def main_text(page: str | None, wrapper: dict | None) -> str:
+    """Main text of a page, given its host's wrapper."""
+    return " ".join(blocks(*region_of(page, wrapper))) if page else ""
+
+
+def hinted_elements(region: Node) -> int:
+    """Elements with text under a node that class and id words alone leave out."""
+    n, todo = 0, list(region.elements())
+    while todo:
+        x = todo.pop()
+        if x.hinted:
+            bare = Node(x.tag)
+            bare.chrome, bare.children = False, x.children
+            n += bool(blocks(bare))
+        elif not x.chrome:
+            todo.extend(x.elements())
+    return n
 
 
 def _meet(a: list, b: list, target: tuple[int, ...]) -> tuple[int, ...] | None:
@@ -395,15 +490,14 @@ def _meet(a: list, b: list, target: tuple[int, ...]) -> tuple[int, ...] | None:
     return out
 
 
-def constants(source: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, constant): digests of the texts that are the same on nearly all pages with their place.
+def counted(source: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, place, text, n, lo, hi, chars) over all pages of ``source`` (host, h, html).
 
-    Counted over all pages of ``source`` (host, h, html): a place is there or not, so pages of several
-    layouts do not hide each other's template. A text must be on two different pages at least. The
-    last block of a page that ends without </body> or </html> may be cut, and does not count.
+    Per text (its digest) of a place, per place (text null) and per host (place null): pages, least and
+    greatest page hash, characters. The last block of a page that ends without </body> or </html> may
+    be cut, and does not count.
     """
-    schema = pa.schema([("host", pa.string()), ("place", pa.int64()), ("text", pa.int64()), ("n", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    schema = pa.schema([("host", pa.string()), *((c, pa.int64()) for c in ("place", "text", "n", "lo", "hi", "chars"))])
 
     def seen(batches):
         for batch in batches:
@@ -413,20 +507,28 @@ def constants(source: DataFrame, scratch: Scratch) -> DataFrame:
                     found = placed(parse(page))
                     if found and not _end.search(page):
                         found.pop()
-                    for key in {(host, place, digest(text)) for place, text in found} | {(host, place, None) for place, _ in found}:
+                    sizes: Counter = Counter()
+                    for place, text in found:
+                        place = signed(place)
+                        sizes[host, place, digest(text)] += len(text)
+                        sizes[host, place, None] += len(text)
+                    sizes[host, None, None] = sum(len(t) for _, t in found)
+                    for key, n in sizes.items():
                         if x := held.get(key):
-                            x[0], x[1], x[2] = x[0] + 1, min(x[1], h), max(x[2], h)
+                            x[0], x[1], x[2], x[3] = x[0] + 1, min(x[1], h), max(x[2], h), x[3] + n
                         else:
-                            held[key] = [1, h, h]
-            rows = [(host, signed(place), text, *x) for (host, place, text), x in held.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, schema)], schema=schema)
+                            held[key] = [1, h, h, n]
+            rows = [(*key, *x) for key, x in held.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 7, schema)], schema=schema)
+
+    counts = source.select("host", "h", "html").mapInArrow(seen, "host string, place long, text long, n long, lo long, hi long, chars long")
+    counts = counts.groupBy("host", "place", "text").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("chars").alias("chars"))
+    return scratch.table(counts.filter("text IS NULL OR lo < hi"))
 
-    counts = source.select("host", "h", "html").mapInArrow(seen, "host string, place long, text long, n long, lo long, hi long")
-    counts = counts.groupBy("host", "place", "text").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    counts = scratch.table(counts.filter("lo < hi"))
-    pages = counts.filter("text IS NULL").select("host", "place", F.col("n").alias("pages"))
-    same = counts.filter("text IS NOT NULL").join(pages, ["host", "place"]).filter(F.col("n") >= CONSTANT * F.col("pages"))
-    return same.groupBy("host").agg(F.collect_set("text").alias("constant"))
+
+def signed(x: int) -> int:
+    """An unsigned 64-bit value as a long."""
+    return x - (1 << 64) if x >> 63 else x
 
 
 def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
@@ -443,17 +545,34 @@ def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
                     held[host] = k
             yield batch.take(pa.array(sorted(held.values()), pa.int64()))
 
-    some = source.mapInArrow(least, "host string, h long, html string").groupBy("host").agg(F.min_by("html", "h").alias("html"))
+    some = scratch.table(source.mapInArrow(least, "host string, h long, html string").groupBy("host").agg(F.min_by("html", "h").alias("html")))
+    counts = counted(source, scratch)
+    of_host = counts.filter("place IS NULL").select("host", F.col("n").alias("of_host"))
+    of_place = counts.filter("place IS NOT NULL AND text IS NULL").select("host", "place", F.col("n").alias("pages"), F.col("chars").alias("every"))
+    same = counts.filter(F.col("text").isNotNull() & (F.col("n") >= LEAST_PAGES)).join(of_place, ["host", "place"]).join(of_host, "host")
+    same = scratch.table(same.filter((F.col("n") >= CONSTANT * F.col("pages")) & (F.col("pages") >= LAYOUT * F.col("of_host"))).select("host", "place", "text", "chars"))
+    constant = same.groupBy("host").agg(F.collect_set("text").alias("constant"))
+    # the slot mass is needed for the places of the reference pages only
+    here = mapped(some.select("host", "html"), _reference_places, "host string, place long", pa.schema([("host", pa.string()), ("place", pa.int64())]))
+    fixed = same.groupBy("host", "place").agg(F.sum("chars").alias("fixed"))
+    mass = here.join(of_place, ["host", "place"]).join(fixed, ["host", "place"], "left")
+    mass = mass.groupBy("host").agg(F.collect_list(F.struct("place", (F.col("every") - F.coalesce("fixed", F.lit(0))).alias("slot"), "every")).alias("mass"))
     arrow = pa.schema([("host", pa.string()), ("wrapper", pa.string())])
 
     def rows_of(part: pa.RecordBatch) -> dict:
         out = []
-        for page, constant in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-            wrapper = induce([page], frozenset(constant or ()))
+        for page, constant, mass in zip(*(part.column(k).to_pylist() for k in (1, 2, 3))):
+            places = {m["place"] % (1 << 64): (m["slot"], m["every"]) for m in mass or ()}
+            wrapper = induce([page], frozenset(constant or ()), places)
             out.append(json.dumps(wrapper and wrapper | {"skeleton": flat(wrapper["skeleton"])}))
         return {"host": part.column(0), "wrapper": out}
 
-    return mapped(some.join(constants(source, scratch), "host", "left").select("host", "html", "constant"), rows_of, "host string, wrapper string", arrow)
+    return mapped(some.join(constant, "host", "left").join(mass, "host", "left").select("host", "html", "constant", "mass"), rows_of, "host string, wrapper string", arrow)
+
+
+def _reference_places(part: pa.RecordBatch) -> dict:
+    rows = {(host, signed(place)) for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for place, _ in placed(parse(page))}
+    return {"host": [r[0] for r in rows], "place": [r[1] for r in rows]}
 
 
 def read_wrapper(text: str | None) -> dict | None:
@@ -463,25 +582,27 @@ def read_wrapper(text: str | None) -> dict | None:
 
 
 def extracted(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """Per row: page_id, url, text and n_chars."""
+    """Per row: page_id, url, text, n_chars and n_hinted."""
     scratch = scratch or Scratch(pages.sparkSession)
     known = scratch.table(wrappers(pages, scratch))
     source = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
     joined = source.withColumn("host", host_of(F.col("url"))).join(known, "host", "left").select("page_id", "url", "html", "wrapper")
-    arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+    arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_hinted", pa.int64())])
     cache: dict[str | None, dict | None] = {}
 
     def rows_of(part: pa.RecordBatch) -> dict:
-        texts = []
+        texts, hinted = [], []
         for page, wrapper in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
             if wrapper not in cache:
                 if len(cache) > 1000:
                     cache.clear()
                 cache[wrapper] = read_wrapper(wrapper)
-            texts.append(main_text(page, cache[wrapper]))
-        return {"page_id": part.column(0), "url": part.column(1), "text": texts, "n_chars": [len(t) for t in texts]}
+            region = region_of(page, cache[wrapper]) if page else None
+            texts.append(" ".join(blocks(*region)) if region else "")
+            hinted.append(hinted_elements(region[0]) if region else 0)
+        return {"page_id": part.column(0), "url": part.column(1), "text": texts, "n_chars": [len(t) for t in texts], "n_hinted": hinted}
 
-    return mapped(joined, rows_of, "page_id long, url string, text string, n_chars long", arrow)
+    return mapped(joined, rows_of, "page_id long, url string, text string, n_chars long, n_hinted long", arrow)
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

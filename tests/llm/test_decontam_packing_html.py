@@ -230,3 +230,90 @@ def test_constants_come_from_all_pages_and_layouts(spark):
     got = {r["page_id"]: r["text"] for r in html_extract.extracted(pages_of(spark, rows)).collect()}
     assert all(got[k] == (f"tale{k} second and tale{k}" if k % 2 else f"tale{k} first then tale{k}") for k in range(40))
     assert all(got[100 + k] == "copied first then copied" for k in range(5))
+
+
+SLOTS = "<html><body><div class=c1><ul><li>menu {0} one</li><li>menu {0} two</li></ul></div><div class=c2>offer of {0} today, only here and now</div><div class=c3><div class=c5><p>{1}</p><p>told by {0}</p></div></div><div class=c4>foot of {0}</div></body></html>"
+
+
+def test_the_wrapper_decides_where_no_element_or_class_word_does(spark):
+    story = lambda k: " ".join(f"word{k}x{j}" for j in range(2 if k % 4 == 0 else 60))
+    rows = [(k, "http://plain.com/x", SLOTS.format(f"number {k}", story(k))) for k in range(24)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extracted(pages_of(spark, rows)).collect()}
+    assert got == {k: f"{story(k)} told by number {k}" for k in range(24)}
+    alone = {k: html_extract.main_text(page, None) for k, _, page in rows}
+    assert alone[0] != got[0] and "menu" in alone[0] and alone != got
+
+
+def brute_match(a, b):
+    """Largest common ordered subtree by trying all ways to pair children."""
+    if a[0] != b[0]:
+        return 0
+
+    def ways(x, y):
+        if not x or not y:
+            return 0
+        out = max(ways(x[1:], y), ways(x, y[1:]))
+        if x[0][0] == y[0][0]:
+            out = max(out, brute_match(x[0], y[0]) + ways(x[1:], y[1:]))
+        return out
+
+    return 1 + ways(a[1], b[1])
+
+
+def test_tree_matching_equals_brute_force():
+    rng = np.random.default_rng(9)
+
+    def tree(depth):
+        return ["abc"[rng.integers(0, 3)], [tree(depth - 1) for _ in range(rng.integers(0, 4))] if depth else []]
+
+    for _ in range(150):
+        a, b = ["r", tree(3)[1]], ["r", tree(3)[1]]
+        want = brute_match(a, b)
+        assert html_extract.match(a, b) == want
+        path = html_extract.aligned(a, b)
+        assert len(path) == want and all(len(p) == len(q) for p, q in path.items())
+
+
+def test_template_counts_equal_brute_force(spark, sf_dir):
+    from collections import Counter, defaultdict
+
+    from quillon.llm.common import Scratch
+    from quillon.llm.urlfilter import host_of
+
+    df = spark.read.parquet(f"{sf_dir}/pages.parquet").limit(60)
+    rows = df.select(host_of(df["url"]).alias("host"), "html").collect() + [("two.com", SLOTS.format(f"n{k}", "the same story")) for k in range(5)]
+    want, seen = Counter(), defaultdict(set)
+    for host, html in rows:
+        found = html_extract.placed(html_extract.parse(html))
+        if "</body>" not in html and "</html>" not in html:  # cut off: its last block may be, too
+            found = found[:-1]
+        for key in {(host, html_extract.signed(p), html_extract.digest(t)) for p, t in found} | {(host, html_extract.signed(p), None) for p, _ in found} | {(host, None, None)}:
+            want[key] += 1
+            seen[key].add(html)
+    source = spark.createDataFrame([(h, hash(x), x) for h, x in rows], "host string, h long, html string")
+    got = {(r["host"], r["place"], r["text"]): r["n"] for r in html_extract.counted(source, Scratch(spark)).collect()}
+    assert got == {k: n for k, n in want.items() if k[2] is None or len(seen[k]) > 1}
+
+
+def test_class_words_and_broken_attributes():
+    text = lambda x: html_extract.main_text(f"<body><article><p>start</p>{x}<p>end</p></article></body>", None)
+    assert text("<div class='related-work'>kept</div><section id='comments-on-method'>this too</section>") == "start kept this too end"
+    assert text("<div class='ad-box x'>gone</div><div id=cookieNotice>gone</div><div class='site-header2'>stays</div><div class='comment-list'>gone</div><div class=sidebar-left>gone</div>") in ("start stays end", "start end")
+    assert text("<p title=it's>Hello</p><a href=x?a=\"b\" title='>'>link</a><p title=\"a>b\">more</p>") == "start Hello link more end"
+    region = html_extract.region_of("<body><article><p>a</p><div class=ad>b</div><nav>c</nav><div class=ad></div></article></body>", None)[0]
+    assert html_extract.hinted_elements(region) == 1
+
+
+def test_many_siblings_and_long_pages(spark):
+    import time
+
+    items = "".join(f"<li class=i{k}>item {k}</li><p>text {k}</p>" for k in range(4000))
+    page = lambda x: f"<body><div class=a><ul>{x} {items}</ul></div><div class=b><p>{x} and {x}</p></div></body>"
+    started = time.time()
+    wrapper = html_extract.induce([page("one"), page("two")])
+    assert html_extract.main_text(page("three"), wrapper)
+    assert time.time() - started < 10
+    long = "<article>" + "<p>some words of it</p>" * 50_000 + "</article>"
+    df = pages_of(spark, [(1, "http://l.com/", long), (1, "http://l.com/", long)]).selectExpr("*", "1 AS text", "2 AS wrapper", "'x' AS host", "3 AS n_chars", "4 AS constant")
+    got = html_extract.extracted(df).collect()
+    assert len(got) == 2 and {r["n_chars"] for r in got} == {50_000 * 17 - 1}
