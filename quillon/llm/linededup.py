@@ -47,15 +47,17 @@ def key128(*cols) -> Column:
     return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(17), *cols).alias("b"))
 
 
-def signature(line: Column) -> Column:
-    """The signature of a line; "" for one without a word.
+def signatures(raw: Column) -> Column:
+    """The signatures of an array of lines; "" for a line without a word.
 
-    Patterns run only on lines that need them: most lines have no digit and single spaces.
+    Patterns run only on lines that need them: most lines have no digit and single spaces. Each step is
+    a pass of its own, as a lambda computes a value again wherever it names it.
     """
     variable = rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
     odd = lambda x: reduce(Column.__or__, [F.contains(x, F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r")], F.startswith(x, F.lit(" ")) | F.endswith(x, F.lit(" ")))
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, variable, "<*>")).otherwise(line)
-    return F.when(odd(masked), F.trim(F.regexp_replace(masked, r"[\x20\x09\x0B-\x0D]+", " "))).otherwise(masked)
+    masked = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, variable, "<*>")).otherwise(x)
+    single = lambda x: F.when(odd(x), F.trim(F.regexp_replace(x, r"[\x20\x09\x0B-\x0D]+", " "))).otherwise(x)
+    return F.transform(F.transform(raw, masked), single)
 
 
 def _lines(df: DataFrame) -> DataFrame:
@@ -63,14 +65,16 @@ def _lines(df: DataFrame) -> DataFrame:
     signature) and ``rest`` (the first and last line of another signature, or all lines if there is none)."""
     text = df["text"].cast("string")
     docs = df.filter(text.isNotNull()).select(*text_keys(text), F.split(text, "\n", -1).alias("raw"))
-    docs = docs.select("k1", "k2", F.transform("raw", lambda x: F.struct(x.alias("raw"), signature(x).alias("sig"))).alias("lines"))
-    top = F.array_max(F.transform("lines", lambda x: F.struct(F.char_length(x["sig"]).alias("n"), x["sig"].alias("s"))))["s"]
-    docs = docs.select("k1", "k2", "lines", top.alias("top"))
-    others = F.transform("lines", lambda x: F.when((x["sig"] != "") & (x["sig"] != F.col("top")), x["raw"]))
-    docs = docs.select("k1", "k2", "lines", "top", F.array_min(others).alias("least"), F.array_max(others).alias("most"))
-    rest = F.when(F.col("least").isNull(), key128(F.array_sort(F.col("lines.raw")))).otherwise(key128("least", "most"))
-    docs = docs.select("k1", "k2", F.col("lines.sig").alias("sigs"), key128("top").alias("doc"), rest.alias("rest"))
-    return docs.select("k1", "k2", "doc", "rest", F.posexplode("sigs").alias("place", "text")).filter("text <> ''")
+    docs = docs.select("k1", "k2", "raw", signatures(F.col("raw")).alias("sigs"))
+    top = F.array_max(F.transform("sigs", lambda x: F.struct(F.char_length(x).alias("n"), x.alias("s"))))["s"]
+    docs = docs.select("k1", "k2", "raw", "sigs", top.alias("top"))
+    others = F.zip_with("raw", "sigs", lambda x, s: F.when((s != "") & (s != F.col("top")), x))
+    docs = docs.select("k1", "k2", "raw", "sigs", "top", others.alias("others"))
+    docs = docs.select("k1", "k2", "raw", "sigs", "top", F.array_min("others").alias("least"), F.array_max("others").alias("most"))
+    rest = F.when(F.col("least").isNull(), key128(F.array_sort("raw"))).otherwise(key128("least", "most"))
+    docs = docs.select("k1", "k2", "sigs", key128("top").alias("doc"), rest.alias("rest"))
+    # outer: the plain form makes Spark filter on the array's size, for which it computes the array twice
+    return docs.select("k1", "k2", "doc", "rest", F.posexplode_outer("sigs").alias("place", "text")).filter("text <> ''")
 
 
 def _leaf(sig: Column) -> Column:

@@ -163,8 +163,8 @@ def remaining(scratch: Scratch, member: DataFrame, roots: DataFrame, sets: DataF
 
 
 def similar_classes(scratch: Scratch, rows: DataFrame, k: int, similarity: float, distance: int) -> DataFrame:
-    """(cls, root) of the texts with a link; rows (cls, fp, bands, text)."""
-    classes = scratch.table(rows.groupBy("cls").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands")))
+    """(cls, root) of the texts with a link; rows (rid, cls, fp, bands, text)."""
+    classes = scratch.table(rows.groupBy("cls").agg(F.min("rid").alias("rid"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
     # candidates of the SimHash operator: its links, and texts of one fingerprint
     least = scratch.table(classes.groupBy("fp").agg(F.min("cls").alias("of_fp")))
     wide = links(scratch, least.select("fp"), distance)
@@ -181,7 +181,8 @@ def similar_classes(scratch: Scratch, rows: DataFrame, k: int, similarity: float
     near = near.unionByName(member.select(F.col("cls").alias("a"), F.col("centre").alias("b"))).filter("a <> b")
     pairs = scratch.table(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     need = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(member.select("cls")).distinct()
-    texts = rows.select("cls", "text").join(need, "cls", "left_semi").groupBy("cls").agg(F.first("text").alias("text"))
+    # by row, not by class: a class may be a third of all rows
+    texts = rows.select("rid", "text").join(scratch.table(classes.select("cls", "rid").join(need, "cls")), "rid").select("cls", "text")
     arrow = pa.schema([("cls", pa.int64()), ("set", pa.list_(pa.int64()))])
     sets = scratch.table(mapped(texts, lambda part: {"cls": part.column(0), "set": [np.unique(shingles(t, k)).view(np.int64) for t in part.column(1).to_pylist()]}, "cls long, set array<long>", arrow))
     edges = scratch.table(compared(pairs, sets, similarity))
@@ -197,7 +198,7 @@ def near_deduplicated(df: DataFrame, k: int = 5, similarity: float = 0.8, distan
     """
     scratch = Scratch(df.sparkSession)
     rows = scratch.table(described(df, k))
-    roots = similar_classes(scratch, rows.select("cls", "fp", "bands", F.col("row.text").cast("string").alias("text")), k, similarity, distance)
+    roots = similar_classes(scratch, rows.select("rid", "cls", "fp", "bands", F.col("row.text").cast("string").alias("text")), k, similarity, distance)
     named = scratch.table(rows.select("doc_id", "rid", "cls").join(scratch.table(roots), "cls", "left").select("doc_id", "rid", F.coalesce("root", "cls").alias("root")))
     first = named.groupBy("root").agg(F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))
     gone = scratch.table(named.select("rid").join(first.select(F.col("first").alias("rid")), "rid", "left_anti"))
