@@ -227,6 +227,25 @@ def line_kind(c: Column) -> Column:
     return F.when(x.rlike(FIGURE_CAPTION), "figure_caption").when(x.rlike(TABLE_CAPTION), "table_caption").when(heading, "heading").otherwise("paragraph")
 
 
+# Fragments of scientific table headers and captions as text extraction leaves them, and what they stand for.
+SPLIT_STRICT = (r"\bV\s*\(\s*%\s*\)\s+strict\b", "V_strict (%)")
+SPLIT_TRIPLE = (r"\(\s*([fD])\s*,\s*([fD])\s*,\s*([fD])\s*\)\s*([pt])\s+([pt])\s+([pt])", "($1_$4, $2_$5, $3_$6)")
+SPLIT_IVIM = (r"\bIVIM\s*\(\s*f\s*_?\s*p\s*,\s*D\s*_?\s*t\s*,\s*D\s*_?\s*p\s*\)", "IVIM (f_p, D_t, D_p)")
+SPLIT_DELTA = (r"^([∆Δ])\s+vs\.(.*)\s+strict\s*$", "$1V_strict vs.$2")
+
+
+def header_label(above: Column, label: Column) -> Column:
+    """A table header's label with its split subscript put back; ``above`` is the header over it, which
+    holds the lone V of a difference."""
+    moved = (F.trim(F.coalesce(above, F.lit(""))) == "V") & label.rlike(SPLIT_DELTA[0])
+    return F.regexp_replace(F.when(moved, F.regexp_replace(label, *SPLIT_DELTA)).otherwise(label), *SPLIT_STRICT)
+
+
+def subscripts(c: Column) -> Column:
+    """A text on one line with the subscripts that stood on a line of their own."""
+    return F.regexp_replace(F.regexp_replace(squeeze(c), *SPLIT_TRIPLE), *SPLIT_IVIM)
+
+
 # Cues by which a task's skill is chosen, the first that fits decides.
 SKILL_CUES = (
     ("research-brief", r"(?i)文献综述|研究综述|研究简报|综述|literature\s+review|research\s+brief"),

@@ -142,6 +142,25 @@ def title_page(works: DataFrame, query: str | None, title: str, year: str, key:
     return works.orderBy(F.desc_nulls_last(year), ascii_lower(F.col(title)), key).offset(offset).limit(limit)
 
 
+def arxiv_page(works: DataFrame, query: str | None, limit: int, offset: int) -> DataFrame:
+    """Listing of (arxiv_id, title, abstract, published_at): literal ASCII-folded substring of title or abstract; newest first, then id."""
+    if not (1 <= limit <= 50 and 0 <= offset <= 10_000):
+        raise ValueError("limit 1 to 50, offset 0 to 10,000")
+    words = " ".join((query or "").split())
+    if words:
+        folded = words.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        holds = lambda c: F.contains(ascii_lower(F.coalesce(F.col(c), F.lit(""))), F.lit(folded))
+        works = works.filter(holds("title") | holds("abstract"))
+    return works.orderBy(F.desc("published_at"), "arxiv_id").offset(offset).limit(limit)
+
+
+def newest_snapshots(snapshots: DataFrame, limit: int = 20) -> DataFrame:
+    """The last imported snapshots, newest first; ties by id."""
+    if not 1 <= limit <= 100:
+        raise ValueError("limit 1 to 100")
+    return snapshots.orderBy(F.desc("imported_at"), "snapshot_id").limit(limit)
+
+
 def year_range(works: DataFrame, year: str, low: int | None = None, high: int | None = None) -> DataFrame:
     """Inclusive range; a null year fails as soon as a bound is set."""
     if low is not None:
@@ -167,11 +186,25 @@ def observation(c: Column, most: int, name: str) -> list[Column]:
     return [F.substring(c, 1, most).alias(name), (F.char_length(c) > most).alias(f"{name}_truncated")]
 
 
+#: Entries that an observation lists at most.
+LISTED = {"authors": 50, "categories": 30, "references": 50}
+
+
+def listed(c: Column, kind: str) -> Column:
+    """The entries of an array that an observation shows."""
+    return F.slice(c, 1, LISTED[kind]).alias(kind)
+
+
 def bounded_table(rows: Column, n_rows: int = 100, n_cells: int = 50, n_chars: int = 1000) -> Column:
     """A view of array<array<string>> with bounded rows, cells and characters."""
     return F.transform(F.slice(rows, 1, n_rows), lambda r: F.transform(F.slice(r, 1, n_cells), lambda c: F.substring(c, 1, n_chars)))
 
 
+def table_truncated(rows: Column, n_rows: int = 100, n_cells: int = 50) -> Column:
+    """Whether the bounded view leaves rows out, or cells of the rows it shows."""
+    return (F.size(rows) > n_rows) | F.exists(F.slice(rows, 1, n_rows), lambda r: F.size(r) > n_cells)
+
+
 def abstract_from_index(index: Column) -> Column:
     """struct(status, abstract) of a map word -> places.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame, Window
@@ -77,6 +78,20 @@ def paired_arms(observations: DataFrame, arms: tuple[str, str], values: list[str
     return means
 
 
+def paired_deltas(observations: DataFrame, arms: tuple[str, str], values: list[str]) -> DataFrame:
+    """Per task, second arm less first arm of the means of its trials."""
+    mean = lambda arm, v: F.avg(F.when(F.col("arm") == arm, F.col(v)).cast("double"))
+    return observations.groupBy("task_id").agg(*[(mean(arms[1], v) - mean(arms[0], v)).alias(v) for v in values])
+
+
+def paired_summary(observations: DataFrame, arms: tuple[str, str], delta: str, cost: str) -> DataFrame:
+    """One row: mean delta of a value over tasks, both arms' total cost, and their ratio (null where the first is 0)."""
+    a, b = (F.sum(F.when(F.col("arm") == x, F.col(cost))) for x in arms)
+    mean = paired_deltas(observations, arms, [delta]).agg(F.avg(delta).alias("mean_delta"), F.count(delta).alias("tasks"))
+    totals = observations.agg(F.coalesce(a, F.lit(0.0)).alias("cost_first"), F.coalesce(b, F.lit(0.0)).alias("cost_second"))
+    return mean.join(F.broadcast(totals), how="cross").withColumn("cost_ratio", F.round(F.when(F.col("cost_first") > 0, F.col("cost_second") / F.col("cost_first")), 6))
+
+
 def bootstrap_interval(deltas: list[float], resamples: int = 5000, seed: int = 20261011) -> tuple[float, float]:
     """95 % interval of the mean of per-task deltas, a small driver-side list, by resampling."""
     if not deltas:
@@ -86,6 +101,40 @@ def bootstrap_interval(deltas: list[float], resamples: int = 5000, seed: int = 2
     return means[int(0.025 * (resamples - 1))], means[int(0.975 * (resamples - 1))]
 
 
+def bootstrap_plan(deltas: DataFrame, value: str, resamples: int = 5000, seed: int = 20261011) -> DataFrame:
+    """(low, high): the 95 % interval of the mean of a column, by resampling as a plan.
+
+    Each task is drawn Poisson(1) times in each resample, which is resampling for many tasks, so no
+    resample is gathered anywhere: a row adds to all sums where it lies. The draws are hashes of task,
+    resample and seed, and repeat. ``deltas``: task_id and the column.
+    """
+    # cumulative chances of 0, 1, 2, ... draws
+    chances, total, term = [], 0.0, math.exp(-1)
+    for k in range(12):
+        total += term
+        chances.append(total)
+        term /= k + 1
+    u = (F.pmod(F.xxhash64(F.col("task_id"), F.col("resample"), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52))
+    draws = F.size(F.filter(F.array(*map(F.lit, chances)), lambda c: c <= u))
+    drawn = deltas.select("task_id", F.col(value).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")).withColumn("n", draws)
+    means = drawn.groupBy("resample").agg((F.sum(F.col("v") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("mean"))
+    low, high = (F.try_element_at(F.array_sort(F.collect_list("mean")), F.lit(int(q * (resamples - 1)) + 1)) for q in (0.025, 0.975))
+    return means.agg(low.alias("low"), high.alias("high"))
+
+
+def empty_result_rate(results: DataFrame) -> DataFrame:
+    """Share of queries without a result; results (query_id, n_results)."""
+    return results.agg(F.count("*").alias("queries"), F.avg((F.col("n_results") == 0).cast("double")).alias("empty_result_rate"))
+
+
+def observed_tokens(declared: Column, *parts: Column) -> Column:
+    """The larger of a declared total and the sum of its visible parts."""
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    return F.greatest(declared, total)
+
+
 def consensus(workers: DataFrame) -> DataFrame:
     """Per run: whether at least two workers succeeded and all of those share one signature."""
     ok = F.when(F.col("status") == "ok", F.col("signature"))

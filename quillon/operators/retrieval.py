@@ -81,6 +81,29 @@ def ranked(scores: DataFrame, k: int | None, by: tuple[str, ...] = ("query_id",)
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
+def row_numbers(df: DataFrame, by: tuple[str, ...], order: str, tie: str, name: str, descending: bool = False, few: int = 1_000_000, bins: int = 256) -> DataFrame:
+    """Adds 1, 2, ... per ``by`` in the order of a numeric column, then of ``tie``; for groups that hold any share of all rows.
+
+    Up to ``few`` rows, which are counted, are one window a group. More are dealt to bins by quantiles of
+    the column, numbered in each, and get the size of the bins before; the table of bins is small.
+    """
+    n, edges = df.agg(F.count("*"), F.percentile_approx(F.col(order).cast("double"), [k / bins for k in range(1, bins)], 10_000)).first()
+    way = (F.desc if descending else F.asc)(order)
+    if n <= few:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(way, F.asc(tie))).cast("long"))
+    below = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e < F.col(order).cast("double")))
+    binned = df.withColumn("_bin", -below if descending else below)
+    sizes = binned.groupBy(*by, "_bin").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy(*by, "_bin").orderBy(way, F.asc(tie)))
+    return binned.withColumn("_own", own).join(sizes.select(*by, "_bin", before.alias("_before")), [*by, "_bin"]).withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_bin", "_own", "_before")
+
+
+def ranked_whole(scores: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Adds rank 1, 2, ... to every row, however many a query has."""
+    return row_numbers(scores, by, "score", "id", "rank", descending=True)
+
+
 def top(scores: DataFrame, k: int) -> DataFrame:
     """The k best of a single query, without a window: one TakeOrderedAndProject."""
     return scores.orderBy(F.desc("score"), F.asc("id")).limit(k)
@@ -150,15 +173,13 @@ def neighbour_list(*candidates: Column) -> Column:
 def within_budget(ranking: DataFrame, budget: int = 2) -> DataFrame:
     """Per query, neighbours that the ranked rows take in rank order until the budget is used.
 
-    ``ranking`` has query_id, rank, id and neighbours; a ranked item or a taken neighbour is not taken
-    again. The rows of a query are few (the ranking's limit), so they fold in one expression.
+    ``ranking`` has query_id, rank, id and neighbours; a taken neighbour is not taken again, a ranked
+    item may be. The rows of a query are few (the ranking's limit), so they fold in one expression.
     """
     rows = F.array_sort(F.collect_list(F.struct("rank", "id", "neighbours")))
     per_query = ranking.groupBy("query_id").agg(rows.alias("rows"))
-    ids = F.transform("rows", lambda r: r["id"])
-
     def take(taken: Column, row: Column) -> Column:
-        new = F.array_except(F.array_except(row["neighbours"], taken["all"]), ids)
+        new = F.array_except(row["neighbours"], taken["all"])
         new = F.slice(new, 1, F.greatest(F.lit(0), budget - F.size(taken["all"])))
         return F.struct(F.concat(taken["all"], new).alias("all"), F.array_append(taken["out"], F.struct(row["id"].alias("id"), new.alias("taken"))).alias("out"))
 
@@ -201,7 +222,7 @@ def evidence_search(chunks: DataFrame, query: str, limit: int = 5, source_type:
         if active.filter(F.col("vector").isNull()).limit(1).count():
             return "embeddings_missing", None
         q = spark.createDataFrame([(0, [float(x) for x in query_vector])], "query_id int, query_vector array<double>")
-        dense = ranked(cosine_scores(active.select(F.col("chunk_id").alias("id"), F.col("vector").cast("array<double>").alias("vector")), q), None)
+        dense = ranked_whole(cosine_scores(active.select(F.col("chunk_id").alias("id"), F.col("vector").cast("array<double>").alias("vector")), q))
     if method != "dense":
         docs = document_tokens(active, "chunk_id", F.col("title"), F.coalesce("retrieval_text", "text"))
         asked = spark.createDataFrame([(0, words)], "query_id int, q string").select("query_id", tokens(F.col("q")).alias("tokens"))
@@ -209,3 +230,53 @@ def evidence_search(chunks: DataFrame, query: str, limit: int = 5, source_type:
     scores = sparse if method == "bm25" else dense if method == "dense" else fuse([sparse, dense])
     best = top(scores.select("id", "score"), limit).withColumn("score", F.round("score", 6))
     return ("ok" if best.limit(1).count() else "no_results"), best
+
+
+def utf8_prefix(c: Column, limit: Column | int) -> Column:
+    """The longest prefix of whole characters within a number of bytes."""
+    cut = lambda k: F.try_validate_utf8(F.substring(F.encode(c, "UTF-8"), F.lit(1), F.greatest(F.lit(0), F.lit(limit) - k)).cast("string"))
+    return F.when(F.octet_length(c) <= F.lit(limit), c).otherwise(F.coalesce(*[cut(k) for k in range(4)]))
+
+
+def bounded_join(parts: Column, limit: int = 5600) -> Column:
+    """Parts joined by newlines up to a number of bytes; the last may be cut, and nothing follows a cut one."""
+    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("full"))
+
+    def step(acc, part):
+        glue = F.when(acc["text"] == "", "").otherwise("\n")
+        room = limit - F.octet_length(acc["text"]) - F.length(glue)
+        piece = utf8_prefix(part, room)
+        stop = acc["full"] | (room <= 0) | (piece == "")
+        return F.struct(F.when(stop, acc["text"]).otherwise(F.concat(acc["text"], glue, piece)).alias("text"), (stop | (piece != part)).alias("full"))
+
+    return F.aggregate(F.filter(parts, lambda p: p.isNotNull()), start, step, lambda acc: acc["text"])
+
+
+def expanded(best: DataFrame, chunks: DataFrame, budget: int = 2, limit: int = 5600) -> DataFrame:
+    """The ranked chunks (id, score, rank; at most 8) as evidence items with neighbours and context.
+
+    ``chunks``: chunk_id, ordinal, parent, section, text, retrieval_text, evidence_text; ``parent`` names
+    the chunk's element within its document and is null where it has none, ``section`` its document and
+    section. Only chunks with a parent have neighbours. They are looked up among the hits' parents and
+    sections alone; the hits are few, so they are sent to all tasks.
+    """
+    hits = F.broadcast(best.select(F.col("id").alias("chunk_id"), "score", "rank"))
+    of = chunks.join(hits, "chunk_id")
+    wanted = of.select(F.explode(F.array_compact(F.array(F.struct(F.lit("p").alias("kind"), F.col("parent").alias("key")), F.struct(F.lit("s").alias("kind"), F.when(F.col("parent").isNotNull(), F.col("section")).alias("key"))))).alias("w")).select("w.*").filter("key IS NOT NULL").distinct()
+    near = chunks.filter("parent IS NOT NULL")
+    near = near.select("chunk_id", "ordinal", "text", "retrieval_text", "evidence_text", F.explode(F.array(F.struct(F.lit("p").alias("kind"), F.col("parent").alias("key")), F.struct(F.lit("s").alias("kind"), F.col("section").alias("key")))).alias("w")).select("*", "w.*").join(F.broadcast(wanted), ["kind", "key"], "left_semi")
+    w = Window.partitionBy("kind", "key").orderBy("ordinal")
+    item = F.struct("chunk_id", "ordinal", F.coalesce("retrieval_text", "text").alias("shown"), F.coalesce("evidence_text", "text").alias("excerpt"))
+    sides = near.select("chunk_id", "kind", F.lag(item).over(w).alias("prev"), F.lead(item).over(w).alias("next"))
+    sides = sides.join(F.broadcast(best.select(F.col("id").alias("chunk_id"))), "chunk_id", "left_semi")
+    listed = sides.groupBy("chunk_id").agg(*[F.first(F.when(F.col("kind") == k, F.col(c)), ignorenulls=True).alias(f"{k}_{c}") for k in "ps" for c in ("prev", "next")])
+    around = of.join(listed, "chunk_id", "left").withColumn("around", F.array_compact(F.array("p_prev", "p_next", "s_prev", "s_next")))
+    ranking = around.select(F.lit(0).alias("query_id"), "rank", F.col("chunk_id").alias("id"), F.array_distinct(F.transform("around", lambda x: x["chunk_id"])).alias("neighbours"))
+    taken = within_budget(ranking, budget).select(F.col("id").alias("chunk_id"), "taken")
+    out = around.join(F.broadcast(taken), "chunk_id")
+    mine = F.filter(F.array_distinct("around"), lambda x: F.array_contains("taken", x["chunk_id"]))
+    own = F.struct("chunk_id", "ordinal", F.coalesce("retrieval_text", "text").alias("shown"), F.coalesce("evidence_text", "text").alias("excerpt"))
+    rows = F.array_sort(F.transform(F.array_append(F.col("mine"), F.col("own")), lambda x: F.struct(x["ordinal"], x["chunk_id"], x["shown"])))
+    out = out.withColumns({"mine": mine, "own": own})
+    order = F.transform("taken", lambda t: F.filter("mine", lambda x: x["chunk_id"] == t)[0])
+    return out.select("rank", "chunk_id", F.round("score", 6).alias("score"), "own.excerpt", bounded_join(F.transform(rows, lambda x: x["shown"]), limit).alias("context"), F.transform(order, lambda x: F.struct(x["chunk_id"], x["excerpt"])).alias("expanded_evidence"))

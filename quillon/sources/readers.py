@@ -72,9 +72,11 @@ def plain_texts(spark: SparkSession, path: str, most_bytes: int = 8_000_000) ->
 
 
 def binary_documents(spark: SparkSession, path: str, most_bytes: int = 40_000_000) -> DataFrame:
-    """(path, sha256, content) of PDF files within the size limit; the hash is of the same bytes."""
-    raw = spark.read.format("binaryFile").load(path).filter(F.col("length") <= most_bytes)
-    return raw.select("path", F.sha2("content", 256).alias("sha256"), "content")
+    """(path, sha256, content, error) of PDF files; the hash is of the same bytes. A file that is too long
+    or no PDF is a row with an error and without content."""
+    raw = spark.read.format("binaryFile").load(path)
+    error = F.when(F.col("length") > most_bytes, "too long").when(F.substring("content", 1, 5) != F.lit(b"%PDF-"), "not a PDF")
+    return raw.select("path", F.sha2("content", 256).alias("sha256"), F.when(error.isNull(), F.col("content")).alias("content"), error.alias("error"))
 
 
 def license_manifests(spark: SparkSession, path: str) -> DataFrame:

@@ -72,9 +72,39 @@ def test_rrf(spark):
 
 
 def test_budget_is_used_in_rank_order(spark):
-    r = spark.createDataFrame([(0, 1, 10, [9, 11]), (0, 2, 20, [11, 19, 21]), (0, 3, 11, [12])], "query_id int, rank int, id int, neighbours array<int>")
+    r = spark.createDataFrame([(0, 1, 10, [9]), (0, 2, 20, [9, 11, 21]), (0, 3, 11, [12]), (1, 1, 5, [4, 6, 7])], "query_id int, rank int, id int, neighbours array<int>")
     got = {x["id"]: x["taken"] for x in retrieval.within_budget(r).collect()}
-    assert got == {10: [9], 20: [19], 11: []}
+    assert got == {10: [9], 20: [11], 11: [], 5: [4, 6]}
+
+
+def test_row_numbers_in_bins_equal_one_window(spark):
+    df = spark.range(5000).selectExpr("id % 3 AS q", "id", "(id * 7919) % 1000 / 10.0 AS score")
+    for down in (True, False):
+        whole = retrieval.row_numbers(df, ("q",), "score", "id", "rank", descending=down)
+        binned = retrieval.row_numbers(df, ("q",), "score", "id", "rank", descending=down, few=10, bins=16)
+        assert whole.columns == binned.columns and whole.exceptAll(binned).count() == 0 and binned.count() == 5000
+    assert retrieval.ranked_whole(df.limit(0).withColumnRenamed("q", "query_id")).count() == 0
+
+
+def test_bounded_join_cuts_at_whole_characters(spark):
+    from quillon.operators.chunking import context_within
+
+    cases = [["é" * 10, "abc"], ["a" * 30], ["ab", "字" * 9, "z"], [], ["", "x"], ["x" * 23, "y"], ["x" * 22, "é"]]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, p array<string>")
+    got = [r["t"] for r in df.select("k", retrieval.bounded_join(F.col("p"), 23).alias("t")).orderBy("k").collect()]
+    assert got[:4] == [context_within(c, 23) for c in cases[:4]] == ["é" * 10 + "\nab", "a" * 23, "ab\n" + "字" * 6, ""]
+    assert all(len(t.encode()) <= 23 for t in got) and got[5] == "x" * 23 and got[6] == "x" * 22
+
+
+def test_evidence_items_have_neighbours_and_context(spark):
+    rows = [(f"c{k}", k, f"doc:{k // 4}", f"doc:{'ab'[k % 2]}", f"text {k}", None, f"quote {k}" if k == 2 else None) for k in range(8)] + [("free", 9, None, "doc:a", "alone", "shown", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, ordinal int, parent string, section string, text string, retrieval_text string, evidence_text string")
+    best = spark.createDataFrame([("c2", 2.0, 1), ("c3", 1.5, 2), ("free", 1.0, 3)], "id string, score double, rank int")
+    got = {r["chunk_id"]: r for r in retrieval.expanded(best, chunks).collect()}
+    assert [x["chunk_id"] for x in got["c2"]["expanded_evidence"]] == ["c1", "c3"] and got["c2"]["excerpt"] == "quote 2"
+    assert got["c2"]["context"] == "text 1\ntext 2\ntext 3" and got["c3"]["context"] == "text 3" and got["free"]["context"] == "shown"
+    more = {r["chunk_id"]: [x["chunk_id"] for x in r["expanded_evidence"]] for r in retrieval.expanded(best, chunks, budget=9).collect()}
+    assert more == {"c2": ["c1", "c3", "c0", "c4"], "c3": ["c2", "c5"], "free": []}
 
 
 def test_evidence_search_outcomes(spark):
@@ -109,6 +139,14 @@ def test_paired_arms(spark):
     assert got == {"x": 1.5, "y": 2.5}
     with pytest.raises(ValueError):
         evaluation.paired_arms(good.filter("NOT (task_id = 'b' AND arm = 'y')"), ("x", "y"), ["v"])
+    deltas = {r["task_id"]: r["v"] for r in evaluation.paired_deltas(good, ("x", "y"), ["v"]).collect()}
+    summary = evaluation.paired_summary(good, ("x", "y"), "v", "v").first()
+    assert summary["tasks"] == len(deltas) and abs(summary["mean_delta"] - sum(deltas.values()) / len(deltas)) < 1e-9
+    tasks = spark.range(400).selectExpr("id AS task_id", "CAST(id % 5 AS double) AS v")
+    low, high = evaluation.bootstrap_plan(tasks, "v", 2000).first()
+    want = evaluation.bootstrap_interval([float(k % 5) for k in range(400)], 2000)
+    assert abs(low - want[0]) < 0.03 and abs(high - want[1]) < 0.03
+    assert evaluation.bootstrap_plan(tasks.limit(0), "v").first() == (None, None)
     assert evaluation.bootstrap_interval([0.5, 0.5]) == (0.5, 0.5)
 
 

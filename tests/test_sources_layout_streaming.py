@@ -103,3 +103,10 @@ def test_layout_rules():
     assert layout.inside((1, 1, 2, 2), (0, 0, 5, 5)) and layout.covers((0, 0, 5, 5), (1, 1, 2, 2))
     with pytest.raises(RuntimeError):
         layout.read_pdf_words(b"")
+
+
+def test_pdf_files_that_are_refused_are_rows(spark, tmp_path):
+    for name, body in (("a.pdf", b"%PDF-1.7 x"), ("b.pdf", b"<html>"), ("c.pdf", b"%PDF-" + b"x" * 100)):
+        (tmp_path / name).write_bytes(body)
+    got = {r["path"][-5]: (r["error"], r["content"] is not None) for r in readers.binary_documents(spark, str(tmp_path), 50).collect()}
+    assert got == {"a": (None, True), "b": ("not a PDF", False), "c": ("too long", False)}
