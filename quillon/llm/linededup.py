@@ -20,8 +20,8 @@ patterns of a leaf: the greater in byte order. Very long texts are one row with
 these are rows of their own. An empty table gives no rows. Extra columns are carried along, whatever
 their names. Signatures are aggregated before they are grouped, so a line that a third of all rows
 share is one row per task. Only leaves with several signatures and at least ``MIN_DOCS`` documents are
-taken apart by place. Texts, signatures, leaves and documents are keyed by 128 bits of hash. Lines are
-taken apart once, and written with their signatures.
+taken apart by place. Texts and signatures are keyed by 128 bits of hash; leaves, and documents where
+they are counted, by 64.
 """
 
 from __future__ import annotations
@@ -47,76 +47,93 @@ def key128(*cols) -> Column:
     return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(17), *cols).alias("b"))
 
 
-def signatures(raw: Column) -> Column:
-    """The signatures of an array of lines; "" for a line without a word.
+def signatures(text: Column) -> Column:
+    """Array of the signatures of a text's lines; "" for a line without a word.
 
-    Patterns run only on lines that need them: most lines have no digit and single spaces. Each step is
-    a pass of its own, as a lambda computes a value again wherever it names it.
+    Patterns run only where they are needed: most texts have single spaces, most lines no digit.
     """
     variable = rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
-    odd = lambda x: reduce(Column.__or__, [F.contains(x, F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r")], F.startswith(x, F.lit(" ")) | F.endswith(x, F.lit(" ")))
-    masked = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, variable, "<*>")).otherwise(x)
-    single = lambda x: F.when(odd(x), F.trim(F.regexp_replace(x, r"[\x20\x09\x0B-\x0D]+", " "))).otherwise(x)
-    return F.transform(F.transform(raw, masked), single)
+    masked = F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, variable, "<*>")).otherwise(x))
+    odd = [F.contains(text, F.lit(c)) for c in ("  ", " \n", "\n ", "\t", "\x0b", "\x0c", "\r")]
+    odd = reduce(Column.__or__, odd, F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" ")))
+    return F.when(odd, F.transform(masked, lambda x: F.trim(F.regexp_replace(x, r"[\x20\x09\x0B-\x0D]+", " ")))).otherwise(masked)
 
 
 def _lines(df: DataFrame) -> DataFrame:
     """A row per line with a word: text key, place, signature, and the document as ``doc`` (its longest
     signature) and ``rest`` (the first and last line of another signature, or all lines if there is none)."""
     text = df["text"].cast("string")
-    docs = df.filter(text.isNotNull()).select(*text_keys(text), F.split(text, "\n", -1).alias("raw"))
-    docs = docs.select("k1", "k2", "raw", signatures(F.col("raw")).alias("sigs"))
+    docs = df.filter(text.isNotNull()).select(*text_keys(text), text.alias("text"))
+    docs = docs.select("k1", "k2", F.split("text", "\n", -1).alias("raw"), signatures(F.col("text")).alias("sigs"))
     top = F.array_max(F.transform("sigs", lambda x: F.struct(F.char_length(x).alias("n"), x.alias("s"))))["s"]
     docs = docs.select("k1", "k2", "raw", "sigs", top.alias("top"))
     others = F.zip_with("raw", "sigs", lambda x, s: F.when((s != "") & (s != F.col("top")), x))
     docs = docs.select("k1", "k2", "raw", "sigs", "top", others.alias("others"))
     docs = docs.select("k1", "k2", "raw", "sigs", "top", F.array_min("others").alias("least"), F.array_max("others").alias("most"))
-    rest = F.when(F.col("least").isNull(), key128(F.array_sort("raw"))).otherwise(key128("least", "most"))
-    docs = docs.select("k1", "k2", "sigs", key128("top").alias("doc"), rest.alias("rest"))
+    rest = F.when(F.col("least").isNull(), F.xxhash64(F.array_sort("raw"))).otherwise(F.xxhash64("least", "most"))
+    docs = docs.select("k1", "k2", "sigs", F.xxhash64("top").alias("doc"), rest.alias("rest"))
+    return _exploded(docs, "k1", "k2", "doc", "rest")
+
+
+def _exploded(docs: DataFrame, *keep: str) -> DataFrame:
+    """The lines with a word of an array ``sigs``, as place and text."""
     # outer: the plain form makes Spark filter on the array's size, for which it computes the array twice
-    return docs.select("k1", "k2", "doc", "rest", F.posexplode_outer("sigs").alias("place", "text")).filter("text <> ''")
+    return docs.select(*keep, F.posexplode_outer("sigs").alias("place", "text")).filter("text <> ''")
 
 
 def _leaf(sig: Column) -> Column:
     words = F.length(sig) - F.length(F.replace(sig, F.lit(" "), F.lit("")))
-    return key128(words, F.substring_index(sig, " ", DEPTH))
+    return F.xxhash64(words, F.substring_index(sig, " ", DEPTH))
 
 
 def boilerplate(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(lines, gone): all lines (k1, k2, place, sig as its key), written once; and the keys of the
-    signatures whose template recurs in MIN_DOCS documents."""
-    lines = scratch.table(_lines(df).select("k1", "k2", "place", "doc", "rest", _leaf(F.col("text")).alias("leaf"), key128("text").alias("sig"), "text"))
+    signatures whose template recurs in MIN_DOCS documents.
+
+    Texts of signatures are not written: few leaves are wide, and for these they are computed again.
+    """
+    lines = scratch.table(_lines(df).select("k1", "k2", "place", "doc", "rest", _leaf(F.col("text")).alias("leaf"), key128("text").alias("sig")))
     texts = lines.groupBy("doc", "rest").agg(F.count_distinct("k1", "k2").alias("n"))
     mixed = texts.groupBy("doc").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
     mixed = scratch.table(mixed.filter((F.col("kinds") >= MIN_DOCS) & (2 * F.col("kinds") > F.col("n"))).select("doc", F.lit(True).alias("mixed")))
-    doc = F.when(F.col("mixed"), key128("doc", "rest")).otherwise(F.col("doc"))
+    doc = F.when(F.col("mixed"), F.xxhash64("doc", "rest")).otherwise(F.col("doc"))
     seen = scratch.table(lines.select("leaf", "sig", "doc", "rest").distinct().join(mixed, "doc", "left").select("leaf", "sig", doc.alias("doc")).distinct())
     per_sig = scratch.table(seen.groupBy("leaf", "sig").agg(F.count("*").alias("docs")))
     wide = per_sig.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("sigs")).filter((F.col("docs") >= MIN_DOCS) & (F.col("sigs") > 1)).select("leaf")
     wide = scratch.table(wide)
-    texts = lines.select("leaf", "sig", "text").join(wide, "leaf", "left_semi").distinct()
+    # from here on only wide leaves matter
+    open_seen = scratch.table(seen.join(wide, "leaf", "left_semi"))
+    wide_sigs = scratch.table(per_sig.join(wide, "leaf", "left_semi"))
+    text = df["text"].cast("string")
+    again = _exploded(df.filter(text.isNotNull()).select(signatures(text).alias("sigs")))
+    texts = again.select(_leaf(F.col("text")).alias("leaf"), "text").join(wide, "leaf", "left_semi").distinct().select("leaf", key128("text").alias("sig"), "text")
     words = texts.select("leaf", "sig", F.posexplode(F.split("text", " ")).alias("at", "word")).filter(F.col("at") >= DEPTH)
-    words = scratch.table(words.join(per_sig, ["leaf", "sig"]).select("leaf", "sig", "at", "word", "docs"))
+    words = scratch.table(words.join(wide_sigs, ["leaf", "sig"]).select("leaf", "sig", "at", "word", "docs"))
     votes = words.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("docs"))
     template = votes.groupBy("leaf", "at").agg(F.max_by("word", F.struct("docs", "word")).alias("constant"))
     member = _fitting(scratch, words, scratch.table(template))
     gone = per_sig.filter(F.col("docs") >= MIN_DOCS).select("sig")
-    found = _recurring(scratch, seen, member)
+    found = _recurring(scratch, open_seen, member)
     gone = gone.unionByName(found.select("sig"))
     # further templates: the fixed words of what did not fit, the most frequent pattern of each leaf in turn
+    active = wide
     while True:
-        words = scratch.table(words.join(found, ["leaf", "sig"], "left_anti"))
+        # a leaf in which no pattern recurred is done
+        rest = scratch.table(words.join(active, "leaf", "left_semi").join(found, ["leaf", "sig"], "left_anti"))
+        scratch.drop(words)
+        words = rest
         often = words.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("votes")).filter(F.col("votes") >= MIN_DOCS)
         fixed = words.join(often, ["leaf", "at", "word"], "left").select("leaf", "sig", F.struct("at", F.when(F.col("votes").isNotNull(), F.col("word")).alias("word")).alias("x"))
         patterns = fixed.groupBy("leaf", "sig").agg(F.array_sort(F.collect_list("x")).alias("parts"), F.count("*").alias("n"), F.count("x.word").alias("kept"))
         pattern = F.array_join("parts.word", " ", "")
         patterns = scratch.table(patterns.filter(F.col("kept") >= SIMILARITY * F.col("n") - 1e-9).select("leaf", "sig", pattern.alias("pattern"), "parts"))
-        best = seen.join(patterns, ["leaf", "sig"]).groupBy("leaf", "pattern").agg(F.count_distinct("doc").alias("docs"), F.first("parts").alias("parts"))
+        best = open_seen.join(patterns, ["leaf", "sig"]).groupBy("leaf", "pattern").agg(F.count_distinct("doc").alias("docs"), F.first("parts").alias("parts"))
         best = best.groupBy("leaf").agg(F.max_by("parts", F.struct("docs", "pattern")).alias("x")).select("leaf", F.explode("x").alias("x"))
-        found = _recurring(scratch, seen, _fitting(scratch, words, scratch.table(best.select("leaf", "x.at", F.col("x.word").alias("constant")))))
+        found = _recurring(scratch, open_seen, _fitting(scratch, words, scratch.table(best.select("leaf", "x.at", F.col("x.word").alias("constant")))))
         if found.isEmpty():
             return lines, scratch.table(gone.distinct())
         gone = gone.unionByName(found.select("sig"))
+        active = scratch.table(found.select("leaf").distinct())
 
 
 def _fitting(scratch: Scratch, words: DataFrame, template: DataFrame) -> DataFrame:
