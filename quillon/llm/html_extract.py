@@ -23,8 +23,8 @@ Text: character references decoded, white space of a block as one space, blocks
 Truncated and ill-nested markup is accepted. Null html: empty. Null url: no wrapper. Null ids and
 repeated rows: each row gets its own result. Ties: the first page of least hash, the deepest of equal
 regions. Pages are processed whole, however long; an empty table gives no rows; extra columns are
-ignored. Wrappers are joined, by broadcast only if Spark finds them small. A template needs a place
-that ``LAYOUT`` of the host's pages have, so a host has a bounded number of them.
+ignored. Wrappers are joined, by broadcast only if Spark finds them small. Only places that ``LAYOUT``
+of a host's pages have count, for templates and for mass, so a host has a bounded number of them.
 """
 
 from __future__ import annotations
@@ -545,18 +545,16 @@ def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
                     held[host] = k
             yield batch.take(pa.array(sorted(held.values()), pa.int64()))
 
-    some = scratch.table(source.mapInArrow(least, "host string, h long, html string").groupBy("host").agg(F.min_by("html", "h").alias("html")))
+    some = source.mapInArrow(least, "host string, h long, html string").groupBy("host").agg(F.min_by("html", "h").alias("html"))
     counts = counted(source, scratch)
     of_host = counts.filter("place IS NULL").select("host", F.col("n").alias("of_host"))
-    of_place = counts.filter("place IS NOT NULL AND text IS NULL").select("host", "place", F.col("n").alias("pages"), F.col("chars").alias("every"))
-    same = counts.filter(F.col("text").isNotNull() & (F.col("n") >= LEAST_PAGES)).join(of_place, ["host", "place"]).join(of_host, "host")
-    same = scratch.table(same.filter((F.col("n") >= CONSTANT * F.col("pages")) & (F.col("pages") >= LAYOUT * F.col("of_host"))).select("host", "place", "text", "chars"))
+    places = counts.filter("place IS NOT NULL AND text IS NULL").select("host", "place", F.col("n").alias("pages"), F.col("chars").alias("every"))
+    places = places.join(of_host, "host").filter(F.col("pages") >= LAYOUT * F.col("of_host"))
+    same = counts.filter(F.col("text").isNotNull() & (F.col("n") >= LEAST_PAGES)).join(places, ["host", "place"]).filter(F.col("n") >= CONSTANT * F.col("pages"))
     constant = same.groupBy("host").agg(F.collect_set("text").alias("constant"))
-    # the slot mass is needed for the places of the reference pages only
-    here = mapped(some.select("host", "html"), _reference_places, "host string, place long", pa.schema([("host", pa.string()), ("place", pa.int64())]))
     fixed = same.groupBy("host", "place").agg(F.sum("chars").alias("fixed"))
-    mass = here.join(of_place, ["host", "place"]).join(fixed, ["host", "place"], "left")
-    mass = mass.groupBy("host").agg(F.collect_list(F.struct("place", (F.col("every") - F.coalesce("fixed", F.lit(0))).alias("slot"), "every")).alias("mass"))
+    slot = F.struct("place", (F.col("every") - F.coalesce("fixed", F.lit(0))).alias("slot"), "every")
+    mass = places.join(fixed, ["host", "place"], "left").groupBy("host").agg(F.collect_list(slot).alias("mass"))
     arrow = pa.schema([("host", pa.string()), ("wrapper", pa.string())])
 
     def rows_of(part: pa.RecordBatch) -> dict:
@@ -570,11 +568,6 @@ def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
     return mapped(some.join(constant, "host", "left").join(mass, "host", "left").select("host", "html", "constant", "mass"), rows_of, "host string, wrapper string", arrow)
 
 
-def _reference_places(part: pa.RecordBatch) -> dict:
-    rows = {(host, signed(place)) for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for place, _ in placed(parse(page))}
-    return {"host": [r[0] for r in rows], "place": [r[1] for r in rows]}
-
-
 def read_wrapper(text: str | None) -> dict | None:
     """A wrapper from its JSON."""
     wrapper = json.loads(text) if text else None
@@ -584,7 +577,7 @@ def read_wrapper(text: str | None) -> dict | None:
 def extracted(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Per row: page_id, url, text, n_chars and n_hinted."""
     scratch = scratch or Scratch(pages.sparkSession)
-    known = scratch.table(wrappers(pages, scratch))
+    known = wrappers(pages, scratch)
     source = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
     joined = source.withColumn("host", host_of(F.col("url"))).join(known, "host", "left").select("page_id", "url", "html", "wrapper")
     arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_hinted", pa.int64())])
