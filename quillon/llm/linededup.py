@@ -111,7 +111,7 @@ def boilerplate(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     words = scratch.table(words.join(wide_sigs, ["leaf", "sig"]).select("leaf", "sig", "at", "word", "docs"))
     votes = words.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("docs"))
     template = votes.groupBy("leaf", "at").agg(F.max_by("word", F.struct("docs", "word")).alias("constant"))
-    member = _fitting(scratch, words, scratch.table(template))
+    member = _fitting(scratch, words, template)
     gone = per_sig.filter(F.col("docs") >= MIN_DOCS).select("sig")
     found = _recurring(scratch, open_seen, member)
     gone = gone.unionByName(found.select("sig"))
@@ -126,14 +126,14 @@ def boilerplate(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         fixed = words.join(often, ["leaf", "at", "word"], "left").select("leaf", "sig", F.struct("at", F.when(F.col("votes").isNotNull(), F.col("word")).alias("word")).alias("x"))
         patterns = fixed.groupBy("leaf", "sig").agg(F.array_sort(F.collect_list("x")).alias("parts"), F.count("*").alias("n"), F.count("x.word").alias("kept"))
         pattern = F.array_join("parts.word", " ", "")
-        patterns = scratch.table(patterns.filter(F.col("kept") >= SIMILARITY * F.col("n") - 1e-9).select("leaf", "sig", pattern.alias("pattern"), "parts"))
+        patterns = patterns.filter(F.col("kept") >= SIMILARITY * F.col("n") - 1e-9).select("leaf", "sig", pattern.alias("pattern"), "parts")
         best = open_seen.join(patterns, ["leaf", "sig"]).groupBy("leaf", "pattern").agg(F.count_distinct("doc").alias("docs"), F.first("parts").alias("parts"))
         best = best.groupBy("leaf").agg(F.max_by("parts", F.struct("docs", "pattern")).alias("x")).select("leaf", F.explode("x").alias("x"))
-        found = _recurring(scratch, open_seen, _fitting(scratch, words, scratch.table(best.select("leaf", "x.at", F.col("x.word").alias("constant")))))
+        found = _recurring(scratch, open_seen, _fitting(scratch, words, best.select("leaf", "x.at", F.col("x.word").alias("constant"))))
         if found.isEmpty():
             return lines, scratch.table(gone.distinct())
         gone = gone.unionByName(found.select("sig"))
-        active = scratch.table(found.select("leaf").distinct())
+        active = found.select("leaf").distinct()
 
 
 def _fitting(scratch: Scratch, words: DataFrame, template: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def _fitting(scratch: Scratch, words: DataFrame, template: DataFrame) -> DataFra
 def _recurring(scratch: Scratch, seen: DataFrame, member: DataFrame) -> DataFrame:
     """The rows of ``member`` whose leaf they put into MIN_DOCS documents."""
     spread = seen.join(member, ["leaf", "sig"]).select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).filter(F.col("docs") >= MIN_DOCS)
-    return scratch.table(member.join(scratch.table(spread), "leaf").select("leaf", "sig"))
+    return scratch.table(member.join(spread, "leaf").select("leaf", "sig"))
 
 
 def line_dedup(df: DataFrame, recount: bool = False, scratch: Scratch | None = None) -> DataFrame:
