@@ -5,21 +5,23 @@ pieces: full ones, and before them one of what is left over. Full pieces are seq
 All other pieces are dealt by hash to islands of about ``ISLAND`` pieces. An island evolves
 packings of its pieces; pieces of one length are interchangeable, so a packing is a list of bins of
 lengths. Crossover injects whole well-filled bins of one parent into the other, drops the other's
-bins that would use a piece twice, and best-fits the displaced pieces; mutation dissolves the worst
-bins. After each epoch the best-filled bin patterns of all islands (a bounded table) migrate to all
+bins that would use a piece twice, and places the displaced pieces by replacement and best fit;
+mutation dissolves the worst bins. After each epoch the best-filled bin patterns of all islands (a bounded table) migrate to all
 islands, which inject them where they have the lengths. Last, the bins that are not well filled are
 dealt anew as whole bins, and islands of them from all over evolve once more; the packing that they
 come with is in the population, so this never costs a sequence. Seeds are fixed, so results repeat.
 
 Null text: empty, one piece of the end token alone. Null ids, repeated rows and ids: each row is
-packed for itself. An empty table gives no pieces. Long texts are encoded whole.
+packed for itself. Ties: pieces of one length are interchangeable and taken by uid, of equal packings
+the first found stays. An empty table gives no pieces. Very long texts are encoded whole, one at a
+time. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import random
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 
 import numpy as np
@@ -33,7 +35,7 @@ from quillon.llm.common import Scratch, slices
 CAPACITY = 1024
 END_TOKEN = 2
 ISLAND = 8192
-EPOCHS, GENERATIONS, POPULATION = 2, 6, 4
+EPOCHS, POPULATION, PATIENCE = 2, 4, 8
 ELITES = 256
 WELL_FILLED = 0.99
 
@@ -110,8 +112,44 @@ def best_fit(bins: list[list[int]], items: list[int], capacity: int) -> list[lis
     return bins
 
 
+def replaced(loose: list[list[int]], displaced: list[int], capacity: int) -> list[int]:
+    """Fill bins better by giving one of their pieces for one or two displaced ones; what is displaced then, ascending.
+
+    Small pieces are easier to place than large ones, so each exchange brings bins nearer to full.
+    """
+    pool = sorted(displaced)
+    for b in loose:
+        free = capacity - sum(b)
+        for k, x in enumerate(b):
+            if not free or not pool:
+                break
+            at = bisect_right(pool, x + free) - 1
+            one = pool[at] if at >= 0 else 0
+            i, j, two, pair = 0, at, 0, None
+            while i < j and two < x + free:
+                total = pool[i] + pool[j]
+                if total > x + free:
+                    j -= 1
+                else:
+                    if total > two:
+                        two, pair = total, (i, j)
+                    i += 1
+            if max(one, two) <= x:
+                continue
+            if two > one:
+                b[k : k + 1] = [pool[pair[0]], pool[pair[1]]]
+                del pool[pair[1]], pool[pair[0]]
+                free -= two - x
+            else:
+                b[k] = pool.pop(at)
+                free -= one - x
+            insort(pool, x)
+            break
+    return pool
+
+
 def repaired(kept: list[Bin], left: Counter, others: list[Bin], capacity: int) -> list[Bin]:
-    """A packing with ``kept`` bins, those of ``others`` that use no piece twice, and a best fit of the rest."""
+    """A packing with ``kept`` bins, those of ``others`` that use no piece twice, and the rest by replacement and best fit."""
     whole, loose = list(kept), []
     for b in others:
         need = Counter(b)
@@ -121,8 +159,8 @@ def repaired(kept: list[Bin], left: Counter, others: list[Bin], capacity: int) -
                 whole.append(b)
             else:
                 loose.append(list(b))
-    displaced = sorted(left.elements(), reverse=True)
-    return whole + [tuple(b) for b in best_fit(loose, displaced, capacity)]
+    displaced = replaced(loose, list(left.elements()), capacity)
+    return whole + [tuple(b) for b in best_fit(loose, displaced[::-1], capacity)]
 
 
 def fitness(bins: list[Bin], capacity: int) -> tuple[int, int]:
@@ -155,18 +193,22 @@ def immigrate(bins: list[Bin], migrants: list[Bin], stock: Counter, capacity: in
 
 
 def mutate(bins: list[Bin], rng: random.Random, capacity: int) -> list[Bin]:
-    """Dissolve the worst bins and some others, and best-fit what they held."""
+    """Dissolve the worst bins and some others; place what they held by replacement and best fit."""
     order = sorted(bins, key=sum)
     worst = max(1, len(order) // 20)
     picked = set(range(worst)) | {rng.randrange(len(order)) for _ in range(worst)}
-    items = [n for k in picked for n in order[k]]
-    rng.shuffle(items)
+    loose = [list(b) for k, b in enumerate(order) if k not in picked]
+    rng.shuffle(loose)
+    items = replaced(loose, [n for k in picked for n in order[k]], capacity)
     items.sort(key=lambda n: -n + rng.random() * 16)
-    return [tuple(b) for b in best_fit([list(b) for k, b in enumerate(order) if k not in picked], items, capacity)]
+    return [tuple(b) for b in best_fit(loose, items, capacity)]
 
 
 def evolve(lengths: list[int], start: list[Bin] | None, migrants: list[Bin], seed: int, capacity: int = CAPACITY) -> list[Bin]:
-    """The best packing of an island's lengths after one epoch."""
+    """The best packing of an island's lengths after one epoch.
+
+    It ends at the lower bound, or when ``PATIENCE`` children in a row were no better than the best.
+    """
     rng = random.Random(seed)
     stock = Counter(lengths)
     down = sorted(lengths, reverse=True)
@@ -176,15 +218,18 @@ def evolve(lengths: list[int], start: list[Bin] | None, migrants: list[Bin], see
         people.append(start)
     if migrants:
         people.append(immigrate(min(people, key=lambda p: fitness(p, capacity)), migrants, stock, capacity))
-    while len(people) < POPULATION:
-        people.append(mutate(people[0], rng, capacity))
-    for _ in range(GENERATIONS):
+    stale = 0
+    while min(map(len, people)) > bound and stale < PATIENCE:
         people.sort(key=lambda p: fitness(p, capacity))
-        if len(people[0]) <= bound:
-            break
-        a, b = rng.sample(people[: POPULATION // 2 + 1], 2)
-        child = mutate(crossover(a, b, stock, rng, capacity), rng, capacity)
-        people[-1] = child
+        best = fitness(people[0], capacity)
+        if len(people) < POPULATION:
+            child = mutate(people[0], rng, capacity)
+        else:
+            a, b = rng.sample(people[: POPULATION // 2 + 1], 2)
+            child = mutate(crossover(a, b, stock, rng, capacity), rng, capacity)
+        people = [*people[: POPULATION - 1], child]
+        # a better filling of as many bins counts too, but not without end: each step must save 0.1 % of it
+        stale = 0 if len(child) < best[0] or (len(child) == best[0] and fitness(child, capacity)[1] < 1.001 * best[1]) else stale + 1
     return min(people, key=lambda p: fitness(p, capacity))
 
 

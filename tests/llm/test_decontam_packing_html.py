@@ -159,6 +159,38 @@ def test_genetic_steps_keep_all_pieces():
     assert len(packing.evolve(lengths, a, [], 1)) <= len(a)
 
 
+def test_the_search_saves_sequences_over_best_fit():
+    import random
+    from collections import Counter
+
+    rng = random.Random(1)
+    lengths = []
+    for _ in range(300):
+        a = rng.randint(260, 420)
+        b = rng.randint(260, min(420, 1024 - a - 260))
+        lengths += [a, b, 1024 - a - b]
+    plain = packing.best_fit([], sorted(lengths, reverse=True), 1024)
+    found = packing.evolve(lengths, None, [], 7)
+    assert Counter(n for x in found for n in x) == Counter(lengths) and all(sum(x) <= 1024 for x in found)
+    assert len(plain) - len(found) >= 20 and len(found) <= 310
+    better = packing.evolve(lengths, found, found[:50], 8)
+    assert len(better) <= len(found)
+
+
+def test_replacement_keeps_all_pieces_and_fills_bins():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(200):
+        loose = [[rng.randint(1, 40) for _ in range(rng.randint(1, 3))] for _ in range(rng.randint(0, 6))]
+        loose = [b for b in loose if sum(b) <= 100]
+        displaced = [rng.randint(1, 60) for _ in range(rng.randint(0, 8))]
+        before, fill = sorted([n for b in loose for n in b] + displaced), [sum(b) for b in loose]
+        pool = packing.replaced(loose, displaced, 100)
+        assert sorted([n for b in loose for n in b] + pool) == before and pool == sorted(pool)
+        assert all(f <= sum(b) <= 100 for f, b in zip(fill, loose))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><header><h2>Site</h2></header>
 <nav><ul><li><a href="/a">{0}</a></li></ul></nav><div class="ad">buy {0}</div><div id="cookie-notice">we use</div><form><p>mail</p></form>
 {open}<h1>Head {0} &amp; more</h1><p><b>Text {0} &eacute;<br><p>sec&shy;ond&nbsp; {0}
