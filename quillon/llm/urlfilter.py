@@ -5,13 +5,16 @@ rule's path; the longest fitting rule wins. URLs without a rule get their host's
 seeds by the share of their pages that rules allow (trust) or block (distrust); trust flows along
 links as personalised PageRank with damping 0.85, until the scores stand still. Distrust flows against
 them: a host takes 0.85 of the mean distrust of what its links lead to, however many other hosts link
-there. A host is blocked if its distrust exceeds its trust and reaches ``BLOCK_AT``. (1 - damping) / 2
-is what a host has of its own if half of its pages are blocked.
+there. A host is blocked if its distrust exceeds its trust and reaches ``BLOCK_AT``; both are rounded
+to six places first, as sums differ in their last bits by the order in which they are added. (1 -
+damping) / 2 is what a host has of its own if half of its pages are blocked.
 
 Links are absolute or protocol-relative ``href`` values; links within a host and hosts with no links
 move nothing. Edges are aggregated per pair of hosts before the first join, so a hot host is one row
 per target. Null url or no ``://``: empty host and path, which no rule fits and no link reaches; its
-verdict is its seeds', allow. Null html has no links. Null ids, repeated rows: each row is judged.
+verdict is its seeds', allow. Null html has no links. Null ids, repeated rows: each row is judged. Ties:
+of rules of equal length none fits one URL twice; equal trust and distrust do not block. Very long
+pages are searched for links whole. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ from quillon.llm.common import Scratch
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DAMPING, STILL = 0.85, 1e-7
-#: Rounds of the SQL form, which also splits a host's distrust among its linkers; without links both are the same.
-ROUNDS = 10
+#: Rounds of the SQL form: what is missing after them is below the sixth place.
+ROUNDS = 110
 BLOCK_AT = (1 - DAMPING) / 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)\shref\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""
@@ -94,6 +97,7 @@ def url_verdicts(pages: DataFrame, rules=RULES, scratch: Scratch | None = None)
     edges = scratch.table(links.select(F.lit("trust").alias("kind"), "src", "dst", "w").unionByName(against))
     scores = propagate(scratch, seeds, edges)
     trust, distrust = (F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)) for k in ("trust", "distrust"))
+    trust, distrust = (F.round(x, 6) for x in (trust, distrust))
     blocked = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= BLOCK_AT)
     verdicts = scores.groupBy(F.col("node").alias("host")).agg(trust.alias("trust"), distrust.alias("distrust")).select("host", F.when(blocked, "block").otherwise("allow").alias("of_host"))
     return judged.join(scratch.table(verdicts), "host", "left").select("page_id", "host", "path", F.col("r.name").alias("rule"), F.coalesce("r.verdict", "of_host", F.lit("allow")).alias("verdict"))
@@ -106,22 +110,21 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     case = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for h, p, _ in sorted(RULES, key=lambda r: -len(r[0] + r[1]))) + " END"
     verdict = "CASE rule " + " ".join(f"WHEN '{h}{p}' THEN '{v}'" for h, p, v in RULES) + " END"
-    rounds = ",\n".join(
-        f"s{i} AS (SELECT kind, node, sum(score) AS score FROM (SELECT kind, node, score FROM s0 UNION ALL SELECT s.kind, e.dst, {DAMPING} * s.score * e.w FROM s{i - 1} s JOIN edges e ON s.kind = e.kind AND s.node = e.src) GROUP BY ALL)"
-        for i in range(1, ROUNDS + 1)
-    )
     return rf"""
-WITH cut AS (SELECT page_id, html, lower(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)) AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+WITH RECURSIVE cut AS (SELECT page_id, html, lower(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)) AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 ruled AS (SELECT page_id, html, host, path, {case} AS rule FROM cut),
 judged AS (SELECT *, {verdict} AS own FROM ruled),
 raw AS (SELECT host AS src, lower(unnest(regexp_extract_all(html, '(?i)\shref\s*=\s*["'']?(?:https?:)?//([^/?#"''\s<>]+)', 1))) AS dst FROM judged),
 counts AS (SELECT src, dst, count(*) AS n FROM raw WHERE src <> dst GROUP BY ALL),
 links AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS w FROM counts),
-edges AS (SELECT 'trust' AS kind, src, dst, w FROM links UNION ALL SELECT 'distrust', dst, src, w / sum(w) OVER (PARTITION BY dst) FROM links),
+edges AS (SELECT 'trust' AS kind, src, dst, w FROM links UNION ALL SELECT 'distrust', dst, src, w FROM links),
 seeds AS (SELECT host, avg(CASE WHEN own = 'allow' THEN 1.0 ELSE 0.0 END) AS trust, avg(CASE WHEN own = 'block' THEN 1.0 ELSE 0.0 END) AS distrust FROM judged GROUP BY host),
 s0 AS (SELECT 'trust' AS kind, host AS node, {1 - DAMPING} * trust AS score FROM seeds UNION ALL SELECT 'distrust', host, {1 - DAMPING} * distrust FROM seeds),
-{rounds},
-verdicts AS (SELECT node AS host, sum(CASE WHEN kind = 'trust' THEN score ELSE 0 END) AS t, sum(CASE WHEN kind = 'distrust' THEN score ELSE 0 END) AS d FROM s{ROUNDS} GROUP BY node)
+nodes AS (SELECT kind, node, sum(score) AS own FROM (SELECT * FROM s0 UNION ALL SELECT DISTINCT kind, dst, 0.0 FROM edges) GROUP BY ALL),
+step AS (SELECT 0 AS r, kind, node, own AS score FROM nodes
+UNION ALL SELECT r + 1, kind, node, own + coalesce(moved, 0) FROM (SELECT DISTINCT r FROM step WHERE r < {ROUNDS} AND (SELECT count(*) FROM edges) > 0) CROSS JOIN nodes
+  LEFT JOIN (SELECT kind, dst AS node, sum({DAMPING} * score * w) AS moved FROM (SELECT * FROM step) s JOIN edges e USING (kind) WHERE s.node = e.src GROUP BY kind, dst) USING (kind, node)),
+verdicts AS (SELECT node AS host, round(sum(CASE WHEN kind = 'trust' THEN score ELSE 0 END), 6) AS t, round(sum(CASE WHEN kind = 'distrust' THEN score ELSE 0 END), 6) AS d FROM step WHERE r = (SELECT max(r) FROM step) GROUP BY node)
 SELECT page_id, host, path, rule, coalesce(own, CASE WHEN d > t AND d >= {BLOCK_AT} THEN 'block' ELSE 'allow' END) AS verdict FROM judged LEFT JOIN verdicts USING (host)"""
 
 

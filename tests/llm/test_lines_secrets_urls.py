@@ -177,6 +177,26 @@ def test_distrust_reaches_all_linkers_and_scores_converge(spark):
     assert abs(scores["a"] - 0.15 / (1 - 0.85**2)) < 1e-6 and abs(scores["b"] - 0.85 * scores["a"]) < 1e-6
 
 
+def test_url_rule_equals_its_sql(spark, tmp_path):
+    rng = random.Random(3)
+    hosts = [f"h{k}.com" for k in range(30)] + [f"bad{k}.net" for k in range(4)] + ["good.org", "example.net"]
+    rows = []
+    for k in range(200):
+        host = rng.choice(hosts)
+        links = "".join(f'<a href="http://{rng.choice(hosts)}/x">' for _ in range(rng.randint(0, 5)))
+        rows.append((k, f"http://{host}/{rng.choice(['fr/', 'en/', ''])}p", links, "x", 1))
+    rows += [(None, None, None, None, None), (1, "no scheme", "x" * 100_000 + "<a href=//bad1.net>", "y", 2), (2, "http://h1.com/", None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, score int")
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = sorted(map(str, con.execute(urlfilter.ORACLE).fetchall()))
+    got = urlfilter.op9_url_filter(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(str(tuple(r)) for r in got) == want
+    linked = {r["host"] for r in got if r["verdict"] == "block" and r["rule"] is None}
+    assert linked and any(r["verdict"] == "allow" and r["rule"] is None for r in got)
+
+
 def test_sql_forms(spark, sf_dir):
     from tests.test_oracles import TABLES, normal
 
