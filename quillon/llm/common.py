@@ -8,8 +8,11 @@ are ignored or, in pipeline stages, carried along untouched.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,35 +46,60 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+_lock, _writers, _before = threading.Lock(), Counter(), {}
+
+
+@contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    """``WRITING`` holds in a session while any of its tables is written, by whichever thread; then it is as it was before."""
+    key, conf = id(spark), spark.conf
+    with _lock:
+        if not _writers[key]:
+            _before[key] = {k: conf.get(k) for k in WRITING}
+            for k, v in WRITING.items():
+                conf.set(k, v)
+        _writers[key] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers[key] -= 1
+            if not _writers[key]:
+                for k, v in _before.pop(key).items():
+                    conf.set(k, v)
+
+
 class Scratch:
-    """Tables written to the shared folder to cut lineage; they survive lost executors."""
+    """Tables written to the shared folder to cut lineage; they survive lost executors.
+
+    The folder goes when the driver's JVM ends; ``drop`` removes a table before that.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         self.names = 0
 
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def table(self, df: DataFrame) -> DataFrame:
         """Write ``df`` as Parquet and read it back under its own schema."""
         self.names += 1
-        path = f"{self.base}/{self.names}"
-        conf = self.spark.conf
-        before = {k: conf.get(k) for k in WRITING}
-        for k, v in WRITING.items():
-            conf.set(k, v)
-        try:
-            df.write.parquet(path)
-        finally:
-            for k, v in before.items():
-                conf.set(k, v)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
+        name = f"{self.base}/{self.names}"
+        with writing(self.spark):
+            df.write.parquet(name)
+        if self.names == 1:
+            path, files = self._path(self.base)
+            files.deleteOnExit(path)
+        out = self.spark.read.schema(df.schema).parquet(name)
+        out._scratch_path = name
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table of this scratch that no later plan reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self._path(df._scratch_path)
+        files.delete(path, True)
 
 
 def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,9 @@ Kinds: the base kinds ``email``, ``ip``, ``card``, ``phone``, and the added kind
 ``account`` (a cue such as "account no" and 6 to 18 digits), ``ssn`` (a cue and ddd-dd-dddd in the
 issued ranges), ``ipv6`` (full form of eight groups) and ``userinfo`` (credentials in a URL).
 Added spans never remove base ones. Null and empty texts have no span. Positions are code points.
+Very long texts are read whole, one at a time, in time that grows with their length. Ties: spans of one
+start are listed by kind, in the order of ``KINDS``. Null ids are kept; repeated rows and ids each get
+their result; an empty table gives no rows; extra columns are ignored, whatever their names.
 The plan is one narrow map over (doc_id, text): no shuffle, memory bounded by a slice of rows.
 """
 

@@ -9,13 +9,16 @@ its start, so every run of ``length`` words holds at least one whole block of it
    windows (four bytes of hash and two of place each), so a bucket's share of a chunk is one row.
    These hashes only nominate; a collision costs time, not correctness.
 2. Extend. Texts with hits are joined to them, exact copies as one text with its number of copies,
-   and all ``length``-word windows over a hit are dealt by 128-bit hash (96 bits sent and the
-   bucket). Windows found at two places are repeats; overlapping ones form the maximal repeats.
+   and all ``length``-word windows over a hit are dealt by hash and compared on 96 bits of it: 64 and
+   32 are sent, and the bucket follows from the first. Windows found at two places are repeats;
+   overlapping ones form the maximal repeats.
 3. Cut. All words under such windows go; judged on the input, not on what is left.
 
 Neither step forms pairs of documents: a passage that a third of all rows share costs one entry per
 place. The number of buckets follows the characters of the input, so a bucket's size stays bounded.
-Null texts have no words. Null ids, repeated rows and ids: each row gets its own result.
+Null texts have no words. Null ids, repeated rows and ids: each row gets its own result, and equal rows
+repeat each other. Ties: of equal windows all go, the first too. Very long texts are cut into chunks
+that overlap by a window. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -273,7 +276,7 @@ def _places(rows: DataFrame) -> DataFrame:
 
 
 def _extend(buckets: int, length: int, block: int):
-    """Map side of step 2: all windows of the full length over a hit, by 128-bit hash."""
+    """Map side of step 2: all windows of the full length over a hit, by 96 bits of hash."""
 
     def pack(at, high, low, _, copies):
         return np.array([len(at)], "<u4").tobytes() + high.astype("<u8").tobytes() + low.astype("<u4").tobytes() + at.tobytes() + copies.tobytes()
