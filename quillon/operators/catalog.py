@@ -287,3 +287,25 @@ def carry_reviews(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     old = stored.select(*keys, F.struct(*REVIEW_FIELDS).alias("old"), F.col("reviewed_at").alias("old_at"))
     same = F.struct(*REVIEW_FIELDS).eqNullSafe(F.col("old"))
     return incoming.join(old, keys, "left").withColumn("reviewed_at", F.when(same, F.col("old_at")).otherwise(F.col("reviewed_at"))).drop("old", "old_at")
+
+
+def repeated_keys(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., n) of the keys that occur more than once; a batch with any is refused."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def review_rows(pairs: DataFrame, fields: list[str], keys: tuple[str, ...] = ("query_id", "work_id")) -> DataFrame:
+    """The rows of a review pack: keys and the fields a reviewer may see, grades left open.
+
+    Raises if a key repeats: a pack has each pair once.
+    """
+    if repeated_keys(pairs, *keys).limit(1).count():
+        raise ValueError("a pair repeats")
+    return pairs.select(*keys, *fields, F.lit(None).cast("int").alias("grade"))
+
+
+def section_path(c: Column, legacy: Column) -> Column:
+    """A section path given as JSON array, JSON string or plain text; the older field, or null, without one."""
+    listed = F.from_json(c, "array<string>")
+    one = F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<string>")
+    return F.when(c.isNull(), F.when(legacy.isNotNull(), F.array(legacy))).when(c.rlike(r"^\s*\[.*\]\s*$") & listed.isNotNull(), listed).when(c.rlike(r'^\s*".*"\s*$') & one.isNotNull(), one).otherwise(F.array(c))

@@ -234,8 +234,15 @@ def evidence_search(chunks: DataFrame, query: str, limit: int = 5, source_type:
 
 def utf8_prefix(c: Column, limit: Column | int) -> Column:
     """The longest prefix of whole characters within a number of bytes."""
-    cut = lambda k: F.try_validate_utf8(F.substring(F.encode(c, "UTF-8"), F.lit(1), F.greatest(F.lit(0), F.lit(limit) - k)).cast("string"))
-    return F.when(F.octet_length(c) <= F.lit(limit), c).otherwise(F.coalesce(*[cut(k) for k in range(4)]))
+    limit = limit if isinstance(limit, Column) else F.lit(limit)
+    cut = lambda k: F.try_validate_utf8(F.substring(F.encode(c, "UTF-8"), F.lit(1), F.greatest(F.lit(0), limit - k)).cast("string"))
+    return F.when(F.octet_length(c) <= limit, c).otherwise(F.coalesce(*[cut(k) for k in range(4)]))
+
+
+def retrieval_text(path: Column, text: Column, limit: int = 1800) -> Column:
+    """A chunk's text after as much of its section path as the byte limit leaves room for; the text stays whole."""
+    prefix = F.rtrim(utf8_prefix(F.array_join(path, " / "), F.greatest(F.lit(0), limit - F.octet_length(text) - 1)))
+    return F.when(F.coalesce(prefix, F.lit("")) == "", text).otherwise(F.concat(prefix, F.lit("\n"), text))
 
 
 def bounded_join(parts: Column, limit: int = 5600) -> Column:

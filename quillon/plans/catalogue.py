@@ -907,3 +907,195 @@ FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY state"""
 def lineage_audit(spark, d):
     j = table(spark, d, "documents").join(table(spark, d, "labels").withColumn("labelled", F.lit(True)), "doc_id", "left")
     return catalog.lineage_audit(j.select((F.col("n_chars") == F.char_length("text")).alias("text_hash_ok"), F.col("labelled").alias("content_hash_ok"), (F.col("toxic") == 0).alias("license_ok"), F.col("quality").isNotNull().alias("chunks_ok"), F.col("lang").isNotNull().alias("pointer_ok")))
+
+
+# ---------------------------------------------------------------- ids, texts and records
+
+
+@query("SELECT conv_id, turn, trim(regexp_replace('  ' || replace(text, ' ', chr(10) || '  ') || chr(9), '\\s+', ' ', 'g')) AS text FROM conversations")
+def whitespace_squeeze(spark, d):
+    messy = F.concat(F.lit("  "), F.replace(F.col("text"), F.lit(" "), F.lit("\n  ")), F.lit("\t"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.squeeze(messy).alias("text"))
+
+
+@query(f"SELECT doc_id, contains(trim(regexp_replace({T.casefold_sql('text')}, '\\s+', ' ', 'g')), 'and the') AS has_fact FROM documents")
+def fact_containment(spark, d):
+    return documents(spark, d).select("doc_id", T.contains_fact(F.col("text"), F.lit("  And \n THE ")).alias("has_fact"))
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'W' || p_partkey WHEN 1 THEN 'W' || p_partkey END AS work, CASE p_partkey % 4 WHEN 2 THEN 'A' || p_partkey END AS author FROM part"""
+)
+def record_ids(spark, d):
+    raw = F.expr("CASE p_partkey % 4 WHEN 0 THEN ' https://openalex.org/W' || p_partkey WHEN 1 THEN 'W' || p_partkey WHEN 2 THEN 'https://openalex.org/A' || p_partkey ELSE 'W' || p_partkey || 'x' END")
+    return table(spark, d, "part").select("p_partkey", T.work_id(raw).alias("work"), T.author_id(raw).alias("author"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey = 42")
+def record_lookup(spark, d):
+    """A point lookup by canonical id; an invalid id finds nothing."""
+    asked = T.work_id(F.lit("https://openalex.org/W42"))
+    return table(spark, d, "part").filter(F.concat(F.lit("W"), F.col("p_partkey").cast("string")) == asked).select("p_partkey", "p_name")
+
+
+@query("SELECT p_partkey, regexp_replace(lower(p_name || p_type || p_size), '[^a-z0-9_]+', '', 'g') AS compact, translate(p_name || ' \\' || p_type || '\"', '\\\"', '  ') AS escaped FROM part")
+def compact_and_escape(spark, d):
+    quoted = F.concat("p_name", F.lit(" \\"), "p_type", F.lit('"'))
+    return table(spark, d, "part").select("p_partkey", T.compact(F.concat("p_name", "p_type", F.col("p_size").cast("string"))).alias("compact"), T.arxiv_query(quoted).alias("escaped"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'research-brief' WHEN 1 THEN 'compare-papers' WHEN 2 THEN 'research-brief' WHEN 3 THEN 'compare-papers' ELSE 'paper-qa' END AS skill FROM part")
+def skill_choice(spark, d):
+    task = F.expr("CASE p_partkey % 5 WHEN 0 THEN 'a Literature  Review of ' || p_name WHEN 1 THEN '比较 ' || p_name WHEN 2 THEN '综述并对比 ' || p_name WHEN 3 THEN 'COMPARE papers on ' || p_name ELSE 'what of ' || p_name END")
+    return table(spark, d, "part").select("p_partkey", T.skill_of(task).alias("skill"))
+
+
+@query(
+    """WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber AS x FROM lineitem WHERE l_linenumber <> 3), g AS (SELECT *, x - row_number() OVER (PARTITION BY l_orderkey ORDER BY x) AS g FROM l),
+r AS (SELECT l_orderkey, g, CASE WHEN min(x) = max(x) THEN min(x) || '' ELSE min(x) || '-' || max(x) END AS label, min(x) AS f FROM g GROUP BY ALL)
+SELECT l_orderkey, string_agg(label, ',' ORDER BY f) AS lines FROM r GROUP BY l_orderkey"""
+)
+def row_number_ranges(spark, d):
+    lines = table(spark, d, "lineitem").filter("l_linenumber <> 3").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_linenumber")).alias("x"))
+    return lines.select("l_orderkey", T.row_ranges(F.col("x")).alias("lines"))
+
+
+@query(
+    f"""WITH c AS (SELECT doc_id, string_split(text, chr(10))[1] AS head, substring(text, 1, 900) AS body FROM documents),
+p AS (SELECT *, repeat(lang || ' / ' || source || ' ', 60) AS path FROM c JOIN documents USING (doc_id)), r AS (SELECT doc_id, body, head, path, greatest(0, 1800 - strlen(body) - 1) AS room FROM p)
+SELECT doc_id, {utf8_cut_sql("head", 100)} AS head, CASE WHEN rtrim(path[1:room]) = '' THEN body ELSE rtrim(path[1:room]) || chr(10) || body END AS retrieval_text FROM r"""
+)
+def retrieval_texts(spark, d):
+    """Headings cut at 100 bytes, and texts after as much of a long section path as fits."""
+    body = F.substring("text", 1, 900)
+    path = F.array(F.repeat(F.concat("lang", F.lit(" / "), "source", F.lit(" ")), 60))
+    return documents(spark, d).select("doc_id", retrieval.utf8_prefix(title_of(), 100).alias("head"), retrieval.retrieval_text(path, body).alias("retrieval_text"))
+
+
+@query(
+    """SELECT doc_id, 'arxiv:' || doc_id || ':' || substring(sha256(text), 1, 16) || ':' || n_chars AS chunk_id, CASE doc_id % 4 WHEN 0 THEN lang || '|' || source WHEN 1 THEN lang WHEN 2 THEN '[' || lang ELSE source END AS path FROM documents"""
+)
+def chunk_ids_and_paths(spark, d):
+    key = F.concat_ws(":", F.lit("arxiv"), F.col("doc_id").cast("string"), F.substring(F.sha2("text", 256), 1, 16), F.col("n_chars").cast("string"))
+    kind = F.col("doc_id") % 4
+    raw = F.when(kind == 0, F.to_json(F.array("lang", "source"))).when(kind == 1, F.concat(F.lit('"'), "lang", F.lit('"'))).when(kind == 2, F.concat(F.lit("["), "lang"))
+    return table(spark, d, "documents").select("doc_id", key.alias("chunk_id"), F.array_join(catalog.section_path(raw, F.col("source")), "|").alias("path"))
+
+
+@query("SELECT l_orderkey AS snapshot_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) - 1 AS INTEGER) AS result_position, l_partkey AS item FROM lineitem")
+def snapshot_membership(spark, d):
+    items = F.transform(F.array_sort(F.collect_list(F.struct("l_partkey", "l_linenumber"))), lambda x: x["l_partkey"])
+    return catalog.membership(table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("snapshot_id")).agg(items.alias("items")), "items")
+
+
+@query("SELECT vec_id AS chunk_id, round(CAST(embedding[1] AS DOUBLE) * CASE WHEN vec_id % 7 = 0 AND vec_id < 500 THEN 2 ELSE 1 END, 6) AS first FROM embeddings")
+def replace_embeddings(spark, d):
+    """All embeddings after one batch, which holds 2,000 vectors at most, of new vectors for some of the first chunks."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.lit("h").alias("content_sha256"), F.col("embedding").cast("array<double>").alias("vector"))
+    batch = v.filter("chunk_id % 7 = 0 AND chunk_id < 500").withColumn("vector", F.transform("vector", lambda x: 2 * x))
+    return catalog.replace_embeddings(v, batch, v.select("chunk_id", "content_sha256"), 64).select("chunk_id", F.round(F.col("vector")[0], 6).alias("first"))
+
+
+VERSIONED = "SELECT 'arxiv' AS source_type, CAST(o_custkey AS VARCHAR) AS source_id, CAST(max(o_orderkey) AS VARCHAR) AS current_sha256, CASE WHEN o_custkey % 3 = 0 THEN 'withdrawn' ELSE 'approved' END AS status FROM orders GROUP BY o_custkey"
+
+
+def versioned(spark, d):
+    """Customers as documents, their orders as versions, the last being the current one, and order lines as chunks."""
+    o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
+    text = lambda c: F.col(c).cast("string")
+    docs = o.groupBy("o_custkey").agg(F.max("o_orderkey").alias("k")).select(F.lit("arxiv").alias("source_type"), text("o_custkey").alias("source_id"), text("k").alias("current_sha256"), F.when(F.col("o_custkey") % 3 == 0, "withdrawn").otherwise("approved").alias("status"))
+    versions = o.select(F.lit("arxiv").alias("source_type"), text("o_custkey").alias("source_id"), text("o_orderkey").alias("content_sha256"), "o_orderpriority")
+    chunks = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.lit("arxiv").alias("source_type"), text("o_custkey").alias("source_id"), text("o_orderkey").alias("content_sha256"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("chunk_id"))
+    return docs, versions, chunks
+
+
+@query(f"WITH d AS ({VERSIONED}) SELECT source_id, l_orderkey * 100 + l_linenumber AS chunk_id FROM d JOIN lineitem ON CAST(l_orderkey AS VARCHAR) = current_sha256 WHERE status = 'approved'")
+def active_chunks(spark, d):
+    return catalog.active_chunks(*versioned(spark, d)).select("source_id", "chunk_id")
+
+
+@query(f"WITH d AS ({VERSIONED}) SELECT source_id, status, count(l_orderkey) AS n_chunks FROM d LEFT JOIN lineitem ON CAST(l_orderkey AS VARCHAR) = current_sha256 GROUP BY ALL")
+def current_chunk_counts(spark, d):
+    return catalog.chunk_counts(*versioned(spark, d), ["status"]).select("source_id", "status", "n_chunks")
+
+
+@query("SELECT c_custkey, c_custkey % 3 = 0 AND c_nationkey % 2 = 0 AS kept FROM customer")
+def review_carry_over(spark, d):
+    """Reviews whose fields are as stored keep their time; every third customer is stored, with another reviewer for odd nations."""
+    c = table(spark, d, "customer")
+    fields = {"license_id": F.lit("CC-BY-4.0"), "license_url": F.lit("u"), "license_evidence_url": F.lit(None).cast("string"), "attribution": F.col("c_name")}
+    base = [F.lit("arxiv").alias("source_type"), F.col("c_custkey").cast("string").alias("source_id"), *[v.alias(k) for k, v in fields.items()]]
+    incoming = c.select(*base, F.lit("r0").alias("reviewer"), F.lit("2024-02-01").alias("reviewed_at"), "c_custkey")
+    stored = c.filter("c_custkey % 3 = 0").select(*base, F.concat(F.lit("r"), (F.col("c_nationkey") % 2).cast("string")).alias("reviewer"), F.lit("2024-01-01").alias("reviewed_at"))
+    return catalog.carry_reviews(incoming, stored).select("c_custkey", (F.col("reviewed_at") == "2024-01-01").alias("kept"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'license' WHEN p_partkey % 2 = 1 THEN 'paper not in the catalogue' ELSE 'ok' END AS outcome FROM part")
+def ingest_gate(spark, d):
+    p = table(spark, d, "part")
+    key = [F.lit("arxiv").alias("source_type"), F.col("p_partkey").cast("string").alias("source_id")]
+    manifests = p.select(*key, F.when(F.col("p_partkey") % 4 == 0, "license").alias("problem"))
+    accepted, refused = catalog.ingest_gate(manifests, p.filter("p_partkey % 2 = 0").select(*key, F.col("p_name").alias("title")))
+    outcomes = accepted.select("source_id", F.lit("ok").alias("outcome")).unionByName(refused.select("source_id", F.col("problem").alias("outcome")))
+    return outcomes.select(F.col("source_id").cast("long").alias("p_partkey"), "outcome")
+
+
+@query(
+    """SELECT doc_id, sha256('{"attribution":"' || source || '","chunker_version":"c1","license_evidence_url":null,"license_id":"CC-BY-4.0","license_url":"u","parser_structure_sha256":null,"parser_version":"p' || (doc_id % 3) ||
+'","source_document_sha256":null,"source_id":"' || doc_id || '","source_type":"arxiv","text_sha256":"' || sha256(text) || '","text_source_url":"t"}') AS content_sha256 FROM documents"""
+)
+def version_keys(spark, d):
+    fields = {"text_sha256": F.sha2("text", 256), "source_type": F.lit("arxiv"), "source_id": F.col("doc_id").cast("string"), "text_source_url": F.lit("t"), "license_id": F.lit("CC-BY-4.0"), "license_url": F.lit("u")}
+    fields |= {"license_evidence_url": F.lit(None).cast("string"), "attribution": F.col("source"), "chunker_version": F.lit("c1"), "parser_version": F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string"))}
+    fields |= {"source_document_sha256": F.lit(None).cast("string"), "parser_structure_sha256": F.lit(None).cast("string")}
+    return catalog.content_key(table(spark, d, "documents").select("doc_id", *[v.alias(k) for k, v in fields.items()])).select("doc_id", "content_sha256")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def repeated_keys(spark, d):
+    return catalog.repeated_keys(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("SELECT item_id AS query_id, doc_id AS work_id, lang, CAST(NULL AS INTEGER) AS grade FROM benchmark CROSS JOIN documents WHERE (item_id + doc_id) % 50 = 0")
+def review_pack_rows(spark, d):
+    """The pairs a review plan names, with what a reviewer may see of them."""
+    works = table(spark, d, "documents").select(F.col("doc_id").alias("work_id"), "lang", "source")
+    pairs = verify.query_pairs(works, table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))).filter((F.col("query_id") + F.col("work_id")) % 50 == 0)
+    return catalog.review_rows(pairs, ["lang"])
+
+
+@query(
+    """WITH o AS (SELECT conv_id, role, turn, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations WHERE conv_id % 5 <> 0)
+SELECT conv_id AS run_id, role AS source, turn AS place, text FROM o WHERE k <= 8"""
+)
+def observed_quotes(spark, d):
+    """Turns as spans that a run saw of a source; every fifth run gives an address that is not the source's own."""
+    c = table(spark, d, "conversations")
+    url = F.concat(F.when(F.col("conv_id") % 5 == 0, "https://example.org/").otherwise("https://arxiv.org/abs/"), "role")
+    outputs = c.select(F.col("conv_id").alias("run_id"), F.lit("arxiv").alias("source_type"), F.col("role").alias("source"), url.alias("source_url"), F.col("turn").alias("place"), "text")
+    return verify.observed_quotes(outputs).select("run_id", "source", "place", "text")
+
+
+@query("SELECT c.conv_id * 1000 + c.turn AS claim_id FROM conversations c WHERE EXISTS (SELECT 1 FROM conversations o WHERE o.conv_id = c.conv_id AND o.turn % 2 = c.turn % 2 AND contains(o.text, substring(c.text, 3, 12)) AND o.turn <> 1)")
+def quote_evidence(spark, d):
+    """Parts of turns as quotes, against the turns seen of their conversation that have no or the same chunk id."""
+    c = table(spark, d, "conversations")
+    source, chunk = F.col("conv_id").cast("string").alias("source"), F.when(F.col("turn") % 2 == 1, "odd").alias("chunk_id")
+    fixed = [F.lit("metadata").alias("type"), F.lit("title").alias("field")]
+    claims = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("claim_id"), source, chunk, *fixed, F.substring("text", 3, 12).alias("quote"))
+    return verify.quote_evidence(claims, c.filter("turn <> 1").select(source, chunk, *fixed, "text")).select("claim_id")
+
+
+@query("SELECT p_partkey AS work_key, 'W' || p_partkey AS work_id, p_name AS title, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_brand || '|' || p_type END AS authors, p_type AS venue, 'available' AS status, p_name || ' ' || p_brand AS abstract FROM part")
+def work_views(spark, d):
+    """Parts as landed source records, seen as works."""
+    person = lambda c: F.struct(F.struct(F.lit("A1").alias("id"), c.alias("display_name")).alias("author"))
+    words = F.split(F.concat("p_name", F.lit(" "), "p_brand"), " ")
+    index = F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda k: words[k] == w))))
+    raw = table(spark, d, "part").select(
+        "p_partkey", F.concat(F.lit("https://openalex.org/W"), F.col("p_partkey").cast("string")).alias("id"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).alias("title"), F.col("p_name").alias("display_name"),
+        F.lit(None).cast("string").alias("doi"), F.col("p_size").alias("publication_year"), F.array(person(F.col("p_brand")), person(F.when(F.col("p_partkey") % 3 != 0, F.col("p_type")))).alias("authorships"),
+        F.struct(F.struct(F.col("p_type").alias("display_name")).alias("source")).alias("primary_location"), index.alias("abstract_inverted_index"), F.array().cast("array<string>").alias("referenced_works"),
+    )
+    seen = catalog.work_view(raw)
+    return seen.select(F.substring("work_id", 2, 20).cast("long").alias("work_key"), "work_id", "title", F.array_join("authors", "|").alias("authors"), "venue", "status", "abstract")
