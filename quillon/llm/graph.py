@@ -25,19 +25,20 @@ def _star(scratch: Scratch, edges: DataFrame, large: bool) -> DataFrame:
     return result
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node that points at a smaller one points at one alone, at which none points further."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("x")).select("x.*")
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least")).filter("up > 1 OR (up = 1 AND least = 0)").isEmpty()
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, root) for every node with an edge; root is the least node of its component.
 
-    ``edges`` has long columns a and b; nulls and loops are ignored. The loop ends when a round
-    leaves the edge set as it was, which the driver sees from one count and one hash sum.
+    ``edges`` has long columns a and b; nulls and loops are ignored. The loop ends when each node points
+    straight at its root, which stars of edges do from the start.
     """
     current = scratch.table(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
-        state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or state[0] == 0:
-            break
-        before = state
+    while not _settled(current):
         wide = _star(scratch, current, large=True)
         scratch.drop(current)
         current = _star(scratch, wide, large=False)
