@@ -309,3 +309,18 @@ def section_path(c: Column, legacy: Column) -> Column:
     listed = F.from_json(c, "array<string>")
     one = F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<string>")
     return F.when(c.isNull(), F.when(legacy.isNotNull(), F.array(legacy))).when(c.rlike(r"^\s*\[.*\]\s*$") & listed.isNotNull(), listed).when(c.rlike(r'^\s*".*"\s*$') & one.isNotNull(), one).otherwise(F.array(c))
+
+
+#: Fields of an evidence item that an evaluation may see.
+EVIDENCE_FIELDS = ("source_type", "source_id", "chunk_id", "locator", "page_number", "element_type", "excerpt", "score", "content_sha256")
+
+
+def allowed_fields(items: DataFrame, allowed: tuple[str, ...] = EVIDENCE_FIELDS) -> DataFrame:
+    """The allowed fields that are there, in the order of the list; all others are left out."""
+    return items.select(*[c for c in allowed if c in items.columns])
+
+
+def usable_tools(wanted: Column, registered: Column) -> Column:
+    """The tools a skill wants that are registered, each once, in the skill's order; null lists have none."""
+    none = F.array().cast("array<string>")
+    return F.array_intersect(F.coalesce(wanted, none), F.coalesce(registered, none))

@@ -13,10 +13,10 @@ import re
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import FIGURE_CAPTION, NAMED_HEADINGS, NUMBERED_HEADING, TABLE_CAPTION
+from quillon.functions.text import FIGURE_CAPTION, NAMED_HEADINGS, NUMBERED_HEADING, SPLIT_DELTA, SPLIT_STRICT, TABLE_CAPTION, header_label
 
 LAYOUT_VERSION = "layout-1"
 Box = tuple[float, float, float, float]  # x0, top, x1, bottom
@@ -255,6 +255,29 @@ def merge_continuations(rows: list[list[str]]) -> list[list[str]]:
     return out
 
 
+def without_empty_rows(rows: Column) -> Column:
+    """A table's rows (array of cells) that have a cell with text; each keeps its number, from 1, as ``row``."""
+    numbered = F.transform(rows, lambda r, k: F.struct((k + 1).alias("row"), r.alias("cells")))
+    return F.filter(numbered, lambda r: F.exists(r["cells"], lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""))
+
+
+def repaired_header(rows: Column, header: int) -> Column:
+    """A table whose split header labels are put back together; ``header`` is the place, from 0, of the header row.
+
+    A lone V over a difference that ends in "strict" is its subscripted letter, and leaves its own cell.
+    """
+    cut = lambda at, n: F.slice(rows, at, n)
+    fixed = F.transform(rows, lambda r, k: F.when(k < 6, F.transform(r, lambda c: F.regexp_replace(c, *SPLIT_STRICT))).otherwise(r))
+    if header < 1:
+        return fixed
+    above, labels = rows[header - 1], rows[header]
+    moved = lambda a, c: (F.trim(F.coalesce(a, F.lit(""))) == "V") & F.coalesce(c, F.lit("")).rlike(SPLIT_DELTA[0])
+    both = [F.zip_with(above, labels, lambda a, c: F.when(moved(a, c), "").otherwise(a)), F.zip_with(above, labels, lambda a, c: F.when(c.isNotNull(), header_label(a, c)))]
+    joined = F.concat(cut(1, header - 1), F.array(*both), cut(header + 2, F.greatest(F.lit(0), F.size(rows) - header - 1)))
+    joined = F.transform(joined, lambda r, k: F.when(k < 6, F.transform(r, lambda c: F.regexp_replace(c, *SPLIT_STRICT))).otherwise(r))
+    return F.when(F.size(rows) > header, joined).otherwise(fixed)
+
+
 def element_id(page: int, kind: str, text: str, box: Box) -> str:
     """Repeats for the same output on the same page."""
     payload = json.dumps([LAYOUT_VERSION, page, kind, [round(float(v), 2) for v in box], text], ensure_ascii=False, separators=(",", ":"))

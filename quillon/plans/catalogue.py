@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import catalog, chunking, evaluation, retrieval, verify
+from quillon.operators import catalog, chunking, evaluation, layout, retrieval, verify
 from quillon.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1099,3 +1099,30 @@ def work_views(spark, d):
     )
     seen = catalog.work_view(raw)
     return seen.select(F.substring("work_id", 2, 20).cast("long").alias("work_key"), "work_id", "title", F.array_join("authors", "|").alias("authors"), "venue", "status", "abstract")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN p_brand || '|' || p_type ELSE '' END AS tools FROM part WHERE p_brand <> p_type")
+def usable_tools(spark, d):
+    p = table(spark, d, "part").filter("p_brand <> p_type")
+    registered = F.when(F.col("p_partkey") % 3 == 0, F.array("p_brand")).when(F.col("p_partkey") % 3 == 1, F.array("p_type", "p_brand", F.lit("x")))
+    return p.select("p_partkey", F.array_join(catalog.usable_tools(F.array("p_brand", "p_type", "p_brand"), registered), "|").alias("tools"))
+
+
+@query("SELECT conv_id * 1000 + turn AS chunk_id, role AS element_type, text AS excerpt FROM conversations")
+def evidence_fields(spark, d):
+    c = table(spark, d, "conversations")
+    return catalog.allowed_fields(c.select("turn", F.col("text").alias("excerpt"), F.col("role").alias("element_type"), (F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.col("text").alias("body")))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '2:∆V_strict vs. ' || p_size || '|' || p_name || ';3:1|' || p_size ELSE '1:V|W;2:∆ vs. ' || p_size || '|V_strict (%);3:1|' || p_size END AS cells FROM part"""
+)
+def table_repairs(spark, d):
+    """Tables of four rows with a split header and an empty row."""
+    even, size = F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")
+    top = F.array(F.lit(" V "), F.when(even, " ").otherwise("W"))
+    head = F.array(F.concat(F.lit("∆ vs. "), size, F.when(even, " strict").otherwise("")), F.when(even, F.col("p_name")).otherwise("V (%)  strict"))
+    rows = F.array(top, head, F.array(F.lit("1"), size), F.array(F.lit(""), F.lit(" ")))
+    t = table(spark, d, "part").select("p_partkey", layout.repaired_header(rows, 1).alias("rows")).select("p_partkey", layout.without_empty_rows(F.col("rows")).alias("rows"))
+    shown = F.transform("rows", lambda r: F.concat(r["row"].cast("string"), F.lit(":"), F.array_join(F.transform(r["cells"], F.trim), "|")))
+    return t.select("p_partkey", F.array_join(shown, ";").alias("cells"))
