@@ -328,7 +328,7 @@ def vector_metrics(spark, d):
     v, q = vectors(spark, d), vector_queries(spark, d)
     ql = v.join(q.select(F.col("query_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("label").alias("ql"))
     grade = F.when(F.col("label") == F.col("ql"), 3).when(F.abs(F.col("label") - F.col("ql")) == 1, 1).otherwise(0)
-    qrels = v.crossJoin(F.broadcast(ql)).select("query_id", "id", grade.alias("grade"))
+    qrels = verify.query_pairs(v, ql).select("query_id", "id", grade.alias("grade"))
     return evaluation.score_rankings(cosine_ranking(spark, d, 10), qrels, (1, 5, 10), truncate_at=10).drop("ndcg_1")
 
 
@@ -1124,5 +1124,35 @@ def table_repairs(spark, d):
     head = F.array(F.concat(F.lit("∆ vs. "), size, F.when(even, " strict").otherwise("")), F.when(even, F.col("p_name")).otherwise("V (%)  strict"))
     rows = F.array(top, head, F.array(F.lit("1"), size), F.array(F.lit(""), F.lit(" ")))
     t = table(spark, d, "part").select("p_partkey", layout.repaired_header(rows, 1).alias("rows")).select("p_partkey", layout.without_empty_rows(F.col("rows")).alias("rows"))
-    shown = F.transform("rows", lambda r: F.concat(r["row"].cast("string"), F.lit(":"), F.array_join(F.transform(r["cells"], F.trim), "|")))
+    shown = F.transform("rows", lambda r: F.concat(r["row"].cast("string"), F.lit(":"), F.array_join(F.transform(r["cells"], lambda c: F.trim(c)), "|")))
     return t.select("p_partkey", F.array_join(shown, ";").alias("cells"))
+
+
+def supplier_pages(spark, d):
+    """(words, images): a page per supplier with a heading, a paragraph of two lines, a caption, and an image for even ones."""
+    s = table(spark, d, "supplier").withColumn("nation", F.col("s_nationkey").cast("string"))
+    lines = {100: F.lit("1 Introduction"), 140: F.concat("s_name", F.lit(" is known")), 152: F.concat(F.lit("in nation "), "nation"), 300: F.concat(F.lit("Figure 3: sales of "), "s_name")}
+    listed = F.explode(F.array(*[F.struct(F.lit(float(y)).alias("top"), t.alias("line")) for y, t in lines.items()])).alias("l")
+    words = s.select(F.col("s_suppkey").alias("doc_id"), listed).select("doc_id", "l.top", F.posexplode(F.split("l.line", " ")).alias("k", "text"))
+    left = F.lit(50.0) + 100.0 * F.col("k")
+    words = words.select("doc_id", F.lit(1).alias("page_number"), "text", left.alias("x0"), "top", (left + 95.0).alias("x1"), (F.col("top") + 10.0).alias("bottom"))
+    box = {"x0": 60.0, "top": 200.0, "x1": 300.0, "bottom": 290.0}
+    images = s.filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("doc_id"), F.lit(1).alias("page_number"), *[F.lit(v).alias(k) for k, v in box.items()])
+    return words, images
+
+
+@query(
+    """WITH e AS (SELECT s_suppkey AS doc_id, unnest([0, 1, 2, 3]) AS order_index, s_name, s_nationkey FROM supplier)
+SELECT doc_id, order_index, ['heading', 'paragraph', 'figure_caption', 'image_region'][order_index + 1] AS element_type,
+['1 Introduction', s_name || ' is known in nation ' || s_nationkey, 'Figure 3: sales of ' || s_name, ''][order_index + 1] AS text, '1 Introduction' AS section,
+CASE WHEN order_index = 2 THEN CASE WHEN doc_id % 2 = 0 THEN 'matched' ELSE 'unmatched' END END AS caption FROM e WHERE order_index < 3 OR doc_id % 2 = 0"""
+)
+def page_elements(spark, d):
+    words, images = supplier_pages(spark, d)
+    found = layout.elements(words, images)
+    return found.select("doc_id", "order_index", "element_type", "text", F.array_join("section_path", "/").alias("section"), F.get_json_object("relation", "$.status").alias("caption"))
+
+
+@query("SELECT s_suppkey AS doc_id, 1 AS pages, CASE WHEN s_suppkey % 2 = 0 THEN 4 ELSE 3 END AS elements, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS image_regions, 1 AS figure_captions, 0 AS warnings FROM supplier")
+def page_quality(spark, d):
+    return layout.quality_counts(layout.elements(*supplier_pages(spark, d)))

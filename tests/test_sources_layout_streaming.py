@@ -110,3 +110,14 @@ def test_pdf_files_that_are_refused_are_rows(spark, tmp_path):
         (tmp_path / name).write_bytes(body)
     got = {r["path"][-5]: (r["error"], r["content"] is not None) for r in readers.binary_documents(spark, str(tmp_path), 50).collect()}
     assert got == {"a": (None, True), "b": ("not a PDF", False), "c": ("too long", False)}
+
+
+def test_table_repairs(spark):
+    from pyspark.sql import functions as F
+
+    rows = [[["V", "x"], ["∆ vs. a strict", "V (%) strict"], ["", None], ["1", "2"]], [["V"]], [], [["a", "V"], ["V", "∆ vs. strict b"]]]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, rows array<array<string>>")
+    got = [r["t"] for r in df.select("k", layout.repaired_header(F.col("rows"), 1).alias("t")).orderBy("k").collect()]
+    assert got == [[["", "x"], ["∆V_strict vs. a", "V_strict (%)"], ["", None], ["1", "2"]], [["V"]], [], [["a", "V"], ["V", "∆ vs. strict b"]]]
+    kept = df.select("k", layout.without_empty_rows(F.col("rows")).alias("t")).orderBy("k").first()["t"]
+    assert [(r["row"], r["cells"]) for r in kept] == [(1, ["V", "x"]), (2, ["∆ vs. a strict", "V (%) strict"]), (4, ["1", "2"])]
