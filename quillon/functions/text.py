@@ -5,8 +5,9 @@ SQL fragments that both Spark and DuckDB read are built as strings by the ``*_sq
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 # Unicode full case folding of the characters that fold to ASCII letters.
 CASEFOLD = {
@@ -191,6 +192,21 @@ def canonical_json(fields: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
+def sorted_fields(c: Column, kind: DataType) -> Column:
+    """A value whose structs, at any depth, have their fields by name, as canonical JSON wants them."""
+    if isinstance(kind, StructType):
+        inner = F.struct(*[sorted_fields(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
+        return F.when(c.isNotNull(), inner)
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: sorted_fields(x, kind.elementType))
+    return c
+
+
+def nested_json(df: DataFrame, column: str) -> Column:
+    """Canonical JSON of a struct or array column of a DataFrame: sorted keys at all depths, nulls kept."""
+    return F.to_json(sorted_fields(F.col(column), df.schema[column].dataType), {"ignoreNullFields": "false"})
+
+
 def content_sha256(fields: dict[str, Column]) -> Column:
     """SHA-256 of the canonical JSON."""
     return F.sha2(canonical_json(fields), 256)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import ascii_lower
+from quillon.functions.text import ascii_lower, author_id
 
 
 def upsert_current(current: DataFrame, incoming: DataFrame, key: str, payload: list[str], seen: str = "seen_at") -> DataFrame:
@@ -223,13 +223,14 @@ def abstract_from_index(index: Column) -> Column:
 
 
 def work_view(raw: DataFrame) -> DataFrame:
-    """Works of landed source records: id tail, title or display name, named authors, venue."""
+    """Works of landed source records: id tail, title or display name, named authors and their ids (null if malformed), venue."""
     return raw.select(
         F.substring_index("id", "/", -1).alias("work_id"),
         F.coalesce("title", "display_name").alias("title"),
         "doi",
         "publication_year",
         F.transform(F.filter("authorships", lambda a: a["author"]["display_name"].isNotNull()), lambda a: a["author"]["display_name"]).alias("authors"),
+        F.transform(F.filter("authorships", lambda a: a["author"]["display_name"].isNotNull()), lambda a: author_id(a["author"]["id"])).alias("author_ids"),
         F.col("primary_location.source.display_name").alias("venue"),
         abstract_from_index(F.col("abstract_inverted_index")).alias("a"),
         "referenced_works",
@@ -324,3 +325,10 @@ def usable_tools(wanted: Column, registered: Column) -> Column:
     """The tools a skill wants that are registered, each once, in the skill's order; null lists have none."""
     none = F.array().cast("array<string>")
     return F.array_intersect(F.coalesce(wanted, none), F.coalesce(registered, none))
+
+
+def works_of_author(works: DataFrame, author: str, per_page: int = 25, page: int = 1) -> DataFrame:
+    """A page of the works that list an author's id, by work id; an author listed twice counts once."""
+    if not (1 <= per_page <= 25 and page >= 1):
+        raise ValueError("1 to 25 works a page")
+    return works.filter(F.array_contains("author_ids", author)).orderBy("work_id").offset((page - 1) * per_page).limit(per_page)

@@ -201,17 +201,11 @@ def evidence_search(chunks: DataFrame, query: str, limit: int = 5, source_type:
         raise ValueError("query must have 1 to 256 characters")
     if not 1 <= limit <= 8:
         raise ValueError("limit must be 1 to 8")
-    if source_id is not None and source_type is None:
-        raise ValueError("source_id needs source_type")
     if method not in ("bm25", "dense", "hybrid"):
         raise ValueError("unknown method")
     if method != "bm25" and not query_vector:
         raise ValueError("a query vector is needed")
-    active = chunks.filter("status = 'approved' AND current_sha256 = content_sha256")
-    if source_type is not None:
-        active = active.filter(F.col("source_type") == source_type)
-    if source_id is not None:
-        active = active.filter(F.col("source_id") == source_id)
+    active = scoped(chunks.filter("status = 'approved' AND current_sha256 = content_sha256"), source_type, source_id)
     n = active.limit(max_chunks + 1).count()
     if n > max_chunks:
         return "corpus_limit_exceeded", None
@@ -232,6 +226,39 @@ def evidence_search(chunks: DataFrame, query: str, limit: int = 5, source_type:
     return ("ok" if best.limit(1).count() else "no_results"), best
 
 
+def scoped(df: DataFrame, source_type: str | None = None, source_id: str | None = None) -> DataFrame:
+    """Rows of a source type, or of one source; a source id needs its type."""
+    if source_id is not None and source_type is None:
+        raise ValueError("source_id needs source_type")
+    if source_type is not None:
+        df = df.filter(F.col("source_type") == source_type)
+    return df if source_id is None else df.filter(F.col("source_id") == source_id)
+
+
+def evidence_scan(documents: DataFrame, versions: DataFrame, chunks: DataFrame, embeddings: DataFrame, elements: DataFrame, model: str, dimensions: int) -> DataFrame:
+    """Chunks of approved documents' current versions, with the version's and the chunk's columns, ``vector``
+    and ``element``.
+
+    A vector counts only if it is of the model, has its dimensions and is not normalised; a chunk's
+    element is one of its own version. Both are null where there is none, so no chunk is lost.
+    """
+    key = ["source_type", "source_id", "content_sha256"]
+    current = documents.filter("status = 'approved'").select("source_type", "source_id", F.col("current_sha256").alias("content_sha256"))
+    active = chunks.join(versions.join(current, key), key)
+    usable = embeddings.filter((F.col("model") == model) & (F.col("dimensions") == dimensions) & (F.col("normalization") == "none")).select("chunk_id", "vector")
+    return active.join(usable, "chunk_id", "left").join(elements.select(*key, "element_id", "element"), [*key, "element_id"], "left")
+
+
+def embedding_input(documents: DataFrame, versions: DataFrame, chunks: DataFrame, most: int = 50_000) -> DataFrame:
+    """(chunk_id, content_sha256, text) of all active chunks; more than ``most`` are refused, as an index takes all or none."""
+    key = ["source_type", "source_id", "content_sha256"]
+    current = documents.filter("status = 'approved'").select("source_type", "source_id", F.col("current_sha256").alias("content_sha256"))
+    out = chunks.join(versions.join(current, key).select(*key), key).select("chunk_id", "content_sha256", F.coalesce("retrieval_text", "text").alias("text"))
+    if out.limit(most + 1).count() > most:
+        raise ValueError("the corpus has too many chunks")
+    return out
+
+
 def utf8_prefix(c: Column, limit: Column | int) -> Column:
     """The longest prefix of whole characters within a number of bytes."""
     limit = limit if isinstance(limit, Column) else F.lit(limit)

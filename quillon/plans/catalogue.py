@@ -1005,7 +1005,8 @@ def versioned(spark, d):
     text = lambda c: F.col(c).cast("string")
     docs = o.groupBy("o_custkey").agg(F.max("o_orderkey").alias("k")).select(F.lit("arxiv").alias("source_type"), text("o_custkey").alias("source_id"), text("k").alias("current_sha256"), F.when(F.col("o_custkey") % 3 == 0, "withdrawn").otherwise("approved").alias("status"))
     versions = o.select(F.lit("arxiv").alias("source_type"), text("o_custkey").alias("source_id"), text("o_orderkey").alias("content_sha256"), "o_orderpriority")
-    chunks = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.lit("arxiv").alias("source_type"), text("o_custkey").alias("source_id"), text("o_orderkey").alias("content_sha256"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("chunk_id"))
+    number = F.col("l_orderkey") * 100 + F.col("l_linenumber")
+    chunks = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.lit("arxiv").alias("source_type"), text("o_custkey").alias("source_id"), text("o_orderkey").alias("content_sha256"), number.alias("chunk_id"), "l_partkey", text("l_linenumber").alias("element_id"), F.when(F.col("l_linenumber") % 2 == 0, text("l_partkey")).alias("retrieval_text"), text("l_suppkey").alias("text"))
     return docs, versions, chunks
 
 
@@ -1156,3 +1157,47 @@ def page_elements(spark, d):
 @query("SELECT s_suppkey AS doc_id, 1 AS pages, CASE WHEN s_suppkey % 2 = 0 THEN 4 ELSE 3 END AS elements, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS image_regions, 1 AS figure_captions, 0 AS warnings FROM supplier")
 def page_quality(spark, d):
     return layout.quality_counts(layout.elements(*supplier_pages(spark, d)))
+
+
+@query(
+    f"""WITH d AS ({VERSIONED}) SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey AS chunk_id, l_partkey % 6 = 0 AS has_vector, CASE WHEN l_linenumber = 1 THEN 'first of ' || l_orderkey END AS element
+FROM d JOIN lineitem ON CAST(l_orderkey AS VARCHAR) = current_sha256 WHERE status = 'approved'"""
+)
+def evidence_scan(spark, d):
+    """Chunks with vectors of the right model and size, and the element of their own version."""
+    docs, versions, chunks = versioned(spark, d)
+    chunks = chunks.withColumn("chunk_id", F.concat_ws(":", "content_sha256", "element_id", F.col("l_partkey").cast("string")))
+    sized = {"model": F.when(F.col("l_partkey") % 3 == 0, "m").otherwise("other"), "dimensions": F.when(F.col("l_partkey") % 2 == 0, 64).otherwise(32), "normalization": F.lit("none"), "vector": F.array(F.lit(1.0))}
+    embeddings = chunks.dropDuplicates(["chunk_id"]).select("chunk_id", *[v.alias(k) for k, v in sized.items()])
+    elements = versions.select("source_type", "source_id", "content_sha256", F.lit("1").alias("element_id"), F.concat(F.lit("first of "), "content_sha256").alias("element"))
+    found = retrieval.evidence_scan(docs, versions, chunks, embeddings, elements, "m", 64)
+    return found.select("chunk_id", F.col("vector").isNotNull().alias("has_vector"), "element")
+
+
+@query(f"WITH d AS ({VERSIONED}) SELECT l_orderkey * 100 + l_linenumber AS chunk_id, current_sha256 AS content_sha256, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey ELSE l_suppkey END || '' AS text FROM d JOIN lineitem ON CAST(l_orderkey AS VARCHAR) = current_sha256 WHERE status = 'approved'")
+def embedding_input(spark, d):
+    docs, versions, chunks = versioned(spark, d)
+    return retrieval.embedding_input(docs, versions, chunks, 100_000_000)
+
+
+@query(f"WITH d AS ({VERSIONED}) SELECT source_id, current_sha256 FROM d WHERE source_id = '7'")
+def source_scope(spark, d):
+    return retrieval.scoped(versioned(spark, d)[0], "arxiv", "7").select("source_id", "current_sha256")
+
+
+@query("SELECT 'W' || p_partkey AS work_id, p_name AS title FROM part WHERE p_size = 7 OR p_partkey % 50 = 7 ORDER BY work_id LIMIT 10 OFFSET 10")
+def works_of_author(spark, d):
+    p = table(spark, d, "part")
+    ids = F.array(F.concat(F.lit("A"), F.col("p_size").cast("string")), F.concat(F.lit("A"), (F.col("p_partkey") % 50).cast("string")))
+    works = p.select(F.concat(F.lit("W"), F.col("p_partkey").cast("string")).alias("work_id"), F.col("p_name").alias("title"), ids.alias("author_ids"))
+    return catalog.works_of_author(works, "A7", 10, 2).select("work_id", "title")
+
+
+@query(
+    """SELECT s_suppkey, '{"a":[{"k":1,"z":"' || s_name || '"},{"k":2,"z":null}],"m":{"b":' || s_nationkey || ',"c":null},"t":"é"}' AS json FROM supplier"""
+)
+def canonical_nested_json(spark, d):
+    pair = lambda z, k: F.struct(z.alias("z"), F.lit(k).alias("k"))
+    value = F.struct(F.lit("é").alias("t"), F.struct(F.lit(None).cast("string").alias("c"), F.col("s_nationkey").alias("b")).alias("m"), F.array(pair(F.col("s_name"), 1), pair(F.lit(None).cast("string"), 2)).alias("a"))
+    df = table(spark, d, "supplier").select("s_suppkey", value.alias("value"))
+    return df.select("s_suppkey", T.nested_json(df, "value").alias("json"))
