@@ -10,7 +10,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +27,11 @@ Box = tuple[float, float, float, float]  # x0, top, x1, bottom
 REACH, DISTANCE_WEIGHT, OVERLAP_WEIGHT, ABOVE_PENALTY = 160.0, 0.65, 0.35, 0.20
 LEAST_OVERLAP, ACCEPT_BELOW, AMBIGUOUS_WITHIN = 0.10, 0.75, 0.12
 
+#: Strokes flatter than this are underscores, if they lie in the last part of a word's height and bridge less than a word gap.
+FLAT, FOOT, WORD_GAP = 0.5, 0.72, 0.8
+#: Table bodies: gaps to the caption and between rows, in line heights, and the share of its width that prose exceeds.
+FIRST_GAP, ROW_GAP, PROSE = 3.0, 2.0, 0.7
+
 _figure, _table = re.compile(FIGURE_CAPTION), re.compile(TABLE_CAPTION)
 _numbered = re.compile(NUMBERED_HEADING)
 _decimal = re.compile(r"(?<![\w.])[+-]?\d+\.\d+%?(?!\w)")
@@ -287,13 +294,96 @@ def element_id(page: int, kind: str, text: str, box: Box) -> str:
 PAGE_SCHEMA = "doc_id long, page_number int, place int, element_type string, level int, text string, bbox array<double>, element_id string, relation string"
 
 
-def page_elements(page: int, words: list[Word], width: float, images: list[Box]) -> list[tuple]:
-    """Elements of one page in reading order, images after the text."""
-    parts = paragraphs_of(reading_order(lines_of([w for w in words if not any(covers(i, w.box) for i in images)], width), width))
+def joined_by_strokes(words: list[Word], strokes: list[Box]) -> list[Word]:
+    """Words that a flat stroke at the foot of the line joins, as one word with an underscore.
+
+    Typesetters draw an identifier's underscore as a stroke from the end of one word to the start of the next.
+    """
+    out = list(words)
+    for x0, top, x1, bottom in sorted(strokes):
+        if abs(bottom - top) >= FLAT:
+            continue
+        before = [w for w in out if abs(w.box[2] - x0) < 1 and w.box[1] + FOOT * w.height < top < w.box[3]]
+        after = [w for w in out if abs(w.box[0] - x1) < 1]
+        pair = next(((a, b) for a in before for b in after if a is not b and abs(a.box[1] - b.box[1]) < 1 and 1 < b.box[0] - a.box[2] < WORD_GAP * a.height), None)
+        if pair:
+            a, b = pair
+            out = [Word(f"{a.text}_{b.text}", bound([a.box, b.box]), a.script) if w is a else w for w in out if w is not b]
+    return out
+
+
+def anchored_rows(lines: list[Line]) -> list[list[str]]:
+    """Rows of cells whose columns are those of the header: a piece belongs where its middle lies, between
+    the middles of the gaps of the header's cells. Without a header of several cells, by shared gutters."""
+    tops: list[list[Line]] = []
+    for n in sorted(lines, key=lambda n: (n.box[1], n.box[0])):
+        if tops and n.box[1] - tops[-1][0].box[1] <= 3:
+            tops[-1].append(n)
+        else:
+            tops.append([n])
+    header = sorted(tops[0], key=lambda n: n.box[0]) if tops else []
+    if len(header) < 2 or any(len(r) > len(header) for r in tops):
+        return table_from_lines(lines)
+    cuts = [(a.box[2] + b.box[0]) / 2 for a, b in pairwise(header)]
+    out = []
+    for row in tops:
+        cells = [""] * len(header)
+        for n in sorted(row, key=lambda n: n.box[0]):
+            k = bisect(cuts, (n.box[0] + n.box[2]) / 2)
+            cells[k] = f"{cells[k]} {n.text}".strip()
+        out.append(cells)
+    return merge_continuations(out)
+
+
+def table_under(lines: list[Line], at: int) -> list[Line]:
+    """The lines below the caption at a place that make its table: until a heading or caption, a wide gap, or
+    a single piece that runs over most of the table, which is prose again."""
+    caption, body = lines[at], []
+    for n in lines[at + 1 :]:
+        if n.box[1] < caption.box[1]:
+            continue
+        above = max((x.box[3] for x in body), default=caption.box[3])
+        if kind_of(n.text) != "paragraph" or n.box[1] - above > (FIRST_GAP if not body else ROW_GAP) * (n.box[3] - n.box[1]):
+            break
+        row = [x for x in lines[at + 1 :] if abs(x.box[1] - n.box[1]) <= 3]
+        width = max((x.box[2] for x in body), default=0) - min((x.box[0] for x in body), default=0)
+        if body and len(row) == 1 and n.box[2] - n.box[0] > PROSE * width:
+            break
+        body.append(n)
+    return body
+
+
+def page_elements(page: int, words: list[Word], width: float, images: list[Box], strokes: list[Box] = ()) -> list[tuple]:
+    """Elements of one page in reading order, images after the text; a caption's table is one element."""
+    words = joined_by_strokes([w for w in words if not any(covers(i, w.box) for i in images)], list(strokes))
+    lines = reading_order(lines_of(words, width), width)
+    tables: dict[int, tuple[Line, list[list[str]]]] = {}
+    taken: set[int] = set()
+    for at, n in enumerate(lines):
+        if kind_of(n.text) == "table_caption" and id(n) not in taken:
+            body = table_under(lines, at)
+            rows = anchored_rows(body)
+            if plausible_table(rows):
+                taken |= {id(x) for x in body}
+                tables[id(n)] = n, rows
     shown = panels(images)
-    found = iter(match_captions([p.box for p in parts if p.kind == "figure_caption"], shown))
+    parts: list[tuple[Line, list[list[str]] | None]] = []
+    run: list[Line] = []
+    for n in [*(x for x in lines if id(x) not in taken), None]:
+        if n is None or id(n) in tables:
+            parts += [(p, None) for p in paragraphs_of(run)]
+            run = []
+            if n is not None:
+                parts.append((Line(n.text, n.box, "table", n.column), tables[id(n)][1]))
+        else:
+            run.append(n)
+    found = iter(match_captions([p.box for p, _ in parts if p.kind == "figure_caption"], shown))
     out = []
-    for p in parts:
+    for p, rows in parts:
+        if rows is not None:
+            structured = json.dumps({"rows": rows, "header_row_count": header_rows(rows)}, ensure_ascii=False)
+            out.append(("table", None, p.text, list(p.box), element_id(page, "table", p.text, p.box), structured))
+            continue
         relation = json.dumps(next(found)) if p.kind == "figure_caption" else None
         kind = "paragraph" if p.kind == "table_caption" else p.kind
         out.append((kind, heading_level(p.text) if kind == "heading" else None, p.text, list(p.box), element_id(page, kind, p.text, p.box), relation))
@@ -301,24 +391,28 @@ def page_elements(page: int, words: list[Word], width: float, images: list[Box])
     return out
 
 
-def elements(words: DataFrame, images: DataFrame | None = None, page_width: float = 612.0) -> DataFrame:
-    """Elements of all pages. ``words``: doc_id, page_number, text, x0, top, x1, bottom; ``images`` likewise without text.
+def elements(words: DataFrame, images: DataFrame | None = None, page_width: float = 612.0, strokes: DataFrame | None = None) -> DataFrame:
+    """Elements of all pages. ``words``: doc_id, page_number, text, x0, top, x1, bottom; ``images`` and ``strokes`` likewise without text.
 
     A page that fails gives one ``warning`` element; repeated ids get _2, _3, ... in document order,
-    and each element has the path of the headings above it.
+    and each element has the path of the headings above it. ``relation`` is JSON: a figure caption's
+    image, or a table's rows and number of header rows.
     """
     keys = ["doc_id", "page_number"]
     numbers = [F.col(c).cast("double").alias(c) for c in ("x0", "top", "x1", "bottom")]
-    rows = words.select(F.col("doc_id").cast("long"), F.col("page_number").cast("int"), "text", *numbers)
-    if images is not None:
-        rows = rows.unionByName(images.select(F.col("doc_id").cast("long"), F.col("page_number").cast("int"), F.lit(None).cast("string").alias("text"), *numbers))
+    base = [F.col("doc_id").cast("long"), F.col("page_number").cast("int")]
+    rows = words.select(*base, F.lit("word").alias("kind"), "text", *numbers)
+    for kind, boxes in (("image", images), ("stroke", strokes)):
+        if boxes is not None:
+            rows = rows.unionByName(boxes.select(*base, F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("text"), *numbers))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         doc, page = frame["doc_id"].iloc[0], int(frame["page_number"].iloc[0])
-        boxes = list(zip(frame["x0"], frame["top"], frame["x1"], frame["bottom"]))
+        boxes = list(zip(frame["kind"], frame["text"], zip(frame["x0"], frame["top"], frame["x1"], frame["bottom"])))
         try:
-            text = [Word(t, b) for t, b in zip(frame["text"], boxes) if isinstance(t, str)]
-            out = page_elements(page, text, page_width, [b for t, b in zip(frame["text"], boxes) if not isinstance(t, str)])
+            text = [Word(t, b) for kind, t, b in boxes if kind == "word" and isinstance(t, str)]
+            of = {k: [b for kind, _, b in boxes if kind == k] for k in ("image", "stroke")}
+            out = page_elements(page, text, page_width, of["image"], of["stroke"])
         except (ValueError, TypeError, ArithmeticError) as e:
             out = [("warning", None, str(e), [], element_id(page, "warning", str(e), (0, 0, 0, 0)), None)]
         return pd.DataFrame([(doc, page, k, *r) for k, r in enumerate(out)], columns=["doc_id", "page_number", "place", "element_type", "level", "text", "bbox", "element_id", "relation"]).astype({"level": "Int32"})
@@ -338,7 +432,7 @@ def elements(words: DataFrame, images: DataFrame | None = None, page_width: floa
 def quality_counts(parsed: DataFrame) -> DataFrame:
     """One row per document: pages, elements and regions by kind, and warnings."""
     count = lambda kind: F.count_if(F.col("element_type") == kind)
-    return parsed.groupBy("doc_id").agg(F.count_distinct("page_number").alias("pages"), F.count("*").alias("elements"), count("image_region").alias("image_regions"), count("figure_caption").alias("figure_captions"), count("warning").alias("warnings"))
+    return parsed.groupBy("doc_id").agg(F.count_distinct("page_number").alias("pages"), F.count("*").alias("elements"), count("image_region").alias("image_regions"), count("table").alias("table_regions"), count("figure_caption").alias("figure_captions"), count("warning").alias("warnings"))
 
 
 def read_pdf_words(content: bytes, most_pages: int = 500) -> list[tuple]:

@@ -1154,7 +1154,7 @@ def page_elements(spark, d):
     return found.select("doc_id", "order_index", "element_type", "text", F.array_join("section_path", "/").alias("section"), F.get_json_object("relation", "$.status").alias("caption"))
 
 
-@query("SELECT s_suppkey AS doc_id, 1 AS pages, CASE WHEN s_suppkey % 2 = 0 THEN 4 ELSE 3 END AS elements, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS image_regions, 1 AS figure_captions, 0 AS warnings FROM supplier")
+@query("SELECT s_suppkey AS doc_id, 1 AS pages, CASE WHEN s_suppkey % 2 = 0 THEN 4 ELSE 3 END AS elements, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS image_regions, 0 AS table_regions, 1 AS figure_captions, 0 AS warnings FROM supplier")
 def page_quality(spark, d):
     return layout.quality_counts(layout.elements(*supplier_pages(spark, d)))
 
@@ -1201,3 +1201,20 @@ def canonical_nested_json(spark, d):
     value = F.struct(F.lit("é").alias("t"), F.struct(F.lit(None).cast("string").alias("c"), F.col("s_nationkey").alias("b")).alias("m"), F.array(pair(F.col("s_name"), 1), pair(F.lit(None).cast("string"), 2)).alias("a"))
     df = table(spark, d, "supplier").select("s_suppkey", value.alias("value"))
     return df.select("s_suppkey", T.nested_json(df, "value").alias("json"))
+
+
+@query(
+    """SELECT s_suppkey AS doc_id, 'Table ' || s_suppkey || ': measured_values' AS text, '[["name", "low value", "high"], ["' || s_name || '", "' || s_nationkey || '", "1.5 of 2"], ["other", "", "2.5"]]' AS rows, 'The text goes on below' AS after FROM supplier"""
+)
+def page_tables(spark, d):
+    """A page per supplier with a captioned table of three rows, a stroke that joins two words, and prose below."""
+    s = table(spark, d, "supplier")
+    name, nation, number = F.col("s_name"), F.col("s_nationkey").cast("string"), F.concat(F.col("s_suppkey").cast("string"), F.lit(":"))
+    placed = [("Table", 50, 100), (number, 110, 100), ("measured", 174, 100), ("values", 238, 100), ("name", 50, 120), ("low", 200, 120), ("value", 264, 120), ("high", 380, 120), (name, 40, 134), (nation, 210, 134), ("1.5", 360, 134), ("of", 424, 134), ("2", 488, 134), ("other", 60, 148), ("2.5", 385, 148)]
+    placed += [(w, 50 + 64 * k, 200) for k, w in enumerate("The text goes on below".split())]
+    cells = F.array(*[F.struct((t if not isinstance(t, str) else F.lit(t)).alias("text"), F.lit(float(x)).alias("x0"), F.lit(float(y)).alias("top")) for t, x, y in placed])
+    words = s.select(F.col("s_suppkey").alias("doc_id"), F.lit(1).alias("page_number"), F.explode(cells).alias("w")).select("doc_id", "page_number", "w.*", (F.col("w.x0") + 58.0).alias("x1"), (F.col("w.top") + 10.0).alias("bottom"))
+    strokes = s.select(F.col("s_suppkey").alias("doc_id"), F.lit(1).alias("page_number"), F.lit(232.0).alias("x0"), F.lit(108.0).alias("top"), F.lit(238.0).alias("x1"), F.lit(108.2).alias("bottom"))
+    found = layout.elements(words, None, 612.0, strokes)
+    prose = found.filter("element_type = 'paragraph'").groupBy("doc_id").agg(F.first("text").alias("after"))
+    return found.filter("element_type = 'table'").join(prose, "doc_id").select("doc_id", "text", F.regexp_replace(F.get_json_object("relation", "$.rows"), r'","', '", "').alias("raw"), "after").select("doc_id", "text", F.regexp_replace("raw", r"\],\[", "], [").alias("rows"), "after")

@@ -121,3 +121,18 @@ def test_table_repairs(spark):
     assert got == [[["", "x"], ["∆V_strict vs. a", "V_strict (%)"], ["", None], ["1", "2"]], [["V"]], [], [["a", "V"], ["V", "∆ vs. strict b"]]]
     kept = df.select("k", layout.without_empty_rows(F.col("rows")).alias("t")).orderBy("k").first()["t"]
     assert [(r["row"], r["cells"]) for r in kept] == [(1, ["V", "x"]), (2, ["∆ vs. a strict", "V (%) strict"]), (4, ["1", "2"])]
+
+
+def test_strokes_and_anchored_rows():
+    W, L = layout.Word, layout.Line
+    words = [W("max", (10, 100, 40, 110)), W("size", (44, 100, 70, 110)), W("of", (74, 100, 90, 110)), W("low", (10, 200, 40, 210))]
+    joined = layout.joined_by_strokes(words, [(40, 108.5, 44, 108.7), (70, 104, 74, 104.1), (40, 208, 44, 208.1)])
+    assert [w.text for w in joined] == ["max_size", "of", "low"] and joined[0].box == (10, 100, 70, 110)
+    chain = layout.joined_by_strokes(words, [(70, 108.5, 74, 108.6), (40, 108.5, 44, 108.7)])
+    assert [w.text for w in chain] == ["max_size_of", "low"]
+    line = lambda t, x, y, w=40: L(t, (x, y, x + w, y + 10))
+    body = [line("a", 10, 0), line("b", 100, 0), line("c", 200, 0), line("1", 30, 14), line("3", 190, 14), line("more", 120, 28), line("x", 12, 42), line("y", 90, 42), line("z", 220, 42)]
+    assert layout.anchored_rows(body) == [["a", "b", "c"], ["1", "more", "3"], ["x", "y", "z"]]
+    caption = L("Table 1: sizes", (10, -20, 90, -10))
+    assert layout.table_under([caption, *body, line("prose that runs on over the page", 10, 56, 230), line("q", 10, 70)], 0) == body
+    assert layout.table_under([caption, *body, line("far", 10, 90)], 0) == body
