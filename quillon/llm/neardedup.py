@@ -182,7 +182,9 @@ def similar_classes(scratch: Scratch, rows: DataFrame, k: int, similarity: float
     pairs = scratch.table(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     need = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(member.select("cls")).distinct()
     # by row, not by class: a class may be a third of all rows
-    texts = rows.select("rid", "text").join(scratch.table(classes.select("cls", "rid").join(need, "cls")), "rid").select("cls", "text")
+    wanted = scratch.table(classes.select("cls", "rid").join(need, "cls"))
+    few = wanted.count() <= FEW
+    texts = rows.select("rid", "text").join(F.broadcast(wanted) if few else wanted, "rid").select("cls", "text")
     arrow = pa.schema([("cls", pa.int64()), ("set", pa.list_(pa.int64()))])
     sets = scratch.table(mapped(texts, lambda part: {"cls": part.column(0), "set": [np.unique(shingles(t, k)).view(np.int64) for t in part.column(1).to_pylist()]}, "cls long, set array<long>", arrow))
     edges = scratch.table(compared(pairs, sets, similarity))
