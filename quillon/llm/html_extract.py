@@ -23,7 +23,7 @@ Text: character references decoded, white space of a block as one space, blocks
 Truncated and ill-nested markup is accepted. Null html: empty. Null url: no wrapper. Null ids and
 repeated rows: each row gets its own result. Ties: the first page of least hash, the deepest of equal
 regions. Pages are processed whole, however long; an empty table gives no rows; extra columns are
-ignored. Wrappers are joined, by broadcast only if Spark finds them small. Only places that ``LAYOUT``
+ignored. Wrappers are written, so that Spark knows their size: small, they are broadcast, else joined by host. Only places that ``LAYOUT``
 of a host's pages have count, for templates and for mass, so a host has a bounded number of them.
 """
 
@@ -577,7 +577,7 @@ def read_wrapper(text: str | None) -> dict | None:
 def extracted(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Per row: page_id, url, text, n_chars and n_hinted."""
     scratch = scratch or Scratch(pages.sparkSession)
-    known = wrappers(pages, scratch)
+    known = scratch.table(wrappers(pages, scratch))
     source = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
     joined = source.withColumn("host", host_of(F.col("url"))).join(known, "host", "left").select("page_id", "url", "html", "wrapper")
     arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_hinted", pa.int64())])
