@@ -1,8 +1,9 @@
 """Page layout: from positioned words and boxes to typed elements in reading order.
 
-A page is a bounded group (hundreds of words), and its rules are sequential, so a page is one call of
-a grouped Arrow map; what joins pages of a document (section paths, repeated element ids) is done
-with windows. Words and boxes come from any PDF reader; ``read_pdf_words`` uses one if installed.
+A page is a bounded group (hundreds of words), and its rules are sequential: its words and boxes are
+collected into one row, and an Arrow map takes many such rows at a time. What joins pages of a
+document (section paths, repeated element ids) is done with windows. Words and boxes come from any PDF
+reader; ``read_pdf_words`` uses one if installed. Tables drawn with rules are in ``ruled``.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from bisect import bisect
 from dataclasses import dataclass, field
 from itertools import pairwise
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,13 @@ Box = tuple[float, float, float, float]  # x0, top, x1, bottom
 #: Caption matching: weights of distance, missing overlap and a caption above its image, and the bounds.
 REACH, DISTANCE_WEIGHT, OVERLAP_WEIGHT, ABOVE_PENALTY = 160.0, 0.65, 0.35, 0.20
 LEAST_OVERLAP, ACCEPT_BELOW, AMBIGUOUS_WITHIN = 0.10, 0.75, 0.12
+#: An image narrower or lower is no caption's target; the score of which a confidence of 0 is left.
+SLIVER, NO_CONFIDENCE = 8.0, 1.25
+#: Least width, height and area of a drawn panel, as shares of the page's.
+PANEL_WIDTH, PANEL_HEIGHT, PANEL_AREA = 0.12, 0.08, 0.012
+#: Panels of a figure: gaps beside and below, in points and as shares of the page, the shared part of the
+#: other side, and what the figure's box is widened by.
+PANEL_GAP, GAP_BESIDE, GAP_BELOW, PANEL_SHARED, PAD_SIDE, PAD_ABOVE = 18.0, 0.05, 0.03, 0.5, 2.0, 12.0
 
 #: Strokes flatter than this are underscores, if they lie in the last part of a word's height and bridge less than a word gap.
 FLAT, FOOT, WORD_GAP = 0.5, 0.72, 0.8
@@ -198,26 +206,81 @@ def paragraphs_of(lines: list[Line]) -> list[Line]:
     return out
 
 
-def match_captions(captions: list[Box], images: list[Box]) -> list[dict]:
-    """Per caption: matched, ambiguous or unmatched, with the image taken; an image is taken once."""
-    free, out = dict(enumerate(images)), []
+def caption_score(caption: Box, target: Box) -> float | None:
+    """How far a caption is from its figure, 0 at best; None beyond reach or without shared width."""
+    share, down = x_overlap(caption, target), caption[1] - target[3]
+    if share < LEAST_OVERLAP or abs(down) > REACH:
+        return None
+    return DISTANCE_WEIGHT * abs(down) / REACH + OVERLAP_WEIGHT * (1 - share) + (ABOVE_PENALTY if down < 0 else 0.0)
+
+
+def match_captions(captions: list[Box], images: list[Box], drawn: list[Box] = ()) -> list[dict]:
+    """Per caption: matched, ambiguous or unmatched, with the image taken; an image is taken once.
+
+    A caption with images in reach of which none is near enough, or two about as near, is ambiguous. One without any
+    image in reach may have a drawn figure (``drawn``, boxes of ``vector_figures``): the nearest, if it is clear.
+    """
+    free = {k: i for k, i in enumerate(images) if i[2] - i[0] >= SLIVER and i[3] - i[1] >= SLIVER}
+    out = []
+
+    def ranked(caption: Box, boxes) -> list[tuple[float, int]]:
+        return sorted((s, k) for k, b in boxes if (s := caption_score(caption, b)) is not None)
+
+    def clear(scored: list[tuple[float, int]]) -> bool:
+        return bool(scored) and scored[0][0] < ACCEPT_BELOW and (len(scored) == 1 or scored[1][0] - scored[0][0] > AMBIGUOUS_WITHIN)
+
     for c in captions:
-        scored = []
-        for k, i in free.items():
-            share, down = x_overlap(c, i), c[1] - i[3]
-            if share >= LEAST_OVERLAP and abs(down) <= REACH:
-                scored.append((DISTANCE_WEIGHT * abs(down) / REACH + OVERLAP_WEIGHT * (1 - share) + (ABOVE_PENALTY if down < 0 else 0.0), k))
-        scored.sort()
-        if not scored or scored[0][0] >= ACCEPT_BELOW:
-            out.append({"status": "unmatched", "image": None, "candidates": [k for _, k in scored]})
-        elif len(scored) > 1 and scored[1][0] - scored[0][0] <= AMBIGUOUS_WITHIN:
-            out.append({"status": "ambiguous", "image": None, "candidates": [k for _, k in scored]})
+        scored = ranked(c, free.items())
+        vectors = [] if scored else ranked(c, enumerate(drawn))
+        best = scored[0] if clear(scored) else vectors[0] if clear(vectors) else None
+        if best:
+            found = {"status": "matched", "image": best[1], "candidates": [k for _, k in scored] or [best[1]], "confidence": round(max(0.0, 1 - best[0] / NO_CONFIDENCE), 3)}
+            if scored:
+                free.pop(best[1])
+            out.append(found | {"source": "image" if scored else "vector"})
         else:
-            free.pop(scored[0][1])
-            out.append({"status": "matched", "image": scored[0][1], "candidates": [k for _, k in scored]})
+            out.append({"status": "ambiguous" if scored else "unmatched", "image": None, "candidates": [k for _, k in scored], "confidence": 0.0})
     return out
 
 
+def vector_figures(boxes: list[Box], width: float, height: float) -> list[Box]:
+    """Regions of drawn figures: outermost panel-sized boxes, and panels beside or below each other as one.
+
+    A sweep over the left sides holds the boxes that a next one may still touch; groups are a union-find.
+    """
+    large = {b for b in boxes if b[2] - b[0] >= PANEL_WIDTH * width and b[3] - b[1] >= PANEL_HEIGHT * height and (b[2] - b[0]) * (b[3] - b[1]) >= PANEL_AREA * max(1.0, width * height)}
+    outer: list[Box] = []
+    for b in sorted(large, key=lambda b: (-(b[2] - b[0]) * (b[3] - b[1]), b)):
+        if not any(covers(o, b) for o in outer):
+            outer.append(b)
+    outer.sort()
+    beside, below = max(PANEL_GAP, GAP_BESIDE * width), max(PANEL_GAP, GAP_BELOW * height)
+    group = list(range(len(outer)))
+
+    def root(k: int) -> int:
+        while group[k] != k:
+            group[k] = k = group[group[k]]
+        return k
+
+    def one_figure(a: Box, b: Box) -> bool:
+        shared = [min(a[k + 2], b[k + 2]) - max(a[k], b[k]) for k in (0, 1)]
+        least = [min(a[k + 2] - a[k], b[k + 2] - b[k]) for k in (0, 1)]
+        return (shared[1] >= PANEL_SHARED * least[1] and -shared[0] <= beside) or (shared[0] >= PANEL_SHARED * least[0] and -shared[1] <= below)
+
+    active: list[int] = []
+    for k, b in enumerate(outer):
+        active = [j for j in active if outer[j][2] + beside >= b[0]]
+        for j in active:
+            if one_figure(outer[j], b):
+                group[root(k)] = root(j)
+        active.append(k)
+    members: dict[int, list[Box]] = {}
+    for k, b in enumerate(outer):
+        members.setdefault(root(k), []).append(b)
+    whole = [bound(m) for m in members.values()]
+    return sorted(((max(0.0, b[0] - PAD_SIDE), max(0.0, b[1] - PAD_ABOVE), min(width, b[2] + PAD_SIDE), b[3]) for b in whole), key=lambda b: (b[1], b[0]))
+
+
 def plausible_table(rows: list[list[str]]) -> bool:
     """2 to 16 columns, two rows, four cells, a quarter filled, two rows of several cells."""
     rows = [r for r in rows if any(c.strip() for c in r)]
@@ -291,7 +354,7 @@ def element_id(page: int, kind: str, text: str, box: Box) -> str:
     return "el_" + hashlib.sha256(payload.encode()).hexdigest()[:24]
 
 
-PAGE_SCHEMA = "doc_id long, page_number int, place int, element_type string, level int, text string, bbox array<double>, element_id string, relation string"
+ELEMENT = "place:int,element_type:string,level:int,text:string,bbox:array<double>,element_id:string,relation:string"
 
 
 def joined_by_strokes(words: list[Word], strokes: list[Box]) -> list[Word]:
@@ -353,8 +416,11 @@ def table_under(lines: list[Line], at: int) -> list[Line]:
     return body
 
 
-def page_elements(page: int, words: list[Word], width: float, images: list[Box], strokes: list[Box] = ()) -> list[tuple]:
-    """Elements of one page in reading order, images after the text; a caption's table is one element."""
+def page_elements(page: int, words: list[Word], width: float, images: list[Box], strokes: list[Box] = (), paths: list[Box] = (), height: float = 792.0) -> list[tuple]:
+    """Elements of one page in reading order, images after the text; a caption's table is one element.
+
+    A drawn figure (``paths``) becomes an image region only if a caption takes it.
+    """
     words = joined_by_strokes([w for w in words if not any(covers(i, w.box) for i in images)], list(strokes))
     lines = reading_order(lines_of(words, width), width)
     tables: dict[int, tuple[Line, list[list[str]]]] = {}
@@ -377,7 +443,13 @@ def page_elements(page: int, words: list[Word], width: float, images: list[Box],
                 parts.append((Line(n.text, n.box, "table", n.column), tables[id(n)][1]))
         else:
             run.append(n)
-    found = iter(match_captions([p.box for p, _ in parts if p.kind == "figure_caption"], shown))
+    drawn = vector_figures(list(paths), width, height)
+    matches = match_captions([p.box for p, _ in parts if p.kind == "figure_caption"], shown, drawn)
+    for m in matches:
+        if m.get("source") == "vector":
+            shown.append(drawn[m["image"]])
+            m["image"], m["candidates"] = len(shown) - 1, [len(shown) - 1]
+    found = iter(matches)
     out = []
     for p, rows in parts:
         if rows is not None:
@@ -391,8 +463,9 @@ def page_elements(page: int, words: list[Word], width: float, images: list[Box],
     return out
 
 
-def elements(words: DataFrame, images: DataFrame | None = None, page_width: float = 612.0, strokes: DataFrame | None = None) -> DataFrame:
-    """Elements of all pages. ``words``: doc_id, page_number, text, x0, top, x1, bottom; ``images`` and ``strokes`` likewise without text.
+def elements(words: DataFrame, images: DataFrame | None = None, page_width: float = 612.0, strokes: DataFrame | None = None, paths: DataFrame | None = None, page_height: float = 792.0) -> DataFrame:
+    """Elements of all pages. ``words``: doc_id, page_number, text, x0, top, x1, bottom; ``images``, ``strokes`` and ``paths``
+    (boxes of drawn panels) likewise without text.
 
     A page that fails gives one ``warning`` element; repeated ids get _2, _3, ... in document order,
     and each element has the path of the headings above it. ``relation`` is JSON: a figure caption's
@@ -402,22 +475,28 @@ def elements(words: DataFrame, images: DataFrame | None = None, page_width: floa
     numbers = [F.col(c).cast("double").alias(c) for c in ("x0", "top", "x1", "bottom")]
     base = [F.col("doc_id").cast("long"), F.col("page_number").cast("int")]
     rows = words.select(*base, F.lit("word").alias("kind"), "text", *numbers)
-    for kind, boxes in (("image", images), ("stroke", strokes)):
+    for kind, boxes in (("image", images), ("stroke", strokes), ("path", paths)):
         if boxes is not None:
             rows = rows.unionByName(boxes.select(*base, F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("text"), *numbers))
+    pages = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("top", "x0", "x1", "bottom", "kind", "text"))).alias("things"))
+    element = pa.struct([("place", pa.int32()), ("element_type", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("bbox", pa.list_(pa.float64())), ("element_id", pa.string()), ("relation", pa.string())])
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        doc, page = frame["doc_id"].iloc[0], int(frame["page_number"].iloc[0])
-        boxes = list(zip(frame["kind"], frame["text"], zip(frame["x0"], frame["top"], frame["x1"], frame["bottom"])))
+    def of_page(page: int, things: list[dict]) -> list[dict]:
+        box = lambda t: (t["x0"], t["top"], t["x1"], t["bottom"])
+        of = {k: [box(t) for t in things if t["kind"] == k] for k in ("image", "stroke", "path")}
         try:
-            text = [Word(t, b) for kind, t, b in boxes if kind == "word" and isinstance(t, str)]
-            of = {k: [b for kind, _, b in boxes if kind == k] for k in ("image", "stroke")}
-            out = page_elements(page, text, page_width, of["image"], of["stroke"])
+            text = [Word(t["text"], box(t)) for t in things if t["kind"] == "word" and t["text"] is not None]
+            out = page_elements(page, text, page_width, of["image"], of["stroke"], of["path"], page_height)
         except (ValueError, TypeError, ArithmeticError) as e:
             out = [("warning", None, str(e), [], element_id(page, "warning", str(e), (0, 0, 0, 0)), None)]
-        return pd.DataFrame([(doc, page, k, *r) for k, r in enumerate(out)], columns=["doc_id", "page_number", "place", "element_type", "level", "text", "bbox", "element_id", "relation"]).astype({"level": "Int32"})
+        return [dict(zip(element.names, (k, *r))) for k, r in enumerate(out)]
+
+    def run(batches):
+        for batch in batches:
+            found = [of_page(p, t) for p, t in zip(batch.column("page_number").to_pylist(), batch.column("things").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("page_number"), pa.array(found, pa.list_(element))], names=[*keys, "found"])
 
-    raw = rows.groupBy(*keys).applyInPandas(run, PAGE_SCHEMA)
+    raw = pages.mapInArrow(run, f"doc_id long, page_number int, found array<struct<{ELEMENT}>>").select(*keys, F.inline("found"))
     order = Window.partitionBy("doc_id").orderBy("page_number", "place")
     numbered = raw.withColumns({"order_index": F.row_number().over(order) - 1, "again": F.row_number().over(Window.partitionBy("doc_id", "element_id").orderBy("page_number", "place"))})
     named = numbered.withColumn("element_id", F.when(F.col("again") > 1, F.concat_ws("_", "element_id", F.col("again").cast("string"))).otherwise(F.col("element_id")))

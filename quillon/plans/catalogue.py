@@ -7,34 +7,21 @@ snapshots, and the order tables a catalogue. Scores are rounded to six places on
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import catalog, chunking, evaluation, layout, retrieval, verify
+from quillon.plans import pages
+from quillon.plans.registry import ORACLES, QUERIES, query
 from quillon.session import spread, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "pages"]
 
 QUESTION = "Released under the Apache License, and the version of this work is licensed as ist der with it"
 TOKENS = "SELECT doc_id AS id, lang, " + T.tokens_sql("text") + " AS tokens FROM documents"
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """The documents over all cores, for queries that work hard on each text."""
     return spread(table(spark, d, "documents"))
