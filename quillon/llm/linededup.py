@@ -4,19 +4,22 @@ A line's signature is its words joined by a space, with words that hold a digit
 has a level for the number of words and one for each of the first ``DEPTH`` words of the signature;
 a leaf's template takes at each further place the word that most of its documents have. A signature
 that agrees with its leaf's template in at least ``SIMILARITY`` of these places belongs to the
-template (the other places are variable fields). Among the others a leaf gets further templates, one
-at a time: the pattern of most documents, where a pattern is a signature's words that ``MIN_DOCS``
-documents have at their places, if these are enough places; until no leaf's pattern recurs. What
-fits no template is a template of its own.
+template (the other places are variable fields). What does not fit is looked at again: a pattern is a
+signature's words that ``MIN_DOCS`` documents have at their places, if these are enough places, and
+each pattern of ``MIN_DOCS`` documents or more is a further template of the leaf; all of a leaf are found
+at once, and what then is left is looked at again, until no pattern recurs. What fits no template is a
+template of its own.
 A template that recurs in ``MIN_DOCS`` documents or more is boilerplate, and all its lines are
-dropped. Documents are counted as different texts: exact copies count once, and texts that share
-their longest signature, as near copies do, count once too, unless they are different texts but for
-it: if over half of them, and ``MIN_DOCS`` at least, differ in their other lines (compared by the
-first and the last of these in byte order), each of the different ones counts.
+dropped. Documents are counted as different texts: exact copies count once. Texts that share their
+longest signature count once too if their other lines are near copies, and each counts if these
+differ: of every text's other lines, ``SKETCH`` least digests of 3-word windows are compared, and the
+texts differ if the mean number of distinct digests is ``MIN_DOCS`` at least and over a third of the texts
+(of near copies of similarity 0.8 about a ninth have a digest of their own). Then texts are told apart by
+their first digest.
 
 Lines are what \\n splits; lines without a word are kept and count in no template. Null text: stays
-null, no lines. Null ids, repeated rows and ids: each row gets its own result. Ties between words or
-patterns of a leaf: the greater in byte order. Very long texts are one row with an array of lines until
+null, no lines. Null ids, repeated rows and ids: each row gets its own result. Ties between words of
+a leaf: the greater in byte order. Very long texts are one row with an array of lines until
 these are rows of their own. An empty table gives no rows. Extra columns are carried along, whatever
 their names. Signatures are aggregated before they are grouped, so a line that a third of all rows
 share is one row per task. Only leaves with several signatures and at least ``MIN_DOCS`` documents are
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import Scratch
 
 DEPTH, SIMILARITY, MIN_DOCS = 3, 0.7, 5
+#: Digests by which the other lines of texts with one longest signature are compared, and the words of a window.
+SKETCH, WINDOW = 4, 3
 SPACE = r"\x20\x09-\x0D"
 
 
@@ -59,20 +64,37 @@ def signatures(text: Column) -> Column:
     return F.when(odd, F.transform(masked, lambda x: F.trim(F.regexp_replace(x, r"[\x20\x09\x0B-\x0D]+", " ")))).otherwise(masked)
 
 
-def _lines(df: DataFrame) -> DataFrame:
-    """A row per line with a word: text key, place, signature, and the document as ``doc`` (its longest
-    signature) and ``rest`` (the first and last line of another signature, or all lines if there is none)."""
+def _documents(df: DataFrame) -> DataFrame:
+    """k1, k2, raw lines, their signatures, and the longest signature as ``top``, of every text that is not null."""
     text = df["text"].cast("string")
     docs = df.filter(text.isNotNull()).select(*text_keys(text), text.alias("text"))
     docs = docs.select("k1", "k2", F.split("text", "\n", -1).alias("raw"), signatures(F.col("text")).alias("sigs"))
     top = F.array_max(F.transform("sigs", lambda x: F.struct(F.char_length(x).alias("n"), x.alias("s"))))["s"]
-    docs = docs.select("k1", "k2", "raw", "sigs", top.alias("top"))
-    others = F.zip_with("raw", "sigs", lambda x, s: F.when((s != "") & (s != F.col("top")), x))
-    docs = docs.select("k1", "k2", "raw", "sigs", "top", others.alias("others"))
-    docs = docs.select("k1", "k2", "raw", "sigs", "top", F.array_min("others").alias("least"), F.array_max("others").alias("most"))
-    rest = F.when(F.col("least").isNull(), F.xxhash64(F.array_sort("raw"))).otherwise(F.xxhash64("least", "most"))
-    docs = docs.select("k1", "k2", "sigs", F.xxhash64("top").alias("doc"), rest.alias("rest"))
-    return _exploded(docs, "k1", "k2", "doc", "rest")
+    return docs.select("k1", "k2", "raw", "sigs", top.alias("top"))
+
+
+def _lines(df: DataFrame) -> DataFrame:
+    """A row per line with a word: text key, place, signature, and the document as ``doc`` (its longest signature)."""
+    return _exploded(_documents(df).select("k1", "k2", "sigs", F.xxhash64("top").alias("doc")), "k1", "k2", "doc")
+
+
+def digest_with(salt: str):
+    """A function of one argument: those of more are called with places by ``transform``."""
+    return lambda window: F.md5(F.concat(F.lit(salt), window))
+
+
+def _sketches(df: DataFrame, hot: DataFrame) -> DataFrame:
+    """doc, k1, k2 and the digests m0, m1, ... of the texts whose ``doc`` is in ``hot``, each text once."""
+    docs = _documents(df).withColumn("doc", F.xxhash64("top")).join(hot, "doc", "left_semi")
+    others = F.filter(F.zip_with("raw", "sigs", lambda x, s: F.when((s != "") & (s != F.col("top")), x)), lambda x: x.isNotNull())
+    docs = docs.select("doc", "k1", "k2", F.when(F.size(others) > 0, others).otherwise(F.col("raw")).alias("lines"))
+    words = F.filter(F.split(F.array_join("lines", "\n"), rf"[{SPACE}]+"), lambda w: w != "")
+    docs = docs.select("doc", "k1", "k2", words.alias("words"))
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - (WINDOW - 1)))
+    docs = docs.select("doc", "k1", "k2", F.transform(places, lambda i: F.array_join(F.slice("words", i, WINDOW), " ")).alias("windows"))
+    digests = [F.transform("windows", digest_with(str(k))) for k in range(SKETCH)]
+    least = [F.array_min(d).alias(f"m{k}") for k, d in enumerate(digests)]
+    return docs.select("doc", "k1", "k2", *least).distinct()
 
 
 def _exploded(docs: DataFrame, *keep: str) -> DataFrame:
@@ -92,12 +114,18 @@ def boilerplate(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
 
     Texts of signatures are not written: few leaves are wide, and for these they are computed again.
     """
-    lines = scratch.table(_lines(df).select("k1", "k2", "place", "doc", "rest", _leaf(F.col("text")).alias("leaf"), key128("text").alias("sig")))
-    texts = lines.groupBy("doc", "rest").agg(F.count_distinct("k1", "k2").alias("n"))
-    mixed = texts.groupBy("doc").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
-    mixed = scratch.table(mixed.filter((F.col("kinds") >= MIN_DOCS) & (2 * F.col("kinds") > F.col("n"))).select("doc", F.lit(True).alias("mixed")))
-    doc = F.when(F.col("mixed"), F.xxhash64("doc", "rest")).otherwise(F.col("doc"))
-    seen = scratch.table(lines.select("leaf", "sig", "doc", "rest").distinct().join(mixed, "doc", "left").select("leaf", "sig", doc.alias("doc")).distinct())
+    lines = scratch.table(_lines(df).select("k1", "k2", "place", "doc", _leaf(F.col("text")).alias("leaf"), key128("text").alias("sig")))
+    hot = scratch.table(lines.groupBy("doc").agg(F.count_distinct("k1", "k2").alias("n")).filter(F.col("n") >= MIN_DOCS).select("doc"))
+    seen = lines.select("leaf", "sig", "doc")
+    if not hot.isEmpty():
+        sketches = scratch.table(_sketches(df, hot))
+        kinds = sum((F.count_distinct(f"m{k}") for k in range(1, SKETCH)), F.count_distinct("m0"))
+        mixed = sketches.groupBy("doc").agg(kinds.alias("kinds"), F.count("*").alias("n"))
+        mixed = scratch.table(mixed.filter((F.col("kinds") >= SKETCH * MIN_DOCS) & (3 * F.col("kinds") > SKETCH * F.col("n"))).select("doc"))
+        apart = sketches.join(mixed, "doc", "left_semi").select("k1", "k2", "m0")
+        apart = lines.join(mixed, "doc", "left_semi").join(apart, ["k1", "k2"]).select("leaf", "sig", F.xxhash64("doc", "m0").alias("doc"))
+        seen = lines.join(mixed, "doc", "left_anti").select("leaf", "sig", "doc").unionByName(apart)
+    seen = scratch.table(seen.distinct())
     per_sig = scratch.table(seen.groupBy("leaf", "sig").agg(F.count("*").alias("docs")))
     wide = per_sig.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("sigs")).filter((F.col("docs") >= MIN_DOCS) & (F.col("sigs") > 1)).select("leaf")
     wide = scratch.table(wide)
@@ -115,7 +143,7 @@ def boilerplate(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     gone = per_sig.filter(F.col("docs") >= MIN_DOCS).select("sig")
     found = _recurring(scratch, open_seen, member)
     gone = gone.unionByName(found.select("sig"))
-    # further templates: the fixed words of what did not fit, the most frequent pattern of each leaf in turn
+    # further templates: the patterns of what did not fit
     active = wide
     while True:
         # a leaf in which no pattern recurred is done
@@ -126,10 +154,9 @@ def boilerplate(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         fixed = words.join(often, ["leaf", "at", "word"], "left").select("leaf", "sig", F.struct("at", F.when(F.col("votes").isNotNull(), F.col("word")).alias("word")).alias("x"))
         patterns = fixed.groupBy("leaf", "sig").agg(F.array_sort(F.collect_list("x")).alias("parts"), F.count("*").alias("n"), F.count("x.word").alias("kept"))
         pattern = F.array_join("parts.word", " ", "")
-        patterns = patterns.filter(F.col("kept") >= SIMILARITY * F.col("n") - 1e-9).select("leaf", "sig", pattern.alias("pattern"), "parts")
-        best = open_seen.join(patterns, ["leaf", "sig"]).groupBy("leaf", "pattern").agg(F.count_distinct("doc").alias("docs"), F.first("parts").alias("parts"))
-        best = best.groupBy("leaf").agg(F.max_by("parts", F.struct("docs", "pattern")).alias("x")).select("leaf", F.explode("x").alias("x"))
-        found = _recurring(scratch, open_seen, _fitting(scratch, words, best.select("leaf", "x.at", F.col("x.word").alias("constant"))))
+        patterns = scratch.table(patterns.filter(F.col("kept") >= SIMILARITY * F.col("n") - 1e-9).select("leaf", "sig", F.xxhash64(pattern).alias("pattern")))
+        recurring = open_seen.join(patterns, ["leaf", "sig"]).groupBy("leaf", "pattern").agg(F.count_distinct("doc").alias("docs")).filter(F.col("docs") >= MIN_DOCS)
+        found = scratch.table(patterns.join(recurring, ["leaf", "pattern"], "left_semi").select("leaf", "sig"))
         if found.isEmpty():
             return lines, scratch.table(gone.distinct())
         gone = gone.unionByName(found.select("sig"))
@@ -176,17 +203,15 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-def _oracle(rounds: int = 2) -> str:
-    """The rule in SQL, on the texts themselves; further templates of a leaf are looked for ``rounds`` times."""
+def _oracle(rounds: int = 4) -> str:
+    """The rule in SQL, on the texts themselves; what is left of a leaf is looked at ``rounds`` times."""
     steps, gone = "", "SELECT sig FROM per_sig WHERE docs >= 5 UNION SELECT sig FROM found0"
     for r in range(1, rounds + 1):
         steps += f"""
 words{r} AS (SELECT w.* FROM words{r - 1} w ANTI JOIN found{r - 1} USING (n, head, sig)),
 often{r} AS (SELECT n, head, place, word FROM words{r} GROUP BY ALL HAVING sum(docs) >= 5),
 pattern{r} AS (SELECT n, head, sig, string_agg(coalesce(o.word, ''), ' ' ORDER BY w.place) AS pattern FROM words{r} w LEFT JOIN often{r} o USING (n, head, place, word) GROUP BY ALL HAVING count(o.word) >= 0.7 * count(*)),
-best{r} AS (SELECT n, head, pattern FROM (SELECT n, head, pattern, row_number() OVER (PARTITION BY n, head ORDER BY count(DISTINCT doc) DESC, pattern DESC) AS k FROM seen JOIN pattern{r} USING (n, head, sig) GROUP BY n, head, pattern) WHERE k = 1),
-member{r} AS (SELECT n, head, sig FROM words{r} JOIN best{r} USING (n, head) GROUP BY ALL HAVING sum(CASE WHEN word = string_split(pattern, ' ')[place] THEN 1 ELSE 0 END) >= 0.7 * count(*)),
-found{r} AS (SELECT n, head, sig FROM member{r} JOIN (SELECT n, head FROM seen JOIN member{r} USING (n, head, sig) GROUP BY ALL HAVING count(DISTINCT doc) >= 5) USING (n, head)),"""
+found{r} AS (SELECT n, head, sig FROM pattern{r} JOIN (SELECT n, head, pattern FROM seen JOIN pattern{r} USING (n, head, sig) GROUP BY ALL HAVING count(DISTINCT doc) >= 5) USING (n, head, pattern)),"""
         gone += f" UNION SELECT sig FROM found{r}"
     return rf"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
@@ -194,10 +219,15 @@ raw AS (SELECT r, text, unnest(string_split(text, chr(10))) AS line, generate_su
 lines AS (SELECT r, text, place, line, array_to_string(list_transform(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> ''),
   lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END), ' ') AS sig FROM raw),
 longest AS (SELECT r, sig AS top FROM (SELECT r, sig, row_number() OVER (PARTITION BY r ORDER BY length(sig) DESC, sig DESC) AS k FROM lines) WHERE k = 1),
-ends AS (SELECT r, top, text, min(line) FILTER (WHERE sig <> '' AND sig <> top) AS least, max(line) FILTER (WHERE sig <> '' AND sig <> top) AS most FROM lines JOIN longest USING (r) GROUP BY ALL),
-kept AS (SELECT r, top, text, CASE WHEN least IS NULL THEN array_to_string(list_sort(string_split(text, chr(10))), chr(10)) ELSE least || chr(10) || chr(10) || most END AS rest FROM ends),
-mixed AS (SELECT top FROM kept WHERE top <> '' GROUP BY top HAVING count(DISTINCT rest) >= 5 AND 2 * count(DISTINCT rest) > count(DISTINCT text)),
-named AS (SELECT r, CASE WHEN mixed.top IS NULL THEN kept.top ELSE kept.top || chr(10) || rest END AS doc FROM kept LEFT JOIN mixed USING (top)),
+hot AS (SELECT top FROM longest JOIN docs USING (r) WHERE top <> '' GROUP BY top HAVING count(DISTINCT text) >= 5),
+others AS (SELECT r, top, text, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE sig <> '' AND sig <> top), any_value(text)) AS body FROM lines JOIN longest USING (r) SEMI JOIN hot USING (top) GROUP BY r, top, text),
+tokens AS (SELECT r, top, text, list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM others),
+windows AS (SELECT r, top, text, list_transform(generate_series(1, greatest(1, len(w) - 2)), lambda i: array_to_string(w[i:i + 2], ' ')) AS v FROM tokens),
+sketch AS (SELECT r, top, text, list_min(list_transform(v, lambda x: md5('0' || x))) AS m0, list_min(list_transform(v, lambda x: md5('1' || x))) AS m1,
+  list_min(list_transform(v, lambda x: md5('2' || x))) AS m2, list_min(list_transform(v, lambda x: md5('3' || x))) AS m3 FROM windows),
+mixed AS (SELECT top FROM sketch GROUP BY top HAVING count(DISTINCT m0) + count(DISTINCT m1) + count(DISTINCT m2) + count(DISTINCT m3) >= 20
+  AND 3 * (count(DISTINCT m0) + count(DISTINCT m1) + count(DISTINCT m2) + count(DISTINCT m3)) > 4 * count(DISTINCT text)),
+named AS (SELECT r, CASE WHEN mixed.top IS NULL THEN longest.top ELSE longest.top || chr(10) || m0 END AS doc FROM longest LEFT JOIN mixed USING (top) LEFT JOIN sketch USING (r)),
 worded AS (SELECT lines.*, doc, len(string_split(sig, ' ')) AS n, array_to_string(string_split(sig, ' ')[1:3], ' ') AS head FROM lines JOIN named USING (r) WHERE sig <> ''),
 seen AS (SELECT DISTINCT n, head, sig, doc FROM worded),
 per_sig AS (SELECT n, head, sig, count(*) AS docs FROM seen GROUP BY ALL),

@@ -116,12 +116,47 @@ def test_a_licence_that_is_the_longest_line_goes(make):
         assert [r["n_dropped"] for r in linededup.line_dedup(make(rows)).collect()] == [1] * 20
 
 
+def test_a_licence_among_equal_first_and_last_lines_goes(make):
+    letters = "abcdefghijkl"
+    licence = " ".join(f"licence{c * 9}" for c in letters)
+    for shared in (lambda k: k // 2, lambda k: 0):
+        rows = [(k, "\n".join([f"aa first {letters[shared(k)] * 2}", licence, *(f"own {letters[k] * 3} middle {letters[j]}{letters[k]}" for j in range(3)), f"zz last {letters[shared(k)] * 2}"])) for k in range(12)]
+        got = linededup.line_dedup(make(rows)).collect()
+        assert all(licence not in r["text"] and r["n_dropped"] >= 1 and r["text"].count("middle") == 3 for r in got)
+
+
+def test_near_copies_of_one_text_keep_their_lines(make):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(400)]
+    text = [[rng.choice(words) for _ in range(20)] for _ in range(6)]
+    rows = []
+    for k in range(40):
+        copy = [list(line) for line in text]
+        for _ in range(3):
+            copy[rng.randrange(1, 6)][rng.randrange(20)] = f"edit{'abcdefghijklmnop'[k % 16]}{'abc'[k // 16]}"
+        rows.append((k, "\n".join(" ".join([*line, *["longest"] * 5] if j == 0 else line) for j, line in enumerate(copy))))
+    assert all(r["n_dropped"] == 0 for r in linededup.line_dedup(make(rows)).collect())
+
+
+def test_four_templates_in_a_leaf_and_its_sql(spark, make, tmp_path):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    forms = ["disk {0} of the main server is now full again", "user {0} has just signed in from our office", "mail {0} could not be sent to any known box", "door {0} was left open by one late guest"]
+    rows = [(k, f"own {letters[k] * 3} words {letters[-k]} of this document {letters[k] * 2}, which is longer than any other\n2024-01-{k + 10} 10:{k + 10} {k} {forms[k % 4].format(letters[k] * 4)}") for k in range(24)]
+    df = make(rows, extra=False)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = linededup.op6_line_dedup(spark, str(tmp_path)).collect()
+    assert len(got) == 24 and all(r["n_dropped"] == 1 for r in got)
+    assert sorted(str((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"])) for r in got) == sorted(map(str, con.execute(linededup.ORACLE).fetchall()))
+
+
 def test_line_rule_equals_its_sql(spark, make, tmp_path):
     letters = "abcdefghijklmnop"
     forms = ["disk {0} of the main server is now full again", "user {0} has just signed in from our office", "mail {0} could not be sent to any known box"]
     notice = " ".join(f"notice{c * 6}" for c in letters)
     rows = [(k, f"own {letters[k]}{letters[(5 * k + 3) % 16]} line {letters[-k]}\n2024-01-{k + 10} 10:{k + 10} {k} {forms[k % 3].format(letters[k] * 4)}\n{notice if k % 2 else letters[k] * 30}\n \n") for k in range(16)]
-    rows += [(50 + k, f"A copied text of {k // 3} lines\nand one more\n{letters[k] * 3}") for k in range(12)] + [(90, None), (91, ""), (92, "\n"), (None, "one line"), (1, notice), (93, "x " * 30_000 + "\n" + notice)]
+    rows += [(50 + k, f"A copied text of {k // 3} lines\nand one more\n{letters[k] * 3}") for k in range(12)] + [(70 + k, f"aa {letters[k // 2]}\n{notice} at the end\nthe middle of {letters[k]} is its own\nzz") for k in range(12)] + [(90, None), (91, ""), (92, "\n"), (None, "one line"), (1, notice), (93, "x " * 30_000 + "\n" + notice)]
     df = make(rows, extra=False)
     df.write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
