@@ -1,7 +1,9 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words are lower-cased and lose surrounding ASCII punctuation. Seeds are the 5-word runs of the
-benchmark; an item shorter than that is its own seed. A document's runs are found among them by
+benchmark; an item shorter than that is its own seed, and counts only if it is rare: one that stands in more than
+``COMMON_DOCS`` rows and more than ``COMMON_SHARE`` of all rows (as "the" would) says nothing about a text, is left out,
+and ``common_items`` lists it. Where a benchmark has such short items, a pass over all rows counts them first. A document's runs are found among them by
 Karp-Rabin hashes. Items whose seeds in a document could cover at least ``MIN_COVERAGE`` of their words are
 tiled: the longest match of words that are not yet marked, in item and document, is marked as a tile,
 again and again, until no match of 5 words (or of the whole item, if shorter) is left. The longest
@@ -22,7 +24,9 @@ time. Empty tables give no rows. Extra columns are ignored, or carried along by
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from copy import copy
 from functools import reduce
 
 import numpy as np
@@ -33,6 +37,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import mapped, slices
 
 RUN = 5
+#: Rows, and share of all rows, in which an item shorter than a run may stand and still count.
+COMMON_DOCS, COMMON_SHARE = 20, 0.01
 MIN_COVERAGE = 0.6
 BLOCK_CHARS = 8_000_000
 PUNCTUATION = ".,;:!?\"'()[]{}<>-_/\\|*#$%&@+=~^`"
@@ -81,6 +87,9 @@ class Index:
             if words:
                 self.ids.append(item_id)
                 self.seqs.append(np.array(words, np.int64))
+        self._index()
+
+    def _index(self) -> None:
         self.sizes = np.array([len(s) for s in self.seqs], np.int64)
         self.base = np.concatenate(([0], np.cumsum(self.sizes)))
         # by seed length: hash, item and place of each seed, in the order of the hashes
@@ -94,6 +103,13 @@ class Index:
             order = np.argsort(key, kind="stable")
             self.seeds[size] = key[order], item[order], at[order]
 
+    def part(self, places: list[int], ids: list[int | None]) -> Index:
+        """An index of the items at some places, under other ids."""
+        out = copy(self)
+        out.ids, out.seqs = ids, [self.seqs[k] for k in places]
+        out._index()
+        return out
+
     def numbers(self, text: str) -> np.ndarray:
         """Word numbers of a text, -1 for words that no item has."""
         get = self.words.get
@@ -216,6 +232,46 @@ def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> It
     yield Index(held)
 
 
+def short_counts(source: DataFrame, index: Index) -> dict[int, int]:
+    """Rows of source (doc_id, text) in which each short item stands, by the item's place in the index."""
+    short = [k for k, s in enumerate(index.seqs) if len(s) < RUN]
+    if not short:
+        return {}
+    shared = source.sparkSession.sparkContext.broadcast(index.part(short, short))
+
+    def count(batches):
+        for batch in batches:
+            n = Counter(r[0] for t in batch.column(1).to_pylist() if t for r in shared.value.leaks(t))
+            yield pa.RecordBatch.from_pydict({"item": list(n), "n": list(n.values())}, schema=pa.schema([("item", pa.int64()), ("n", pa.int64())]))
+
+    # as many rows as the block has short items
+    found = {r["item"]: r["n"] for r in source.mapInArrow(count, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")).collect()}
+    shared.unpersist()
+    return found
+
+
+def rare_blocks(docs: DataFrame, benchmark: DataFrame, block_chars: int) -> Iterator[tuple[Index, list[tuple[int | None, int, int]]]]:
+    """Indexes of the benchmark's blocks without common short items, and (item_id, n_words, n_docs) of what each leaves out."""
+    source, total = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), None
+    for index in benchmark_blocks(benchmark, block_chars):
+        counts = short_counts(source, index)
+        if counts and total is None:
+            total = docs.count()
+        common = {k: n for k, n in counts.items() if n > max(COMMON_DOCS, COMMON_SHARE * total)}
+        if common:
+            places = [k for k in range(len(index.seqs)) if k not in common]
+            out = [(index.ids[k], len(index.seqs[k]), n) for k, n in sorted(common.items())]
+            yield index.part(places, [index.ids[k] for k in places]), out
+        else:
+            yield index, []
+
+
+def common_items(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """item_id, n_words and n_docs of the short items that are too common to be looked for."""
+    rows = [r for _, out in rare_blocks(docs, benchmark, block_chars) for r in out]
+    return docs.sparkSession.createDataFrame(rows, "item_id long, n_words long, n_docs long")
+
+
 def leaked_items(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row per (row of docs, leaked item): doc_id, item_id, n_item_words, n_tiled, n_tiles, coverage."""
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
@@ -230,14 +286,14 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
         return mapped(source, rows_of, "doc_id long, item_id long, n_item_words long, n_tiled long, n_tiles long, coverage double", arrow)
 
     context = docs.sparkSession.sparkContext
-    return reduce(DataFrame.unionByName, [against(context.broadcast(x)) for x in benchmark_blocks(benchmark, block_chars)])
+    return reduce(DataFrame.unionByName, [against(context.broadcast(x)) for x, _ in rare_blocks(docs, benchmark, block_chars)])
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs, unchanged, into which no item leaks."""
     context = docs.sparkSession.sparkContext
     text_at, out = docs.columns.index("text"), docs
-    for block in benchmark_blocks(benchmark, block_chars):
+    for block, _ in rare_blocks(docs, benchmark, block_chars):
         index = context.broadcast(block)
 
         def keep(batches, index=index):
