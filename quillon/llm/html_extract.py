@@ -19,6 +19,7 @@ hidden goes, and outside an article template texts go. Class and id words are th
 what varies and has no element of its own, as adverts and reader comments: a name counts only if all
 its words are such hints or layout words (``ad-box``, not ``related-work``); n_hinted tells how many
 elements of the region went by it alone.
+A form goes with its text, unless an ``article`` or ``main`` lies in it: then it frames the page and stays.
 Text: character references decoded, white space of a block as one space, blocks joined by one space.
 Truncated and ill-nested markup is accepted. Null html: empty. Null url: no wrapper. Null ids and
 repeated rows: each row gets its own result. Ties: the first page of least hash, the deepest of equal
@@ -57,8 +58,8 @@ BLOCK = frozenset("address article aside blockquote body br caption center dd de
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 CHROME = frozenset("nav footer aside form script style noscript template iframe button select textarea svg head title dialog menu object canvas audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-HINTS = frozenset("ad ads advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
-LAYOUT_WORDS = frozenset("area article bar block body bottom box btn button buttons card col column container content entry fixed footer group header icon inline inner item items left link links list main outer page panel post posts region right row section site text title top user users wrap wrapper".split())
+HINTS = frozenset("ad ads advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies discussion discussions disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+LAYOUT_WORDS = frozenset("area article bar block body bottom box btn button buttons card col column container content entry feed holder fixed footer group header icon inline inner item items left link links list main outer page panel post posts reader readers region right row section site slot space text thread threads unit title top user users wrap wrapper zone".split())
 CLOSES_P = BLOCK - {"br", "body", "html", "caption", "td", "th", "tr", "li", "dd", "dt", "option", "optgroup", "title", "legend", "summary", "tbody", "thead", "tfoot"}
 SCOPES = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+)(>|\Z)", re.S)
@@ -113,6 +114,13 @@ def parse(page: str) -> Node:
     stack = [root]
     at, articles = 0, 0
     size = len(page)
+    # how many elements of a tag are open: a closing tag without one is passed by at once
+    opened: Counter = Counter()
+
+    def close(k: int) -> None:
+        opened.subtract(n.tag for n in stack[k:])
+        del stack[k:]
+
     while at < size:
         m = _token.search(page, at)
         if m is None:
@@ -125,10 +133,12 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
+            if opened[tag] <= 0:
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     articles -= sum(n.tag == "article" for n in stack[k:])
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in ("article", "main", "body") and tag not in ("body", "html", "article", "main"):
                     break
@@ -138,25 +148,30 @@ def parse(page: str) -> Node:
         if tag in CLOSES_P:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in BLOCK:
                     break
         elif tag in SCOPES:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag or (tag in ("dd", "dt") and stack[k].tag in ("dd", "dt")) or (tag in ("td", "th") and stack[k].tag in ("td", "th")):
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in SCOPES[tag]:
                     break
         node = Node(tag, m[3], articles > 0)
         stack[-1].children.append(node)
+        if tag in ("article", "main"):
+            # a form around it is the page's frame, not one of its forms
+            for n in stack:
+                n.chrome &= n.tag != "form"
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(page, at)
             node.children.append(page[at : end.start() if end else size])
             at = end.end() if end else size
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
+            opened[tag] += 1
             articles += tag == "article"
     return root
 
@@ -206,13 +221,28 @@ def blocks(node: Node, template: frozenset[int] = frozenset()) -> list[str]:
     return [text for text in texts if digest(text) not in template] if template else texts
 
 
-def walk(root: Node) -> Iterator[tuple[tuple[int, ...], Node]]:
-    """Paths (places among element children) and nodes, in page order."""
-    todo: list = [((), root)]
+def walk(root: Node) -> Iterator[Node]:
+    """Nodes in page order."""
+    todo = [root]
     while todo:
-        path, node = todo.pop()
-        yield path, node
-        todo.extend(reversed([((*path, k), c) for k, c in enumerate(node.elements())]))
+        node = todo.pop()
+        yield node
+        todo.extend(reversed(node.elements()))
+
+
+def sizes(root: Node) -> dict[int, int]:
+    """Characters of the words under each node (by id), without chrome, in one pass from the leaves up."""
+    total: dict[int, int] = {}
+    order: list[tuple[Node, Node | None]] = [(root, None)]
+    for node, _ in order:
+        if not node.chrome:
+            order.extend((c, node) for c in node.elements())
+    for node, above in reversed(order):
+        own = 0 if node.chrome else sum(len(w) for c in node.children if isinstance(c, str) for w in html_lib.unescape(c).split())
+        total[id(node)] = total.get(id(node), 0) + own
+        if above is not None:
+            total[id(above)] = total.get(id(above), 0) + total[id(node)]
+    return total
 
 
 def skeleton(node: Node) -> list:
@@ -242,11 +272,11 @@ def skeleton(node: Node) -> list:
 
 def real_path(tree: list, path: tuple[int, ...]) -> tuple[int, ...]:
     """Places among block children for a path of places in a skeleton."""
-    out: tuple[int, ...] = ()
+    out = []
     for k in path:
         tree = tree[1][k]
-        out = (*out, tree[2])
-    return out
+        out.append(tree[2])
+    return tuple(out)
 
 
 def flat(tree: list) -> list:
@@ -345,22 +375,26 @@ def own_text(node: Node) -> str:
     return " ".join(html_lib.unescape("".join(c if isinstance(c, str) else " ".join(blocks(c)) for c in node.children if isinstance(c, str) or (c.tag not in BLOCK and not c.chrome))).split())
 
 
-def block_places(root: Node) -> list[tuple[tuple[int, ...], int, str]]:
-    """(path of the nearest skeleton node, place, text) of the blocks of a page, without chrome."""
-    out = []
-    todo: list = [((), 0, root)]
-    while todo:
-        path, above, node = todo.pop()
+def block_places(root: Node) -> tuple[list[int], list[list[int]], list[tuple[int, int, str]]]:
+    """Skeleton nodes by number, parents before children: parent of each, numbers of its block children, and
+    (number of the nearest skeleton node, place, text) of the blocks, without chrome."""
+    parents, inner_of, out = [-1], [], []
+    nodes = [(root, 0)]
+    for number, (node, above) in enumerate(nodes):
         inner = block_children(node)
         deeper = {id(c) for c in inner}
         # the node with its deeper blocks cut out: what is left is its own text, inline parts included
         bare = Node(node.tag)
         bare.label = node.label
         bare.children = [c if isinstance(c, str) or id(c) not in deeper else Node("br") for c in node.children]
-        out += [(path, place, text) for place, text in placed(bare, above) if text]
+        out += [(number, place, text) for place, text in placed(bare, above) if text]
         here = xxhash.xxh64_intdigest(node.label, above) if node.tag in BLOCK else above
-        todo.extend(((*path, k), here, c) for k, c in enumerate(inner) if not c.chrome)
-    return out
+        inner_of.append(list(range(len(nodes), len(nodes) + len(inner))))
+        for c in inner:
+            parents.append(number)
+            # chrome keeps its number and has nothing below it
+            nodes.append((c if not c.chrome else Node("br"), here))
+    return parents, inner_of, out
 
 
 def induce(pages: list[str], constant: frozenset[int] | None = None, mass: dict[int, tuple[int, int]] | None = None) -> dict | None:
@@ -373,7 +407,7 @@ def induce(pages: list[str], constant: frozenset[int] | None = None, mass: dict[
     trees = [parse(p) for p in pages]
     skeletons = [skeleton(t) for t in trees]
     first, shape = trees[0], skeletons[0]
-    found = block_places(first)
+    parents, inner_of, found = block_places(first)
     if constant is None:
         same: dict[tuple[int, ...], int] = {}
         for tree, sk in zip(trees[1:], skeletons[1:]):
@@ -388,53 +422,58 @@ def induce(pages: list[str], constant: frozenset[int] | None = None, mass: dict[
             slot, every = mass.get(place, (0, 0))
             mass[place] = (slot + len(text) * (digest(text) not in constant), every + len(text))
     shared = Counter(place for _, place, _ in found)
-    slots: dict[tuple[int, ...], float] = {}
-    texts: dict[tuple[int, ...], float] = {}
-    for path, place, _ in found:
+    slots, texts = [0.0] * len(parents), [0.0] * len(parents)
+    for number, place, _ in found:
         slot, every = mass.get(place, (0, 0))
-        for held, n in ((slots, slot), (texts, every)):
-            if n:
-                held[path] = held.get(path, 0) + n / shared[place]
-    for held in (slots, texts):
-        for depth in range(max(map(len, held), default=0), 0, -1):
-            for path in [p for p in held if len(p) == depth]:
-                held[path[:-1]] = held.get(path[:-1], 0) + held[path]
-    if not slots and not texts:
+        slots[number] += slot / shared[place]
+        texts[number] += every / shared[place]
+    for number in range(len(parents) - 1, 0, -1):
+        for held in (slots, texts):
+            held[parents[number]] += held[number]
+    if not slots[0] and not texts[0]:
         return None
-    total, every = slots.get((), 0), texts.get((), 0)
-    nodes: dict[tuple[int, ...], tuple[int, ...]] = {}
-    semantic, todo = [], [((), (), shape)]
-    while todo:
-        path, real, tree = todo.pop()
-        nodes[path] = real
-        if tree[0] in ("article", "main") and (slots.get(real, 0) > SEMANTIC * total or texts.get(real, 0) > 0.5 * every):
-            semantic.append(path)
-        todo.extend(((*path, k), (*real, c[2]), c) for k, c in enumerate(tree[1]))
+    total, every = slots[0], texts[0]
+    # skeleton nodes with their number, parent in the walk and place among its children
+    walked: list[tuple[list, int, int, int, int]] = [(shape, 0, -1, 0, 0)]
+    for at, (tree, number, _, _, depth) in enumerate(walked):
+        walked.extend((c, inner_of[number][c[2]], at, k, depth + 1) for k, c in enumerate(tree[1]))
+
+    def path_of(at: int) -> tuple[int, ...]:
+        out = []
+        while at:
+            out.append(walked[at][3])
+            at = walked[at][2]
+        return tuple(reversed(out))
+
+    semantic = [at for at, (tree, number, *_) in enumerate(walked) if tree[0] in ("article", "main") and (slots[number] > SEMANTIC * total or texts[number] > 0.5 * every)]
     if semantic:
-        region = max(semantic, key=lambda p: (round(slots.get(nodes[p], 0), 6), round(texts.get(nodes[p], 0), 6), len(p)))
-    elif not slots:
+        region = path_of(max(semantic, key=lambda at: (round(slots[walked[at][1]], 6), round(texts[walked[at][1]], 6), walked[at][4], -at)))
+    elif not total:
         return None
     else:
-        region, tree = (), shape
+        path, tree, number = [], shape, 0
         while True:
-            deeper = [k for k, c in enumerate(tree[1]) if c[1] and slots.get(nodes[(*region, k)], 0) > MOST * total]
+            deeper = [k for k, c in enumerate(tree[1]) if c[1] and slots[inner_of[number][c[2]]] > MOST * total]
             if not deeper:
                 break
-            region, tree = (*region, deeper[0]), tree[1][deeper[0]]
+            path.append(deeper[0])
+            tree = tree[1][deeper[0]]
+            number = inner_of[number][tree[2]]
+        region = tuple(path)
     template = sorted(constant)
     return {"skeleton": shape, "region": list(region), "template": [] if semantic else template, "outside": template}
 
 
 def fallback(root: Node) -> Node:
-    """A page's own article, main, or the densest node, by text outside links."""
-    size = lambda n: sum(map(len, blocks(n)))
-    every = [n for _, n in walk(root) if not n.chrome]
+    """A page's own article or main with most text, or the densest node."""
+    size = sizes(root)
+    every = [n for n in walk(root) if not n.chrome]
     for tag in ("article", "main"):
         if found := [n for n in every if n.tag == tag]:
-            return max(found, key=size)
-    best, total = root, size(root)
+            return max(found, key=lambda n: size.get(id(n), 0))
+    best, total = root, size[id(root)]
     while True:
-        deeper = [c for c in block_children(best) if not c.chrome and size(c) > 0.8 * total and block_children(c)]
+        deeper = [c for c in block_children(best) if not c.chrome and size[id(c)] > 0.8 * total and block_children(c)]
         if not deeper:
             return best
         best = deeper[0]
@@ -448,7 +487,7 @@ def region_of(page: str, wrapper: dict | None) -> tuple[Node, frozenset[int]]:
         shape = skeleton(root)
         found = _meet(wrapper["skeleton"], shape, tuple(wrapper["region"]))
         region = at_path(root, real_path(shape, found)) if found is not None else None
-    if region is None or (region.tag not in ("article", "main") and any(n.tag in ("article", "main") for _, n in walk(root))):
+    if region is None or (region.tag not in ("article", "main") and any(n.tag in ("article", "main") for n in walk(root))):
         region = fallback(root)
         if wrapper and region.tag not in ("article", "main"):
             # another layout than the wrapper's, or a page that ends before it: what is not template on the host
@@ -478,7 +517,7 @@ def hinted_elements(region: Node) -> int:
 def _meet(a: list, b: list, target: tuple[int, ...]) -> tuple[int, ...] | None:
     """The path in b that the matching aligns with ``target`` in a."""
     memo: dict = {}
-    out: tuple[int, ...] = ()
+    out = []
     if a[0] != b[0]:
         return None
     for k in target:
@@ -486,8 +525,8 @@ def _meet(a: list, b: list, target: tuple[int, ...]) -> tuple[int, ...] | None:
         if not found:
             return None
         a, b = a[1][k], b[1][found[0]]
-        out = (*out, found[0])
-    return out
+        out.append(found[0])
+    return tuple(out)
 
 
 def counted(source: DataFrame, scratch: Scratch) -> DataFrame:

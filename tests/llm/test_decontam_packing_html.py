@@ -1,4 +1,5 @@
 import json
+import time
 import zlib
 
 import numpy as np
@@ -349,3 +350,31 @@ def test_many_siblings_and_long_pages(spark):
     df = pages_of(spark, [(1, "http://l.com/", long), (1, "http://l.com/", long)]).selectExpr("*", "1 AS text", "2 AS wrapper", "'x' AS host", "3 AS n_chars", "4 AS constant")
     got = html_extract.extracted(df).collect()
     assert len(got) == 2 and {r["n_chars"] for r in got} == {50_000 * 17 - 1}
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    began = time.time()
+    for page in ("<html><body>" + "<div>" * 20_000 + "text of the page", "<html><body>" + "<div><b>" * 10_000 + "</i>" * 20_000 + "text of the page", "<p>" * 20_000 + "text of the page"):
+        wrapper = html_extract.induce([page], frozenset(), None)
+        assert html_extract.main_text(page, None) == html_extract.main_text(page, wrapper) == "text of the page"
+    assert time.time() - began < 20
+
+
+def test_comments_adverts_and_forms_around_articles():
+    parts = "".join(f'<div class="{name}"><p>not the text</p></div>' for name in ("reader-comments", "comment-thread", "discussion", "ad-slot", "ad_zone sponsored"))
+    page = f'<body><form action="/x"><article><h1>Title</h1><p>The text.</p>{parts}</article></form></body>'
+    assert html_extract.main_text(page, None) == "Title The text."
+    assert html_extract.main_text("<body><p>The text.</p><form><p>Your name</p></form></body>", None) == "The text."
+    kept = '<body><article><div class="reader-guide"><p>The text.</p></div><div class="thread-safety"><p>More.</p></div></article></body>'
+    assert html_extract.main_text(kept, None) == "The text. More."
+
+
+def test_common_short_items_are_listed_and_not_looked_for(make, spark):
+    items = [(1, "the"), (2, "der die"), (3, "la vie est"), (4, None), (5, "four words exactly there"), (6, "...")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = make([*((k, "the der die la vie est the") for k in range(30)), (50, "here are four words, exactly there, in a text"), (51, "four words exactly"), (52, None)])
+    assert [(r["doc_id"], r["item_id"]) for r in decontam.leaked_items(docs, benchmark).collect()] == [(50, 5)]
+    assert sorted(r["doc_id"] for r in decontam.clean_documents(docs, benchmark).collect()) == [*range(30), 51, 52]
+    assert sorted(map(tuple, decontam.common_items(docs, benchmark).collect())) == [(1, 1, 30), (2, 2, 30), (3, 3, 30)]
+    few = docs.where("doc_id < 20 OR doc_id >= 50")
+    assert decontam.common_items(few, benchmark).count() == 0 and decontam.clean_documents(few, benchmark).count() == 2
