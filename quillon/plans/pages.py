@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillon.operators import layout, ruled
 from quillon.plans.registry import query
 from quillon.session import table
+from quillon.sources import pdf, readers
 
 #: Where the tables stand: left and upper end, width of a column, height of a row, in points.
 LEFT, UPPER, WIDE, HIGH = 50.0, 100.0, 100.0, 18.0
@@ -160,3 +161,51 @@ def vector_figures(spark, d):
     captions = found.where("element_type = 'figure_caption'").select("doc_id", F.col("text").alias("caption"), F.get_json_object("relation", "$.status").alias("status"))
     regions = found.where("element_type = 'image_region'").select("doc_id", F.array_join(F.transform("bbox", lambda v: v.cast("int").cast("string")), ",").alias("box"))
     return captions.join(regions, "doc_id", "left")
+
+
+@query(
+    """WITH t AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS INTEGER) AS page, role, '' || length(coalesce(text, '')) AS size FROM conversations),
+w AS (SELECT conv_id, page, 'word' AS kind, role AS text, 50.0 AS x0 FROM t WHERE NOT (conv_id % 7 = 0 AND page = 2)
+  UNION ALL SELECT conv_id, page, 'word', size, 150.0 FROM t WHERE NOT (conv_id % 7 = 0 AND page = 2)
+  UNION ALL SELECT conv_id, page, 'stroke', NULL, 50.0 FROM t WHERE NOT (conv_id % 7 = 0 AND page = 2)
+  UNION ALL SELECT conv_id, page, 'warning', 'KeyError: 9999', NULL FROM t WHERE conv_id % 7 = 0 AND page = 2)
+SELECT conv_id AS doc_id, page AS page_number, kind, text, CAST(x0 AS DOUBLE) AS x0, CAST(CASE kind WHEN 'word' THEN x0 + 5 * length(text) WHEN 'stroke' THEN 250 END AS DOUBLE) AS x1,
+  CAST(CASE kind WHEN 'word' THEN 84.5 WHEN 'stroke' THEN 102 END AS DOUBLE) AS top FROM w"""
+)
+def pdf_page_things(spark, d):
+    """Words and rules of a PDF file per conversation, a page per turn; a page whose content is missing is one row."""
+    nth = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = table(spark, d, "conversations").selectExpr("conv_id", "turn", "role", "coalesce(text, '') AS text").withColumn("page", F.row_number().over(nth))
+    number = (2 * F.col("page") + 10).cast("string")
+    shown = F.concat(F.lit("BT /F1 10 Tf 50 700 Td ("), "role", F.lit(") Tj 100 0 Td ("), F.length("text").cast("string"), F.lit(") Tj ET 50 690 m 250 690 l S"))
+    content = F.when(F.expr("conv_id % 7 = 0 AND page = 2"), "9999").otherwise((2 * F.col("page") + 11).cast("string"))
+    page = F.concat(number, F.lit(" 0 obj <</Type/Page/Parent 2 0 R/Contents "), content, F.lit(" 0 R>> endobj "), (2 * F.col("page") + 11).cast("string"), F.lit(" 0 obj <</Length "), F.length(shown).cast("string"), F.lit(">>\nstream\n"), shown, F.lit("\nendstream endobj "))
+    one = rows.select("conv_id", F.struct("page", F.concat(number, F.lit(" 0 R ")).alias("kid"), page.alias("body")).alias("p")).groupBy("conv_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    joined = lambda c: F.array_join(F.transform("ps", lambda p: p[c]), "")
+    font = "3 0 obj <</Type/Font/Subtype/Type1/FirstChar 0/Widths[" + "500 " * 256 + "]>> endobj "
+    body = F.concat(F.lit("%PDF-1.4\n1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj " + font + "2 0 obj <</Type/Pages/MediaBox[0 0 612 792]/Resources<</Font<</F1 3 0 R>>>>/Kids["), joined("kid"), F.lit("]>> endobj "), joined("body"))
+    things = pdf.page_things(one.select(F.col("conv_id").alias("doc_id"), body.cast("binary").alias("content")), "doc_id")
+    return things.select("doc_id", "page_number", "kind", "text", "x0", "x1", "top")
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey AS k, s_suppkey % 3 + 1 AS n, s_suppkey % 7 AS fault FROM supplier)
+SELECT k AS page_id, CASE fault WHEN 1 THEN 'declaration' WHEN 2 THEN 'entry count' WHEN 3 THEN 'time' WHEN 4 THEN 'identifier' WHEN 5 THEN 'malformed' WHEN 6 THEN 'not a feed' END AS problem,
+  CASE WHEN fault = 0 THEN n END AS n_works, CASE WHEN fault = 0 THEN '2401.' || lpad(CAST(k % 100000 AS VARCHAR), 5, '0') || ': Work 1 of ' || k || ', A One, A Two' END AS first FROM s"""
+)
+def feed_page_checks(spark, d):
+    """A feed page per supplier through the gate: what each refused page breaks, and the works of the others."""
+    s = table(spark, d, "supplier").selectExpr("s_suppkey AS k", "cast(s_suppkey % 3 + 1 AS int) AS n", "cast(s_suppkey % 7 AS int) AS fault")
+    number = F.lpad((F.col("k") % 100000).cast("string"), 5, "0")
+    identifier = F.when(F.col("fault") == 4, F.lit("not an id")).otherwise(F.concat(F.lit("http://arxiv.org/abs/2401."), number, F.lit("v2")))
+    time = F.when(F.col("fault") == 3, F.lit("2024-01-02T03:04:05")).otherwise(F.lit("2024-01-02T03:04:05Z"))
+    entry = lambda i: F.concat(F.lit("<entry><id>"), identifier, F.lit("</id><title>Work\n  "), i.cast("string"), F.lit(" of "), F.col("k").cast("string"), F.lit("</title><summary>Text &amp; more</summary><published>"), time, F.lit("</published><updated>2024-01-03T00:00:00+01:00</updated><author><name>A One</name></author><author><name>A Two</name></author><category term='cs.IR'/><a:primary_category term='cs.IR'/></entry>"))
+    head = F.when(F.col("fault") == 1, F.lit("<!DOCTYPE feed>")).otherwise(F.lit(""))
+    root = F.when(F.col("fault") == 6, F.lit("<list")).otherwise(F.lit("<feed"))
+    close = F.when(F.col("fault") == 5, F.lit("</fee")).when(F.col("fault") == 6, F.lit("</list>")).otherwise(F.lit("</feed>"))
+    size = F.col("n") + F.when(F.col("fault") == 2, 1).otherwise(0)
+    entries = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), entry), "")
+    content = F.concat(F.lit("<?xml version='1.0'?>"), head, root, F.lit(" xmlns='http://www.w3.org/2005/Atom' xmlns:o='http://a9.com/-/spec/opensearch/1.1/' xmlns:a='http://arxiv.org/schemas/atom'><o:totalResults>99</o:totalResults><o:startIndex>0</o:startIndex><o:itemsPerPage>"), size.cast("string"), F.lit("</o:itemsPerPage>"), entries, close)
+    found = readers.feed_pages(s.select(F.col("k").alias("page_id"), content.cast("binary").alias("content")), "page_id")
+    first = F.col("works")[0]
+    return found.select("page_id", "problem", F.size("works").alias("n_works"), F.concat(first["arxiv_id"], F.lit(": "), first["title"], F.lit(", "), F.array_join(first["authors"], ", ")).alias("first"))
