@@ -275,3 +275,12 @@ def skill_of(task: Column) -> Column:
     for name, cue in SKILL_CUES:
         out = F.when(task.rlike(cue), name) if out is None else out.when(task.rlike(cue), name)
     return out.otherwise("paper-qa")
+
+
+def canonical_json(c: Column) -> Column:
+    """JSON text of any shape in one form: keys sorted at every depth, no spaces; null for what is no JSON or has a key twice.
+
+    A VARIANT holds its objects' fields in the order of their names, so it is parsed and written once. Numbers lose
+    zeros at the end of their fraction (1.50 is 1.5, 1.0 is 1); all else stays as it is.
+    """
+    return F.to_json(F.try_parse_json(c))

@@ -104,6 +104,35 @@ def delete_with_tombstone(tables: dict[str, DataFrame], doomed: DataFrame, keys:
     return left, first.join(doomed.select(*keys), keys, "left_semi").select(*keys).distinct().withColumn("reason", F.lit(words))
 
 
+def withdrawn(tables: dict[str, DataFrame], links: list[tuple[str, str, dict[str, str]]], root: str, doomed: DataFrame) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """(left, gone): every table without, and with only, the rows that go when the doomed rows of the root go.
+
+    ``links``: (child, parent, {child column: parent column}), a child's foreign key; a child may have several parents,
+    and one that goes takes it along. ``doomed`` has key columns of the root. The tables are walked from the root along
+    their keys; each is one plan of key joins. Null keys match nothing. Tables that no link reaches stay whole.
+    """
+    order, open_ = [root], {name for c, p, _ in links for name in (c, p)} - {root}
+    while open_:
+        ready = sorted(t for t in open_ if all(p in order for c, p, _ in links if c == t))
+        if not ready:
+            raise ValueError(f"the keys of {sorted(open_)} go in a circle")
+        order += ready
+        open_ -= set(ready)
+    keys = doomed.columns
+    gone = {root: tables[root].join(doomed.distinct(), keys, "left_semi")}
+    left = dict(tables) | {root: tables[root].join(doomed.distinct(), keys, "left_anti")}
+    for name in order[1:]:
+        rest, taken = tables[name], None
+        for parent, key in [(p, k) for c, p, k in links if c == name and p in gone]:
+            ids = gone[parent].select(*[F.col(b).alias(a) for a, b in key.items()]).distinct()
+            part = rest.join(ids, list(key), "left_semi").select(tables[name].columns)
+            taken = part if taken is None else taken.unionByName(part)
+            rest = rest.join(ids, list(key), "left_anti").select(tables[name].columns)
+        if taken is not None:
+            gone[name], left[name] = taken, rest
+    return left, gone
+
+
 def replace_embeddings(stored: DataFrame, batch: DataFrame, active: DataFrame, dimensions: int, most: int = 2000) -> DataFrame:
     """The embedding table after a batch; one stale, repeated or malformed vector rejects all of it."""
     if batch.limit(most + 1).count() > most:

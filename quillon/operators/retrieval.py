@@ -6,6 +6,8 @@ filter the documents first, or name scope columns to have one set of statistics
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,15 +124,22 @@ def vector_problem(v: Column, dimensions: int) -> Column:
     return F.when(v.isNull() | (F.size(v) == 0), "empty").when(F.size(v) != dimensions, "dimension").when(bad, "not_finite")
 
 
-def cosine_scores(vectors: DataFrame, queries: DataFrame, limit_queries: int = 10_000) -> DataFrame:
-    """(query_id, id, score): every vector against a stated, bounded query set (query_id, vector).
+def in_blocks(queries: DataFrame, key: str, size: int) -> list[DataFrame]:
+    """Parts of a stated query set of about ``size`` rows, by the key's hash; a set of at most ``size`` is one part."""
+    n = -(-queries.count() // size)
+    if n < 2:
+        return [queries]
+    return [queries.filter(F.pmod(F.xxhash64(key), F.lit(n)) == b) for b in range(n)]
+
+
+def cosine_scores(vectors: DataFrame, queries: DataFrame, block: int = 10_000) -> DataFrame:
+    """(query_id, id, score): every vector against a stated query set (query_id, query_vector).
 
-    Queries are counted and sent to all tasks; a larger set must be given in blocks.
+    Queries are counted and sent to all tasks in blocks, so what is broadcast at once stays bounded.
     """
-    n = queries.limit(limit_queries + 1).count()
-    if n > limit_queries:
-        raise ValueError("give the queries in blocks")
-    return vectors.crossJoin(F.broadcast(queries)).select("query_id", "id", cosine(F.col("query_vector"), F.col("vector")).alias("score"))
+    score = cosine(F.col("query_vector"), F.col("vector")).alias("score")
+    parts = [vectors.crossJoin(F.broadcast(q)).select("query_id", "id", score) for q in in_blocks(queries, "query_id", block)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fuse(rankings: list[DataFrame], k: int = RRF_K) -> DataFrame:
@@ -189,12 +198,12 @@ def within_budget(ranking: DataFrame, budget: int = 2) -> DataFrame:
     return folded.select("query_id", "x.id", "x.taken")
 
 
-def evidence_search(chunks: DataFrame, query: str, limit: int = 5, source_type: str | None = None, source_id: str | None = None, method: str = "bm25", query_vector: list[float] | None = None, max_chunks: int = 50_000) -> tuple[str, DataFrame | None]:
+def evidence_search(chunks: DataFrame, query: str, limit: int = 5, source_type: str | None = None, source_id: str | None = None, method: str = "bm25", query_vector: list[float] | None = None, max_chunks: int | None = 50_000) -> tuple[str, DataFrame | None]:
     """(status, ranking) over active chunks.
 
     ``chunks``: chunk_id, source_type, source_id, title, text, retrieval_text, status, current_sha256,
     content_sha256, vector. Order of outcomes: argument errors, corpus_limit_exceeded, no_results,
-    embeddings_missing, ok. A ranking is never cut short silently.
+    embeddings_missing, ok. A ranking is never cut short silently; without ``max_chunks`` all chunks are searched.
     """
     words = " ".join(query.split())
     if not 1 <= len(words) <= 256:
@@ -206,8 +215,8 @@ def evidence_search(chunks: DataFrame, query: str, limit: int = 5, source_type:
     if method != "bm25" and not query_vector:
         raise ValueError("a query vector is needed")
     active = scoped(chunks.filter("status = 'approved' AND current_sha256 = content_sha256"), source_type, source_id)
-    n = active.limit(max_chunks + 1).count()
-    if n > max_chunks:
+    n = active.limit(1 if max_chunks is None else max_chunks + 1).count()
+    if max_chunks is not None and n > max_chunks:
         return "corpus_limit_exceeded", None
     if not n:
         return "no_results", None
@@ -223,7 +232,9 @@ def evidence_search(chunks: DataFrame, query: str, limit: int = 5, source_type:
         sparse = ranked(bm25(docs, asked), CANDIDATES)
     scores = sparse if method == "bm25" else dense if method == "dense" else fuse([sparse, dense])
     best = top(scores.select("id", "score"), limit).withColumn("score", F.round("score", 6))
-    return ("ok" if best.limit(1).count() else "no_results"), best
+    # at most eight rows: the search runs once, and what it found tells the status
+    rows = best.collect()
+    return ("ok" if rows else "no_results"), spark.createDataFrame(rows, best.schema)
 
 
 def scoped(df: DataFrame, source_type: str | None = None, source_id: str | None = None) -> DataFrame:

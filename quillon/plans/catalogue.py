@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import catalog, chunking, evaluation, layout, retrieval, verify
+from quillon.operators import catalog, chunking, evaluation, layout, retrieval, review, verify
 from quillon.plans import pages
 from quillon.plans.registry import ORACLES, QUERIES, query
 from quillon.session import spread, table
@@ -290,8 +290,10 @@ def evidence_search(spark, d):
     fixed = {"source_type": F.lit("arxiv"), "source_id": conv, "title": F.lit(""), "status": F.lit("approved"), "current_sha256": F.lit("x"), "content_sha256": F.lit("x")}
     empty = {n: F.lit(None).cast("string") for n in ("retrieval_text", "evidence_text", "vector")}
     chunks = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), "text", F.col("turn").alias("ordinal"), conv.alias("parent"), F.concat(conv, F.lit(":"), F.col("role")).alias("section"), *[v.alias(n) for n, v in (fixed | empty).items()])
-    status, best = retrieval.evidence_search(chunks, EVIDENCE_QUESTION)
-    best = best if status == "ok" else spark.createDataFrame([], "id long, score double")
+    # the bound on chunks is an interactive caller's; this query is to see them all
+    status, best = retrieval.evidence_search(chunks, EVIDENCE_QUESTION, max_chunks=None)
+    if best is None:
+        raise ValueError(status)
     found = retrieval.expanded(retrieval.ranked(best.withColumn("query_id", F.lit(0)), 5).drop("query_id"), chunks)
     return found.select("rank", "chunk_id", "score", "context", F.array_join(F.transform("expanded_evidence", lambda x: x["chunk_id"].cast("string")), ",").alias("expanded"))
 
@@ -1205,3 +1207,94 @@ def page_tables(spark, d):
     found = layout.elements(words, None, 612.0, strokes)
     prose = found.filter("element_type = 'paragraph'").groupBy("doc_id").agg(F.first("text").alias("after"))
     return found.filter("element_type = 'table'").join(prose, "doc_id").select("doc_id", "text", F.regexp_replace(F.get_json_object("relation", "$.rows"), r'","', '", "').alias("raw"), "after").select("doc_id", "text", F.regexp_replace("raw", r"\],\[", "], [").alias("rows"), "after")
+
+
+# ---------------------------------------------------------------- whole documents, withdrawals and reviews
+
+
+@query(ORACLES["chunk_element"])
+def chunk_table_function(spark, d):
+    """Turns as elements of their conversation, cut by the table function in SQL."""
+    chunking.register_table_functions(spark)
+    table(spark, d, "conversations").createOrReplaceTempView("turns_to_cut")
+    return spark.sql(
+        """SELECT doc_id, ordinal, element_id, section_path[0] AS section, char_start, char_end, text FROM element_chunks(TABLE(
+        SELECT conv_id AS doc_id, turn AS order_index, CAST(turn AS STRING) AS element_id, 1 AS page_number, 'paragraph' AS element_type, array(role) AS section_path, text,
+               CAST(NULL AS ARRAY<ARRAY<STRING>>) AS rows, 1 AS header_rows FROM turns_to_cut) PARTITION BY doc_id ORDER BY order_index)"""
+    )
+
+
+_WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> '')"
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, {_WORDS.format('text')} AS ws FROM conversations),
+q AS (SELECT a.conv_id AS quote_id, list_concat(a.ws[-3:], b.ws[1:3]) AS q FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1),
+w AS (SELECT conv_id, turn, k, ws[k] AS word FROM t, generate_series(1, 100000) AS s(k) WHERE k <= len(ws)),
+d AS (SELECT conv_id, list(word ORDER BY turn, k) AS ws, list(turn ORDER BY turn, k) AS turns FROM w GROUP BY conv_id),
+p AS (SELECT conv_id, ws, turns, unnest(generate_series(1, len(ws))) AS i FROM d)
+SELECT conv_id AS doc_id, quote_id, CAST(count(*) AS BIGINT) AS places, min(turns[i]) AS first_ordinal, max(turns[i + len(q) - 1]) AS last_ordinal
+FROM p JOIN q ON ws[i] = q[1] AND ws[i:i + len(q) - 1] = q GROUP BY conv_id, quote_id"""
+)
+def quote_over_turns(spark, d):
+    """Quotes that go over from a conversation's first turn into its second, found in the turns of all conversations."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), "text")
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    ends = c.filter("ordinal < 2").select("doc_id", "ordinal", words.alias("ws")).groupBy("doc_id").agg(*(F.max(F.when(F.col("ordinal") == k, F.col("ws"))).alias(f"w{k}") for k in (0, 1))).filter("w0 IS NOT NULL AND w1 IS NOT NULL")
+    last = F.slice("w0", F.greatest(F.lit(1), F.size("w0") - 2), 3)
+    quotes = ends.select(F.col("doc_id").alias("quote_id"), F.array_join(F.concat(last, F.slice("w1", 1, 3)), " ").alias("quote"))
+    found = verify.containing_across(c, quotes)
+    return found.groupBy("doc_id", "quote_id").agg(F.count("*").alias("places"), F.min("first_ordinal").alias("first_ordinal"), F.max("last_ordinal").alias("last_ordinal"))
+
+
+@query(
+    """WITH c AS (SELECT c_custkey FROM customer WHERE c_nationkey = 7), o AS (SELECT o_orderkey FROM orders SEMI JOIN c ON c_custkey = o_custkey),
+p AS (SELECT p_partkey FROM part WHERE p_size = 50), l AS (SELECT l_orderkey IN (SELECT o_orderkey FROM o) AS gone FROM lineitem)
+SELECT 'customer' AS name, count(*) - (SELECT count(*) FROM c) AS n_left, (SELECT count(*) FROM c) AS n_gone FROM customer
+UNION ALL SELECT 'orders', count(*) - (SELECT count(*) FROM o), (SELECT count(*) FROM o) FROM orders
+UNION ALL SELECT 'lineitem', count(*) FILTER (WHERE NOT gone), count(*) FILTER (WHERE gone) FROM l
+UNION ALL SELECT 'part', count(*), 0 FROM part"""
+)
+def withdrawal_cascade(spark, d):
+    """All customers of a nation withdrawn: what stays and what goes along their orders and lines."""
+    tables = {t: table(spark, d, t) for t in ("customer", "orders", "lineitem", "part")}
+    links = [("lineitem", "orders", {"l_orderkey": "o_orderkey"}), ("orders", "customer", {"o_custkey": "c_custkey"}), ("lineitem", "part", {"l_partkey": "p_partkey"})]
+    left, gone = catalog.withdrawn(tables, links, "customer", tables["customer"].filter("c_nationkey = 7").select("c_custkey"))
+    counted = lambda name, kind, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), F.lit(kind).alias("kind"), "n")
+    rows = [counted(n, "left", left[n]) for n in tables] + [counted(n, "gone", df) for n, df in gone.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    total = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).alias(f"n_{kind}")
+    return out.groupBy("name").agg(total("left"), total("gone"))
+
+
+@query(
+    """WITH p AS (SELECT DISTINCT l_linenumber AS query_id, l_orderkey AS work_id, l_orderkey % 4 AS suggested FROM lineitem WHERE l_linenumber <= 5),
+r AS (SELECT l_linenumber AS query_id, l_orderkey AS work_id, count(*) AS times, any_value(l_partkey % 5) AS grade, any_value(l_partkey % 9 <> 0) AS reviewed FROM lineitem WHERE l_returnflag <> 'R' AND l_linenumber <= 6 GROUP BY ALL),
+x AS (SELECT coalesce(p.query_id, r.query_id) AS query_id, CASE WHEN times > 1 THEN 'duplicate' WHEN p.work_id IS NULL THEN 'surplus' WHEN r.work_id IS NULL THEN 'missing' WHEN o_orderkey IS NULL THEN 'gone'
+  WHEN r.work_id % 11 = 0 OR p.work_id % 13 = 0 THEN 'stale' WHEN p.work_id % 17 = 0 THEN 'changed' WHEN NOT reviewed THEN 'open' WHEN grade > 3 THEN 'invalid' ELSE 'current' END AS state
+FROM p FULL JOIN r USING (query_id, work_id) LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') o ON o_orderkey = coalesce(p.work_id, r.work_id))
+SELECT CAST(query_id AS INTEGER) AS query_id, state, count(*) AS n FROM x GROUP BY ALL"""
+)
+def review_reconcile(spark, d):
+    """Order lines as reviewed pairs against the orders as they are now: how many are missing, stale, surplus or current."""
+    lines = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("query_id"), F.col("l_orderkey").alias("work_id"), "l_partkey", "l_returnflag")
+    key = F.col("work_id").cast("string")
+    grade = (F.col("work_id") % 4).cast("int")
+    plan = lines.filter("query_id <= 5").select("query_id", "work_id", F.when(F.col("work_id") % 13 == 0, "old").otherwise(key).alias("content_sha256"), grade.alias("suggested_grade"))
+    changed = F.when(F.col("work_id") % 17 == 0, -1).otherwise(grade)
+    reviews = lines.filter("l_returnflag <> 'R' AND query_id <= 6").select("query_id", "work_id", F.when(F.col("work_id") % 11 == 0, "old").otherwise(key).alias("content_sha256"), changed.alias("suggested_grade"), (F.col("l_partkey") % 5).cast("int").alias("reviewed_grade"), (F.col("l_partkey") % 9 != 0).alias("reviewed"), F.lit(None).cast("string").alias("note"))
+    corpus = table(spark, d, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("work_id"), F.col("o_orderkey").cast("string").alias("content_sha256"))
+    return review.reconciled(plan, reviews, corpus).groupBy("query_id", "state").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, '{"a":[' || event_id || ',{"b":null,"k":"é' || event_type || '"}],"props":{"k":' || json_extract_string(props, '$.k') || '},"z":' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE '1.5' END || '}' AS json FROM events""")
+def canonical_json_text(spark, d):
+    """Events as JSON text whose shape differs by row, in one form."""
+    e = table(spark, d, "events")
+    number = F.col("event_id").cast("string")
+    z = F.when(F.col("event_id") % 2 == 0, "true").otherwise("1.50")
+    inner = F.concat(F.lit('[ '), number, F.lit(', {"k": "\\u00e9'), "event_type", F.lit('", "b" : null}]'))
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"z": '), z, F.lit(', "props": '), "props", F.lit(', "a": '), inner, F.lit("}"))).otherwise(F.concat(F.lit('{ "props":'), "props", F.lit(',"a":'), inner, F.lit(',\n"z":'), z, F.lit(" }")))
+    return e.select("event_id", T.canonical_json(text).alias("json"))

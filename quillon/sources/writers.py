@@ -23,6 +23,21 @@ def commit_pointer(df: DataFrame, base: str, generation: int) -> str:
     return path
 
 
+def publish(tables: dict[str, DataFrame], base: str, generation: int) -> str:
+    """A new generation of several tables, and then the pointer to it: readers see all of it or the one before."""
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        df.write.mode("errorifexists").parquet(f"{base}/{name}/generation={generation}")
+    rows = [(name, f"{base}/{name}/generation={generation}") for name in tables]
+    return commit_pointer(spark.createDataFrame(rows, "name string, path string"), f"{base}/_pointer", generation)
+
+
+def published(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    """The tables of the latest complete generation."""
+    pointer = latest_pointer(spark, f"{base}/_pointer")
+    return {r["name"]: spark.read.parquet(r["path"]) for r in pointer.collect()} if pointer is not None else {}
+
+
 def latest_pointer(spark: SparkSession, base: str) -> DataFrame | None:
     """The rows of the latest generation that was written to its end, or None."""
     jvm = spark._jvm
