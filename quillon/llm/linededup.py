@@ -39,12 +39,18 @@ from quillon.llm.common import Scratch
 DEPTH, SIMILARITY, MIN_DOCS = 3, 0.7, 5
 #: Digests by which the other lines of texts with one longest signature are compared, and the words of a window.
 SKETCH, WINDOW = 4, 3
+#: Texts whose keys are broadcast at most; beyond, all texts are gone through by their longest signature.
+FEW = 200_000
 SPACE = r"\x20\x09-\x0D"
 
 
+def _keys(text: Column) -> list[Column]:
+    return [F.xxhash64(text), F.xxhash64(F.lit(17), text)]
+
+
 def text_keys(text: Column) -> list[Column]:
     """128 bits that stand for a text."""
-    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(17), text).alias("k2")]
+    return [k.alias(name) for k, name in zip(_keys(text), ("k1", "k2"))]
 
 
 def key128(*cols) -> Column:
@@ -118,7 +124,10 @@ def boilerplate(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     hot = scratch.table(lines.groupBy("doc").agg(F.count_distinct("k1", "k2").alias("n")).filter(F.col("n") >= MIN_DOCS).select("doc"))
     seen = lines.select("leaf", "sig", "doc")
     if not hot.isEmpty():
-        sketches = scratch.table(_sketches(df, hot))
+        # few such texts are picked by their keys, before anything else is computed of a text
+        texts = scratch.table(lines.join(hot, "doc", "left_semi").select("k1", "k2").distinct())
+        picked = df.join(F.broadcast(texts), [a == b for a, b in zip(_keys(df["text"].cast("string")), (texts["k1"], texts["k2"]))], "left_semi") if texts.count() <= FEW else df
+        sketches = scratch.table(_sketches(picked, hot))
         kinds = sum((F.count_distinct(f"m{k}") for k in range(1, SKETCH)), F.count_distinct("m0"))
         mixed = sketches.groupBy("doc").agg(kinds.alias("kinds"), F.count("*").alias("n"))
         mixed = scratch.table(mixed.filter((F.col("kinds") >= SKETCH * MIN_DOCS) & (3 * F.col("kinds") > SKETCH * F.col("n"))).select("doc"))
