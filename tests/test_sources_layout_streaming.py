@@ -24,6 +24,30 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     assert readers.works(spark, landing).count() == 5
 
 
+def test_stateful_ingest_keeps_versions_in_its_state(spark, tmp_path):
+    landing, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    (tmp_path / "in").mkdir()
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    say = lambda name, body: (tmp_path / "in" / name).write_text(json.dumps(body))
+    say("1.json", page("W1", "W2"))
+    ingest.ingest_with_state(spark, landing, out, mark).awaitTermination()
+    say("2.json", page("W2", "W3"))
+    say("3.json", page("W1", title="new"))
+    ingest.ingest_with_state(spark, landing, out, mark).awaitTermination()
+    # back to the first title, and a third one
+    say("4.json", page("W1", "W1"))
+    say("5.json", page("W1", title="third"))
+    ingest.ingest_with_state(spark, landing, out, mark).awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    assert sorted((r["work_id"], r["version"]) for r in rows) == [("W1", 1), ("W1", 2), ("W1", 3), ("W2", 1), ("W3", 1)]
+    assert {r["version"]: json.loads(r["record"])["title"] for r in rows if r["work_id"] == "W1"} == {1: "T", 2: "new", 3: "third"}
+    again = ingest.ingest(spark, landing, str(tmp_path / "other"), str(tmp_path / "mark2"))
+    again.awaitTermination()
+    key = lambda path: sorted((r["work_id"], r["payload_sha256"]) for r in spark.read.parquet(path).collect())
+    assert key(out) == key(str(tmp_path / "other"))
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+
+
 def test_windowed_counts(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     assert ingest.windowed_counts(events).agg({"n": "sum"}).first()[0] == events.count()
