@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import filter_audit, linededup, secrets, urlfilter
+from quillon.llm import filter_audit, linededup, secrets, substrings, urlfilter
 from quillon.llm.decontam import op2_decontam
 from quillon.llm.filter_audit import op13_filter_audit
 from quillon.llm.html_extract import op8_html
@@ -36,5 +36,6 @@ ORACLES: dict[str, str] = {
     "op6_line_dedup": linededup.ORACLE,
     "op7_secrets": secrets.ORACLE,
     "op9_url_filter": urlfilter.ORACLE,
+    "op10_substrings": substrings.ORACLE,
     "op13_filter_audit": filter_audit.ORACLE,
 }

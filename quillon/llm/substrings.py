@@ -386,3 +386,17 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, cuts = repeated_words(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch=scratch)
     digest = scratch.table(cuts.drop("kept"))
     return documents.join(digest, ["k1", "k2"], "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+
+
+#: The rule on the words themselves: windows of 35 words by the digest of their words, which hold no space.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+p AS (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35),
+s AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM p),
+again AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1),
+starts AS (SELECT r, i, i AS begin_at FROM s SEMI JOIN again USING (h)),
+m AS (SELECT k.r, k.i, word, max(begin_at) OVER (PARTITION BY k.r ORDER BY k.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM k LEFT JOIN starts ON starts.r = k.r AND starts.i = k.i),
+t AS (SELECT r, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM m GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (r)
+"""
