@@ -277,7 +277,7 @@ def skill_of(task: Column) -> Column:
     return out.otherwise("paper-qa")
 
 
-def canonical_json(c: Column) -> Column:
+def json_in_one_form(c: Column) -> Column:
     """JSON text of any shape in one form: keys sorted at every depth, no spaces; null for what is no JSON or has a key twice.
 
     A VARIANT holds its objects' fields in the order of their names, so it is parsed and written once. Numbers lose

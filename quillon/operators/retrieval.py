@@ -225,12 +225,15 @@ def evidence_search(chunks: DataFrame, query: str, limit: int = 5, source_type:
         if active.filter(F.col("vector").isNull()).limit(1).count():
             return "embeddings_missing", None
         q = spark.createDataFrame([(0, [float(x) for x in query_vector])], "query_id int, query_vector array<double>")
-        dense = ranked_whole(cosine_scores(active.select(F.col("chunk_id").alias("id"), F.col("vector").cast("array<double>").alias("vector")), q))
+        dense = cosine_scores(active.select(F.col("chunk_id").alias("id"), F.col("vector").cast("array<double>").alias("vector")), q)
+        # rounded, as the order of additions changes the last bits and equal chunks must tie by id
+        dense = dense.withColumn("score", F.round("score", 12))
+        dense = ranked_whole(dense) if method == "hybrid" else dense
     if method != "dense":
         docs = document_tokens(active, "chunk_id", F.col("title"), F.coalesce("retrieval_text", "text"))
         asked = spark.createDataFrame([(0, words)], "query_id int, q string").select("query_id", tokens(F.col("q")).alias("tokens"))
         sparse = ranked(bm25(docs, asked), CANDIDATES)
-    scores = sparse if method == "bm25" else dense if method == "dense" else fuse([sparse, dense])
+    scores = sparse if method == "bm25" else dense if method == "dense" else fuse([sparse, dense]).withColumn("score", F.round("score", 12))
     best = top(scores.select("id", "score"), limit).withColumn("score", F.round("score", 6))
     # at most eight rows: the search runs once, and what it found tells the status
     rows = best.collect()

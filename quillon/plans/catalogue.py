@@ -924,7 +924,8 @@ def record_ids(spark, d):
 def record_lookup(spark, d):
     """A point lookup by canonical id; an invalid id finds nothing."""
     asked = T.work_id(F.lit("https://openalex.org/W42"))
-    return table(spark, d, "part").filter(F.concat(F.lit("W"), F.col("p_partkey").cast("string")) == asked).select("p_partkey", "p_name")
+    # compared as a number, so that the filter reaches the scan
+    return table(spark, d, "part").filter(F.col("p_partkey") == F.substring(asked, 2, 19).cast("long")).select("p_partkey", "p_name")
 
 
 @query("SELECT p_partkey, regexp_replace(lower(p_name || p_type || p_size), '[^a-z0-9_]+', '', 'g') AS compact, translate(p_name || ' \\' || p_type || '\"', '\\\"', '  ') AS escaped FROM part")
@@ -1297,4 +1298,61 @@ def canonical_json_text(spark, d):
     z = F.when(F.col("event_id") % 2 == 0, "true").otherwise("1.50")
     inner = F.concat(F.lit('[ '), number, F.lit(', {"k": "\\u00e9'), "event_type", F.lit('", "b" : null}]'))
     text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"z": '), z, F.lit(', "props": '), "props", F.lit(', "a": '), inner, F.lit("}"))).otherwise(F.concat(F.lit('{ "props":'), "props", F.lit(',"a":'), inner, F.lit(',\n"z":'), z, F.lit(" }")))
-    return e.select("event_id", T.canonical_json(text).alias("json"))
+    return e.select("event_id", T.json_in_one_form(text).alias("json"))
+
+
+@query(
+    bm25_sql(f"SELECT id, tokens FROM ({TOKENS}) WHERE id IN (SELECT vec_id FROM embeddings)", ASKED, 2000, final="")
+    + """,
+v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
+near AS (SELECT v.id, round(list_cosine_similarity(q.v, v.v), 12) AS score FROM v, v AS q WHERE q.id = 0),
+dense AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM near),
+fused AS (SELECT id, round(sum(1.0 / (60 + rank)), 12) AS score FROM (SELECT id, rank FROM best UNION ALL SELECT id, rank FROM dense) GROUP BY id)
+SELECT 'dense' AS method, id AS chunk_id, round(score, 6) AS score FROM dense WHERE rank <= 5
+UNION ALL SELECT 'hybrid', id, round(score, 6) FROM (SELECT * FROM fused ORDER BY score DESC, id LIMIT 5)"""
+)
+def evidence_search_modes(spark, d):
+    """The five best documents for a question by its vector, and by vector and words together."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    fixed = {"source_type": F.lit("arxiv"), "source_id": F.col("source"), "title": F.lit(""), "retrieval_text": F.lit(None).cast("string"), "status": F.lit("approved"), "current_sha256": F.lit("x"), "content_sha256": F.lit("x")}
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", *[c.alias(n) for n, c in fixed.items()]).join(v, "chunk_id")
+    asked = v.filter("chunk_id = 0").first()["vector"]
+    found = []
+    for method in ("dense", "hybrid"):
+        status, best = retrieval.evidence_search(chunks, QUESTION, 5, method=method, query_vector=asked, max_chunks=None)
+        if best is None:
+            raise ValueError(status)
+        found.append(best.select(F.lit(method).alias("method"), F.col("id").alias("chunk_id"), "score"))
+    return found[0].unionByName(found[1])
+
+
+@query(
+    """SELECT CASE WHEN d.doc_id % 50 = 0 OR d.lang IS NULL OR (l.doc_id IS NOT NULL AND l.toxic <> 0) THEN 'mismatch' ELSE 'verified' END AS state, count(*) AS n
+FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY state"""
+)
+def lineage_digests(spark, d):
+    """Texts and lineage held against a manifest of digests in which every fiftieth text is another one."""
+    docs = table(spark, d, "documents")
+    lineage = T.content_sha256({c: F.col(c) for c in ("source", "n_chars", "lang")})
+    said = F.when(F.col("doc_id") % 50 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
+    manifest = docs.select("doc_id", F.sha2(said, 256).alias("said_text"), lineage.alias("said_lineage"))
+    j = docs.select("doc_id", "lang", F.sha2("text", 256).alias("text_sha256"), lineage.alias("lineage_sha256")).join(manifest, "doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+    return catalog.lineage_audit(j.select((F.col("text_sha256") == F.col("said_text")).alias("text_hash_ok"), (F.col("lineage_sha256") == F.col("said_lineage")).alias("content_hash_ok"), (F.coalesce("toxic", F.lit(0)) == 0).alias("license_ok"), F.lit(True).alias("chunks_ok"), F.col("lang").isNotNull().alias("pointer_ok")))
+
+
+@query(
+    """WITH s AS (SELECT p_partkey AS k, p_partkey % 4 AS kind, 'Part ' || p_partkey || chr(10) || 'name | value' AS frame FROM part),
+wide AS (SELECT k, frame, repeat('x', 4000) || ' | ' || k AS line, 1800 - length(frame) - 1 AS room FROM s WHERE kind = 3)
+SELECT k AS doc_id, CAST(0 AS INTEGER) AS ordinal, CASE kind WHEN 0 THEN frame || chr(10) || 'investi' || 'gation | ' || k || chr(10) || 'low-energy | 2' WHEN 1 THEN frame || chr(10) || 'a | ' || k || chr(10) || ' | only a value' ELSE frame END AS text FROM s WHERE kind < 3
+UNION ALL SELECT k, CAST(i AS INTEGER), frame || chr(10) || substr(line, CAST(i * room + 1 AS BIGINT), room) FROM wide, generate_series(0, 2) AS g(i)"""
+)
+def table_row_chunks(spark, d):
+    """A table per part: words cut at a hyphen over two rows, a row with one cell, a header alone, and a row too long for a chunk."""
+    k = F.col("p_partkey").cast("string")
+    row = lambda *cells: F.array(*(F.lit(c) for c in cells))
+    body = F.when(F.expr("p_partkey % 4 = 0"), F.array(row("investi-", k), row("gation", ""), row("low-", "2"), row("energy", "")))
+    body = body.when(F.expr("p_partkey % 4 = 1"), F.array(row("a", k), row(" ", ""), row("", "only a value"))).when(F.expr("p_partkey % 4 = 3"), F.array(row("x" * 4000, k)))
+    rows = F.concat(F.array(row("name", "value")), F.coalesce(body, F.slice(F.array(row("", "")), 1, 0)))
+    fixed = {"order_index": F.lit(0), "element_id": k, "page_number": F.lit(1), "element_type": F.lit("table"), "section_path": F.lit(None).cast("array<string>"), "text": F.concat(F.lit("Part "), k), "rows": rows, "header_rows": F.lit(1)}
+    elements = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), *[c.alias(n) for n, c in fixed.items()])
+    return chunking.chunk_element_table(elements).select("doc_id", "ordinal", "text")

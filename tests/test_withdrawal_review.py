@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.functions.text import canonical_json
+from quillon.functions.text import json_in_one_form
 from quillon.operators import catalog, chunking, retrieval, review, verify
 from quillon.sources import writers
 
@@ -115,8 +115,8 @@ def test_table_functions_equal_the_operator(spark):
 def test_json_of_any_shape_in_one_form(spark):
     values = [{"b": [1, {"z": None, "é": True}], "a": {"y": "q\"\\\n", "x": {}}}, [3, []], "s", 12, 1.5, None]
     rows = [(k, json.dumps(v), json.dumps(v, indent=2)) for k, v in enumerate(values)]
-    df = spark.createDataFrame(rows, "k int, a string, b string").select("k", canonical_json(F.col("a")).alias("a"), canonical_json(F.col("b")).alias("b"))
+    df = spark.createDataFrame(rows, "k int, a string, b string").select("k", json_in_one_form(F.col("a")).alias("a"), json_in_one_form(F.col("b")).alias("b"))
     for r in df.collect():
         assert r.a == r.b == json.dumps(values[r.k], sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    bad = spark.createDataFrame([("{",), ('{"a":1,"a":2}',), (None,), ("",)], "a string").select(canonical_json(F.col("a")).alias("a"))
+    bad = spark.createDataFrame([("{",), ('{"a":1,"a":2}',), (None,), ("",)], "a string").select(json_in_one_form(F.col("a")).alias("a"))
     assert [r.a for r in bad.collect()] == [None] * 4
