@@ -478,7 +478,13 @@ def elements(words: DataFrame, images: DataFrame | None = None, page_width: floa
     for kind, boxes in (("image", images), ("stroke", strokes), ("path", paths)):
         if boxes is not None:
             rows = rows.unionByName(boxes.select(*base, F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("text"), *numbers))
-    pages = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("top", "x0", "x1", "bottom", "kind", "text"))).alias("things"))
+    return elements_of(rows, page_width, page_height)
+
+
+def elements_of(things: DataFrame, page_width: float = 612.0, page_height: float = 792.0) -> DataFrame:
+    """``elements`` from one table: doc_id, page_number, kind (word, image, stroke or path), text and the box."""
+    keys = ["doc_id", "page_number"]
+    pages = things.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("top", "x0", "x1", "bottom", "kind", "text"))).alias("things"))
     element = pa.struct([("place", pa.int32()), ("element_type", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("bbox", pa.list_(pa.float64())), ("element_id", pa.string()), ("relation", pa.string())])
 
     def of_page(page: int, things: list[dict]) -> list[dict]:

@@ -187,13 +187,13 @@ def table_cells(words: DataFrame, strokes: DataFrame) -> DataFrame:
 
 
 def tables(cells: DataFrame) -> DataFrame:
-    """One row per table of ``table_cells``: n_rows, n_cols, n_words, rows (array of arrays of texts, a spanning cell's in
+    """One row per table of ``table_cells``: bbox, n_rows, n_cols, n_words, rows (array of arrays of texts, a spanning cell's in
     its first slot), supported, and status.
 
     ``supported``: text in enough of all slots, empty rows included. ``status``: 'grid'; 'header_uncertain' if a rule
     between columns cuts a word of the first row; 'visual_lines' if it cuts one below, so columns cannot be trusted.
     """
-    found = cells.groupBy(*TABLE).agg(F.max(F.col("row") + F.col("row_span")).alias("n_rows"), F.max(F.col("col") + F.col("col_span")).alias("n_cols"), F.sum("n_words").alias("n_words"), F.map_from_entries(F.collect_list(F.struct(F.struct("row", "col"), "text"))).alias("texts"), F.max("header_cut").alias("header_cut"), F.max("body_cut").alias("body_cut"))
+    found = cells.groupBy(*TABLE).agg(F.max(F.col("row") + F.col("row_span")).alias("n_rows"), F.max(F.col("col") + F.col("col_span")).alias("n_cols"), F.sum("n_words").alias("n_words"), F.map_from_entries(F.collect_list(F.struct(F.struct("row", "col"), "text"))).alias("texts"), F.max("header_cut").alias("header_cut"), F.max("body_cut").alias("body_cut"), F.array(F.min("x0"), F.min("top"), F.max("x1"), F.max("bottom")).alias("bbox"))
     places = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     text = lambda r, c: F.coalesce(F.try_element_at("texts", F.struct(r.alias("row"), c.alias("col"))), F.lit(""))
     found = found.withColumn("rows", F.transform(places("n_rows"), lambda r: F.transform(places("n_cols"), lambda c: text(r, c))))
@@ -203,7 +203,7 @@ def tables(cells: DataFrame) -> DataFrame:
     fits = F.col("n_cols").between(2, MOST_COLUMNS) & (F.col("n_rows") >= 2) & (total >= LEAST_CELLS) & several
     supported = fits & (total >= TEXT_SHARE * F.col("n_rows") * F.col("n_cols"))
     status = F.when(F.col("body_cut"), "visual_lines").when(F.col("header_cut"), "header_uncertain").otherwise("grid")
-    return found.select(*TABLE, "n_rows", "n_cols", "n_words", "rows", supported.alias("supported"), status.alias("status"))
+    return found.select(*TABLE, "bbox", "n_rows", "n_cols", "n_words", "rows", supported.alias("supported"), status.alias("status"))
 
 
 def ruled_regions(captions: DataFrame, strokes: DataFrame, page_width: float = 612.0) -> DataFrame:

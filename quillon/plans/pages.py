@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.operators import layout, ruled
+from quillon.operators import document, layout, ruled
 from quillon.plans.registry import query
 from quillon.session import table
 from quillon.sources import pdf, readers
@@ -163,6 +163,19 @@ def vector_figures(spark, d):
     return captions.join(regions, "doc_id", "left")
 
 
+def pdf_of(rows: DataFrame, key: str, page: str, shown: F.Column) -> DataFrame:
+    """doc_id and content: a PDF file per key with a page per row, in the order of ``page`` (from 1), which shows ``shown``; null: a page whose content is not there."""
+    number, inner = (2 * F.col(page) + 10).cast("string"), (2 * F.col(page) + 11).cast("string")
+    stream = F.concat(inner, F.lit(" 0 obj <</Length "), F.octet_length(shown).cast("string"), F.lit(">>\nstream\n"), shown, F.lit("\nendstream endobj "))
+    content = F.when(shown.isNotNull(), inner).otherwise("9999")
+    body = F.concat(number, F.lit(" 0 obj <</Type/Page/Parent 2 0 R/Contents "), content, F.lit(" 0 R>> endobj "), F.coalesce(stream, F.lit("")))
+    one = rows.select(key, F.struct(page, F.concat(number, F.lit(" 0 R ")).alias("kid"), body.alias("body")).alias("p")).groupBy(key).agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    joined = lambda c: F.array_join(F.transform("ps", lambda p: p[c]), "")
+    font = "3 0 obj <</Type/Font/Subtype/Type1/FirstChar 0/Widths[" + "500 " * 256 + "]>> endobj "
+    file = F.concat(F.lit("%PDF-1.4\n1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj " + font + "2 0 obj <</Type/Pages/MediaBox[0 0 612 792]/Resources<</Font<</F1 3 0 R>>>>/Kids["), joined("kid"), F.lit("]>> endobj "), joined("body"))
+    return one.select(F.col(key).alias("doc_id"), file.cast("binary").alias("content"))
+
+
 @query(
     """WITH t AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS INTEGER) AS page, role, '' || length(coalesce(text, '')) AS size FROM conversations),
 w AS (SELECT conv_id, page, 'word' AS kind, role AS text, 50.0 AS x0 FROM t WHERE NOT (conv_id % 7 = 0 AND page = 2)
@@ -176,15 +189,8 @@ def pdf_page_things(spark, d):
     """Words and rules of a PDF file per conversation, a page per turn; a page whose content is missing is one row."""
     nth = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = table(spark, d, "conversations").selectExpr("conv_id", "turn", "role", "coalesce(text, '') AS text").withColumn("page", F.row_number().over(nth))
-    number = (2 * F.col("page") + 10).cast("string")
     shown = F.concat(F.lit("BT /F1 10 Tf 50 700 Td ("), "role", F.lit(") Tj 100 0 Td ("), F.length("text").cast("string"), F.lit(") Tj ET 50 690 m 250 690 l S"))
-    content = F.when(F.expr("conv_id % 7 = 0 AND page = 2"), "9999").otherwise((2 * F.col("page") + 11).cast("string"))
-    page = F.concat(number, F.lit(" 0 obj <</Type/Page/Parent 2 0 R/Contents "), content, F.lit(" 0 R>> endobj "), (2 * F.col("page") + 11).cast("string"), F.lit(" 0 obj <</Length "), F.length(shown).cast("string"), F.lit(">>\nstream\n"), shown, F.lit("\nendstream endobj "))
-    one = rows.select("conv_id", F.struct("page", F.concat(number, F.lit(" 0 R ")).alias("kid"), page.alias("body")).alias("p")).groupBy("conv_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    joined = lambda c: F.array_join(F.transform("ps", lambda p: p[c]), "")
-    font = "3 0 obj <</Type/Font/Subtype/Type1/FirstChar 0/Widths[" + "500 " * 256 + "]>> endobj "
-    body = F.concat(F.lit("%PDF-1.4\n1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj " + font + "2 0 obj <</Type/Pages/MediaBox[0 0 612 792]/Resources<</Font<</F1 3 0 R>>>>/Kids["), joined("kid"), F.lit("]>> endobj "), joined("body"))
-    things = pdf.page_things(one.select(F.col("conv_id").alias("doc_id"), body.cast("binary").alias("content")), "doc_id")
+    things = pdf.page_things(pdf_of(rows, "conv_id", "page", F.when(~F.expr("conv_id % 7 = 0 AND page = 2"), shown)), "doc_id")
     return things.select("doc_id", "page_number", "kind", "text", "x0", "x1", "top")
 
 
@@ -209,3 +215,20 @@ def feed_page_checks(spark, d):
     found = readers.feed_pages(s.select(F.col("k").alias("page_id"), content.cast("binary").alias("content")), "page_id")
     first = F.col("works")[0]
     return found.select("page_id", "problem", F.size("works").alias("n_works"), F.concat(first["arxiv_id"], F.lit(": "), first["title"], F.lit(", "), F.array_join(first["authors"], ", ")).alias("first"))
+
+
+@query(
+    """WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS page, role, length(coalesce(text, '')) AS size FROM conversations),
+c AS (SELECT conv_id, page, 0 AS part, '1 Turn' AS text, 'heading' AS kind FROM t UNION ALL SELECT conv_id, page, 1, 'said by ' || role, 'paragraph' FROM t
+  UNION ALL SELECT conv_id, page, 2, 'Table 1' || chr(10) || 'turn | ' || page || chr(10) || 'size | ' || size, 'table' FROM t)
+SELECT conv_id AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY page, part) - 1 AS INTEGER) AS ordinal, CAST(page AS INTEGER) AS page_number, kind AS element_type, '1 Turn' AS section, text FROM c"""
+)
+def pdf_chunks(spark, d):
+    """PDF files to chunks: a page per turn with a heading, a line of text and a ruled table of two rows."""
+    nth = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = table(spark, d, "conversations").selectExpr("conv_id", "turn", "role", "coalesce(text, '') AS text").withColumn("page", F.row_number().over(nth))
+    at = lambda x, y, text: F.concat(F.lit(f"1 0 0 1 {x} {y} Tm ("), text if isinstance(text, F.Column) else F.lit(text), F.lit(") Tj "))
+    rules = "50 600 200 40 re S 50 620 m 250 620 l S 150 600 m 150 640 l S"
+    shown = F.concat(F.lit("BT /F1 10 Tf "), at(50, 740, "1 Turn"), at(50, 700, F.concat(F.lit("said by "), "role")), at(55, 626, "turn"), at(155, 626, F.col("page").cast("string")), at(55, 606, "size"), at(155, 606, F.length("text").cast("string")), F.lit(f"ET {rules}"))
+    found = document.elements(pdf.page_things(pdf_of(rows, "conv_id", "page", shown), "doc_id"))
+    return document.chunks(found).select("doc_id", "ordinal", "page_number", "element_type", F.array_join("section_path", "/").alias("section"), "text")

@@ -4,7 +4,7 @@ import zlib
 
 import pytest
 
-from quillon.operators import layout
+from quillon.operators import document, layout
 from quillon.sources import pdf, readers
 
 
@@ -81,6 +81,24 @@ def test_pages_to_elements(spark, tmp_path):
     assert [(r.element_type, r.text) for r in found] == [("heading", "1 Introduction"), ("paragraph", "Some words"), ("figure_caption", "Figure 1: A plot"), ("image_region", "")]
 
 
+def test_pages_to_chunks_with_ruled_tables(spark):
+    def cell(x, y, t):
+        return b"1 0 0 1 %d %d Tm (%s) Tj " % (x, y, t)
+
+    grid = b"50 600 200 40 re S 50 620 m 250 620 l S 150 600 m 150 640 l S"
+    full = b"BT /F1 10 Tf " + cell(50, 740, b"1 Methods") + cell(50, 700, b"Some words") + cell(55, 626, b"name") + cell(155, 626, b"value") + cell(55, 606, b"x") + cell(155, 606, b"7") + b"ET " + grid
+    bare = b"BT /F1 10 Tf " + cell(50, 700, b"Only text") + b"ET " + grid
+    rows = [(1, make_pdf([full, 9999, bare])), (2, b"none"), (3, None)]
+    things = pdf.page_things(spark.createDataFrame(rows, "doc_id long, content binary"), "doc_id")
+    found = document.elements(things)
+    got = [(r.doc_id, r.page_number, r.element_type, r.text) for r in found.orderBy("doc_id", "order_index").collect()]
+    assert got == [(1, 1, "heading", "1 Methods"), (1, 1, "paragraph", "Some words"), (1, 1, "table", "Table 1"), (1, 2, "warning", "KeyError: 9999"), (1, 3, "paragraph", "Only text"), (2, 0, "warning", "ValueError: not a PDF"), (3, 0, "warning", "ValueError: not a PDF")]
+    table = found.where("element_type = 'table'").first()
+    assert table.rows == [["name", "value"], ["x", "7"]] and table.section_path == ["1 Methods"] and table.bbox == [50, 152, 250, 192] and '"status":"grid"' in table.relation
+    told = document.chunks(found).orderBy("ordinal").collect()
+    assert [r.text for r in told] == ["1 Methods", "Some words", "Table 1\nname | value\nx | 7", "Only text"]
+
+
 FEED = '<feed xmlns="http://www.w3.org/2005/Atom" xmlns:opensearch="http://a9.com/-/spec/opensearch/1.1/" xmlns:arxiv="http://arxiv.org/schemas/atom"><opensearch:totalResults>{total}</opensearch:totalResults><opensearch:itemsPerPage>{n}</opensearch:itemsPerPage>{entries}</feed>'
 ENTRY = "<entry><id>http://arxiv.org/abs/2401.00001v1</id><title>{title}</title><summary>s</summary><published>{time}</published><updated>2024-01-01T00:00:00Z</updated>{more}</entry>"
 
