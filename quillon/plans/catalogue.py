@@ -1356,3 +1356,28 @@ def table_row_chunks(spark, d):
     fixed = {"order_index": F.lit(0), "element_id": k, "page_number": F.lit(1), "element_type": F.lit("table"), "section_path": F.lit(None).cast("array<string>"), "text": F.concat(F.lit("Part "), k), "rows": rows, "header_rows": F.lit(1)}
     elements = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), *[c.alias(n) for n, c in fixed.items()])
     return chunking.chunk_element_table(elements).select("doc_id", "ordinal", "text")
+
+
+@query(
+    """SELECT 'bounded' AS asked, CASE WHEN count(*) > 100 THEN 'corpus_limit_exceeded' ELSE 'ok' END AS status FROM documents
+UNION ALL SELECT 'source', CASE WHEN count(*) = 0 THEN 'no_results' ELSE 'ok' END FROM documents WHERE source = 'no such source'
+UNION ALL SELECT 'vectors', CASE WHEN count(*) > 0 THEN 'embeddings_missing' ELSE 'ok' END FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)"""
+)
+def search_outcomes(spark, d):
+    """What a search says instead of an answer: beyond its bound, without chunks, without vectors."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    fixed = {"source_type": F.lit("arxiv"), "source_id": F.col("source"), "title": F.lit(""), "retrieval_text": F.lit(None).cast("string"), "status": F.lit("approved"), "current_sha256": F.lit("x"), "content_sha256": F.lit("x")}
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", *[c.alias(n) for n, c in fixed.items()]).join(v, "chunk_id", "left")
+    asked = {"bounded": {"max_chunks": 100}, "source": {"source_type": "arxiv", "source_id": "no such source"}, "vectors": {"method": "dense", "query_vector": [1.0] * 64, "max_chunks": None}}
+    return spark.createDataFrame([(name, retrieval.evidence_search(chunks, QUESTION, **how)[0]) for name, how in asked.items()], "asked string, status string")
+
+
+_CITING = "'See W' || p_partkey || ', ' || CASE p_partkey % 4 WHEN 0 THEN '2401.' || (10000 + p_size) || 'v2' WHEN 1 THEN 'hep-th/99' || (10000 + p_size) WHEN 2 THEN '24011.1234' ELSE 'xW1 and 1234.56' END || '; W' || p_size || '.'"
+
+
+@query(
+    f"""SELECT p_partkey, array_to_string(list_concat(regexp_extract_all({_CITING}, '\\bW\\d+\\b'), regexp_extract_all({_CITING}, '(?i)\\b(?:\\d{{4}}\\.\\d{{4,5}}|[a-z-]+(?:\\.[A-Z]{{2}})?/\\d{{7}})(?:v\\d+)?\\b')), ' ') AS cited FROM part"""
+)
+def citations_of_both_kinds(spark, d):
+    """Works and preprints that a text cites by their ids."""
+    return table(spark, d, "part").select("p_partkey", F.array_join(T.inline_citations(F.expr(_CITING)), " ").alias("cited"))

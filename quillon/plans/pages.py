@@ -232,3 +232,17 @@ def pdf_chunks(spark, d):
     shown = F.concat(F.lit("BT /F1 10 Tf "), at(50, 740, "1 Turn"), at(50, 700, F.concat(F.lit("said by "), "role")), at(55, 626, "turn"), at(155, 626, F.col("page").cast("string")), at(55, 606, "size"), at(155, 606, F.length("text").cast("string")), F.lit(f"ET {rules}"))
     found = document.elements(pdf.page_things(pdf_of(rows, "conv_id", "page", shown), "doc_id"))
     return document.chunks(found).select("doc_id", "ordinal", "page_number", "element_type", F.array_join("section_path", "/").alias("section"), "text")
+
+
+@query(
+    """SELECT s_suppkey AS doc_id, k AS order_index, CASE k WHEN 0 THEN 'left ' || s_suppkey || ' size x^{2} third line' ELSE 'right ' || s_name || ' more text ends in ' || s_nationkey END AS text
+FROM supplier, generate_series(0, 1) AS g(k)"""
+)
+def two_column_pages(spark, d):
+    """A page per supplier in two columns, with a small raised character: the left column is read before the right one."""
+    s = table(spark, d, "supplier")
+    at = lambda text, x, y, wide, high=10.0: F.struct((F.lit(text) if isinstance(text, str) else text).alias("text"), F.lit(float(x)).alias("x0"), F.lit(float(y)).alias("top"), F.lit(float(x + wide)).alias("x1"), F.lit(y + high).alias("bottom"))
+    left = [at("left", 50, 100, 80), at(F.col("s_suppkey").cast("string"), 135, 100, 100), at("size", 50, 112, 80), at("x", 135, 112, 100), at("2", 236, 110, 4, 6.0), at("third", 50, 124, 80), at("line", 135, 124, 100)]
+    right = [at("right", 330, 100, 80), at(F.col("s_name"), 415, 100, 100), at("more", 330, 112, 80), at("text", 415, 112, 100), at("ends", 330, 124, 80), at("in", 415, 124, 20), at(F.col("s_nationkey").cast("string"), 440, 124, 60)]
+    words = s.select(F.col("s_suppkey").alias("doc_id"), F.lit(1).alias("page_number"), F.inline(F.array(*left, *right)))
+    return layout.elements(words).select("doc_id", F.col("order_index").cast("long").alias("order_index"), "text")
