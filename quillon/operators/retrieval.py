@@ -8,8 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillon.functions.text import tokens
 from quillon.session import spread
@@ -142,6 +147,92 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame, block: int = 10_000) -
     return reduce(DataFrame.unionByName, parts)
 
 
+def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, bin_rows: int = 8_192, block: int = 2_048) -> DataFrame:
+    """(query_id, id, score, rank): the k best vectors of every query, as ``ranked(cosine_scores(...), k)`` has them.
+
+    For many queries: vectors are dealt to bins by their id's hash, about ``bin_rows`` in each, queries to blocks of about
+    ``block``, and every bin meets every block in a task of its own, so neither table passes through the driver or one task;
+    both are counted. A task gives its k best of each query, which a window ranks. Scores add up in the order of
+    ``cosine``, so equal vectors tie. A null vector or entry gives a null score, which ranks last; a zero norm gives 0, and
+    else a length other than the query's null.
+    """
+    bins, blocks = (max(1, -(-df.count() // size)) for df, size in ((vectors, bin_rows), (queries, block)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = vectors.select(deal("id", bins).alias("bin"), every(blocks).alias("block"), "id", F.col("vector").cast("array<double>").alias("vector"))
+    q = queries.select(every(bins).alias("bin"), deal("query_id", blocks).alias("block"), "query_id", F.col("query_vector").cast("array<double>").alias("vector"))
+    kinds = {c: df.schema[c].dataType for df, c in ((queries, "query_id"), (vectors, "id"))}
+    schema = StructType([*(StructField(c, t) for c, t in kinds.items()), StructField("score", DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        at, of, score = best_cosines(left.column("vector"), right.column("vector"), left.column("id"), k)
+        return pa.table([right.column("query_id").take(of), left.column("id").take(at), score], schema=arrow)
+
+    # a number of partitions is given, as the work is in pairs and not in the bytes that would otherwise set it
+    parts = bins * blocks
+    sides = [df.repartition(parts, "bin", "block").groupBy("bin", "block") for df in (a, q)]
+    return ranked(sides[0].cogroup(sides[1]).applyInArrow(run, schema), k)
+
+
+def _matrices(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows of a list column by length, as (places, matrix); rows that are null or hold nulls are left out."""
+    lists = column.combine_chunks()
+    values, ends = lists.values, lists.offsets.to_numpy()
+    holes = np.concatenate(([0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))))
+    whole = lists.is_valid().to_numpy(zero_copy_only=False) & (holes[ends[1:]] == holes[ends[:-1]])
+    flat, size = values.fill_null(0.0).to_numpy(zero_copy_only=False), np.diff(ends)
+    at = {int(n): np.flatnonzero(whole & (size == n)) for n in np.unique(size[whole])}
+    return {n: (rows, flat[ends[rows][:, None] + np.arange(n)]) for n, rows in at.items()}
+
+
+def best_cosines(vectors: pa.ChunkedArray, queries: pa.ChunkedArray, ids: pa.ChunkedArray, k: int, step: int = 64) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(place of the vector, place of the query, score) of the k best of every query; equal scores by id, null ones last."""
+    # all columns are in the order of the ids, so that a stable sort by score breaks ties
+    order = pc.sort_indices(ids).to_numpy().astype(np.int64)
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    none = np.empty(0, dtype=np.int64)
+    held, norms = {n: (place[at], np.ascontiguousarray(v.T)) for n, (at, v) in _matrices(vectors).items()}, np.full(len(order), np.nan)
+    whole = np.zeros(len(order), dtype=bool)
+    for at, v in held.values():
+        norms[at], whole[at] = np.sqrt(_added(v, v)), True
+    asked = _matrices(queries)
+    lost = np.setdiff1d(np.arange(len(queries)), np.concatenate([none, *(rows for rows, _ in asked.values())]))
+    out = [(none, none, np.empty(0), np.empty(0, dtype=bool))]
+    out += [(order[:k], np.full(min(k, len(order)), row), np.zeros(min(k, len(order))), np.ones(min(k, len(order)), dtype=bool)) for row in lost]
+    for n, (rows, m) in asked.items():
+        at, v = held.get(n, (none, np.empty((n, 0))))
+        for first in range(0, len(rows), step):
+            part = np.ascontiguousarray(m[first : first + step].T)
+            dot, score = np.zeros((part.shape[1], len(at))), np.zeros((part.shape[1], len(order)))
+            with np.errstate(all="ignore"):
+                for p, x in zip(part, v):
+                    dot += p[:, None] * x
+                norm = np.sqrt(_added(part, part))[:, None] * norms
+                score[:, at] = np.where(norm[:, at] == 0.0, 0.0, dot / norm[:, at])
+            missing = ~whole | (norm != 0.0)
+            missing[:, at] = False
+            # Spark has NaN above all numbers; numpy has it last
+            keys = np.where(missing, np.nan, np.where(np.isnan(score), -np.inf, -score))
+            for row, key, scores, null in zip(rows[first : first + step], keys, score, missing):
+                edge = np.partition(key, k - 1)[k - 1] if k < len(key) else np.nan
+                best = np.arange(len(key)) if np.isnan(edge) else np.flatnonzero(key <= edge)
+                best = best[np.argsort(key[best], kind="stable")][:k]
+                out.append((order[best], np.full(len(best), row), scores[best], null[best]))
+    at, of, score, missing = (np.concatenate(c) for c in zip(*out))
+    return pa.array(at), pa.array(of), pa.array(score, mask=missing)
+
+
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Column sums of products, added from the first row on, as ``cosine`` adds an array's entries."""
+    out = np.zeros(a.shape[1])
+    with np.errstate(all="ignore"):
+        for x, y in zip(a, b):
+            out += x * y
+    return out
+
+
 def fuse(rankings: list[DataFrame], k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of (query_id, id, rank) lists: the sum of 1 / (k + rank)."""
     if k < 1:

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import verify
+from quillon.operators import retrieval, verify
 from quillon.plans import catalogue
 
 
@@ -51,3 +51,26 @@ def test_halves_are_rounded_as_in_the_sql(spark, tmp_path):
     c = spark.createDataFrame([(1, 2.0), (2, 3.0), (4, 4.5), (6, 0.0), (7, -8.5), (8, 8.6), (9, None)], "c_custkey long, c_acctbal double")
     mine, theirs = against_sql(spark, tmp_path, "crosswalk_unique_key", supplier=s, customer=c)
     assert mine == theirs and len(mine) == 5
+
+
+def odd_vectors(spark):
+    """Vectors with copies, a zero, nulls, other lengths and numbers that are none; queries likewise."""
+    odd = [(100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0, None, 2.0]), (103, [1.0, 2.0]), (104, []), (105, [float("nan"), 1.0, 1.0]), (106, [float("inf"), 1.0, 1.0]), (107, [1.0, 2.0, 3.0]), (7, [1.0, 2.0, 3.0])]
+    plain = [(k, [float(k % 5), float(k % 3) - 1, 0.1 * k]) for k in range(20, 60)]
+    kind = lambda i, v: f"{i} long, {v} array<double>"
+    return spark.createDataFrame(odd + plain, kind("id", "vector")), spark.createDataFrame(odd + plain[:5] + [(900, [1.0] * 4)], kind("query_id", "query_vector"))
+
+
+@pytest.mark.parametrize("k", [1, 3, 10, 60])
+def test_best_cosines_in_bins_are_those_of_all_pairs(spark, k):
+    v, q = odd_vectors(spark)
+    want = rows(retrieval.ranked(retrieval.cosine_scores(v, q), k).select("query_id", "id", "score", "rank"))
+    for size in ((8192, 2048), (7, 4)):
+        assert str(rows(retrieval.cosine_top(v, q, k, *size))) == str(want)
+    assert retrieval.cosine_top(v.filter("false"), q, k).count() == 0 == retrieval.cosine_top(v, q.filter("false"), k).count()
+
+
+def test_vectors_and_grades_are_not_joined_with_every_query(spark, sf_dir):
+    for name in ("cosine_batch", "ir_metrics_per_query"):
+        crossed = nodes(catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan(), "Join")
+        assert not [j for j in crossed if j.condition().isEmpty() and "embedding#" in j.toString() and j.right().maxRows().isEmpty()]
