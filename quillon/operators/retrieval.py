@@ -22,6 +22,8 @@ from quillon.session import spread
 K1, B, RRF_K, QUERY_TF_CAP, CANDIDATES = 1.5, 0.75, 60, 2, 2000
 #: Queries up to this many bytes of estimated size may be broadcast; beyond it Spark chooses.
 BROADCAST_QUERY_TERMS = 200_000
+#: Pairs of a query and a document that a task may hold the sums of.
+PAIRS_A_TASK = 500_000
 
 
 def document_tokens(df: DataFrame, id_col: str, *texts: Column, scope: tuple[str, ...] = ()) -> DataFrame:
@@ -51,17 +53,24 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return exploded.groupBy("query_id", "term").agg(F.least(F.count("*"), F.lit(QUERY_TF_CAP)).alias("weight"))
 
 
+def tasks_for(docs: DataFrame, queries: int) -> int:
+    """Into how many tasks documents go so that a task's pairs with all queries stay bounded; documents are counted."""
+    return max(1, docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() * queries // PAIRS_A_TASK))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, scope: tuple[str, ...] = (), k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, scope..., id, score) of every document that shares a term with the query.
 
     Scores are rounded to nine places: the order in which a shuffle adds up terms changes the last
     bits, and documents of equal text must tie. The one shuffle of token volume is the postings' aggregate, and only after terms that no query
     has are gone, so its size follows the query terms and not the corpus. The distinct query terms
-    are counted first and broadcast only below a bound.
+    are counted first and broadcast only below a bound. Nearly every document shares a common word with every
+    query, so then documents are dealt to as many tasks as keep the pairs of each bounded, whatever their bytes.
     """
     q = query_terms(queries)
     wanted = q.select("term").unionByName(q.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
-    small = q.count() <= BROADCAST_QUERY_TERMS
+    n_terms, n_queries = q.agg(F.count("*"), F.count_distinct("query_id")).first()
+    small = n_terms <= BROADCAST_QUERY_TERMS
     sent = F.broadcast if small else (lambda x: x)
     # every document also gives one row with the empty term, which no text has: its statistics come
     # from the same exchange as its postings. The filters below are on aggregates, so they stay above
@@ -69,7 +78,7 @@ def bm25(docs: DataFrame, queries: DataFrame, scope: tuple[str, ...] = (), k1: f
     marked = docs.select(*scope, "id", F.size("tokens").alias("dl"), F.explode(F.array_append("tokens", F.lit(""))).alias("term"))
     # dealt by document once: with the small sides broadcast, the sums per document need no other shuffle
     found = marked.join(sent(wanted), "term", "left_semi")
-    tf = (found.repartition("id") if small else found).groupBy(*scope, "id", "dl", "term").agg(F.count("*").alias("tf"), F.max(F.col("term") == "").alias("is_doc"))
+    tf = (found.repartition(tasks_for(docs, n_queries), "id") if small else found).groupBy(*scope, "id", "dl", "term").agg(F.count("*").alias("tf"), F.max(F.col("term") == "").alias("is_doc"))
     stats = tf.filter("is_doc").groupBy(*scope).agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
     tf = tf.filter("NOT is_doc").drop("is_doc")
     # counted through tf, so that column pruning leaves this branch's exchange equal to the others
@@ -246,10 +255,15 @@ def fuse(rankings: list[DataFrame], k: int = RRF_K) -> DataFrame:
 def token_overlap(docs: DataFrame, queries: DataFrame, least: int = 2, k: int = 3) -> DataFrame:
     """(query_id, id, score, rank): shared distinct tokens, at least ``least``, best k.
 
-    By an equi-join on the token, so only pairs that share one are formed.
+    By an equi-join on the token, so only pairs that share one are formed. The distinct query terms are counted and
+    broadcast below a bound; documents are then dealt to as many tasks as keep the pairs of each bounded.
     """
     a = docs.select("id", F.explode(F.array_distinct("tokens")).alias("term"))
     q = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    n_terms, n_queries = q.agg(F.count("*"), F.count_distinct("query_id")).first()
+    if n_terms <= BROADCAST_QUERY_TERMS:
+        a = a.join(F.broadcast(q.select("term").distinct()), "term", "left_semi").repartition(tasks_for(docs, n_queries), "id")
+        q = F.broadcast(q)
     scores = a.join(q, "term").groupBy("query_id", "id").agg(F.count("*").alias("score")).filter(F.col("score") >= least)
     return ranked(scores, k)
 

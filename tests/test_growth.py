@@ -74,3 +74,17 @@ def test_vectors_and_grades_are_not_joined_with_every_query(spark, sf_dir):
     for name in ("cosine_batch", "ir_metrics_per_query"):
         crossed = nodes(catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan(), "Join")
         assert not [j for j in crossed if j.condition().isEmpty() and "embedding#" in j.toString() and j.right().maxRows().isEmpty()]
+
+
+def test_a_task_holds_a_bounded_number_of_pairs(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, ["a", "b", f"t{k % 7}"]) for k in range(30)], "id long, tokens array<string>")
+    asked = spark.createDataFrame([(1, ["a", "t3"]), (2, ["b", "t3", "t4"]), (3, [])], "query_id long, tokens array<string>")
+    ways = (lambda: retrieval.ranked(retrieval.bm25(docs, asked), 4), lambda: retrieval.token_overlap(docs, asked, 1, 4))
+    before = [rows(way()) for way in ways]
+    monkeypatch.setattr(retrieval, "PAIRS_A_TASK", 3)
+    for way, want in zip(ways, before):
+        df = way()
+        dealt = nodes(df._jdf.queryExecution().optimizedPlan(), "RepartitionByExpression")
+        assert dealt and {n.optNumPartitions().get() for n in dealt} == {20} and rows(df) == want
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERY_TERMS", 0)
+    assert [rows(way()) for way in ways] == before
