@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import ascii_lower, author_id
+from quillon.operators.verify import bound
 
 
 def upsert_current(current: DataFrame, incoming: DataFrame, key: str, payload: list[str], seen: str = "seen_at") -> DataFrame:
@@ -234,6 +235,21 @@ def table_truncated(rows: Column, n_rows: int = 100, n_cells: int = 50) -> Colum
     return (F.size(rows) > n_rows) | F.exists(F.slice(rows, 1, n_rows), lambda r: F.size(r) > n_cells)
 
 
+def inverted_index(words: Column) -> Column:
+    """A map word -> places, from 0, of an array of words; null if it is null. Made within the row, by sorting."""
+
+    def listed(placed):
+        n = F.size(placed)
+        differs = lambda k: (k == 0) | (F.get(placed, k - 1)["word"] != F.get(placed, k)["word"])
+        starts = F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), differs)
+        entry = lambda a, b: F.struct(F.get(placed, a)["word"].alias("word"), F.transform(F.slice(placed, a + 1, b - a), lambda x: x["at"]).alias("places"))
+        # each run of a word ends where the next begins, the last one with the array
+        runs = lambda at: F.zip_with(at, F.array_append(F.slice(at, 2, F.greatest(F.lit(0), F.size(at) - 1)), n), entry)
+        return bound(starts, lambda at: F.when(F.size(at) > 0, F.map_from_entries(runs(at))))
+
+    return bound(F.sort_array(F.transform(words, lambda w, k: F.struct(w.alias("word"), k.alias("at")))), listed)
+
+
 def abstract_from_index(index: Column) -> Column:
     """struct(status, abstract) of a map word -> places.
 
@@ -241,14 +257,22 @@ def abstract_from_index(index: Column) -> Column:
     below 0, from 50,000 on, or taken twice: invalid. Gaps vanish in the white space collapse.
     """
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("at"), e["key"].alias("word")))))
-    places = F.transform(pairs, lambda p: p["at"])
-    text = F.array_join(F.transform(F.array_sort(pairs), lambda p: p["word"]), " ")
     long_word = F.exists(F.map_keys(index), lambda w: F.char_length(w) > 2000)
-    invalid = F.exists(places, lambda p: (p < 0) | (p >= 50_000)) | (F.size(F.array_distinct(places)) != F.size(places))
-    status = (
-        F.when(index.isNull() | (F.cardinality(index) == 0), "missing").when(long_word, "oversized").when(invalid, "invalid").when(F.char_length(text) > 250_000, "oversized").otherwise("available")
-    )
-    return F.struct(status.alias("status"), F.when(status == "available", F.trim(F.regexp_replace(text, r"(?U)\s+", " "))).alias("abstract"))
+
+    # pairs, text and status are each worked out once
+    def told(pairs):
+        places = F.transform(pairs, lambda p: p["at"])
+        invalid = F.exists(places, lambda p: (p < 0) | (p >= 50_000)) | (F.size(F.array_distinct(places)) != F.size(places))
+
+        def read(text):
+            status = (
+                F.when(index.isNull() | (F.cardinality(index) == 0), "missing").when(long_word, "oversized").when(invalid, "invalid").when(F.char_length(text) > 250_000, "oversized").otherwise("available")
+            )
+            return bound(status, lambda s: F.struct(s.alias("status"), F.when(s == "available", F.trim(F.regexp_replace(text, r"(?U)\s+", " "))).alias("abstract")))
+
+        return bound(F.array_join(F.transform(F.sort_array(pairs), lambda p: p["word"]), " "), read)
+
+    return bound(pairs, told)
 
 
 def work_view(raw: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import retrieval, verify
+from quillon.operators import catalog, retrieval, verify
 from quillon.plans import catalogue
 
 
@@ -88,3 +88,12 @@ def test_a_task_holds_a_bounded_number_of_pairs(spark, monkeypatch):
         assert dealt and {n.optNumPartitions().get() for n in dealt} == {20} and rows(df) == want
     monkeypatch.setattr(retrieval, "BROADCAST_QUERY_TERMS", 0)
     assert [rows(way()) for way in ways] == before
+
+
+def test_an_inverted_index_is_made_within_its_row(spark, sf_dir):
+    texts = [(1, "a b a c a"), (2, ""), (3, None), (4, "one"), (5, "b b b"), (6, "é ab zz ab")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    got = {r[0]: r[1] for r in df.select("id", catalog.inverted_index(F.split("text", " "))).collect()}
+    assert got == {k: None if t is None else {w: [i for i, x in enumerate(t.split(" ")) if x == w] for w in t.split(" ")} for k, t in texts}
+    assert df.select(catalog.inverted_index(F.array().cast("array<string>"))).first()[0] is None
+    assert not nodes(catalogue.QUERIES["abstract_from_inverted_index"](spark, sf_dir)._jdf.queryExecution().optimizedPlan(), "Aggregate")
