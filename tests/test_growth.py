@@ -1,10 +1,11 @@
 """Faults that show on larger tables: what is shuffled, held in one task or rounded, on small tables made for each."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import catalog, retrieval, verify
+from quillon.operators import catalog, chunking, retrieval, verify
 from quillon.plans import catalogue
 
 
@@ -97,3 +98,16 @@ def test_an_inverted_index_is_made_within_its_row(spark, sf_dir):
     assert got == {k: None if t is None else {w: [i for i, x in enumerate(t.split(" ")) if x == w] for w in t.split(" ")} for k, t in texts}
     assert df.select(catalog.inverted_index(F.array().cast("array<string>"))).first()[0] is None
     assert not nodes(catalogue.QUERIES["abstract_from_inverted_index"](spark, sf_dir)._jdf.queryExecution().optimizedPlan(), "Aggregate")
+
+
+def test_batches_are_taken_apart_a_part_at_a_time():
+    texts = ["x" * 400, None, "", "é" * 300, "y" * 2000, "z"]
+    lists = [[1] * 50, None, [], [2] * 40, [3] * 300, [4]]
+    batch = pa.RecordBatch.from_pydict({"t": pa.array(texts, pa.string()), "l": pa.array(lists, pa.list_(pa.int64()))})
+    for column, most, size in (("t", 1000, lambda v: len((v or "").encode())), ("l", 800, lambda v: 8 * len(v or []))):
+        for whole in (batch, batch.slice(1, 4), batch.slice(4)):
+            parts = list(chunking.slices(whole, column, most))
+            assert pa.Table.from_batches(parts).to_pylist() == whole.to_pylist() and len(parts) > 1
+            assert all(p.num_rows == 1 or sum(map(size, p.column(column).to_pylist())) <= most for p in parts)
+    assert list(chunking.slices(batch.slice(0, 0), "t")) == []
+    assert [b.num_rows for b in chunking.record_batches([(1,)] * 5, pa.schema([("a", pa.int64())]), 2)] == [2, 2, 1]
