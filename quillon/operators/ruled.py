@@ -53,7 +53,11 @@ def _runs(df: DataFrame, keys: list[str], order: list[str], apart: Column, name:
 
 
 def rules(strokes: DataFrame) -> DataFrame:
-    """Snapped and joined edges: along ('h' or 'v'), pos, lo, hi. A box that is not thin gives its four sides."""
+    """Snapped and joined edges: along ('h' or 'v'), pos, lo, hi. A box that is not thin gives its four sides.
+
+    Pages are dealt to ``spark.sql.shuffle.partitions`` tasks, none of them put together for having few bytes: strokes
+    take next to none on their way, but each of a task's many sorts holds all of its rows.
+    """
     side = lambda along, pos, lo, hi: F.struct(F.lit(along).alias("along"), pos.alias("pos"), lo.alias("lo"), hi.alias("hi"))
     x0, y0, x1, y1 = F.least("x0", "x1"), F.least("top", "bottom"), F.greatest("x0", "x1"), F.greatest("top", "bottom")
     flat, narrow = y1 - y0 <= THIN, x1 - x0 <= THIN
@@ -61,7 +65,7 @@ def rules(strokes: DataFrame) -> DataFrame:
     box = F.array(side("h", y0, x0, x1), side("h", y1, x0, x1), side("v", x0, y0, y1), side("v", x1, y0, y1))
     none = F.slice(F.array(across), 1, 0)
     sides = F.when(flat & narrow, none).when(flat, F.array(across)).when(narrow, F.array(down)).otherwise(box)
-    edges = _page(strokes).dropna(subset=["x0", "top", "x1", "bottom"]).repartition(*PAGE).select(*PAGE, F.explode(sides).alias("e")).select(*PAGE, "e.*")
+    edges = _page(strokes).dropna(subset=["x0", "top", "x1", "bottom"]).repartition(int(strokes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PAGE).select(*PAGE, F.explode(sides).alias("e")).select(*PAGE, "e.*")
     keys = [*PAGE, "along"]
     by_pos = Window.partitionBy(*keys).orderBy("pos", "lo", "hi")
     edges = _runs(edges, keys, ["pos", "lo", "hi"], F.col("pos") - F.lag("pos").over(by_pos) > SNAP, "line")

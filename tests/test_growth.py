@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import catalog, chunking, retrieval, verify
+from quillon.operators import catalog, chunking, retrieval, ruled, verify
 from quillon.plans import catalogue
 
 
@@ -111,3 +111,10 @@ def test_batches_are_taken_apart_a_part_at_a_time():
             assert all(p.num_rows == 1 or sum(map(size, p.column(column).to_pylist())) <= most for p in parts)
     assert list(chunking.slices(batch.slice(0, 0), "t")) == []
     assert [b.num_rows for b in chunking.record_batches([(1,)] * 5, pa.schema([("a", pa.int64())]), 2)] == [2, 2, 1]
+
+
+def test_ruled_pages_are_dealt_to_a_stated_number_of_tasks(spark):
+    strokes = spark.createDataFrame([(k, 1, 50.0, 10.0 * j, 90.0, 10.0 * j) for k in range(3) for j in range(3)], "doc_id long, page_number int, x0 double, top double, x1 double, bottom double")
+    edges = ruled.rules(strokes)
+    dealt = nodes(edges._jdf.queryExecution().optimizedPlan(), "RepartitionByExpression")
+    assert [n.optNumPartitions().get() for n in dealt] == [int(spark.conf.get("spark.sql.shuffle.partitions"))] and edges.count() == 9
